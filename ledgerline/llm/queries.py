@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .mixing import document_sizes, mix
+from .neardup import near_duplicates
 from .quality import quality_rules
+from .substrings import remove_repeats
 from .warc import warc_round_trip
 
 
@@ -22,7 +24,15 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(document_sizes(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_warc, op5_mixing)}
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_warc, op5_mixing, op9_substring_dedup, op10_minhash_near_dedup)}
 
 ORACLES = {
     "op3_warc": """
