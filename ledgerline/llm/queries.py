@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .fingerprints import fingerprints
 from .mixing import document_sizes, mix
 from .neardup import near_duplicates
 from .quality import quality_rules
@@ -24,6 +25,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(document_sizes(table(spark, sf_dir, "documents")))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -32,7 +37,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_warc, op5_mixing, op9_substring_dedup, op10_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_warc, op5_mixing, op8_fingerprints, op9_substring_dedup, op10_minhash_near_dedup)}
 
 ORACLES = {
     "op3_warc": """
