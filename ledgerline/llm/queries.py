@@ -8,6 +8,7 @@ from .common import table
 from .fingerprints import fingerprints
 from .mixing import document_sizes, mix
 from .neardup import near_duplicates
+from .pii import replace_entities
 from .quality import quality_rules
 from .substrings import remove_repeats
 from .warc import warc_round_trip
@@ -25,6 +26,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(document_sizes(table(spark, sf_dir, "documents")))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
@@ -37,7 +42,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_warc, op5_mixing, op8_fingerprints, op9_substring_dedup, op10_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_warc, op5_mixing, op6_pii, op8_fingerprints, op9_substring_dedup, op10_minhash_near_dedup)}
 
 ORACLES = {
     "op3_warc": """
