@@ -21,10 +21,9 @@ from .textnum import U, chunks, hash_words, mix, powers, shingles, sums, times
 BANDS, ROWS = 36, 5
 T = BANDS * ROWS
 #: Agreement below the threshold by so many standard deviations rules a pair out before its texts are fetched.
-SIGMAS = 6.0
-#: Members of a bucket that are compared each with each; larger buckets go on with leaders.
-SMALL = 12
-LEADERS = 8
+SIGMAS = 5.0
+#: Members of a bucket that are compared with all others of it in a round.
+LEADERS = 32
 
 
 def sketch(g: np.ndarray, offsets: np.ndarray, t: int = T) -> np.ndarray:
@@ -141,10 +140,10 @@ def texts_of(docs: DataFrame, nodes: DataFrame, width: int, key: str) -> DataFra
 def near_links(docs: DataFrame, signed: DataFrame, nodes: DataFrame, width: int, percent: int, key: str) -> DataFrame:
     """Edges (u, v) between sets that connect exactly the sets which true links connect.
 
-    All sets of a bucket are compared with a few leaders of it, which takes as many pairs as the bucket has members.
-    Sets that then belong to one component need no further comparison; leaders are done. What is left of a bucket is
-    compared each with each once it is small, and goes through another round with other leaders until then, so no link
-    is lost, and no bucket makes a square of pairs."""
+    All sets of a bucket are compared with one of them, which takes as many pairs as the bucket has members. Sets that
+    then belong to one component need no further comparison. As long as a bucket has several components, a bounded
+    number of the members outside its main component are compared with all that it has left, and are done; so no link is
+    lost, no bucket makes a square of pairs, and rounds go on as long as there is something to compare."""
     members = nodes.select("s", F.explode("bands").alias("band"))
     first = members.groupBy("band").agg(F.min("s").alias("lead"), F.max("s").alias("_last")).filter("lead < _last").select("band", "lead")
     members = materialize(members.join(first, "band"), "buckets")
@@ -156,20 +155,19 @@ def near_links(docs: DataFrame, signed: DataFrame, nodes: DataFrame, width: int,
     while True:
         roots = materialize(components(edges), "roots")
         named = left.join(roots.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
-        lead = [F.min(F.struct(F.xxhash64("s", F.lit(k)), F.col("s")))["s"] for k in range(LEADERS)]
-        open_ = named.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("_a"), F.max("root").alias("_b"), F.array_distinct(F.array(*lead)).alias("leads")).filter("_a < _b")
-        named = materialize(named.join(open_.select("band", "n", "leads"), "band"), "left")
+        sizes = named.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(F.max(F.struct("n", "root"))["root"].alias("main"), (F.sum("n") - F.max("n")).alias("others"))
+        named = materialize(named.join(sizes.filter("others > 0"), "band"), "left")
         if named.isEmpty():
             return edges
-        small = named.filter(F.col("n") <= SMALL)
-        other = small.select("band", F.col("s").alias("t"), F.col("root").alias("_r"))
-        few = small.join(other, "band").filter("s < t and root != _r").select(F.col("s").alias("a"), F.col("t").alias("b"))
-        large = named.filter(F.col("n") > SMALL)
-        led = large.select("s", F.explode("leads").alias("t")).filter("s != t").select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"))
-        near = likely(few.unionByName(led).distinct(), nodes, percent)
-        more = confirm(materialize(near, "near"), texts, width, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        # about LEADERS of the members outside the bucket's main component, all of them if they are no more
+        chosen = (F.col("root") != F.col("main")) & (F.pmod(F.xxhash64("s", "band"), F.lit(1_000_000)) * F.col("others") < LEADERS * 1_000_000)
+        named = named.withColumn("leads", chosen)
+        lead = named.filter("leads").select("band", F.col("s").alias("t"), F.col("root").alias("_r"))
+        led = named.join(lead, "band").filter("root != _r").select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).distinct()
+        near = materialize(likely(led, nodes, percent), "near")
+        more = confirm(near, texts, width, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
         edges = materialize(edges.unionByName(more), "links")
-        left = large.filter(~F.array_contains("leads", F.col("s"))).select("band", "s")
+        left = named.filter("not leads").select("band", "s")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
