@@ -69,7 +69,7 @@ def document_sizes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def mixed_texts(docs: DataFrame, taken: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows of docs as often as taken (key, size, taken) says: whole copies, then one cut to its first words."""
-    t = taken.groupBy(F.col(key).alias("_k")).agg(F.max("size").alias("_size"), F.max("taken").alias("_taken")).filter(F.col("_taken") > 0)
+    t = taken.groupBy(F.col(key).alias("_k")).agg(F.max("size").alias("_size"), F.max("taken").alias("_taken")).filter((F.col("_taken") > 0) & (F.col("_size") > 0))
     whole, rest = F.expr("_taken div _size").cast("int"), F.expr("_taken % _size").cast("int")
     lengths = F.array_compact(F.concat(F.array_repeat(F.lit(-1), whole), F.array(F.when(rest > 0, rest))))
     some = docs.join(t, F.col(key).eqNullSafe(F.col("_k"))).withColumn("_cut", F.explode(lengths))

@@ -191,3 +191,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", width: int = 5, percen
     out = signed.select(key, "n", "s").join(low, "s", "left")
     component = F.when(F.col("n") > 0, F.col("low")).otherwise(F.col(key))
     return out.select(key, F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col(key) == component, component.isNull()).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs whose document is kept; see near_duplicates(). Rows with a null key stay."""
+    gone = near_duplicates(docs.select(key, "text"), key, width, percent).filter("not kept").select(key)
+    return docs.join(gone, key, "left_anti").select(docs.columns)

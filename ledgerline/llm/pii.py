@@ -156,28 +156,32 @@ def replace_entities(docs: DataFrame, secret: str = "corpus", text: str = "text"
     Equal entities get equal surrogates in all documents, different ones different surrogates, none of which occurs
     as an entity. Only entities whose first surrogate collides need a look-up; it is joined by a hash of the text.
 
-    A null text stays null with no entities; an empty table gives no rows; columns of docs named _e, _key, _other,
-    n_entities or entity_kinds would clash and are refused."""
-    clash = {"_e", "_key", "_other", "n_entities", "entity_kinds"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are taken")
+    A null text stays null with no entities; repeated rows are each replaced alike; an empty table gives no rows; columns
+    of docs named n_entities or entity_kinds give way to the operator's."""
     found = docs.select(F.explode(entities(F.col(text))).alias("entity"))
     again = later_attempts(found, secret)
-    rows = docs.withColumn("_e", F.coalesce(entities(F.col(text)), F.array().cast("array<string>")))
+    rows = docs.withColumn("_pii_found", F.coalesce(entities(F.col(text)), F.array().cast("array<string>")))
     attempt = lambda e: F.lit(0)
     if again is not None:
         named = lambda kind, norm: F.concat_ws("|", kind, norm)
-        rows = rows.withColumn("_key", F.xxhash64(text))
-        each = rows.filter(F.size("_e") > 0).select("_key", F.explode("_e").alias("entity")).distinct()
+        rows = rows.withColumn("_pii_text", F.xxhash64(text))
+        each = rows.filter(F.size("_pii_found") > 0).select("_pii_text", F.explode("_pii_found").alias("entity")).distinct()
         each = each.withColumn("kind", kind_of(F.col("entity"))).withColumn("norm", norm_of(F.col("entity"), F.col("kind")))
-        other = each.join(again, ["kind", "norm"]).select("_key", named(F.col("kind"), F.col("norm")).alias("k"), "attempt").distinct()
-        other = other.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("k", "attempt"))).alias("_other"))
-        rows = rows.join(other, "_key", "left")
-        attempt = lambda e: F.coalesce(F.try_element_at(F.col("_other"), named(kind_of(e), norm_of(e, kind_of(e)))), F.lit(0))
+        other = each.join(again, ["kind", "norm"]).select("_pii_text", named(F.col("kind"), F.col("norm")).alias("k"), "attempt").distinct()
+        other = other.groupBy("_pii_text").agg(F.map_from_entries(F.collect_list(F.struct("k", "attempt"))).alias("_pii_attempts"))
+        rows = rows.join(other, "_pii_text", "left")
+        attempt = lambda e: F.coalesce(F.try_element_at(F.col("_pii_attempts"), named(kind_of(e), norm_of(e, kind_of(e)))), F.lit(0))
     gaps = F.split(F.col(text), PATTERN)
-    put = F.concat(F.transform(F.col("_e"), lambda e: surrogate(e, secret, attempt(e))), F.array(F.lit("")))
+    put = F.concat(F.transform(F.col("_pii_found"), lambda e: surrogate(e, secret, attempt(e))), F.array(F.lit("")))
     woven = F.array_join(F.zip_with(gaps, put, lambda g, s: F.concat(g, s)), "")
     return rows.select(
-        *[F.when(F.size("_e") > 0, woven).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in docs.columns],
-        F.size("_e").cast("long").alias("n_entities"), F.array_join(F.array_sort(F.array_distinct(F.transform(F.col("_e"), kind_of))), ",").alias("entity_kinds"),
+        *[F.when(F.size("_pii_found") > 0, woven).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in docs.columns if c not in ("n_entities", "entity_kinds")],
+        F.size("_pii_found").cast("long").alias("n_entities"), F.array_join(F.array_sort(F.array_distinct(F.transform(F.col("_pii_found"), kind_of))), ",").alias("entity_kinds"),
     )
+
+
+def without_personal_data(docs: DataFrame, secret: str = "corpus") -> DataFrame:
+    """docs with surrogates for entities and n_chars brought up to date; see replace_entities()."""
+    out = replace_entities(docs.select([c for c in docs.columns if c not in ("n_entities", "entity_kinds")]), secret)
+    changed = F.when(F.col("n_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", changed).select(docs.columns) if "n_chars" in docs.columns else out.select(docs.columns)

@@ -9,6 +9,7 @@ from .fingerprints import fingerprints
 from .langid import language_id
 from .mixing import document_sizes, mix
 from .neardup import near_duplicates
+from .pieces import encode_and_decode
 from .pii import replace_entities
 from .quality import quality_rules
 from .substrings import remove_repeats
@@ -40,6 +41,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_and_decode(table(spark, sf_dir, "documents"))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
@@ -52,7 +57,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_warc, op4_language_id, op5_mixing, op6_pii, op8_fingerprints, op9_substring_dedup, op10_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_warc, op4_language_id, op5_mixing, op6_pii, op7_sentencepiece, op8_fingerprints, op9_substring_dedup, op10_minhash_near_dedup)}
 
 ORACLES = {
     "op3_warc": """

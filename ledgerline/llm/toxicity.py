@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -150,22 +151,24 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> tuple[list
     return features, logistic(x, q)
 
 
-def score(docs: DataFrame, model: tuple[list[str], np.ndarray] | None, key: str = "doc_id") -> DataFrame:
-    """key, score for each row of docs (key, text); a null text counts as empty. Without a model all scores are 0."""
+def score(docs: DataFrame, model: tuple[list[str], np.ndarray] | None, keep: list[str], name: str = "score") -> DataFrame:
+    """The columns keep of docs (.., text) and the score; a null text counts as empty. Without a model all scores are 0."""
+    columns = list(dict.fromkeys([*keep, "text"]))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, weights = model or ([], np.zeros(7))
         scorer, own = Scorer(features), weights.astype(float).tolist()
         tail = own[len(features) :]
-        for pdf in batches:
-            out = np.zeros(len(pdf))
-            for k, text in enumerate(pdf["text"]):
+        for batch in batches:
+            out = np.zeros(batch.num_rows)
+            for k, text in enumerate(batch.column("text").to_pylist()):
                 found, dense = scorer.read(text or "")
                 out[k] = sum(own[f] for f in sorted(found)) + sum(a * b for a, b in zip(tail, dense, strict=True))
             chance = 1 / (1 + np.exp(-np.clip(out, -30, 30))) if model else out
-            yield pd.DataFrame({key: pdf[key].to_numpy(), "score": chance})
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(chance)], [*keep, name])
 
-    return docs.select(key, "text").mapInPandas(run, f"{key} {docs.schema[key].dataType.simpleString()}, score double")
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(*columns).mapInArrow(run, f"{kinds}, {name} double")
 
 
 def held_out(key: Column) -> Column:
@@ -179,5 +182,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", threshold:
     have no label; rows with an equal key each give a row; without labels of both kinds all scores are 0; no documents
     give no rows."""
     model = train(docs, labels.filter(~held_out(F.col(key))), key)
-    out = score(docs, model, key)
+    out = score(docs, model, [key])
     return out.select(key, held_out(F.col(key)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", threshold: float = 0.7) -> DataFrame:
+    """The rows of docs that are not predicted toxic, with all their columns; see toxicity()."""
+    model = train(docs, labels.filter(~held_out(F.col(key))), key)
+    return score(docs, model, docs.columns, "_toxicity").filter(F.col("_toxicity") < threshold).drop("_toxicity")
