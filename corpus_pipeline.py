@@ -1,8 +1,46 @@
-"""A corpus pipeline; stages are added as their operators come."""
+"""From raw documents to token ids: toxic documents go, one of each group of near duplicates stays, personal data gets
+surrogates, sources are mixed to their weights, and texts are encoded."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ledgerline.llm.common import materialize, table
+from ledgerline.llm.mixing import document_sizes, mix, mixed_texts
+from ledgerline.llm.neardup import one_of_each
+from ledgerline.llm.pieces import encode_and_decode
+from ledgerline.llm.pii import without_personal_data
+from ledgerline.llm.toxicity import without_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return one_of_each(docs, width=5, percent=80)
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without_personal_data(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixed_texts(docs, mix(document_sizes(docs)))
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return encode_and_decode(docs)
+
+
+STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("pii", pii), ("mixing", mixing), ("sentencepiece", sentencepiece)]
+
+#: The classifier, the sketches and the segmentation have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
