@@ -23,7 +23,7 @@ T = BANDS * ROWS
 #: Agreement below the threshold by so many standard deviations rules a pair out before its texts are fetched.
 SIGMAS = 5.0
 #: Members of a bucket that are compared with all others of it in a round.
-LEADERS = 32
+LEADERS = 128
 
 
 def sketch(g: np.ndarray, offsets: np.ndarray, t: int = T) -> np.ndarray:
@@ -75,7 +75,7 @@ def signatures(docs: DataFrame, width: int, key: str = "doc_id") -> DataFrame:
 
 
 def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose sketches agree as sets at the threshold may."""
+    """(a, b, agree) of those pairs (a, b) whose sketches agree in as many coordinates as sets at the threshold may."""
     j = percent / 100
     least = int(np.floor(T * j - SIGMAS * np.sqrt(T * j * (1 - j))))
 
@@ -83,10 +83,11 @@ def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         for pdf in batches:
             if len(pdf):
                 x, y = (np.frombuffer(b"".join(pdf[c]), np.uint8).reshape(len(pdf), T) for c in ("x", "y"))
-                yield pdf.loc[(x == y).sum(axis=1) >= least, ["a", "b"]]
+                pdf["agree"] = (x == y).sum(axis=1)
+                yield pdf.loc[pdf["agree"] >= least, ["a", "b", "agree"]]
 
     side = lambda c, m: nodes.select(F.col("s").alias(c), F.col("mini").alias(m))
-    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").mapInPandas(agree, "a long, b long")
+    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").mapInPandas(agree, "a long, b long, agree long")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -147,10 +148,11 @@ def near_links(docs: DataFrame, signed: DataFrame, nodes: DataFrame, width: int,
     members = nodes.select("s", F.explode("bands").alias("band"))
     first = members.groupBy("band").agg(F.min("s").alias("lead"), F.max("s").alias("_last")).filter("lead < _last").select("band", "lead")
     members = materialize(members.join(first, "band"), "buckets")
-    near = materialize(likely(members.filter("s != lead").select(F.col("lead").alias("a"), F.col("s").alias("b")).distinct(), nodes, percent), "near")
+    wanted = members.select("s").distinct().join(nodes.select("s", "id", "mini"), "s")
+    minis = materialize(wanted, "minis")  # of the sets that share a bucket at all
+    near = materialize(likely(members.filter("s != lead").select(F.col("lead").alias("a"), F.col("s").alias("b")).distinct(), minis, percent), "near")
     left = members.filter("s != lead").select("band", "s")
-    wanted = members.select("s").distinct().join(nodes.select("s", "id"), "s")
-    texts = materialize(texts_of(docs, wanted, width, key).dropDuplicates(["s"]), "texts")
+    texts = materialize(texts_of(docs, minis, width, key).dropDuplicates(["s"]), "texts")
     edges = materialize(confirm(near, texts, width, percent).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
     while True:
         roots = materialize(components(edges), "roots")
@@ -164,8 +166,17 @@ def near_links(docs: DataFrame, signed: DataFrame, nodes: DataFrame, width: int,
         named = named.withColumn("leads", chosen)
         lead = named.filter("leads").select("band", F.col("s").alias("t"), F.col("root").alias("_r"))
         led = named.join(lead, "band").filter("root != _r").select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).distinct()
-        near = materialize(likely(led, nodes, percent), "near")
-        more = confirm(near, texts, width, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        near = materialize(likely(led, minis, percent), "near")
+        # first each set's most promising pair; what then lies within a component needs no look at its texts
+        ends = near.select(F.explode(F.array("a", "b")).alias("s"), F.struct("agree", "a", "b").alias("p"))
+        best = ends.groupBy("s").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct()
+        sure = confirm(best, texts, width, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        edges = materialize(edges.unionByName(sure), "links")
+        roots = components(edges)
+        of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"_{c}"))
+        rest = near.join(best, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+        rest = rest.filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
+        more = confirm(rest, texts, width, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
         edges = materialize(edges.unionByName(more), "links")
         left = named.filter("not leads").select("band", "s")
 
