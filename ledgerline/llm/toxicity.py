@@ -90,11 +90,13 @@ def label_model(v: np.ndarray, gold: np.ndarray, rounds: int = 40) -> np.ndarray
     return q
 
 
-def logistic(x: np.ndarray, q: np.ndarray, penalty: float = 2e-4, steps: int = 400) -> np.ndarray:
-    """Weights of a logistic regression on soft labels, by Adam over the whole sample."""
+def logistic(x: np.ndarray, q: np.ndarray, penalty: float = 2e-4, steps: int = 400, missed: float = 2.0) -> np.ndarray:
+    """Weights of a logistic regression on soft labels, by Adam over the whole sample. missed: what a toxic document
+    counts against a clean one, of which there are many more."""
+    share = np.where(q > 0.5, missed, 1.0).astype(np.float32)
     w, m, s = np.zeros(x.shape[1], np.float32), 0.0, 0.0
     for k in range(1, steps + 1):
-        g = x.T @ (1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) - q).astype(np.float32) / len(x) + penalty * w
+        g = x.T @ ((1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) - q).astype(np.float32) * share) / len(x) + penalty * w
         m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
         w = w - 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(s / (1 - 0.999**k)) + 1e-8)
     return w
