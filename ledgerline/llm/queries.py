@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
 from .common import table
 from .fingerprints import fingerprints
 from .langid import language_id
@@ -60,6 +61,9 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_warc, op4_language_id, op5_mixing, op6_pii, op7_sentencepiece, op8_fingerprints, op9_substring_dedup, op10_minhash_near_dedup)}
 
 ORACLES = {
+    "op1_quality_rules": oracles.quality(),
+    "op9_substring_dedup": oracles.REPEATS,
+    "op10_minhash_near_dedup": oracles.NEAR,
     "op3_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
         d AS (SELECT page_id, octet_length(encode(payload)) AS payload_bytes, sha256(payload) AS payload_digest FROM p),
