@@ -20,10 +20,6 @@ from .textnum import U, chunks, hash_words, mix, powers, shingles, sums, times
 
 BANDS, ROWS = 36, 5
 T = BANDS * ROWS
-#: Agreement below the threshold by so many standard deviations rules a pair out before its texts are fetched.
-SIGMAS = 5.0
-#: Members of a bucket that are compared with all others of it in a round.
-LEADERS = 128
 
 
 def sketch(g: np.ndarray, offsets: np.ndarray, t: int = T) -> np.ndarray:
@@ -51,7 +47,7 @@ def sketch(g: np.ndarray, offsets: np.ndarray, t: int = T) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int, key: str = "doc_id") -> DataFrame:
-    """key, n (number of distinct shingles), s (64-bit name of the set), bands, mini (a byte of each coordinate)."""
+    """key, n (number of distinct shingles), s (64-bit name of the set), bands."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -63,52 +59,56 @@ def signatures(docs: DataFrame, width: int, key: str = "doc_id") -> DataFrame:
                 coordinates = sketch(g, offsets)
                 banded = (mix(coordinates).reshape(len(n), BANDS, ROWS) * powers(ROWS)).sum(axis=2, dtype=U)
                 banded = mix(banded + np.arange(1, BANDS + 1, dtype=U) * U(0x9FB21C651E98DF25)).view(np.int64)
-                mini = (mix(coordinates) >> U(56)).astype(np.uint8)
                 full = n > 0
                 yield pd.DataFrame({
                     key: keys.iloc[a:b].to_numpy(), "n": n, "s": s.view(np.int64),
-                    "bands": [x if f else x[:0] for x, f in zip(banded, full, strict=True)], "mini": [x.tobytes() if f else b"" for x, f in zip(mini, full, strict=True)],
+                    "bands": [x if f else x[:0] for x, f in zip(banded, full, strict=True)],
                 })
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, "text").mapInPandas(sign, f"{key} {kind}, n long, s long, bands array<long>, mini binary")
+    return docs.select(key, "text").mapInPandas(sign, f"{key} {kind}, n long, s long, bands array<long>")
 
 
-def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b, agree) of those pairs (a, b) whose sketches agree in as many coordinates as sets at the threshold may."""
-    j = percent / 100
-    least = int(np.floor(T * j - SIGMAS * np.sqrt(T * j * (1 - j))))
-
-    def agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                x, y = (np.frombuffer(b"".join(pdf[c]), np.uint8).reshape(len(pdf), T) for c in ("x", "y"))
-                pdf["agree"] = (x == y).sum(axis=1)
-                yield pdf.loc[pdf["agree"] >= least, ["a", "b", "agree"]]
-
-    side = lambda c, m: nodes.select(F.col("s").alias(c), F.col("mini").alias(m))
-    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").mapInPandas(agree, "a long, b long, agree long")
+def compare(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b, linked, small, added, lost, shown) of pairs (a, b, multi): whether 100 * intersection >= percent * union of
+    the full sets; small: b has fewer shingles than a.
 
+    For multi pairs, what could tell of links between b and other sets that are compared with a. Be a the centre, x and y
+    sets with A and R what they have and lack against it, D both, |x - y| their symmetric difference, f = (100 -
+    percent) / (100 + percent). x and y are linked if |x - y| <= f (|x| + |y|). Counting by A and R apart gives: if x
+    is not linked with a, a link of x and y needs at least (|D(x)| - f (|x| + |a|)) / 2 > 0 common elements of A(x) and
+    A(y) if |y| >= |a|, of R(x) and R(y) otherwise. So x and y share one among the first elements of each, in hash
+    order, as many as the set has less that number, plus one. added and lost are those of A(b) and R(b), empty for a
+    linked pair; shown are those of A(b), or of R(b) if b is small, for the other side of the comparison."""
+    f = (100 - percent) / (100 + percent)
 
-def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    def first(tokens: np.ndarray, n: int) -> np.ndarray:
+        return np.sort(tokens)[: max(n, 0)].view(np.int64)
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             both = [x for pair in zip(pdf["x"], pdf["y"], strict=True) for x in pair]
-            hit = np.zeros(len(pdf), bool)
-            at = 0
+            multi, out = pdf["multi"].to_numpy(), []
             for a, b, raws in _even(both):
                 g, offsets = shingles(*hash_words(raws, lower=True), width)
                 for k in range(0, b - a, 2):
                     x, y = g[offsets[k] : offsets[k + 1]], g[offsets[k + 1] : offsets[k + 2]]
                     common = len(np.intersect1d(x, y, assume_unique=True))
-                    hit[at] = 100 * common >= percent * (len(x) + len(y) - common)
-                    at += 1
-            yield pdf.loc[hit, ["a", "b"]]
+                    linked = bool(100 * common >= percent * (len(x) + len(y) - common))
+                    added, lost, shown = (np.zeros(0, np.int64) for _ in range(3))
+                    if multi[len(out)]:
+                        more, less = mix(np.setdiff1d(y, x, assume_unique=True)), mix(np.setdiff1d(x, y, assume_unique=True))
+                        need = int(max(1, np.ceil((len(more) + len(less) - f * (len(x) + len(y))) / 2 - 1e-6)))
+                        side = more if len(y) >= len(x) else less
+                        shown = first(side, len(side) - need + 1)
+                        if not linked:
+                            added, lost = first(more, len(more) - need + 1), first(less, len(less) - need + 1)
+                    out.append((linked, len(y) < len(x), added, lost, shown))
+            yield pdf[["a", "b"]].assign(**{c: [o[k] for o in out] for k, c in enumerate(("linked", "small", "added", "lost", "shown"))})
 
     side = lambda c, m: texts.select(F.col("s").alias(c), F.col("text").alias(m))
-    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").mapInPandas(check, "a long, b long")
+    kinds = "a long, b long, linked boolean, small boolean, added array<long>, lost array<long>, shown array<long>"
+    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").mapInPandas(check, kinds)
 
 
 def _even(texts: list[str]) -> Iterator[tuple[int, int, list[bytes]]]:
@@ -138,47 +138,34 @@ def texts_of(docs: DataFrame, nodes: DataFrame, width: int, key: str) -> DataFra
     return docs.select(key, "text").join(wanted, key).mapInPandas(same, "s long, text string")
 
 
-def near_links(docs: DataFrame, signed: DataFrame, nodes: DataFrame, width: int, percent: int, key: str) -> DataFrame:
+def near_links(docs: DataFrame, nodes: DataFrame, width: int, percent: int, key: str) -> DataFrame:
     """Edges (u, v) between sets that connect exactly the sets which true links connect.
 
-    All sets of a bucket are compared with one of them, which takes as many pairs as the bucket has members. Sets that
-    then belong to one component need no further comparison. As long as a bucket has several components, a bounded
-    number of the members outside its main component are compared with all that it has left, and are done; so no link is
-    lost, no bucket makes a square of pairs, and rounds go on as long as there is something to compare."""
+    All sets of a bucket are compared with its centre, the one that shares most buckets with most others: as many pairs
+    as the bucket has members. Those linked with it are one component. A set that is not can be linked with another of
+    the bucket only if both differ from the centre in a common element; compare() gives so few of them that joining on
+    them finds these pairs, and no bucket makes a square of pairs."""
     members = nodes.select("s", F.explode("bands").alias("band"))
-    first = members.groupBy("band").agg(F.min("s").alias("lead"), F.max("s").alias("_last")).filter("lead < _last").select("band", "lead")
-    members = materialize(members.join(first, "band"), "buckets")
-    wanted = members.select("s").distinct().join(nodes.select("s", "id", "mini"), "s")
-    minis = materialize(wanted, "minis")  # of the sets that share a bucket at all
-    near = materialize(likely(members.filter("s != lead").select(F.col("lead").alias("a"), F.col("s").alias("b")).distinct(), minis, percent), "near")
-    left = members.filter("s != lead").select("band", "s")
-    texts = materialize(texts_of(docs, minis, width, key).dropDuplicates(["s"]), "texts")
-    edges = materialize(confirm(near, texts, width, percent).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
-    while True:
-        roots = materialize(components(edges), "roots")
-        named = left.join(roots.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
-        sizes = named.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(F.max(F.struct("n", "root"))["root"].alias("main"), (F.sum("n") - F.max("n")).alias("others"))
-        named = materialize(named.join(sizes.filter("others > 0"), "band"), "left")
-        if named.isEmpty():
-            return edges
-        # about LEADERS of the members outside the bucket's main component, all of them if they are no more
-        chosen = (F.col("root") != F.col("main")) & (F.pmod(F.xxhash64("s", "band"), F.lit(1_000_000)) * F.col("others") < LEADERS * 1_000_000)
-        named = named.withColumn("leads", chosen)
-        lead = named.filter("leads").select("band", F.col("s").alias("t"), F.col("root").alias("_r"))
-        led = named.join(lead, "band").filter("root != _r").select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).distinct()
-        near = materialize(likely(led, minis, percent), "near")
-        # first each set's most promising pair; what then lies within a component needs no look at its texts
-        ends = near.select(F.explode(F.array("a", "b")).alias("s"), F.struct("agree", "a", "b").alias("p"))
-        best = ends.groupBy("s").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct()
-        sure = confirm(best, texts, width, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        edges = materialize(edges.unionByName(sure), "links")
-        roots = components(edges)
-        of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"_{c}"))
-        rest = near.join(best, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
-        rest = rest.filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
-        more = confirm(rest, texts, width, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        edges = materialize(edges.unionByName(more), "links")
-        left = named.filter("not leads").select("band", "s")
+    sizes = members.groupBy("band").agg(F.min("s").alias("_a"), F.max("s").alias("_b"), F.count("*").alias("n")).filter("_a < _b").select("band", "n")
+    members = materialize(members.join(sizes, "band"), "buckets")
+    fame = members.groupBy("s").agg(F.sum("n").alias("fame"))
+    centre = members.join(fame, "s").groupBy("band").agg(F.max(F.struct("fame", "s"))["s"].alias("a"))
+    pairs = members.join(centre, "band").filter("s != a").groupBy("a", F.col("s").alias("b")).agg((F.max("n") > 2).alias("multi"))
+    wanted = fame.select("s").join(nodes.select("s", "id"), "s")
+    texts = materialize(texts_of(docs, wanted, width, key).dropDuplicates(["s"]), "texts")
+    told = materialize(compare(pairs, texts, width, percent), "compared")
+    edges = told.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    roots = materialize(components(edges), "roots")
+    root = lambda c, out: roots.select(F.col("node").alias(c), F.col("root").alias(out))
+    tokens = lambda c, lost: F.explode(F.transform(c, lambda x: F.struct(F.lit(lost).alias("lost"), x.alias("t"))))
+    apart = told.filter("not linked")
+    mine = apart.select("a", "b", tokens("added", False).alias("x")).unionByName(apart.select("a", "b", tokens("lost", True).alias("x")))
+    mine = mine.select("a", F.col("b").alias("s"), "x.lost", "x.t").join(root("s", "_r"), "s", "left").withColumn("_r", F.coalesce("_r", "s"))
+    other = told.select("a", F.col("b").alias("o"), "small", F.explode("shown").alias("t")).withColumnRenamed("small", "lost")
+    other = other.join(root("o", "_q"), "o", "left").withColumn("_q", F.coalesce("_q", "o"))
+    more = mine.join(other, ["a", "lost", "t"]).filter("s != o and _r != _q").select(F.least("s", "o").alias("a"), F.greatest("s", "o").alias("b")).distinct()
+    found = compare(more.withColumn("multi", F.lit(False)), texts, width, percent).filter("linked")
+    return materialize(edges.unionByName(found.select(F.col("a").alias("u"), F.col("b").alias("v"))), "links")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
@@ -192,9 +179,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", width: int = 5, percen
     a key, component_id is null and the row is kept; an empty table gives no rows."""
     signed = materialize(signatures(docs, width, key), "signed")
     sets = signed.filter((F.col("n") > 0) & F.col(key).isNotNull())
-    nodes = sets.groupBy("s").agg(F.min(F.struct(F.col(key).alias("id"), "bands", "mini")).alias("x")).select("s", "x.id", "x.bands", "x.mini")
+    nodes = sets.groupBy("s").agg(F.min(F.struct(F.col(key).alias("id"), "bands")).alias("x")).select("s", "x.id", "x.bands")
     nodes = materialize(nodes, "nodes")
-    edges = near_links(docs, signed, nodes, width, percent, key)
+    edges = near_links(docs, nodes, width, percent, key)
     roots = components(edges).withColumnRenamed("node", "s")
     named = nodes.select("s", "id").join(roots, "s")
     lowest = named.groupBy("root").agg(F.min("id").alias("low"))
