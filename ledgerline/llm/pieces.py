@@ -18,6 +18,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,10 +28,11 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 STEP = 1024
 NONE = np.int64(-(1 << 60))
+FORBIDDEN = np.int32(-(1 << 30))
 #: Texts of more code points go through chunks of so many.
 CHUNK_CHARS = 50_000
 #: A task works on about so many characters at a time.
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 400_000
 
 
 class Vocabulary:
@@ -46,7 +48,8 @@ class Vocabulary:
         plain = [k for k in range(n) if not (sp.is_byte(k) or sp.is_control(k) or sp.is_unknown(k) or sp.is_unused(k))]
         if any(SPACE in self.pieces[k].lstrip(SPACE) for k in plain):
             raise ValueError("a piece has a space after another character")
-        self.bytes = [bytes([int(p[3:5], 16)]) if sp.is_byte(k) else p.replace(SPACE, " ").encode() if k in set(plain[:0]) or not (sp.is_control(k) or sp.is_unknown(k)) else b"" for k, p in enumerate(self.pieces)]
+        silent = [sp.is_control(k) or sp.is_unknown(k) for k in range(n)]
+        self.bytes = [bytes([int(p[3:5], 16)]) if sp.is_byte(k) else b"" if silent[k] else p.replace(SPACE, " ").encode() for k, p in enumerate(self.pieces)]
         self.longest = max(len(self.pieces[k]) for k in plain)
         weight = {k: -round(STEP * math.log(2 + r)) for r, k in enumerate(plain)}
         self.unknown = min(weight.values()) - 10 * STEP
@@ -147,7 +150,7 @@ def cut_units(v: Vocabulary, points: np.ndarray, offsets: np.ndarray) -> tuple[n
     stop = np.repeat(offsets[1:], sizes)
     code = v.code[points]
     lengths = min(v.longest, longest)
-    score, ids = np.full((lengths + 1, n), NONE), np.full((lengths + 1, n), -1, np.int32)
+    score, ids = np.full((lengths + 1, n), FORBIDDEN, np.int32), np.full((lengths + 1, n), -1, np.int32)
     for length, (at, piece, weight) in enumerate(v.matches(code, stop)[:lengths], 1):
         score[length, at], ids[length, at] = weight, piece
     order = np.argsort(-sizes, kind="stable")
@@ -230,15 +233,15 @@ def decode(v: Vocabulary, ids: list[int] | np.ndarray) -> str:
     return raw.decode("utf-8", "replace")[1:]
 
 
-def _batches(texts: list[str]) -> Iterator[tuple[int, int]]:
+def _batches(sizes: list[int]) -> Iterator[tuple[int, int]]:
     first, size = 0, 0
-    for k, t in enumerate(texts):
-        if k > first and size + len(t) > BATCH_CHARS:
+    for k, n in enumerate(sizes):
+        if k > first and size + n > BATCH_CHARS:
             yield first, k
             first, size = k, 0
-        size += len(t)
-    if texts:
-        yield first, len(texts)
+        size += n
+    if sizes:
+        yield first, len(sizes)
 
 
 def _lists(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
@@ -246,18 +249,20 @@ def _lists(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
 
 
 def encode_small(docs: DataFrame, keys: list[str], model: str) -> DataFrame:
-    """keys, ids for each row of docs (keys, text), text by text."""
+    """keys, ids, decoded for each row of docs (keys, text), text by text; decoded is the text that the ids give back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in _batches(texts):
-                ids, offsets = cut_texts(v, [normal(t) for t in texts[a:b]])
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in keys), _lists(ids, offsets)], [*keys, "ids"])
+            column = batch.column("text")
+            for a, b in _batches(pc.utf8_length(column).to_pylist()):
+                ids, offsets = cut_texts(v, [normal(t) for t in column.slice(a, b - a).to_pylist()])
+                flat, ends = ids.tolist(), offsets.tolist()
+                texts = [decode(v, flat[x:y]) for x, y in zip(ends, ends[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in keys), _lists(ids, offsets), pa.array(texts, pa.string())], [*keys, "ids", "decoded"])
 
     kinds = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keys)
-    return docs.select(*keys, "text").mapInArrow(run, f"{kinds}, ids array<int>")
+    return docs.select(*keys, "text").mapInArrow(run, f"{kinds}, ids array<int>, decoded string")
 
 
 # --- giant texts -----------------------------------------------------------------------------------------------------
@@ -404,19 +409,6 @@ def encode_giant(docs: DataFrame, keys: list[str], model: str, chunk_chars: int)
     return pieces.groupBy(*keys).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("nth", "ids"))), lambda x: x["ids"])).alias("ids"))
 
 
-def encode(docs: DataFrame, key: str = "doc_id", model: str = MODEL, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """key, ids for each row of docs (key, text). Null and empty texts have no ids; rows with an equal or null key each
-    give a row; no rows give no rows."""
-    rows = docs.select(F.col(key), text_of().alias("text"))
-    small = encode_small(rows.filter(F.length("text") <= chunk_chars), [key], model)
-    giant = rows.filter(F.length("text") > chunk_chars).withColumn("_row", F.xxhash64("text"))
-    giant = giant.groupBy(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_key"), F.col(key).isNull().alias("_null"), "_row").agg(F.count("*").alias("_n"), F.first(key).alias(key), F.first("text").alias("text"))
-    giant = materialize(giant, "giant")
-    cut = encode_giant(giant, ["_key", "_null", "_row"], model, chunk_chars)
-    same = giant.select("_key", "_null", "_row", key, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_i"))
-    return small.unionByName(same.join(cut, ["_key", "_null", "_row"]).select(key, "ids"))
-
-
 def with_decoded(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """encoded (.., ids) with decoded, the text of ids."""
     names = encoded.columns
@@ -424,16 +416,26 @@ def with_decoded(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
         for batch in batches:
-            ids = batch.column("ids")
-            flat, offsets = ids.values.to_numpy(zero_copy_only=False).tolist(), ids.offsets.to_pylist()
-            texts = [decode(v, flat[a:b]) for a, b in zip(offsets, offsets[1:], strict=False)]
+            texts = [decode(v, ids) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, "decoded"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
     return encoded.mapInArrow(run, f"{kinds}, decoded string")
 
 
+def encode(docs: DataFrame, key: str = "doc_id", model: str = MODEL, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """key, ids, decoded for each row of docs (key, text); decoded is what the ids decode to. Null and empty texts have no
+    ids; rows with an equal or null key each give a row; no rows give no rows."""
+    rows = docs.select(F.col(key), text_of().alias("text"))
+    small = encode_small(rows.filter(F.length("text") <= chunk_chars), [key], model)
+    giant = rows.filter(F.length("text") > chunk_chars).withColumn("_row", F.xxhash64("text"))
+    giant = giant.groupBy(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_key"), F.col(key).isNull().alias("_null"), "_row").agg(F.count("*").alias("_n"), F.first(key).alias(key), F.first("text").alias("text"))
+    giant = materialize(giant, "giant")
+    cut = with_decoded(encode_giant(giant, ["_key", "_null", "_row"], model, chunk_chars), model)
+    same = giant.select("_key", "_null", "_row", key, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_i"))
+    return small.unionByName(same.join(cut, ["_key", "_null", "_row"]).select(key, "ids", "decoded"))
+
+
 def encode_and_decode(docs: DataFrame, key: str = "doc_id", model: str = MODEL, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """key, n_tokens, ids, decoded_sha256 (lower-case hex of the UTF-8 text that decoding gives back)."""
-    out = with_decoded(encode(docs, key, model, chunk_chars), model)
-    return out.select(key, F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return encode(docs, key, model, chunk_chars).select(key, F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
