@@ -41,44 +41,32 @@ def gamma_quantiles(n: int) -> list[float]:
     return out
 
 
-def merged(df: DataFrame, one: str, two: str, out: str) -> DataFrame:
-    """Replaces the sorted arrays of term hashes one and two by out: an array of (h, v, w), how often each occurs in
-    either. The arrays are merged by sorting them tagged, so the work is in proportion to their length."""
-    tag = lambda c, z: F.transform(F.col(c), lambda x: F.struct(x.alias("h"), F.lit(z).alias("z")))
-    df = df.withColumn("_m", F.sort_array(F.concat(tag(one, 0), tag(two, 1)))).drop(one, two)
-    m = F.col("_m")
-    new = lambda x, i: (i == 0) | ~(F.get(m, F.greatest(i - 1, F.lit(0)))["h"].eqNullSafe(x["h"]) & F.get(m, F.greatest(i - 1, F.lit(0)))["z"].eqNullSafe(x["z"]))
-    runs = F.filter(F.transform(m, lambda x, i: F.when(new(x, i), i).otherwise(-1)), lambda i: i >= 0)
-    df = df.withColumn("_r", runs)
-    r = F.col("_r")
-    parts = F.transform(r, lambda p, j: F.struct(F.get(m, p)["h"].alias("h"), F.get(m, p)["z"].alias("z"), (F.coalesce(F.get(r, j + 1), F.size(m)) - p).alias("n")))
-    df = df.withColumn("_p", parts).drop("_m", "_r")
-    p = F.col("_p")
-    pair = lambda x, j: F.get(p, j + 1)["h"].eqNullSafe(x["h"])
-    second = lambda x, j: (j > 0) & F.get(p, F.greatest(j - 1, F.lit(0)))["h"].eqNullSafe(x["h"])
-    term = lambda x, j: F.struct(
-        x["h"].alias("h"),
-        F.when(x["z"] == 0, x["n"]).otherwise(0).alias("v"),
-        F.when(x["z"] == 1, x["n"]).when(pair(x, j), F.get(p, j + 1)["n"]).otherwise(0).alias("w"),
-        second(x, j).alias("again"),
-    )
-    return df.withColumn(out, F.filter(F.transform(p, term), lambda x: ~x["again"])).drop("_p")
-
-
-def samples(df: DataFrame, keys: list[str], terms: str) -> DataFrame:
-    """keys, own and edit: arrays of SAMPLES ints, null for a text without terms. terms: an array of structs of a hash h
-    and the log weights own and edit (null where a text lacks the term). A sample is the least of longs that hold a in
-    the high and the name of (term, t) in the low half.
-
-    A document's terms are read BLOCK samples at a time, which keeps the generated code small enough to be compiled to
-    machine code; the rows stay in their partition."""
+def counted(df: DataFrame, keys: list[str], one: str, two: str) -> DataFrame:
+    """keys, _h, own, edit: each distinct word's hash with the logarithms of how often it occurs in the texts one and two,
+    null for never; a row with a null hash for a row without words. df must be partitioned by a part of keys, so that
+    its rows stay where they are."""
+    both = df.select(*keys, words(F.col(one)).alias("_a"), words(F.col(two)).alias("_b"))
+    each = both.select(*keys, F.size("_a").alias("_n1"), F.posexplode_outer(F.concat("_a", "_b")).alias("_p", "_x"))
+    is_one = F.col("_p") < F.col("_n1")
+    each = each.select(*keys, F.when(F.col("_x").isNotNull(), F.xxhash64("_x")).alias("_h"), F.when(is_one, 1).otherwise(0).alias("v"), F.when(is_one, 0).otherwise(1).alias("w"))
+    sums = each.groupBy(*keys, "_h").agg(F.sum("v").alias("v"), F.sum("w").alias("w"))
+    log = lambda c: F.when(F.col(c) > 0, F.ln(F.col(c).cast("double")))
+    none = lambda c: F.when(F.col("_h").isNotNull(), log(c))
+    return sums.select(*keys, "_h", none("v").alias("own"), none("w").alias("edit"))
+
+
+def samples(terms: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, own and edit: arrays of SAMPLES ints, null for a text without terms, of terms (keys, _h, own, edit). A sample
+    is the least of longs that hold a in the high and the name of (term, t) in the low half.
+
+    A term is read for BLOCK samples at a time, which keeps the generated code small enough to be compiled to machine
+    code; the rows stay in their partition."""
     n = 1 << DRAW_BITS
     values = gamma_quantiles(n)
     # spelled as text: folded to one constant array instead of an expression for each value
     constants = lambda xs: F.expr("from_json('[" + ",".join(f"{x:.6g}" for x in xs) + "]', 'array<double>')")
     gammas, log_gammas = constants(values), constants([math.log(x) for x in values])
-    rows = df.select(*keys, F.explode_outer(terms).alias("_x")).select(*keys, F.col("_x.h").alias("_h"), F.col("_x.own").alias("own"), F.col("_x.edit").alias("edit"))
-    rows = rows.withColumn("_b", F.explode(F.array(*[F.lit(i) for i in range(0, SAMPLES, BLOCK)])))
+    rows = terms.withColumn("_b", F.explode(F.array(*[F.lit(i) for i in range(0, SAMPLES, BLOCK)])))
     aggregates = []
     for k in range(BLOCK):
         bits = F.xxhash64("_h", F.col("_b") + k)
@@ -151,11 +139,9 @@ def fingerprints(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     rows = rows.withColumn("_next", F.coalesce("_next", "_head")).drop("_head", "_tie")
     edited = F.concat(F.substr("_t", F.lit(1), size - F.floor(size / 3).cast("int")), F.substr("_next", F.lit(1), F.floor(size / 3).cast("int")))
     rows = rows.select("_range", "_n", "_k", "_t", edited.alias("_e"))
-    hashed = lambda c: F.transform(words(F.col(c)), lambda x: F.xxhash64(x))
-    rows = rows.select("_range", "_n", "_k", F.length("_t").cast("long").alias("n_chars"), F.sha2(F.col("_e").cast("binary"), 256).alias("edited_sha256"), hashed("_t").alias("_v"), hashed("_e").alias("_w"))
-    rows = merged(rows, "_v", "_w", "_x")
-    logs = F.transform("_x", lambda x: F.struct(x["h"].alias("h"), F.when(x["v"] > 0, F.ln(x["v"].cast("double"))).alias("own"), F.when(x["w"] > 0, F.ln(x["w"].cast("double"))).alias("edit")))
-    signed = materialize(samples(rows.withColumn("_x", logs), ["_range", "_n", "_k", "n_chars", "edited_sha256"], "_x"), "signed")
+    told = rows.select("_range", "_n", "_k", F.length("_t").cast("long").alias("n_chars"), F.sha2(F.col("_e").cast("binary"), 256).alias("edited_sha256"))
+    place = ["_range", "_n"]
+    signed = materialize(samples(counted(rows, place, "_t", "_e"), place).join(told, place), "signed")
     heads = signed.filter("_n = 1").select("_range", "own")
     after = F.lead(F.struct("own")).over(W.partitionBy("_range").orderBy("_n"))
     out = signed.withColumn("_next", after).join(_following(heads.select("_range", F.struct("own").alias("own")), "own"), "_range")
