@@ -247,10 +247,9 @@ def csv_to_array(spark, d):
 
 
 def _trees(spark, d) -> DataFrame:
-    """Two paragraphs for each document: its first and its last line."""
-    lines = F.split("text", "\n")
+    """A paragraph for each line of a document."""
     para = lambda x: F.struct(F.lit("paragraph").alias("type"), F.array(F.struct(F.lit("text").alias("type"), x.alias("text"))).alias("content"))
-    tree = F.struct(F.lit("doc").alias("type"), F.array(para(lines[0]), para(F.element_at(lines, -1))).alias("content"))
+    tree = F.struct(F.lit("doc").alias("type"), F.transform(F.split("text", "\n"), para).alias("content"))
     return t(spark, d, "documents").select("doc_id", F.to_json(tree).alias("body"))
 
 
@@ -604,7 +603,7 @@ def search_stemmed(spark, d):
 
 @put(r"SELECT doc_id, regexp_replace(text, '(^|[^\p{L}\p{N}])(?i:(the|and))([^\p{L}\p{N}]|$)', '\1[\2]\3', 'g') AS highlighted FROM (SELECT doc_id, string_split(text, ' ')[1] AS text FROM documents)")
 def highlight(spark, d):
-    return search.highlight(t(spark, d, "documents").select("doc_id", F.split("text", " ")[0].alias("text")), "text", ["the", "and"]).select("doc_id", "highlighted")
+    return search.highlight(t(spark, d, "documents").select("doc_id", "text"), "text", ["the", "and"]).select("doc_id", "highlighted")
 
 
 @put(r"WITH x AS (SELECT doc_id AS key, CASE WHEN doc_id % 4 = 1 THEN 'changed text' ELSE text END AS text FROM documents WHERE doc_id % 4 <> 0), tok AS (SELECT key, unnest(regexp_extract_all(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\p{L}\p{N}]+')) AS term FROM x) SELECT term, count(DISTINCT key) AS df, count(*) AS tf FROM tok GROUP BY term")
