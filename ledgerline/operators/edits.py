@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .flatten import denormalize_issues, rollup_comments_text
+from .flatten import denormalize_issues, normalize_timestamp, rollup_comments_text
 from .merge import upsert_by_key
 
 MAX_RETRIES = 5
-ARRAY_FIELDS = ("labels", "components", "fix_version")
+# The tracker's ids of columns with another name, columns that no edit sets, and what names an object.
+TRACKER = {"issuetype": "type", "fixVersions": "fix_version", "parent": "parent_key", "duedate": "due_date", "resolutiondate": "resolved", "timeoriginalestimate": "original_estimate", "timespent": "time_spent", "timeestimate": "remaining_estimate"}
+FIXED, NAMES = ("id", "key", "comments_text", "raw_json", "synced_at"), ("name", "accountId", "value", "displayName", "key")
 NAMED, ACCOUNT = ("priority", "components", "fixVersions"), ("assignee", "reporter")
 COPIED = (("project", "$.fields.project.key", "key"), ("issuetype", "$.fields.issuetype.name", "name"), ("priority", "$.fields.priority.name", "name"), ("parent", "$.fields.parent.key", "key"))
 
@@ -49,30 +51,62 @@ def pending_queue(changes: DataFrame) -> DataFrame:
     return changes.filter("synced_at is null").orderBy("created_at", "id")
 
 
-def apply_pending(issues: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Issues after the queue's changes in order, and (id, ok, error) of each change. Changes of one issue and field are
-    folded in order; a queue entry holds one value, so a fold holds what one field was ever given."""
-    payload = F.from_json("payload", "struct<field: string, action: string, value: string, body: string, status: string>")
-    todo = changes.filter("synced_at is null").withColumn("p", payload)
-    error = F.when(F.col("retry_count") >= MAX_RETRIES, F.concat(F.lit("too many retries: "), F.coalesce("last_error", F.lit("")))).when(~F.col("operation").isin("set_field", "update_field", "add_comment", "transition"), F.concat(F.lit("unknown operation: "), F.col("operation")))
-    todo = todo.withColumn("error", error)
+def _text(v: Column) -> Column:
+    """A value of the tracker as text: what names an object, else the value itself."""
+    at = lambda p: F.try_variant_get(v, p, "string")
+    return F.coalesce(*[at(f"$.{k}") for k in NAMES], at("$"))
+
+
+def _typed(text: Column, kind: str) -> Column:
+    return text if kind == "string" else normalize_timestamp(text).cast(kind) if kind.startswith("timestamp") else text.try_cast(kind)
+
+
+def apply_pending(issues: DataFrame, changes: DataFrame, catalog: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Issues after the queue's changes in order, (id, ok, error) of each change, and the queue's comments, for
+    append_comments. Any column but FIXED can be set, by its name or the tracker's id (catalog has those of custom
+    fields); what cannot be applied is an error. Changes of one issue and field are folded in order; a queue entry holds
+    one value, so a fold holds what one field was ever given."""
+    kinds = {c: k for c, k in issues.dtypes if c not in FIXED and (k == "array<string>" or not k.startswith(("array", "struct", "map", "variant")))}
+    arrays = [c for c, k in kinds.items() if k == "array<string>"]
+    ids = TRACKER | ({r["jira_id"]: r["name"] for r in catalog.select("jira_id", "name").collect()} if catalog is not None else {})
+    names = {i: c for i, c in ids.items() if c in kinds} | {c: c for c in kinds}
+    op, at = F.col("operation"), lambda p: F.try_variant_get("p", p, "string")
+    value = F.when(op == "transition", F.try_variant_get("p", "$.status", "variant")).otherwise(F.try_variant_get("p", "$.value", "variant"))
+    todo = changes.filter("synced_at is null").withColumn("p", F.try_parse_json("payload")).withColumns({"value": value, "field": F.when(op == "transition", "status").otherwise(at("$.field")), "action": F.when(op == "update_field", F.coalesce(at("$.op"), at("$.action"))).otherwise("set"), "body": at("$.body")})
+    column = F.try_element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), F.col("field"))
+    values = F.coalesce(F.transform(F.try_variant_get("value", "$", "array<variant>"), _text), F.array(_text(F.col("value"))))
+    todo = todo.withColumns({"column": column, "values": values}).join(issues.select(F.col("key").alias("_key")).distinct(), F.col("issue_key") == F.col("_key"), "left")
+    edit, one, first = op != "add_comment", ~F.col("column").isin(arrays), F.get("values", F.lit(0))
+    unreadable = F.lit(False)
+    for c, k in kinds.items():
+        if c not in arrays:
+            unreadable |= (F.col("column") == c) & first.isNotNull() & _typed(first, k).isNull()
+    wrong = [
+        (F.col("retry_count") >= MAX_RETRIES, F.concat(F.lit("too many retries: "), F.coalesce("last_error", F.lit("")))),
+        (~op.isin("set_field", "update_field", "add_comment", "transition"), F.concat(F.lit("unknown operation: "), op)),
+        (F.col("p").isNull(), F.lit("payload is no JSON")),
+        (F.col("_key").isNull(), F.concat(F.lit("unknown issue: "), F.coalesce("issue_key", F.lit("")))),
+        (~edit & F.col("body").isNull(), F.lit("comment without a body")),
+        ((op == "transition") & first.isNull(), F.lit("transition without a status")),
+        (edit & F.col("column").isNull(), F.concat(F.lit("field cannot be set: "), F.coalesce("field", F.lit("")))),
+        (edit & ~F.coalesce("action", F.lit("")).isin("set", "add", "remove"), F.concat(F.lit("unknown op: "), F.coalesce("action", F.lit("")))),
+        (edit & one & ((F.col("action") != "set") | (F.size("values") > 1)), F.concat(F.lit("field holds one value: "), F.col("field"))),
+        (edit & unreadable, F.concat(F.lit("value cannot be read: "), first)),
+    ]
+    todo = todo.withColumn("error", F.coalesce(*[F.when(test, text) for test, text in wrong]))
     results = todo.select("id", F.col("error").isNull().alias("ok"), "error")
-    field = F.when(F.col("operation") == "transition", "status").otherwise(F.col("p.field"))
-    value = F.when(F.col("operation") == "transition", F.col("p.status")).otherwise(F.col("p.value"))
-    value = F.coalesce(F.get_json_object(value, "$.name"), F.get_json_object(value, "$.accountId"), value)
-    action = F.when(F.col("operation") == "update_field", F.col("p.action")).otherwise("set")
-    good = todo.filter("error is null and operation != 'add_comment'").select("issue_key", field.alias("field"), F.struct("created_at", "id", action.alias("action"), value.alias("value")).alias("x"))
-    folded = good.groupBy("issue_key", "field").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    one = lambda v: F.array(v["value"])
-    step = lambda acc, v: F.when(v["action"] == "set", one(v)).when(v["action"] == "add", _edited(acc, one(v), F.array().cast("array<string>"))).otherwise(_edited(acc, F.array().cast("array<string>"), one(v)))
-    fields = [c for c in ("status", "priority", "assignee", *ARRAY_FIELDS) if c in issues.columns]
-    wide = folded.groupBy("issue_key").agg(*[F.max(F.when(F.col("field") == c, F.col("xs"))).alias(f"_{c}") for c in fields])
-    df = issues.join(wide, issues.key == wide.issue_key, "left").drop("issue_key")
-    for c in fields:
-        start = F.coalesce(F.col(c), F.array().cast("array<string>")) if c in ARRAY_FIELDS else F.when(F.col(c).isNull(), F.array().cast("array<string>")).otherwise(F.array(c))
-        after = F.aggregate(F.col(f"_{c}"), start, step)
-        df = df.withColumn(c, F.when(F.col(f"_{c}").isNull(), F.col(c)).otherwise(after if c in ARRAY_FIELDS else F.element_at(after, -1)))
-    return df.select(issues.columns), results
+    comments = todo.filter("error is null and operation = 'add_comment'").select(F.concat(F.lit("local_"), F.col("id")).alias("id"), "issue_key", F.lit(None).cast("string").alias("author"), F.lit(None).cast("string").alias("author_email"), "body", F.col("created_at").alias("created"))
+    good = todo.filter("error is null and operation != 'add_comment'").select("issue_key", "column", F.struct("created_at", "id", "action", "values").alias("x"))
+    folded = good.groupBy("issue_key", "column").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    none = F.array().cast("array<string>")
+    step = lambda acc, v: F.when(v["action"] == "set", F.array_compact(v["values"])).when(v["action"] == "add", _edited(acc, F.array_compact(v["values"]), none)).otherwise(_edited(acc, none, F.array_compact(v["values"])))
+    wide = folded.groupBy(F.col("issue_key").alias("_issue")).agg(*[F.max(F.when(F.col("column") == c, F.col("xs"))).alias(f"_to_{c}") for c in kinds])
+    df = issues.join(wide, issues.key == wide._issue, "left")
+    for c, k in kinds.items():
+        xs = F.col(f"_to_{c}")
+        after = F.aggregate(xs, F.coalesce(F.col(c), none), step) if c in arrays else _typed(F.get(F.element_at(xs, -1)["values"], F.lit(0)), k)
+        df = df.withColumn(c, F.when(xs.isNull(), F.col(c)).otherwise(after))
+    return df.select(issues.columns), results, comments
 
 
 def record_outcomes(changes: DataFrame, results: DataFrame, now: Column) -> DataFrame:

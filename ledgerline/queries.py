@@ -753,7 +753,7 @@ def pending_queue(spark, d):
  l AS (SELECT coalesce(key, issue_key) AS key, coalesce(x.label, v.label) AS label FROM x FULL JOIN v ON key = issue_key AND x.label = v.label WHERE last IS NULL OR last = 1)
  SELECT i.key, coalesce(s.status, i.status) AS status, coalesce(s.priority, i.priority) AS priority, coalesce((SELECT string_agg(label, ',' ORDER BY label) FROM l WHERE l.key = i.key), '') AS labels FROM issues i LEFT JOIN s ON s.issue_key = i.key""", issues=True)
 def apply_pending(spark, d):
-    out, _ = edits.apply_pending(issues_of(spark, d), _queue(spark, d))
+    out, _, _ = edits.apply_pending(issues_of(spark, d), _queue(spark, d))
     return spelled(out.select("key", "status", "priority", F.array_sort("labels").alias("labels")))
 
 
@@ -762,7 +762,7 @@ def apply_pending(spark, d):
  CASE WHEN synced_at IS NULL AND retry_count >= 5 THEN 'too many retries: no network' WHEN synced_at IS NULL AND k = 4 THEN 'unknown operation: fly' ELSE last_error END AS last_error FROM queue""")
 def record_outcomes(spark, d):
     q = _queue(spark, d)
-    _, results = edits.apply_pending(issues_of(spark, d), q)
+    _, results, _ = edits.apply_pending(issues_of(spark, d), q)
     return spelled(edits.record_outcomes(q, results, now(EVENTS_NOW)).select("id", "synced_at", "retry_count", "last_error"))
 
 

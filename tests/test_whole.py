@@ -1,8 +1,14 @@
 """Operators do the whole job: no text cut, no row left out, no value lost."""
 
+import datetime as dt
+import json
 import re
 
+from pyspark.sql import functions as F
+
 from ledgerline import queries as q
+from ledgerline.operators import edits
+from ledgerline.sources import issues as src
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,3 +28,27 @@ def test_highlight_of_whole_documents(spark):
     want = {k: re.sub(r"(?i)(?<![^\W_])(the|and)(?![^\W_])", r"[\1]", t) for k, t in texts(spark).items()}
     assert any(t.count("[the]") > 1 for t in want.values())
     assert dict(q.highlight(spark, SF).collect()) == want
+
+
+def test_queue_changes_every_column(spark):
+    at = dt.datetime(2024, 1, 1)
+    issue = "key string, summary string, type string, status string, team string, story_points double, due_date timestamp_ntz, labels array<string>, fix_version array<string>"
+    issues = spark.createDataFrame([("A-1", "s", "Bug", "To Do", "x", 1.0, at, ["a"], ["v1"]), ("A-2", "t", "Bug", "To Do", "y", 2.0, at, None, None)], issue)
+    rows = [
+        ("A-1", "set_field", {"field": "summary", "value": "new"}), ("A-1", "set_field", {"field": "issuetype", "value": {"name": "Task"}}), ("A-1", "set_field", {"field": "customfield_1", "value": {"value": "z"}}),
+        ("A-1", "set_field", {"field": "customfield_2", "value": 5}), ("A-1", "set_field", {"field": "duedate", "value": "2024-02-03"}), ("A-1", "update_field", {"field": "fixVersions", "op": "add", "value": {"name": "v2"}}),
+        ("A-1", "update_field", {"field": "labels", "op": "add", "value": "b"}), ("A-1", "update_field", {"field": "labels", "action": "remove", "value": "a"}), ("A-2", "set_field", {"field": "labels", "value": ["p", "q"]}),
+        ("A-2", "set_field", {"field": "team", "value": None}), ("A-1", "add_comment", {"body": "hello"}), ("A-2", "transition", {"status": "Done"}),
+        ("A-1", "set_field", {"field": "votes", "value": "x"}), ("A-1", "set_field", {"field": "key", "value": "B-1"}), ("A-1", "set_field", {"field": "story_points", "value": "many"}), ("A-1", "update_field", {"field": "summary", "op": "add", "value": "x"}),
+        ("A-2", "update_field", {"field": "labels", "value": "x"}), ("A-2", "transition", {"transition_id": "31"}), ("A-2", "add_comment", {}), ("A-9", "set_field", {"field": "summary", "value": "x"}),
+    ]
+    queue = spark.createDataFrame([(n, k, o, json.dumps(p), at, None, 0, None) for n, (k, o, p) in enumerate(rows)], "id long, issue_key string, operation string, payload string, created_at timestamp_ntz, synced_at timestamp_ntz, retry_count int, last_error string")
+    out, results, comments = edits.apply_pending(issues, queue, src.catalog(spark))
+    one, two = (tuple(r) for r in out.orderBy("key").collect())
+    assert one == ("A-1", "new", "Task", "To Do", "z", 5.0, dt.datetime(2024, 2, 3), ["b"], ["v1", "v2"])
+    assert two == ("A-2", "t", "Bug", "Done", None, 2.0, at, ["p", "q"], None)
+    errors = [r["error"] for r in results.orderBy("id").collect()]
+    assert errors == [None] * 12 + ["field cannot be set: votes", "field cannot be set: key", "value cannot be read: many", "field holds one value: summary", "unknown op: ", "transition without a status", "comment without a body", "unknown issue: A-9"]
+    assert [r["synced_at"] is None for r in edits.record_outcomes(queue, results, F.lit(at)).orderBy("id").collect()] == [False] * 12 + [True] * 8
+    stored, told = edits.append_comments(comments.limit(0), issues, comments, F.lit(at))
+    assert [(r["issue_key"], r["body"]) for r in stored.collect()] == [("A-1", "hello")] and told.filter("key = 'A-1'").first()["comments_text"] == "hello"
