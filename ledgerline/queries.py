@@ -676,7 +676,7 @@ def default_status_class(spark, d):
 
 @put("SELECT key, id FROM issues ORDER BY id DESC, key LIMIT 100", issues=True)
 def sort_as_text(spark, d):
-    return profile.sort_as_text(issues_of(spark, d), "id", True).select("key", "id").limit(100)
+    return profile.sort_as_text(issues_of(spark, d), "id", True).select("key", "id")
 
 
 @put("SELECT key, coalesce(parent_key, '(no parent)') AS label, row_number() OVER (PARTITION BY coalesce(parent_key, '(no parent)') ORDER BY key) = 1 AS is_header, count(*) OVER (PARTITION BY coalesce(parent_key, '(no parent)')) AS group_size FROM issues", issues=True)

@@ -52,3 +52,9 @@ def test_queue_changes_every_column(spark):
     assert [r["synced_at"] is None for r in edits.record_outcomes(queue, results, F.lit(at)).orderBy("id").collect()] == [False] * 12 + [True] * 8
     stored, told = edits.append_comments(comments.limit(0), issues, comments, F.lit(at))
     assert [(r["issue_key"], r["body"]) for r in stored.collect()] == [("A-1", "hello")] and told.filter("key = 'A-1'").first()["comments_text"] == "hello"
+
+
+def test_sort_of_all_rows(spark):
+    want = sorted((r["id"], r["key"]) for r in src.issues_view(spark, SF).select("id", "key").collect())[::-1]
+    assert len(want) > 100
+    assert [(r["id"], r["key"]) for r in q.sort_as_text(spark, SF).collect()] == want
