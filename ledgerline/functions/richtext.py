@@ -7,7 +7,7 @@ import json
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -107,3 +107,37 @@ def rich_text_to_plaintext(df: DataFrame, column: str, out: str = "plain") -> Da
 
 def rich_text_to_markdown(df: DataFrame, column: str, out: str = "markdown") -> DataFrame:
     return _job(df, column, out, markdown)
+
+
+def replaced_in_text(value: Column, replacements: list[tuple[str, str]]) -> Column:
+    """JSON of a tree, or of a plain string, with find and replace, in order, on its text. value is as get_json_object gives
+    it: JSON of an object, or a bare string."""
+
+    @F.pandas_udf("string")
+    def of(texts: pd.Series) -> pd.Series:
+        def changed(t: str) -> str:
+            for find, put in replacements:
+                t = t.replace(find, put)
+            return t
+
+        def one(t: str | None) -> str | None:
+            if t is None:
+                return None
+            try:
+                tree = json.loads(t)
+            except ValueError:
+                tree = None
+            if not isinstance(tree, dict):
+                return json.dumps(changed(t))
+            todo = [tree]
+            while todo:
+                node = todo.pop()
+                if node.get("type") == "text" and isinstance(node.get("text"), str):
+                    node["text"] = changed(node["text"])
+                if isinstance(node.get("content"), list):
+                    todo += [c for c in node["content"] if isinstance(c, dict)]
+            return json.dumps(tree)
+
+        return texts.map(one)
+
+    return of(value)

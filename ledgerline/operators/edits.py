@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import richtext
 from .flatten import denormalize_issues, normalize_timestamp, rollup_comments_text
 from .merge import upsert_by_key
 
@@ -13,7 +16,8 @@ MAX_RETRIES = 5
 TRACKER = {"issuetype": "type", "fixVersions": "fix_version", "parent": "parent_key", "duedate": "due_date", "resolutiondate": "resolved", "timeoriginalestimate": "original_estimate", "timespent": "time_spent", "timeestimate": "remaining_estimate"}
 FIXED, NAMES = ("id", "key", "comments_text", "raw_json", "synced_at"), ("name", "accountId", "value", "displayName", "key")
 NAMED, ACCOUNT = ("priority", "components", "fixVersions"), ("assignee", "reporter")
-COPIED = (("project", "$.fields.project.key", "key"), ("issuetype", "$.fields.issuetype.name", "name"), ("priority", "$.fields.priority.name", "name"), ("parent", "$.fields.parent.key", "key"))
+COPIED = (("project", "project.key", "key"), ("issuetype", "issuetype.name", "name"), ("priority", "priority.name", "name"), ("parent", "parent.key", "key"), ("assignee", "assignee.accountId", "accountId"))
+SAME = {"type": "issuetype", "fix-version": "fixVersions", "fixversion": "fixVersions", "fixversions": "fixVersions", **{n: n for n in ("summary", "description", "project", "issuetype", "priority", "parent", "assignee", "labels", "components")}}
 
 
 def _edited(current: Column, adds: Column, removes: Column) -> Column:
@@ -117,25 +121,42 @@ def record_outcomes(changes: DataFrame, results: DataFrame, now: Column) -> Data
 
 
 def clone_payloads(raw: DataFrame, catalog: DataFrame, overrides: dict[str, str] | None = None, replacements: list[tuple[str, str]] | None = None, column: str = "raw") -> DataFrame:
-    """(key, payload): what would create a copy of each issue. Overrides by field name; find and replace, in order, on
-    the summary and on the text of the description. The catalog is small metadata that shapes the payload."""
-    overrides = overrides or {}
-
-    def replaced(c: Column) -> Column:
-        for find, put in replacements or []:
-            c = F.replace(c, F.lit(find), F.lit(put))
-        return c
-
-    own = {"summary": replaced(F.get_json_object(column, "$.fields.summary")), "description": replaced(F.get_json_object(column, "$.fields.description"))}
-    parts = [(F.lit(overrides[n]) if n in overrides else c).alias(n) for n, c in own.items()]
+    """(key, payload): what would create a copy of each issue, with every custom field but Rank as it is. Overrides by
+    field name; find and replace, in order, on the summary and on the text of the description. The catalog is small
+    metadata that shapes the payload."""
+    given, replacements = {SAME.get(n.lower(), n): v for n, v in (overrides or {}).items()}, replacements or []
+    get = lambda path, kind="string": F.try_variant_get("_v", f"$.fields.{path}", kind)
+    parts: dict[str, Column] = {}
+
+    summary = get("summary")
+    for find, put in replacements:
+        summary = F.replace(summary, F.lit(find), F.lit(put))
+    parts["summary"] = (F.lit(given.pop("summary")) if "summary" in given else summary).cast("variant")
+    parts["description"] = F.lit(given.pop("description")).cast("variant") if "description" in given else F.try_parse_json(richtext.replaced_in_text(F.get_json_object(column, "$.fields.description"), replacements)) if replacements else get("description", "variant")
     for name, path, inner in COPIED:
-        v = F.lit(overrides[name]) if name in overrides else F.get_json_object(column, path)
-        parts.append(F.when(v.isNotNull(), F.struct(v.alias(inner))).alias(name))
-    parts.append(F.from_json(F.get_json_object(column, "$.fields.labels"), "array<string>").alias("labels"))
-    parts.append(F.from_json(F.get_json_object(column, "$.fields.components"), "array<struct<name: string>>").alias("components"))
-    for r in catalog.filter("is_custom and is_column and jira_name != 'Rank'").select("jira_id", "name").orderBy("jira_id").collect():
-        parts.append((F.lit(overrides[r["name"]]) if r["name"] in overrides else F.get_json_object(column, f"$.fields.{r['jira_id']}")).alias(r["jira_id"]))
-    return raw.select("key", F.to_json(F.struct(F.struct(*parts).alias("fields"))).alias("payload"))
+        v = F.lit(given.pop(name)) if name in given else get(path)
+        parts[name] = F.when(v.isNotNull(), F.to_variant_object(F.struct(v.alias(inner))))
+    for name in ("labels", "components", "fixVersions"):
+        listed = name != "fixVersions"
+        texts = F.array(*[F.lit(x.strip()) for x in (given[name].split(",") if listed else [given[name]]) if x.strip()]).cast("array<string>") if name in given else get(name, "array<string>") if name == "labels" else F.transform(get(name, "array<variant>"), lambda x: F.try_variant_get(x, "$.name", "string"))
+        given.pop(name, None)
+        parts[name] = F.to_variant_object(texts if name == "labels" else F.transform(texts, lambda x: F.struct(x.alias("name"))))
+
+    rows = catalog.select("jira_id", "jira_name", "name").orderBy("jira_id").collect()
+    ids = {r["jira_name"]: r["jira_id"] for r in rows} | {r["name"]: r["jira_id"] for r in rows} | {r["jira_id"]: r["jira_id"] for r in rows}
+    for name, value in given.items():
+        if name not in ids:
+            raise ValueError(f"unknown field: {name}")
+        try:
+            json.loads(value)
+        except ValueError:
+            value = json.dumps(value)
+        parts[ids[name]] = F.parse_json(F.lit(value))
+    left_out = [r["jira_id"] for r in rows if r["jira_name"] == "Rank"] + list(parts)
+    custom = F.map_filter(F.try_variant_get("_v", "$.fields", "map<string,variant>"), lambda k, v: k.startswith("customfield_") & ~k.isin(left_out) & v.isNotNull() & ~F.is_variant_null(v))
+    own = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in parts.items()]), lambda x: x["value"].isNotNull() & ~F.is_variant_null(x["value"]))
+    fields = F.map_concat(F.map_from_entries(own), F.coalesce(custom, F.map_from_entries(F.filter(own, lambda x: F.lit(False)))))
+    return raw.withColumn("_v", F.try_parse_json(column)).select("key", F.to_json(F.struct(fields.alias("fields"))).alias("payload"))
 
 
 def resolve_by_name(names: DataFrame, catalog: DataFrame) -> DataFrame:

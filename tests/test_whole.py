@@ -58,3 +58,28 @@ def test_sort_of_all_rows(spark):
     want = sorted((r["id"], r["key"]) for r in src.issues_view(spark, SF).select("id", "key").collect())[::-1]
     assert len(want) > 100
     assert [(r["id"], r["key"]) for r in q.sort_as_text(spark, SF).collect()] == want
+
+
+def test_clone_copies_every_field(spark):
+    text = lambda t: {"type": "doc", "content": [{"type": "paragraph", "content": [{"type": "text", "text": t}]}]}
+    fields = {
+        "summary": "old text", "project": {"key": "A", "id": "1"}, "issuetype": {"name": "Bug"}, "priority": {"name": "Low"}, "parent": {"key": "A-0"}, "assignee": {"accountId": "u1", "displayName": "U"}, "labels": ["x"],
+        "components": [{"name": "c", "id": "7"}], "fixVersions": [{"name": "v1"}, {"name": "v2"}], "description": text("old content"), "status": {"name": "Done"}, "customfield_1": {"value": "Team", "id": 3},
+        "customfield_2": 2.5, "customfield_3": None, "customfield_4": ["a", {"b": [1, None]}], "customfield_5": "0|i0", "customfield_77": True, "customfield_78": "7",
+    }
+    catalog = src.catalog(spark).select("jira_id", "jira_name", "name").unionByName(spark.createDataFrame([("customfield_5", "Rank", "rank")], "jira_id string, jira_name string, name string"))
+    raw = spark.createDataFrame([("A-1", json.dumps({"key": "A-1", "fields": fields})), ("A-2", json.dumps({"key": "A-2", "fields": {"summary": "s", "description": "old", "labels": None}}))], "key string, raw string")
+    got = {r["key"]: json.loads(r["payload"])["fields"] for r in edits.clone_payloads(raw, catalog, {"fix-version": "v9", "story_points": "8"}, [("old", "new"), ("content", "words")]).collect()}
+    kept = {k: fields[k] for k in ("issuetype", "priority", "parent", "labels", "customfield_1", "customfield_4", "customfield_77", "customfield_78")}
+    assert got["A-1"] == kept | {"summary": "new text", "project": {"key": "A"}, "assignee": {"accountId": "u1"}, "components": [{"name": "c"}], "fixVersions": [{"name": "v9"}], "description": text("new words"), "customfield_2": 8}
+    assert got["A-2"] == {"summary": "s", "description": "new", "fixVersions": [{"name": "v9"}], "customfield_2": 8}
+
+
+def test_clone_payloads_are_complete(spark):
+    raw = q.raws(spark, SF)
+    want = {}
+    for r in raw.collect():
+        f = json.loads(r["raw"])["fields"]
+        own = {"summary": f["summary"], **{n: {k: f[n][k]} for n, k in (("project", "key"), ("issuetype", "name"), ("priority", "name"), ("parent", "key")) if n in f}}
+        want[r["key"]] = own | {n: f[n] for n in ("labels", "components", "fixVersions")} | {n: v for n, v in f.items() if n.startswith("customfield_")}
+    assert {r["key"]: json.loads(r["payload"])["fields"] for r in edits.clone_payloads(raw, src.catalog(spark)).collect()} == want
