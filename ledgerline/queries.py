@@ -808,7 +808,7 @@ def stream_sync(spark, d):
     for k, part in enumerate((older, raw)):
         page = part.groupBy((F.col("id").cast("long") % 8).alias("p")).agg(F.collect_list("raw").alias("r"))
         page.select(F.to_json(F.struct(F.col("r").alias("issues"))).alias("value")).write.mode("append").text(f"{path}/in")
-        sync.stream_sync(spark, f"{path}/in", f"{path}/out", f"{path}/checkpoint").awaitTermination()
+        sync.stream_sync(spark, f"{path}/in", f"{path}/out", f"{path}/checkpoint", catalog=src.catalog(spark)).awaitTermination()
     return spelled(sinks.read_table(spark, f"{path}/out").select(SHORT))
 
 
@@ -833,11 +833,7 @@ def stream_changelog_dedup(spark, d):
 @put("""WITH s AS (SELECT *, lead(changed_at) OVER (PARTITION BY issue_key ORDER BY changed_at, id) AS until FROM changes)
  SELECT issue_key, to_string AS status, round(sum((epoch_us(until) - epoch_us(changed_at)) / 1e6), 3) AS seconds FROM s WHERE until IS NOT NULL GROUP BY 1, 2""", changes=True)
 def stream_status_durations(spark, d):
-    key = "spark.sql.streaming.stateStore.providerClass"
-    old = spark.conf.get(key)
-    spark.conf.set(key, sync.ROCKS)
-    try:
-        out = _drain(spark, sync.stream_status_durations(_event_stream(spark, d)))
-    finally:
-        spark.conf.set(key, old)
+    path = scratch(spark, "stays")
+    sync.stream_status_durations(_event_stream(spark, d), f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    out = spark.read.schema("issue_key string, status string, seconds double").parquet(f"{path}/out/stays")
     return out.groupBy("issue_key", "status").agg(F.round(F.sum("seconds"), 3).alias("seconds"))

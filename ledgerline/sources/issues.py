@@ -34,6 +34,13 @@ def scan_changelog_pages(spark: SparkSession, path: str, form: str = "issue") ->
     return df.select("ref", "h.id", F.coalesce("h.author.displayName", F.lit("")).alias("author"), "h.created", "h.items")
 
 
+def histories_of(raw: DataFrame, column: str = "raw") -> DataFrame:
+    """(ref, id, author, created, items): the histories within raw issues, by issue key."""
+    fields = HISTORY.replace("id string", "id: string", 1).replace(", author ", ", author: ").replace(", created ", ", created: ").replace(", items ", ", items: ")
+    df = raw.select(F.from_json(column, f"struct<key: string, changelog: struct<histories: array<struct<{fields}>>>>").alias("i")).select(F.col("i.key").alias("ref"), F.explode("i.changelog.histories").alias("h"))
+    return df.select("ref", "h.id", F.coalesce("h.author.displayName", F.lit("")).alias("author"), "h.created", "h.items")
+
+
 def scan_field_catalog(spark: SparkSession, path: str) -> DataFrame:
     """(id, name, custom, type, items, ordinal) of field metadata; fields without a schema are dropped."""
     df = spark.read.schema("id string, name string, custom boolean, schema struct<type: string, items: string>, ordinal long").json(path)

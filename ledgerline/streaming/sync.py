@@ -2,34 +2,55 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql import Window as W
+from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.flatten import denormalize_issues
-from ..operators.merge import latest_of
+from ..operators.flatten import denormalize_issues, explode_changelog, extract_comments, extract_custom_fields, extract_links, rollup_comments_text
+from ..operators.merge import insert_ignore, latest_of, replace_children, upsert_by_key
+from ..sources.issues import histories_of
 from ..sources.sinks import read_table, write_table
 
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+def _stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """The table at path; the first batch finds none."""
+    try:
+        return read_table(spark, path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return like.limit(0)
 
 
-def stream_sync(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Reads new page files (a JSON page a line), flattens the issues and puts them over the table at out_dir. Without
-    every it ends when all present files are read; a restart goes on after the last batch that was written."""
+def stream_sync(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, every: str | None = None, catalog: DataFrame | None = None) -> StreamingQuery:
+    """Reads new page files (a JSON page a line) and brings the tables up to date: issues at out_dir, with the catalog's
+    custom fields and comments_text, and below it comments, issue_links and changelog. Without every it ends when all
+    present files are read; a restart goes on after the last batch that was written, and a batch may be put twice."""
 
     def put(batch: DataFrame, batch_id: int) -> None:
         pages = batch.select(F.explode(F.from_json("value", "struct<issues: array<string>>")["issues"]).alias("raw"))
-        new = latest_of(denormalize_issues(pages), "key", [F.col("updated").desc_nulls_last(), F.col("raw_json").desc()])
-        try:
-            old = read_table(spark, out_dir)
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = new.limit(0)
-        write_table(old.join(new.select("key"), "key", "left_anti").unionByName(new), out_dir)
+        seen = denormalize_issues(pages).persist()
+        new = latest_of(seen, "key", [F.col("updated").desc_nulls_last(), F.col("raw_json").desc()]).persist()
+        keys = new.select("key")
+
+        said, order = extract_comments(seen, "raw_json"), [F.col("created").desc_nulls_last(), F.col("body").desc_nulls_last()]
+        comments = upsert_by_key(_stored(spark, f"{out_dir}/comments", said), said, "id", order)
+        write_table(upsert_by_key(comments, extract_comments(new, "raw_json"), "id", order), f"{out_dir}/comments")
+        text = rollup_comments_text(read_table(spark, f"{out_dir}/comments").join(keys.withColumnRenamed("key", "issue_key"), "issue_key", "left_semi")).withColumnRenamed("issue_key", "key")
+
+        links = extract_links(new, "raw_json")
+        write_table(replace_children(_stored(spark, f"{out_dir}/issue_links", links), links, keys.withColumnRenamed("key", "issue_key"), "issue_key"), f"{out_dir}/issue_links")
+
+        changes = explode_changelog(histories_of(seen, "raw_json")).withColumnRenamed("ref", "issue_key")
+        write_table(insert_ignore(_stored(spark, f"{out_dir}/changelog", changes), changes, "id"), f"{out_dir}/changelog")
+
+        rows = new.join(text, "key", "left")
+        if catalog is not None:
+            rows = rows.join(extract_custom_fields(new, catalog, "raw_json"), "key", "left")
+        write_table(upsert_by_key(_stored(spark, out_dir, rows), rows, "key", [F.col("updated").desc_nulls_last()]), out_dir)
+        seen.unpersist()
+        new.unpersist()
 
     writer = spark.readStream.text(in_dir).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
@@ -40,27 +61,20 @@ def stream_changelog_dedup(stream: DataFrame, delay: str = "1 day") -> DataFrame
     return stream.withWatermark("changed_at", delay).dropDuplicatesWithinWatermark(["id"])
 
 
-class StatusClock(StatefulProcessor):
-    """Per issue: the status it is in and since when; each change emits the time spent in the one before."""
+def stream_status_durations(stream: DataFrame, out_dir: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Appends (issue_key, status, seconds) of each completed stay to out_dir/stays as changes arrive, a folder a batch.
+    What a batch needs of those before is each issue's last status, in out_dir/last; a batch may be put twice."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "status string, since timestamp")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:
-        all_ = pd.concat(list(rows)).sort_values(["changed_at", "id"])
-        status, since = self.last.get() if self.last.exists() else (None, None)
-        out = []
-        for to, at in zip(all_["to_string"], all_["changed_at"], strict=True):
-            if status is not None:
-                out.append((key[0], status, (at - pd.Timestamp(since)).total_seconds()))
-            status, since = to, at
-        self.last.update((status, pd.Timestamp(since).to_pydatetime()))
-        yield pd.DataFrame(out, columns=["issue_key", "status", "seconds"])
-
-    def close(self) -> None:
-        pass
-
-
-def stream_status_durations(stream: DataFrame) -> DataFrame:
-    """(issue_key, status, seconds) of each completed stay, as changes arrive. Needs the RocksDB state store."""
-    return stream.groupBy("issue_key").transformWithStateInPandas(StatusClock(), "issue_key string, status string, seconds double", "append", "None")
+    def put(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select("issue_key", F.lit(1).alias("turn"), "changed_at", "id", F.col("to_string").alias("status"))
+        if batch_id:
+            rows = rows.unionByName(batch.sparkSession.read.schema(rows.schema).parquet(f"{out_dir}/last/{batch_id - 1}").withColumn("turn", F.lit(0)))
+        by = W.partitionBy("issue_key").orderBy("turn", "changed_at", "id")
+        rows = rows.withColumns({"until": F.lead("changed_at").over(by), "is_last": F.lead("turn").over(by).isNull()}).persist()
+        rows.filter("is_last").drop("until", "is_last").write.mode("overwrite").parquet(f"{out_dir}/last/{batch_id}")
+        seconds = (F.unix_micros("until") - F.unix_micros("changed_at")) / 1e6
+        rows.filter("not is_last and status is not null").select("issue_key", "status", seconds.alias("seconds")).write.mode("overwrite").parquet(f"{out_dir}/stays/batch={batch_id}")
+        rows.unpersist()
+
+    writer = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ledgerline import queries as q
 from ledgerline.operators import edits
 from ledgerline.sources import issues as src
+from ledgerline.sources import sinks
+from ledgerline.streaming import sync
 
 SF = "/root/testdata/sf0.001"
 
@@ -83,3 +85,36 @@ def test_clone_payloads_are_complete(spark):
         own = {"summary": f["summary"], **{n: {k: f[n][k]} for n, k in (("project", "key"), ("issuetype", "name"), ("priority", "name"), ("parent", "key")) if n in f}}
         want[r["key"]] = own | {n: f[n] for n in ("labels", "components", "fixVersions")} | {n: v for n, v in f.items() if n.startswith("customfield_")}
     assert {r["key"]: json.loads(r["payload"])["fields"] for r in edits.clone_payloads(raw, src.catalog(spark)).collect()} == want
+
+
+def test_stream_keeps_children_and_custom_fields(spark, tmp_path):
+    def issue(key, day, comments, links, changes):
+        link = lambda n: {"id": str(n), "type": {"name": "Blocks", "inward": "is blocked by", "outward": "blocks"}, "outwardIssue": {"key": f"B-{n}"}}
+        fields = {"summary": key, "updated": f"2024-01-{day:02}T00:00:00.000+0000", "customfield_1": {"value": f"team {day}"}, "comment": {"comments": [{"id": i, "author": {"displayName": "a"}, "body": b, "created": f"2024-01-01T00:00:{i:0>2}.000+0000"} for i, b in comments]}, "issuelinks": [link(n) for n in links]}
+        histories = [{"id": i, "author": {"displayName": "a"}, "created": f"2024-01-{day:02}T00:00:00.000+0000", "items": [{"field": "status", "fromString": "x", "toString": t}]} for i, t in changes]
+        return {"id": key, "key": key, "fields": fields, "changelog": {"histories": histories}}
+
+    batches = [
+        [issue("A-1", 1, [("1", "one"), ("2", "two")], [1, 2], [("h1", "y")]), issue("A-2", 1, [("3", "three")], [3], [])],
+        [issue("A-1", 2, [("2", "TWO"), ("4", "four")], [2, 4], [("h1", "y"), ("h2", "z")])],
+    ]
+    (tmp_path / "in").mkdir()
+    out = str(tmp_path / "out")
+    for k, batch in enumerate(batches):
+        (tmp_path / "in" / f"{k}.json").write_text(json.dumps({"issues": batch}))
+        sync.stream_sync(spark, str(tmp_path / "in"), out, str(tmp_path / "checkpoint"), catalog=src.catalog(spark)).awaitTermination()
+    rows = lambda name, *c: sorted(tuple(r) for r in sinks.read_table(spark, f"{out}/{name}").select(*c).collect())
+    assert rows("", "key", "team", "comments_text") == [("A-1", "team 2", "one TWO four"), ("A-2", "team 1", "three")]
+    assert rows("comments", "id", "issue_key", "body") == [("1", "A-1", "one"), ("2", "A-1", "TWO"), ("3", "A-2", "three"), ("4", "A-1", "four")]
+    assert rows("issue_links", "id", "issue_key") == [("2_out", "A-1"), ("3_out", "A-2"), ("4_out", "A-1")]
+    assert rows("changelog", "id", "issue_key", "to_string") == [("h1_0", "A-1", "y"), ("h2_0", "A-1", "z")]
+
+
+def test_stream_durations_over_batches(spark, tmp_path):
+    schema = "id string, issue_key string, to_string string, changed_at timestamp"
+    event = lambda i, k, s, n: (i, k, s, dt.datetime(2024, 1, 1, 0, 0, n))
+    for batch in ([event("2", "A", "y", 5), event("1", "A", "x", 1), event("3", "B", "x", 2)], [event("4", "A", "z", 9)], [event("5", "B", "y", 30), event("6", "A", "x", 10)]):
+        spark.createDataFrame(batch, schema).write.mode("append").parquet(str(tmp_path / "in"))
+        sync.stream_status_durations(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out/stays")).select("issue_key", "status", "seconds").collect()
+    assert sorted(map(tuple, got)) == [("A", "x", 4.0), ("A", "y", 4.0), ("A", "z", 1.0), ("B", "x", 28.0)]
