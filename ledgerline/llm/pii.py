@@ -39,7 +39,7 @@ KINDS = (
 )
 DIGITS_ONLY = ("phone", "ssn", "card")
 #: The part of an entity that names it: case or separators do not make another one of it.
-FAST = r"[0-9@]|(?i:" + KEYWORDS + rf")|(?:{TITLES})\.? \p{{Lu}}"
+FAST = r"[0-9@]|(?i:" + KEYWORDS + rf")|(?:{TITLES})\.? \p{{Lu}}|AKIA|gh[pousr]_|sk-|xox[abp]-|[A-Fa-f]{{32}}"
 MAX_ATTEMPTS = 64
 
 
