@@ -15,10 +15,11 @@ from .common import remainder, text_of
 from .textnum import U, chunks
 
 BUCKETS = 1 << 15
-#: Bounds of the model: so many languages (the most frequent ones), about so many training documents of each.
-MAX_LANGUAGES, DOCS_PER_LANGUAGE = 64, 600
+#: About so many training documents of each language.
+DOCS_PER_LANGUAGE = 600
 #: Cost of a change of language between two words, and of a script that a language does not use, in nats.
 SWITCH, FOREIGN = 6.0, 60.0
+#: Bytes of text scored at once, with up to 64 languages; with more, fewer, as each word has a score for each language.
 CHUNK = 4 << 20
 UNKNOWN = "und"
 # First code point of ranges of scripts, in order; number of the script that a range belongs to.
@@ -95,18 +96,18 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, penalty: float = SWITCH) ->
     longest = int(sizes[0]) if len(sizes) else 0
     live = np.searchsorted(-sizes, -np.arange(longest), side="left")
     total = np.zeros((len(sizes), scores.shape[1]))
-    back = np.zeros(scores.shape, np.int8)
-    own = np.arange(scores.shape[1], dtype=np.int8)
+    back = np.zeros(scores.shape, np.int16)
+    own = np.arange(scores.shape[1], dtype=np.int16)
     for t in range(longest):
         n = live[t]
         v, rows = total[:n], begin[:n] + t
         best = v.argmax(axis=1)
         change = v[np.arange(n), best][:, None] - penalty
-        back[rows] = np.where(v >= change, own, best[:, None].astype(np.int8))
+        back[rows] = np.where(v >= change, own, best[:, None].astype(np.int16))
         np.maximum(v, change, out=v)
         v += scores[rows]
     state = total.argmax(axis=1)
-    out = np.zeros(len(scores), np.int8)
+    out = np.zeros(len(scores), np.int16)
     for t in range(longest - 1, -1, -1):
         n = live[t]
         rows = begin[:n] + t
@@ -116,10 +117,10 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, penalty: float = SWITCH) ->
 
 
 def train(docs: DataFrame, lang: str = "lang", key: str = "doc_id") -> Model | None:
-    """A model of docs (key, text, lang): about DOCS_PER_LANGUAGE documents of each of the MAX_LANGUAGES most frequent
-    languages, chosen by a hash of the key and counted on the executors; the counts have a bounded size."""
+    """A model of docs (key, text, lang): about DOCS_PER_LANGUAGE documents of each language, chosen by a hash of the
+    key and counted on the executors; the counts of a language have a bounded size."""
     named = docs.filter(F.col(lang).isNotNull())
-    sizes = named.groupBy(F.col(lang).alias("_lang")).count().orderBy(F.desc("count"), "_lang").limit(MAX_LANGUAGES)
+    sizes = named.groupBy(F.col(lang).alias("_lang")).count()
     chosen = named.join(F.broadcast(sizes), F.col(lang) == F.col("_lang"))
     chosen = chosen.filter(F.pmod(F.xxhash64(F.lit("langid"), key), F.lit(1_000_000)) * F.col("count") < DOCS_PER_LANGUAGE * 1_000_000.0)
 
@@ -147,7 +148,7 @@ def identify(docs: DataFrame, model: Model | None, key: str = "doc_id", with_spa
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = [t or "" for t in pdf["text"]]
-            for a, b, raws in chunks([t.lower() for t in texts], CHUNK):
+            for a, b, raws in chunks([t.lower() for t in texts], CHUNK * 64 // max(64, len(model.languages) if model else 0)):
                 n = b - a
                 names, score, spans, lists = np.full(n, UNKNOWN, object), np.zeros(n), np.zeros(n, np.int64), [[] for _ in range(n)]
                 has = np.array([bool(_HAS_LETTER.search(t)) for t in texts[a:b]])

@@ -18,8 +18,7 @@ RULES = {
     "upper_ratio": (0.95, 0.9, 0.8, 0.7, 0.6, 0.5),
     "mean_word_chars": (40.0, 30.0, 25.0, 20.0, 16.0, 14.0),
 }
-#: Strata beyond so many (by labelled rows) share one stratum, so that the table of cutoffs has a bounded size.
-MAX_STRATA = 64
+#: What a stratum without labels is called in the result; nothing is certified for it.
 OTHER = "(other)"
 
 
@@ -106,7 +105,8 @@ def certify(labelled: DataFrame, limit: float, error: float) -> DataFrame:
         .groupBy("stratum", "c.rule", "c.step", "c.cutoff")
         .agg(F.count_if(good).alias("n"), F.count_if(good & hit).alias("k"), F.count_if(~good & hit).alias("bad"))
     )
-    level = F.log(F.lit(error)) - F.log(F.size(F.collect_set("stratum").over(W.partitionBy(F.lit(0)))) * F.lit(float(rules)))
+    counts = counts.withColumn("_nth", F.dense_rank().over(W.partitionBy(F.lit(0)).orderBy("stratum")))
+    level = F.log(F.lit(error)) - F.log(F.max("_nth").over(W.partitionBy(F.lit(0))) * F.lit(float(rules)))
     tested = counts.withColumn("level", level).withColumn(
         "passed", F.when(F.col("k") > share * F.col("n"), F.lit(False)).otherwise(log_binomial_tail(F.col("n"), F.col("k"), share) <= F.col("level"))
     )
@@ -125,15 +125,13 @@ def quality_rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", strat
     key has no label; conflicting labels count as bad; no documents give no rows, no labels reject by base_failed only."""
     counted = materialize(with_metrics(measure(docs.select(F.col(key).alias("_k"), F.coalesce(F.col(stratum), F.lit("(null)")).alias("_g"), "text"), "_k", "_g")), "quality")
     quality = labels.filter(F.col("quality").isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.min("quality").alias("quality"))
-    marked = counted.filter(~F.col("base_failed")).join(quality, "_k").withColumnRenamed("_g", "stratum")
-    sizes = marked.groupBy("stratum").count().orderBy(F.desc("count"), "stratum").limit(MAX_STRATA - 1)
-    named = F.broadcast(sizes.select(F.col("stratum").alias("_g")))  # at most MAX_STRATA - 1 rows
-    strata = marked.join(named, F.col("stratum") == F.col("_g"), "left").withColumn("stratum", F.coalesce("_g", F.lit(OTHER))).drop("_g")
-    cutoffs = certify(strata, limit, error)
+    counted = counted.withColumnRenamed("_g", "stratum")
+    marked = counted.filter(~F.col("base_failed")).join(quality, "_k")
+    cutoffs = certify(marked, limit, error)
     wide = cutoffs.groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cutoff")).select("stratum", *[F.col(r).alias(f"_c_{r}") for r in RULES])
+    wide = marked.select("stratum").distinct().withColumn("_labelled", F.lit(True)).join(wide, "stratum", "left")  # one row a stratum
     wide = materialize(wide, "cutoffs")
-    one = counted.join(named.withColumn("stratum", F.col("_g")), "_g", "left").withColumn("stratum", F.coalesce("stratum", F.lit(OTHER)))
-    one = one.join(F.broadcast(wide), "stratum", "left")  # at most MAX_STRATA rows
+    one = counted.join(wide, "stratum", "left").withColumn("stratum", F.when(F.col("_labelled"), F.col("stratum")).otherwise(OTHER))
     broken = F.array_compact(F.array(*[F.when(F.col(r) >= F.col(f"_c_{r}"), F.lit(r)) for r in RULES]))
     return one.select(
         F.col("_k").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
