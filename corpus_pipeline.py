@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.llm.common import materialize, table
-from ledgerline.llm.mixing import document_sizes, mix, mixed_texts
+from ledgerline.llm.mixing import mixed_rows
 from ledgerline.llm.neardup import one_of_each
 from ledgerline.llm.pieces import encode_and_decode
 from ledgerline.llm.pii import without_personal_data
@@ -26,7 +26,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixed_texts(docs, mix(document_sizes(docs)))
+    return mixed_rows(docs)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

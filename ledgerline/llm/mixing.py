@@ -37,17 +37,17 @@ def hash_key(key: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(key.cast("string"), F.lit(""))).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def mix(sizes: DataFrame, key: str = "doc_id", seed: str = "mix:", weights: tuple[float, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
-    """key, size, source_size, target, taken for each row of sizes (key, source, size).
+def mix(sizes: DataFrame, key: str = "doc_id", seed: str = "mix:", weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, rows_by: tuple[str, ...] = ()) -> DataFrame:
+    """key, size, source_size, target, taken for each row of sizes (key, source, size), and rows_by, which tell rows apart.
 
     A source's budget is its target rounded to words: so many whole epochs as fit, then its documents in hash order
     until the budget is used up; the document at the cut gives the words that are missing. Each source's key space is
     split into equal ranges of about RANGE_ROWS documents, however large it is: documents are sorted within a range, and
     only the ranges' sums are added up over the source.
 
-    Rows with an equal key tie and go by size; a null key counts as empty text, a null source is a source of its own;
+    Rows with an equal key tie and go by size and rows_by; a null key counts as empty text, a null source is a source of its own;
     an empty table gives no rows; a source without words takes none."""
-    rows = materialize(sizes.select(F.col(key).alias("_k"), "source", F.coalesce("size", F.lit(0)).cast("long").alias("size"), hash_key(F.col(key), seed).alias("_h")), "mix")
+    rows = materialize(sizes.select(F.col(key).alias("_k"), "source", F.coalesce("size", F.lit(0)).cast("long").alias("size"), hash_key(F.col(key), seed).alias("_h"), *rows_by), "mix")
     share = targets(rows, weights, cap).withColumn("_n", F.ceil(F.col("n_docs") / RANGE_ROWS)).withColumn("_s", F.coalesce("source", F.lit(""))).withColumn("_z", F.col("source").isNull())
     share = share.withColumn("_budget", F.round("target").cast("long")).drop("source", "n_docs")
     share = share.withColumn("_epochs", F.coalesce(F.expr("try_divide(_budget, source_size)").cast("long"), F.lit(0).cast("long")))
@@ -57,10 +57,10 @@ def mix(sizes: DataFrame, key: str = "doc_id", seed: str = "mix:", weights: tupl
     place = ["_s", "_z", "_r"]
     sums = ranged.groupBy(*place).agg(F.sum("size").alias("_in"))
     starts = sums.withColumn("_start", F.coalesce(F.sum("_in").over(W.partitionBy("_s", "_z").orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_in")
-    within = F.coalesce(F.sum("size").over(W.partitionBy(*place).orderBy("_h", F.col("_k").asc_nulls_last(), "size").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    within = F.coalesce(F.sum("size").over(W.partitionBy(*place).orderBy("_h", F.col("_k").asc_nulls_last(), "size", *rows_by).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     cut = ranged.withColumn("_before", within).join(starts, place)
     partial = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - F.col("_before") - F.col("_start")))
-    return cut.select(F.col("_k").alias(key), "size", "source_size", "target", (F.col("_epochs") * F.col("size") + partial).cast("long").alias("taken"))
+    return cut.select(F.col("_k").alias(key), "size", "source_size", "target", (F.col("_epochs") * F.col("size") + partial).cast("long").alias("taken"), *rows_by)
 
 
 def document_sizes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -76,3 +76,11 @@ def mixed_texts(docs: DataFrame, taken: DataFrame, key: str = "doc_id") -> DataF
     text = F.when(F.col("_cut") < 0, F.col("text")).otherwise(F.array_join(F.slice(words(text_of()), 1, F.greatest(F.col("_cut"), F.lit(1))), " "))
     out = some.withColumn("text", text)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns) if "n_chars" in docs.columns else out.select(docs.columns)
+
+
+def mixed_rows(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs mixed to the sources' weights, row by row: rows that share a key, or have none, are each taken as often as
+    their own part of the budget says."""
+    rows = materialize(docs.withColumns({"_row": F.monotonically_increasing_id(), "_text": F.xxhash64("text")}), "numbered")
+    sizes = rows.select(key, "source", F.size(words(text_of())).cast("long").alias("size"), "_text", "_row")
+    return mixed_texts(rows, mix(sizes, key, rows_by=("_text", "_row")), "_row").select(docs.columns)

@@ -192,6 +192,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", width: int = 5, percen
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs whose document is kept; see near_duplicates(). Rows with a null key stay."""
-    gone = near_duplicates(docs.select(key, "text"), key, width, percent).filter("not kept").select(key)
-    return docs.join(gone, key, "left_anti").select(docs.columns)
+    """The rows of docs without near duplicates: of each component of rows the one with the least key, null last; see
+    near_duplicates(). Rows count each for itself, whether keys repeat or are null; those without a set stay."""
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(rows.select("_row", "text"), "_row", width, percent).select("_row", "component_id")
+    found = materialize(found.join(rows.select("_row", F.col(key).alias("_k")), "_row"), "found")
+    kept = found.groupBy("component_id").agg(F.min(F.struct(F.col("_k").isNull().alias("none"), "_k", "_row"))["_row"].alias("_row"))
+    return rows.join(kept.select("_row"), "_row", "left_semi").select(docs.columns)

@@ -1,6 +1,6 @@
 """Corpus operators do the whole job: nothing is missed by a pre-test, no language or stratum is left out, rows count as rows."""
 
-from ledgerline.llm import langid, pii, quality
+from ledgerline.llm import langid, mixing, neardup, pii, quality
 
 
 def test_secrets_without_digits(spark):
@@ -30,3 +30,21 @@ def test_every_stratum_has_cutoffs(spark):
     got = quality.quality_rules(docs, spark.createDataFrame(labels, "doc_id long, quality int"), limit=0.9).select("doc_id", "stratum", "kept").collect()
     assert {r["doc_id"]: r["stratum"] for r in got} == {k: lang for k, _, lang in rows}
     assert {r["doc_id"] for r in got if not r["kept"]} == {100 * s + 45 for s in range(69)}
+
+
+def test_one_of_each_row(spark):
+    a, b, c, d = (" ".join(f"{x}{n}" for n in range(30)) for x in "abcd")
+    rows = [(2, a), (2, a), (None, a), (None, b), (None, b), (7, c), (7, d), (5, c), (9, None), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, neardup.one_of_each(docs).collect()), key=str)
+    assert got == sorted([(2, a), (None, b), (5, c), (7, d), (9, None), (9, None)], key=str)
+
+
+def test_mixed_rows_meet_the_budget(spark):
+    rows = [(1 if n % 2 else None, " ".join(f"w{n}" for _ in range(n + 1)), "abc"[n % 3]) for n in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    target = {r["source"]: round(r["target"]) for r in mixing.targets(mixing.document_sizes(docs)).collect()}
+    got = dict.fromkeys("abc", 0)
+    for r in mixing.mixed_rows(docs).collect():
+        got[r["source"]] += len(r["text"].split())
+    assert got == target
