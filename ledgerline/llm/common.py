@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,8 +27,15 @@ def words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which all executors and the driver see; only where it is unset (tests), a local one."""
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/ledgerline").rstrip("/")
+    """spark.checkpoint.dir, which all executors and the driver see. Only where it is unset and all tasks run within the
+    driver (tests), a folder of this machine; on a cluster without it no folder is known to be shared."""
+    conf = spark.sparkContext.getConf()
+    folder = conf.get("spark.checkpoint.dir")
+    if not folder:
+        if not conf.get("spark.master", "").startswith("local") or conf.get("spark.master").startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = f"{tempfile.gettempdir()}/checkpoints/ledgerline"
+    return folder.rstrip("/")
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:

@@ -1,14 +1,22 @@
 """Personal data and secrets: every detected entity gets a keyed surrogate of its own kind and format, the same one
-wherever it occurs, and a different one from all other entities. DataFrame operations only."""
+wherever it occurs and however it is spelled, and a different one from all other entities. DataFrame operations only.
+
+An entity as it stands in a text is a spelling. A spelling names one or more units: a phone number its digits, a secret its
+value without the keyword, a person's name each of its words. Units get their surrogates once each, by rounds that check
+for collisions over the whole corpus; a spelling is then laid out anew from the surrogates of its units, in its own case,
+separators and title. So two spellings of one entity stay one, and "Mr X" and "Mr Y X" keep their common word."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 
-# Courtesy titles by gender, common given names by gender and script, syllables of invented surnames.
+# Courtesy titles by gender, common given names by gender and script, syllables of invented surnames,
+# endings of invented given names, letters of scripts, two-digit country codes of phone numbers.
 MALE_TITLES = ("Mr", "Herr", "Monsieur", "Sr", "Señor", "господин", "Господин")
 FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Sra", "Señora", "госпожа", "Госпожа")
 OTHER_TITLES = ("Dr", "Prof")
@@ -17,167 +25,212 @@ GIVEN = {
     ("latin", "f"): ("Alma", "Berta", "Clara", "Diana", "Emma", "Flora", "Greta", "Helena", "Ida", "Julia", "Klara", "Laura", "Maria", "Nora", "Olga", "Paula"),
     ("cyrillic", "m"): ("Антон", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Иван", "Кирилл"),
     ("cyrillic", "f"): ("Алла", "Берта", "Вера", "Галина", "Дарья", "Елена", "Инна", "Клара"),
+    ("greek", "m"): ("Άγγελος", "Γιάννης", "Δημήτρης", "Κώστας", "Νίκος", "Πέτρος"),
+    ("greek", "f"): ("Άννα", "Γεωργία", "Δήμητρα", "Ελένη", "Κατερίνα", "Σοφία"),
 }
 SYLLABLES = {
     "latin": ("ba", "be", "bor", "da", "del", "dor", "fa", "fen", "gar", "gel", "ha", "hol", "ka", "kel", "la", "len", "lo", "ma", "mer", "na", "nor", "pa", "pel", "ra", "ros", "sa", "sel", "ta", "tor", "va", "ven", "wal"),
     "cyrillic": ("ба", "бор", "ва", "вел", "га", "гор", "да", "дел", "ка", "кол", "ла", "лен", "ма", "мер", "на", "нов"),
+    "greek": ("βα", "γε", "δα", "ζο", "θε", "κα", "λα", "λε", "μα", "νι", "πα", "ρο", "σα", "τα", "φω", "χα"),
 }
+ENDINGS = {("latin", "m"): ("n", "r", "k", "s"), ("latin", "f"): ("a",), ("cyrillic", "m"): ("н", "р", "к", "с"), ("cyrillic", "f"): ("а",), ("greek", "m"): ("ς",), ("greek", "f"): ("α",)}
+#: Script -> pattern of its letters, its letters in lower case. What no other pattern takes counts as the first.
+SCRIPTS = {
+    "latin": (r"\p{L}", "abcdefghijklmnopqrstuvwxyz"), "cyrillic": (r"\p{IsCyrillic}", "абвгдежзиклмнопрстуфхцчшэюя"), "greek": (r"\p{IsGreek}", "αβγδεζηθικλμνξοπρστυφχψω"),
+    "armenian": (r"\p{IsArmenian}", "աբգդեզէթժիլխծկհձղճմյնշոչպջռսվտրցփքօֆ"), "hebrew": (r"\p{IsHebrew}", "אבגדהוזחטיכלמנסעפצקרשת"), "arabic": (r"\p{IsArabic}", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي"),
+    "devanagari": (r"\p{IsDevanagari}", "कखगघचछजझटठडढतथदधनपफबभमयरलवशसह"), "kana": (r"\p{IsHiragana}|\p{IsKatakana}", "あいうえおかきくけこさしすせそたちつてとなにぬねの"), "hangul": (r"\p{IsHangul}", "가나다라마바사아자차카타파하"),
+    "han": (r"\p{IsHan}", "一二三四五六七八九十百千万上下大小山川日月火水木金土"),
+}
+COUNTRY = r"^(?:1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+
 KEYWORDS = "password|passwd|pwd|secret|token|api_?key"
 TITLES = "|".join((*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES))
-NAME = r"\p{Lu}\p{Ll}++"
-#: Kind, pattern of the whole entity, the part kept in front, the part kept behind. The first that fits at a place counts.
+TITLE = rf"^(?:{TITLES})\.? "
+#: A word of a name: apostrophes before a capital, and hyphens, are within it.
+NAME = r"\p{Lu}(?:\p{Ll}++|['’]\p{Lu}\p{Ll}++)(?:['’]\p{Lu}\p{Ll}++|-\p{L}\p{Ll}++)*+"
+OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+KEY_FRONT = r"^(?:AKIA|gh[pousr]_|sk-|xox[abp]-)"
+SECRET_FRONT = r"^\w+ ?[=:] ?[\"']?"
+#: Kind, pattern of the whole entity. The first that fits at a place counts.
 KINDS = (
-    ("email", r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", "", r"\.[A-Za-z]+$"),
-    ("name", rf"(?<![\p{{L}}\p{{N}}])(?:{TITLES})\.? {NAME}(?: {NAME})?(?![\p{{L}}\p{{N}}])", rf"^(?:{TITLES})\.? ", ""),
-    ("secret", rf"(?<![\p{{L}}\p{{N}}])(?:(?i:{KEYWORDS})) ?[=:] ?[\"']?[^\s\"']{{6,}}+", r"^\w+ ?[=:] ?[\"']?", ""),
-    ("key", r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{16,}|xox[abp]-[A-Za-z0-9-]{10,})(?![A-Za-z0-9])", r"^(?:AKIA|gh[pousr]_|sk-|xox[abp]-)", ""),
-    ("hex", r"(?<![A-Za-z0-9])[0-9a-fA-F]{32,}+(?![A-Za-z0-9])", "", ""),
-    ("ip", r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)", "", ""),
-    ("phone", r"(?<![\d\p{L}])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\d\p{L}])(?:\(\d{3}\) ?|\d{3}-)\d{3}-\d{4}(?!\d)", r"^\+\d(?:\d*(?=[ .(-]))?", ""),
-    ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", "", ""),
-    ("card", r"(?<!\d)(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4})(?!\d)", r"^\d", ""),
+    ("email", r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
+    ("name", rf"(?<![\p{{L}}\p{{N}}])(?:{TITLES})\.? {NAME}(?: {NAME})?(?![\p{{L}}\p{{N}}])"),
+    ("secret", rf"(?<![\p{{L}}\p{{N}}])(?:(?i:{KEYWORDS})) ?[=:] ?[\"']?[^\s\"']{{6,}}(?<![.,;:!?)])"),
+    ("key", r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{16,}|xox[abp]-[A-Za-z0-9-]{10,})(?![A-Za-z0-9])"),
+    ("hex", r"(?<![A-Za-z0-9])[0-9a-fA-F]{32,}+(?![A-Za-z0-9])"),
+    ("ip", rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)"),
+    ("phone", r"(?<![\d\p{L}])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\d\p{L}])(?:\(\d{3}\) ?|\d{3}-)\d{3}-\d{4}(?!\d)"),
+    ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
+    ("card", r"(?<!\d)(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4})(?!\d)"),
 )
-DIGITS_ONLY = ("phone", "ssn", "card")
-#: The part of an entity that names it: case or separators do not make another one of it.
+#: Every entity fits this too; most texts do not.
 FAST = r"[0-9@]|(?i:" + KEYWORDS + rf")|(?:{TITLES})\.? \p{{Lu}}|AKIA|gh[pousr]_|sk-|xox[abp]-|[A-Fa-f]{{32}}"
+PATTERN = "|".join("(?:" + p.replace(r"\1", "[ -]").replace("([ -])", "[ -]") + ")" for _, p in KINDS)
+#: The space of surrogates grows with each attempt, except for kinds of fixed length, of which there are 10^9 and more.
 MAX_ATTEMPTS = 64
 
 
-def _pattern() -> str:
-    parts = []
-    for _, pattern, _, _ in KINDS:
-        parts.append(pattern.replace(r"\1", "[ -]").replace("([ -])", "[ -]"))
-    return "|".join(f"(?:{p})" for p in parts)
-
-
-PATTERN = _pattern()
-
-
-def kind_of(entity: Column) -> Column:
-    out = F.lit("card")
-    for kind, pattern, _, _ in reversed(KINDS):
-        out = F.when(entity.rlike(f"^(?:{pattern})$"), kind).otherwise(out)
-    return out
+def entities(text: Column) -> Column:
+    """Array of the entities of a text in order."""
+    return F.when(text.rlike(FAST), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
-def norm_of(entity: Column, kind: Column) -> Column:
-    return F.when(kind.isin(*DIGITS_ONLY), F.regexp_replace(entity, r"\D", "")).when(kind.isin("email", "name", "hex"), F.lower(entity)).otherwise(entity)
+def has_entity(text: Column) -> Column:
+    return F.coalesce(F.when(text.rlike(FAST), text.rlike(PATTERN)), F.lit(False))
 
 
-def _by_kind(kind: Column, choose: dict, default: Column) -> Column:
-    for k, v in choose.items():
-        default = F.when(kind == k, v).otherwise(default)
-    return default
+def _cases(cases: list[tuple[Column, Column]], default: Column) -> Column:
+    """The value of the first case that holds."""
+    return reduce(lambda rest, case: F.when(case[0], case[1]).otherwise(rest), reversed(cases), default)
 
 
-def _byte(digest: Column, at: Column | int) -> Column:
-    at = F.lit(at) if isinstance(at, int) else at
-    return F.conv(F.substr(digest, at * 2 + 1, F.lit(2)), 16, 10).cast("int")
+def _letters(text: Column) -> Column:
+    """Array of the characters."""
+    return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
 
 
-def _pick(values: tuple[str, ...], number: Column) -> Column:
-    return F.get(F.array(*[F.lit(v) for v in values]), number % len(values))
+def _script(text: Column, names: tuple[str, ...] = tuple(SCRIPTS)) -> Column:
+    return _cases([(text.rlike(SCRIPTS[s][0]), F.lit(s)) for s in names[1:]], F.lit(names[0]))
 
 
-def _name(entity: Column, key: str, attempt: Column) -> Column:
-    title = F.regexp_extract(entity, rf"^(?:{TITLES})\.? ", 0)
-    parts = F.split(F.substr(entity, F.length(title) + 1), " ")
-    bare = F.regexp_replace(title, r"[. ]+$", "")
-    first, last = F.get(parts, F.lit(0)), F.element_at(parts, -1)
-    cyrillic = last.rlike(r"\p{IsCyrillic}")
-    digest = lambda role, of, n: F.sha2(F.concat_ws("|", F.lit(key), F.lit(role), n, F.lower(of)).cast("binary"), 256)
-    d = digest("surname", last, attempt.cast("string"))
-    g = digest("given", first, F.lit("0"))
-    female = bare.isin(*FEMALE_TITLES) | (~bare.isin(*MALE_TITLES) & (first.isin(*GIVEN["latin", "f"], *GIVEN["cyrillic", "f"]) | (~first.isin(*GIVEN["latin", "m"], *GIVEN["cyrillic", "m"]) & (_byte(g, 1) % 2 == 0))))
-    given = F.when(cyrillic & female, _pick(GIVEN["cyrillic", "f"], _byte(g, 0))).when(cyrillic, _pick(GIVEN["cyrillic", "m"], _byte(g, 0))).when(female, _pick(GIVEN["latin", "f"], _byte(g, 0))).otherwise(_pick(GIVEN["latin", "m"], _byte(g, 0)))
-    surname = F.when(cyrillic, F.concat(*[_pick(SYLLABLES["cyrillic"], _byte(d, k)) for k in range(4)])).otherwise(F.concat(*[_pick(SYLLABLES["latin"], _byte(d, k)) for k in range(4)]))
-    return F.concat(title, F.when(F.size(parts) > 1, F.concat(given, F.lit(" "))).otherwise(""), F.initcap(surname))
+def spellings(found: DataFrame) -> DataFrame:
+    """entity, kind, front (what stays: a keyword or a title), core (the rest), units: (kind, norm) of each unit in order.
+    found: (entity), repeated as it may be.
 
+    A name's words are split at hyphens; the last word is a surname, another one a given name. A given name's gender is
+    the title's, else the one it mostly has beside titles in the corpus, else that of the fixed lists, else its hash's."""
+    each = found.groupBy("entity").agg(F.count("*").alias("n"))
+    each = each.withColumn("kind", _cases([(F.col("entity").rlike(f"^(?:{p})$"), F.lit(k)) for k, p in KINDS[:-1]], F.lit(KINDS[-1][0])))
+    each = each.withColumn("front", F.when(F.col("kind") == "name", F.regexp_extract("entity", TITLE, 0)).when(F.col("kind") == "secret", F.regexp_extract("entity", SECRET_FRONT, 0)).otherwise(""))
+    each = each.withColumn("core", F.substr("entity", F.length("front") + 1)).withColumn("given", F.when((F.col("kind") == "name") & F.col("core").contains(" "), F.lower(F.regexp_extract("core", "^[^ -]+", 0))))
+    title = F.regexp_replace("front", r"[. ]+$", "")
+    each = materialize(each.withColumn("gender", F.when(F.col("given").isNotNull(), F.when(title.isin(*MALE_TITLES), "m").when(title.isin(*FEMALE_TITLES), "f"))), "spellings")
+    votes = each.filter("gender is not null").groupBy("given").agg(F.sum(F.when(F.col("gender") == "m", F.col("n")).otherwise(-F.col("n"))).alias("_v")).select(F.col("given").alias("_g"), F.when(F.col("_v") >= 0, "m").otherwise("f").alias("_voted"))
+    known = lambda g: F.col("given").isin(*[x.lower() for (_, sex), names in GIVEN.items() if sex == g for x in names])
+    guess = F.when(known("m"), "m").when(known("f"), "f").otherwise(F.when(F.pmod(F.xxhash64("given"), F.lit(2)) == 0, "f").otherwise("m"))
+    each = each.join(votes, F.coalesce("given", "entity") == F.col("_g"), "left").withColumn("gender", F.coalesce("gender", "_voted", guess))
+    core, digits = F.col("core"), F.regexp_replace("core", r"\D", "")
+    plain = F.when((F.col("kind") == "secret") & core.rlike(f"^(?:{KINDS[3][1]})$"), "key").when((F.col("kind") == "secret") & core.rlike(f"^(?:{KINDS[4][1]})$"), "hex").otherwise(F.col("kind"))
+    each = each.withColumn("plain", plain)
+    low = F.when(F.length(F.lower(core)) == F.length(core), F.lower(core)).otherwise(core)
+    norm = F.when(F.col("plain").isin("email", "hex"), low).when((F.col("plain") == "phone") & ~core.startswith("+"), F.concat(F.lit("1"), digits)).when(F.col("plain").isin("phone", "ssn", "card"), digits).otherwise(core)
+    first = F.when(F.col("given").isNotNull(), F.size(F.split(F.substring_index("core", " ", 1), "-"))).otherwise(0)
+    word = lambda p, i: F.struct(F.concat_ws(":", F.when(i < first, F.concat(F.lit("given:"), F.col("gender"))).otherwise("surname"), _script(p)).alias("kind"), F.lower(F.regexp_replace(p, r"^\p{Lu}['’]", "")).alias("norm"))
+    units = F.when(F.col("kind") == "name", F.transform(F.split(core, "[ -]"), word)).otherwise(F.array(F.struct(F.col("plain").alias("kind"), norm.alias("norm"))))
+    return materialize(each.select("entity", "kind", "plain", "front", "core", units.alias("units")), "spelled")
 
-def surrogate(entity: Column, key: str, attempt: Column) -> Column:
-    """The replacement of an entity at an attempt: letters for letters, digits for digits, in their case and place; an
-    address of an IP network, a card number with a right check digit, a name of the same gender and script."""
-    kind = kind_of(entity)
-    digest = F.sha2(F.concat_ws("|", F.lit(key), kind, attempt.cast("string"), norm_of(entity, kind)).cast("binary"), 512)
-    front = F.regexp_extract(entity, "^", 0)
-    behind = F.lit("")
-    for k, _, before, after in KINDS:
-        front = F.when(kind == k, F.regexp_extract(entity, before, 0)).otherwise(front) if before else front
-        behind = F.when(kind == k, F.regexp_extract(entity, after, 0)).otherwise(behind) if after else behind
-    body = F.substr(entity, F.length(front) + 1, F.length(entity) - F.length(front) - F.length(behind))
 
-    def change(c: Column, i: Column) -> Column:
-        nth = F.length(F.regexp_replace(F.substr(body, F.lit(1), i), r"[^\p{L}\p{N}]", "")) % 64
-        v = _byte(digest, nth)
-        letters = F.when((kind == "hex") | ((kind == "secret") & body.rlike("^[0-9a-fA-F]+$")), v % 6).otherwise(v % 26)
-        return F.when(c.rlike(r"\p{Nd}"), (v % 10).cast("string")).when(c.rlike(r"\p{Lu}"), F.char(letters + 65)).when(c.rlike(r"\p{L}"), F.char(letters + 97)).otherwise(c)
+def surrogate(kind: Column, norm: Column, digest: Column, attempt: int) -> Column:
+    """The surrogate of a unit from a digest (128 hex digits) of key, kind, norm and attempt. Digits for digits, letters of
+    the same script for letters; card numbers with a right check digit; names of the same gender. Names get a
+    syllable more with each attempt, secrets and addresses a letter from the third attempt on."""
+    byte = lambda i: F.conv(F.substr(digest, (i % 64) * 2 + 1, F.lit(2)), 16, 10).cast("int")
+    at = lambda i: byte(F.lit(i))
+    pick = lambda values, v: F.get(F.array(*[F.lit(x) for x in values]), v % len(values))
+    hexes = (kind == "hex") | ((kind == "secret") & norm.rlike("^[0-9a-fA-F]+$"))
 
-    plain = F.concat(front, F.array_join(F.transform(F.split(body, ""), change), ""), behind)
-    # check digit: from the right, every second digit doubled, digits of the doubles added up
-    figures = F.reverse(F.transform(F.split(F.regexp_replace(plain, r"\D", ""), ""), lambda x: x.cast("int")))
-    total = F.aggregate(F.transform(figures, lambda x, i: F.when(i == 0, 0).when(i % 2 == 1, x * 2 - F.when(x > 4, 9).otherwise(0)).otherwise(x)), F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)))
-    card = F.concat(F.substr(plain, F.lit(1), F.length(plain) - 1), ((10 - total % 10) % 10).cast("string"))
-    ip = F.concat_ws(".", *[(_byte(digest, k) % 254 + 1).cast("string") for k in range(4)])
-    return _by_kind(kind, {"ip": ip, "card": card, "name": _name(entity, key, attempt)}, plain)
+    def letter(c: Column, v: Column) -> Column:
+        script = lambda s: F.substr(F.lit(SCRIPTS[s][1]), v % len(SCRIPTS[s][1]) + 1, F.lit(1))
+        return _cases([(hexes, F.substr(F.lit("abcdef"), v % 6 + 1, F.lit(1))), *[(c.rlike(SCRIPTS[s][0]), script(s)) for s in list(SCRIPTS)[1:]]], script("latin"))
 
+    def changed(text: Column) -> Column:
+        def one(c: Column, i: Column) -> Column:
+            plain = letter(c, byte(i))
+            return F.when(c.rlike(r"\p{Nd}"), (byte(i) % 10).cast("string")).when(c.rlike(r"\p{Lu}"), F.upper(plain)).when(c.rlike(r"\p{L}"), plain).otherwise(c)
 
-def entities(text: Column) -> Column:
-    """Array of the entities of a text in order."""
-    return F.when(text.rlike(FAST), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+        return F.array_join(F.transform(_letters(text), one), "")
 
+    def invented(script: str, syllables: int, ends: tuple[str, ...]) -> Column:
+        parts = [pick(SYLLABLES[script], at(k)) for k in range(syllables)] + ([pick(ends, at(63))] if ends else [])
+        return F.concat(*parts)
 
-def later_attempts(found: DataFrame, key: str) -> DataFrame | None:
-    """(kind, norm, attempt) of the entities that cannot have their first surrogate; None if all can. found: (entity).
+    def kept(front: str) -> Column:
+        start = F.regexp_extract(norm, front, 0)
+        return F.concat(start, changed(F.substr(norm, F.length(start) + 1)))
 
-    Of entities with the same surrogate one keeps it, and none may have a surrogate that is an entity itself; the rest
-    try again against all that is taken, until none is left."""
-    kind = kind_of(F.col("entity"))
-    known = found.select(kind.alias("kind"), norm_of(F.col("entity"), kind).alias("norm"), "entity").groupBy("kind", "norm").agg(F.min("entity").alias("entity"))
-    known = materialize(known, "entities")
-    taken, rest, out = known.select("kind", F.col("norm").alias("value")), known, None
+    code = F.regexp_extract(norm, COUNTRY, 0)
+    number = changed(F.substr(norm, F.length(code) + 1))
+    phone = F.concat(code, (at(62) % 8 + 2).cast("string"), F.substr(number, F.lit(2)))
+    # check digit: from the right, every second digit doubled, digits of the doubles added up
+    card = F.concat(F.substr(norm, F.lit(1), F.lit(1)), changed(F.substr(norm, F.lit(2), F.length(norm) - 2)))
+    doubles = F.transform(_letters(F.reverse(card)), lambda x, i: F.when(i % 2 == 0, x.cast("int") * 2 - F.when(x.cast("int") > 4, 9).otherwise(0)).otherwise(x.cast("int")))
+    card = F.concat(card, ((10 - F.aggregate(doubles, F.lit(0), lambda a, x: a + x) % 10) % 10).cast("string"))
+    more = F.concat(*[F.substr(F.lit("abcdef"), at(50 - k) % 6 + 1, F.lit(1)) for k in range(attempt - 1)]) if attempt > 1 else F.lit("")
+    tail = F.regexp_extract(norm, r"\.[A-Za-z]+$", 0)
+    email = F.concat(more, changed(F.substr(norm, F.lit(1), F.length(norm) - F.length(tail))), tail)
+    ip = F.concat_ws(".", *[(at(k) % 254 + 1).cast("string") for k in range(4)])
+    cases = [(kind == "email", email), (kind == "secret", F.concat(changed(norm), more)), (kind == "key", kept(KEY_FRONT)), (kind == "ip", ip), (kind == "phone", phone), (kind == "card", card)]
+    for script in SYLLABLES:
+        cases.append((kind == f"surname:{script}", invented(script, 3 + attempt, ())))
+        for sex in "mf":
+            given = pick([x.lower() for x in GIVEN[script, sex]], at(0)) if attempt == 0 else invented(script, 1 + attempt, ENDINGS[script, sex])
+            cases.append((kind == f"given:{sex}:{script}", given))
+    return _cases(cases, F.concat(changed(norm), F.when(kind.rlike("^(?:given|surname):"), more).otherwise("")))
+
+
+def assign(units: DataFrame, secret: str) -> DataFrame:
+    """(kind, norm, value) for the distinct units (kind, norm).
+
+    A round proposes a surrogate for each unit left. Of units with the same proposal one takes it, if no unit is spelled
+    so and none before took it; the rest go on to the next round, with another digest and more space. All checks are
+    joins on (kind, value), and each round is written out, so a later one reads tables and not the plans of all before."""
+    rest, taken, out = units, units.select("kind", F.col("norm").alias("value")), None
     for attempt in range(MAX_ATTEMPTS):
-        tried = rest.withColumn("s", surrogate(F.col("entity"), key, F.lit(attempt)))
-        tried = tried.withColumn("value", norm_of(F.col("s"), F.col("kind")))
+        digest = F.sha2(F.concat_ws("|", F.lit(secret), "kind", F.lit(str(attempt)), "norm").cast("binary"), 512)
+        tried = rest.withColumn("digest", digest).withColumn("value", surrogate(F.col("kind"), F.col("norm"), F.col("digest"), attempt)).drop("digest")
         won = tried.groupBy("kind", "value").agg(F.min("norm").alias("norm")).join(taken, ["kind", "value"], "left_anti")
-        lost = rest.join(won.select("kind", "norm"), ["kind", "norm"], "left_anti")
-        lost = materialize(lost, "collided")
-        if attempt:
-            chosen = won.select("kind", "norm", F.lit(attempt).alias("attempt"))
-            out = chosen if out is None else out.unionByName(chosen)
+        won = materialize(won.select("kind", "norm", "value"), "surrogates")
+        out = won if out is None else out.unionByName(won)
+        lost = materialize(rest.join(won.select("kind", "norm"), ["kind", "norm"], "left_anti"), "collided")
         if lost.isEmpty():
-            return None if out is None else materialize(out, "attempts")
+            return out
         taken, rest = taken.unionByName(won.select("kind", "value")), lost
     raise ValueError(f"{MAX_ATTEMPTS} attempts leave entities without a surrogate of their own")
 
 
+def laid_out(spelled: DataFrame, values: DataFrame) -> DataFrame:
+    """(entity, kind, put): each spelling with the surrogates of its units in its own case and separators."""
+    each = spelled.select("entity", F.posexplode("units").alias("_at", "_u")).select("entity", "_at", F.col("_u.kind").alias("kind"), F.col("_u.norm").alias("norm"))
+    found = each.join(values, ["kind", "norm"]).groupBy("entity").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "value"))), lambda x: x["value"]).alias("v"))
+    core, value = F.col("core"), F.get("v", F.lit(0))
+    own = F.col("chars")
+    cased = F.array_join(F.transform(_letters(value), lambda c, i: F.when(F.coalesce(F.get(own, i), F.lit("")).rlike(r"\p{Lu}"), F.upper(c)).otherwise(c)), "")
+    nth = lambda i: F.length(F.regexp_replace(F.substr(core, F.lit(1), i), r"\D", "")) + F.when((F.col("plain") == "phone") & ~core.startswith("+"), 1).otherwise(0)
+    figures = F.array_join(F.transform(own, lambda c, i: F.when(c.rlike(r"\d"), F.substr(value, nth(i) + 1, F.lit(1))).otherwise(c)), "")
+    capital = lambda v, p: F.concat(F.regexp_extract(p, r"^\p{Lu}['’](?=\p{Lu})", 0), F.when(p.rlike(r"^\p{Ll}"), v).otherwise(F.concat(F.upper(F.substr(v, F.lit(1), F.lit(1))), F.substr(v, F.lit(2)))))
+    words = F.zip_with("v", F.split(core, "[ -]"), capital)
+    gaps = F.concat(F.regexp_extract_all(core, F.lit("[ -]"), F.lit(0)), F.array(F.lit("")))
+    name = F.array_join(F.zip_with(words, gaps, lambda w, g: F.concat(w, g)), "")
+    body = F.when(F.col("plain") == "name", name).when(F.col("plain").isin("email", "hex"), cased).when(F.col("plain").isin("phone", "ssn", "card"), figures).otherwise(value)
+    return spelled.join(found, "entity").withColumn("chars", _letters(core)).select("entity", "kind", F.concat("front", body).alias("put"))
+
+
 def replace_entities(docs: DataFrame, secret: str = "corpus", text: str = "text") -> DataFrame:
     """docs with the text's entities replaced, and n_entities and entity_kinds (distinct kinds, joined) after its columns.
 
-    Equal entities get equal surrogates in all documents, different ones different surrogates, none of which occurs
-    as an entity. Only entities whose first surrogate collides need a look-up; it is joined by a hash of the text.
+    Equal entities get equal surrogates in all documents, different ones different surrogates, none of which is an entity
+    of the corpus; see spellings() for what counts as equal. Texts without an entity are not shuffled; those with
+    one are written out once, and meet their surrogates as lists of one text each.
 
     A null text stays null with no entities; repeated rows are each replaced alike; an empty table gives no rows; columns
     of docs named n_entities or entity_kinds give way to the operator's."""
-    found = docs.select(F.explode(entities(F.col(text))).alias("entity"))
-    again = later_attempts(found, secret)
-    rows = docs.withColumn("_pii_found", F.coalesce(entities(F.col(text)), F.array().cast("array<string>")))
-    attempt = lambda e: F.lit(0)
-    if again is not None:
-        named = lambda kind, norm: F.concat_ws("|", kind, norm)
-        rows = rows.withColumn("_pii_text", F.xxhash64(text))
-        each = rows.filter(F.size("_pii_found") > 0).select("_pii_text", F.explode("_pii_found").alias("entity")).distinct()
-        each = each.withColumn("kind", kind_of(F.col("entity"))).withColumn("norm", norm_of(F.col("entity"), F.col("kind")))
-        other = each.join(again, ["kind", "norm"]).select("_pii_text", named(F.col("kind"), F.col("norm")).alias("k"), "attempt").distinct()
-        other = other.groupBy("_pii_text").agg(F.map_from_entries(F.collect_list(F.struct("k", "attempt"))).alias("_pii_attempts"))
-        rows = rows.join(other, "_pii_text", "left")
-        attempt = lambda e: F.coalesce(F.try_element_at(F.col("_pii_attempts"), named(kind_of(e), norm_of(e, kind_of(e)))), F.lit(0))
+    names = [c for c in docs.columns if c not in ("n_entities", "entity_kinds")]
+    own = [F.col(f"`{c}`") for c in names]
+    has = has_entity(F.col(text))
+    clean = docs.filter(~has).select(*own, F.lit(0).cast("long").alias("n_entities"), F.lit("").alias("entity_kinds"))
+    hit = materialize(docs.filter(has).select(*own, entities(F.col(text)).alias("_pii_found"), F.monotonically_increasing_id().alias("_pii_row")), "personal")
+    each = hit.select("_pii_row", F.posexplode("_pii_found").alias("_pii_at", "entity"))
+    spelled = spellings(each.select("entity"))
+    units = materialize(spelled.select(F.explode("units").alias("u")).select("u.kind", "u.norm").distinct(), "units")
+    put = materialize(laid_out(spelled, assign(units, secret)), "put")
+    found = each.join(put, "entity").groupBy("_pii_row").agg(F.array_sort(F.collect_list(F.struct("_pii_at", "put", "kind"))).alias("_pii_put"))
     gaps = F.split(F.col(text), PATTERN)
-    put = F.concat(F.transform(F.col("_pii_found"), lambda e: surrogate(e, secret, attempt(e))), F.array(F.lit("")))
-    woven = F.array_join(F.zip_with(gaps, put, lambda g, s: F.concat(g, s)), "")
-    return rows.select(
-        *[F.when(F.size("_pii_found") > 0, woven).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in docs.columns if c not in ("n_entities", "entity_kinds")],
-        F.size("_pii_found").cast("long").alias("n_entities"), F.array_join(F.array_sort(F.array_distinct(F.transform(F.col("_pii_found"), kind_of))), ",").alias("entity_kinds"),
+    woven = F.array_join(F.zip_with(gaps, F.concat(F.transform("_pii_put", lambda x: x["put"]), F.array(F.lit(""))), lambda g, s: F.concat(g, s)), "")
+    changed = hit.join(found, "_pii_row").select(
+        *[woven.alias(text) if c == text else F.col(f"`{c}`") for c in names],
+        F.size("_pii_put").cast("long").alias("n_entities"), F.array_join(F.array_sort(F.array_distinct(F.transform("_pii_put", lambda x: x["kind"]))), ",").alias("entity_kinds"),
     )
+    return clean.unionByName(changed)
 
 
 def without_personal_data(docs: DataFrame, secret: str = "corpus") -> DataFrame:

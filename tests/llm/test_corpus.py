@@ -227,7 +227,7 @@ def test_surrogates(spark):
 
 
 def test_collisions_are_resolved(spark, monkeypatch):
-    monkeypatch.setattr(pii, "surrogate", lambda e, key, attempt: F.concat(F.substring(e, 1, 2), F.lit(".1.1."), attempt.cast("string")))
+    monkeypatch.setattr(pii, "surrogate", lambda kind, norm, digest, attempt: F.concat(F.substring(norm, 1, 2), F.lit(f".1.1.{attempt}")))
     docs = spark.createDataFrame([(k, f"10.1.{k}.7 and 10.1.{k}.7") for k in range(4)], "doc_id long, text string")
     texts = [r["text"] for r in pii.replace_entities(docs).collect()]
     assert len(set(texts)) == 4 and all(len(set(t.split(" and "))) == 1 for t in texts)
