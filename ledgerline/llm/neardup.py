@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,10 @@ from .textnum import U, chunks, hash_words, mix, powers, shingles, sums, times
 
 BANDS, ROWS = 36, 5
 T = BANDS * ROWS
+#: About so many sets meet one copy of their centre's text.
+PAIRS = 512
+#: Bits of a set's parities.
+PARITY = 512
 
 
 def sketch(g: np.ndarray, offsets: np.ndarray, t: int = T) -> np.ndarray:
@@ -47,68 +52,77 @@ def sketch(g: np.ndarray, offsets: np.ndarray, t: int = T) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int, key: str = "doc_id") -> DataFrame:
-    """key, n (number of distinct shingles), s (64-bit name of the set), bands."""
+    """key, n (number of distinct shingles), s (64-bit name of the set), bands. Keys pass as they are, whatever their type."""
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            keys, texts = pdf[key], pdf["text"].tolist()
-            for a, b, raws in chunks(texts):
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(key)
+            for a, b, raws in chunks(batch.column("text").to_pylist()):
                 g, offsets = shingles(*hash_words(raws, lower=True), width)
                 n = np.diff(offsets)
-                s = mix(sums(mix(g), offsets) + mix(sums(mix(g ^ U(0x5851F42D4C957F2D)), offsets)) + n.astype(U))
                 coordinates = sketch(g, offsets)
                 banded = (mix(coordinates).reshape(len(n), BANDS, ROWS) * powers(ROWS)).sum(axis=2, dtype=U)
                 banded = mix(banded + np.arange(1, BANDS + 1, dtype=U) * U(0x9FB21C651E98DF25)).view(np.int64)
-                full = n > 0
-                yield pd.DataFrame({
-                    key: keys.iloc[a:b].to_numpy(), "n": n, "s": s.view(np.int64),
-                    "bands": [x if f else x[:0] for x, f in zip(banded, full, strict=True)],
-                })
+                ends = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))])
+                bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(banded[n > 0].reshape(-1)))
+                yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), pa.array(n, pa.int64()), pa.array(set_name(g, offsets)), bands], [key, "n", "s", "bands"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, "text").mapInPandas(sign, f"{key} {kind}, n long, s long, bands array<long>")
+    return docs.select(key, "text").mapInArrow(sign, f"`{key}` {docs.schema[key].dataType.simpleString()}, n long, s long, bands array<long>")
 
 
-def compare(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b, linked, small, added, lost, shown) of pairs (a, b, multi): whether 100 * intersection >= percent * union of
-    the full sets; small: b has fewer shingles than a.
+def set_name(g: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each set of shingles, from two sums over its elements and its size."""
+    return mix(sums(mix(g), offsets) + mix(sums(mix(g ^ U(0x5851F42D4C957F2D)), offsets)) + np.diff(offsets).astype(U)).view(np.int64)
 
-    For multi pairs, what could tell of links between b and other sets that are compared with a. Be a the centre, x and y
-    sets with A and R what they have and lack against it, D both, |x - y| their symmetric difference, f = (100 -
-    percent) / (100 + percent). x and y are linked if |x - y| <= f (|x| + |y|). Counting by A and R apart gives: if x
-    is not linked with a, a link of x and y needs at least (|D(x)| - f (|x| + |a|)) / 2 > 0 common elements of A(x) and
-    A(y) if |y| >= |a|, of R(x) and R(y) otherwise. So x and y share one among the first elements of each, in hash
-    order, as many as the set has less that number, plus one. added and lost are those of A(b) and R(b), empty for a
-    linked pair; shown are those of A(b), or of R(b) if b is small, for the other side of the comparison."""
-    f = (100 - percent) / (100 + percent)
 
-    def first(tokens: np.ndarray, n: int) -> np.ndarray:
-        return np.sort(tokens)[: max(n, 0)].view(np.int64)
+def compare(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b, linked, apart, n, more, less, added, lost, by_lost, parity) of pairs (a, b, multi): linked tells whether
+    100 * intersection >= percent * union of the full sets.
+
+    The rest is for multi pairs, null for others: what could tell of links between b and the other sets that are compared
+    with a. Be a the centre, x and y sets with A and R what they have and lack against it, |x - y| their symmetric
+    difference, f = (100 - percent) / (100 + percent), and excess(x) = |A(x)| + |R(x)| - f (|x| + |a|), positive if x is
+    apart from a. x and y are linked if |x - y| <= f (|x| + |y|). Counting A and R apart, a link needs
+    2 |A(x) & A(y)| >= excess(x) + (1 - f) (|y| - |a|) and 2 |R(x) & R(y)| >= excess(x) + (1 + f) (|a| - |y|).
+    So a set apart shares an added element with each set that it is linked to, unless that one is smaller than a by
+    excess(x) / (1 - f) or more, and then it shares a lost one. As linked sets have sizes alike, each set needs only show
+    the first of its added elements, in hash order, as many as it has less the number it must share, plus one.
+
+    n: size of b; more, less: |A(b)|, |R(b)|; by_lost: b is apart and could be linked with so small a set; parity: bits, each
+    the parity of how many of b's elements fall on it, so two sets differ in as many elements as bits or more."""
+    f, least = (100 - percent) / (100 + percent), percent / 100
+
+    def first(tokens: np.ndarray, shared: float) -> np.ndarray:
+        return np.sort(tokens)[: len(tokens) - max(int(np.ceil(shared - 1e-6)), 1) + 1].view(np.int64)
+
+    def tell(x: np.ndarray, y: np.ndarray, linked: bool) -> tuple:
+        added, lost = mix(np.setdiff1d(y, x, assume_unique=True)), mix(np.setdiff1d(x, y, assume_unique=True))
+        excess = len(added) + len(lost) - f * (len(x) + len(y))
+        smaller = max(0.0, len(x) - least * len(y))  # than a by so much, at most, is a set linked with b
+        by_lost = not linked and excess <= (1 - f) * smaller + 1e-6
+        shown = first(lost, min(excess if not linked else np.inf, (1 + f) * (len(x) - len(y)) if len(y) < len(x) else np.inf) / 2) if by_lost or len(y) < len(x) else lost[:0].view(np.int64)
+        parity = np.packbits(np.bincount((y & U(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).view(np.int64)
+        return not linked, len(y), len(added), len(lost), first(added, (excess - (1 - f) * smaller) / 2), shown, by_lost, parity
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             both = [x for pair in zip(pdf["x"], pdf["y"], strict=True) for x in pair]
-            multi, out = pdf["multi"].to_numpy(), []
+            multi, linked, told = pdf["multi"].to_numpy(), [], []
             for a, b, raws in _even(both):
                 g, offsets = shingles(*hash_words(raws, lower=True), width)
                 for k in range(0, b - a, 2):
                     x, y = g[offsets[k] : offsets[k + 1]], g[offsets[k + 1] : offsets[k + 2]]
                     common = len(np.intersect1d(x, y, assume_unique=True))
-                    linked = bool(100 * common >= percent * (len(x) + len(y) - common))
-                    added, lost, shown = (np.zeros(0, np.int64) for _ in range(3))
-                    if multi[len(out)]:
-                        more, less = mix(np.setdiff1d(y, x, assume_unique=True)), mix(np.setdiff1d(x, y, assume_unique=True))
-                        need = int(max(1, np.ceil((len(more) + len(less) - f * (len(x) + len(y))) / 2 - 1e-6)))
-                        side = more if len(y) >= len(x) else less
-                        shown = first(side, len(side) - need + 1)
-                        if not linked:
-                            added, lost = first(more, len(more) - need + 1), first(less, len(less) - need + 1)
-                    out.append((linked, len(y) < len(x), added, lost, shown))
-            yield pdf[["a", "b"]].assign(**{c: [o[k] for o in out] for k, c in enumerate(("linked", "small", "added", "lost", "shown"))})
-
-    side = lambda c, m: texts.select(F.col("s").alias(c), F.col("text").alias(m))
-    kinds = "a long, b long, linked boolean, small boolean, added array<long>, lost array<long>, shown array<long>"
-    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").mapInPandas(check, kinds)
+                    linked.append(bool(100 * common >= percent * (len(x) + len(y) - common)))
+                    told.append(tell(x, y, linked[-1]) if multi[len(told)] else (not linked[-1], len(y), 0, 0, None, None, False, None))
+            yield pdf[["a", "b"]].assign(linked=linked, **{c: [t[k] for t in told] for k, c in enumerate(("apart", "n", "more", "less", "added", "lost", "by_lost", "parity"))})
+
+    fan = pairs.groupBy("a").agg((F.count("*") / PAIRS).cast("int").alias("_z"))
+    some = pairs.join(fan, "a").withColumn("_z", F.pmod(F.xxhash64("b"), F.col("_z") + 1).cast("int"))
+    centres = texts.select(F.col("s").alias("a"), F.col("text").alias("x")).join(fan, "a").withColumn("_z", F.explode(F.sequence(F.lit(0), F.col("_z"))))
+    kinds = "a long, b long, linked boolean, apart boolean, n long, more long, less long, added array<long>, lost array<long>, by_lost boolean, parity array<long>"
+    met = some.join(texts.select(F.col("s").alias("b"), F.col("text").alias("y")), "b").join(centres, ["a", "_z"])
+    return met.select("a", "b", "multi", "x", "y").mapInPandas(check, kinds)
 
 
 def _even(texts: list[str]) -> Iterator[tuple[int, int, list[bytes]]]:
@@ -128,23 +142,21 @@ def texts_of(docs: DataFrame, nodes: DataFrame, width: int, key: str) -> DataFra
     def same(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for a, b, raws in chunks(pdf["text"].tolist()):
-                g, offsets = shingles(*hash_words(raws, lower=True), width)
-                n = np.diff(offsets)
-                s = mix(sums(mix(g), offsets) + mix(sums(mix(g ^ U(0x5851F42D4C957F2D)), offsets)) + n.astype(U)).view(np.int64)
                 part = pdf.iloc[a:b]
-                yield part.loc[part["s"].to_numpy() == s, ["s", "text"]]
+                yield part.loc[part["s"].to_numpy() == set_name(*shingles(*hash_words(raws, lower=True), width)), ["s", "text"]]
 
     wanted = nodes.select("s", F.col("id").alias(key))
-    return docs.select(key, "text").join(wanted, key).mapInPandas(same, "s long, text string")
+    return docs.select(key, "text").join(wanted, key).select("s", "text").mapInPandas(same, "s long, text string")
 
 
 def near_links(docs: DataFrame, nodes: DataFrame, width: int, percent: int, key: str) -> DataFrame:
     """Edges (u, v) between sets that connect exactly the sets which true links connect.
 
     All sets of a bucket are compared with its centre, the one that shares most buckets with most others: as many pairs
-    as the bucket has members. Those linked with it are one component. A set that is not can be linked with another of
-    the bucket only if both differ from the centre in a common element; compare() gives so few of them that joining on
-    them finds these pairs, and no bucket makes a square of pairs."""
+    as the bucket has members. Those linked with it are one component. A set apart from it can be linked with another of
+    the bucket only if both differ from the centre in a common element; compare() shows those elements. The sets that
+    show the same one are first compared with one of them, again as many pairs as sets, which joins those that belong
+    together; what is left, sets of different components whose counts and parities allow a link, is compared pair by pair."""
     members = nodes.select("s", F.explode("bands").alias("band"))
     sizes = members.groupBy("band").agg(F.min("s").alias("_a"), F.max("s").alias("_b"), F.count("*").alias("n")).filter("_a < _b").select("band", "n")
     members = materialize(members.join(sizes, "band"), "buckets")
@@ -154,18 +166,40 @@ def near_links(docs: DataFrame, nodes: DataFrame, width: int, percent: int, key:
     wanted = fame.select("s").join(nodes.select("s", "id"), "s")
     texts = materialize(texts_of(docs, wanted, width, key).dropDuplicates(["s"]), "texts")
     told = materialize(compare(pairs, texts, width, percent), "compared")
-    edges = told.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    edge = lambda df: df.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    edges = edge(told)
+
+    shown = lambda c, lost: F.transform(F.coalesce(c, F.array().cast("array<long>")), lambda t: F.struct(F.lit(lost).alias("lost"), t.alias("t")))
+    tokens = told.filter("added is not null").select("a", F.col("b").alias("s"), "apart", "n", "more", "less", "by_lost", F.explode(F.concat(shown(F.col("added"), False), shown(F.col("lost"), True))).alias("x"))
+    tokens = tokens.select("a", "x.lost", "x.t", "s", "apart", "n", "more", "less", "by_lost")
+    shared = tokens.groupBy("a", "lost", "t").agg(F.min("s").alias("_c"), F.max("s").alias("_d"), F.max("apart").alias("_any")).filter("_c < _d and _any").select("a", "lost", "t", F.col("_c").alias("c"))
+    tokens = materialize(tokens.join(shared, ["a", "lost", "t"]), "tokens")
     roots = materialize(components(edges), "roots")
-    root = lambda c, out: roots.select(F.col("node").alias(c), F.col("root").alias(out))
-    tokens = lambda c, lost: F.explode(F.transform(c, lambda x: F.struct(F.lit(lost).alias("lost"), x.alias("t"))))
-    apart = told.filter("not linked")
-    mine = apart.select("a", "b", tokens("added", False).alias("x")).unionByName(apart.select("a", "b", tokens("lost", True).alias("x")))
-    mine = mine.select("a", F.col("b").alias("s"), "x.lost", "x.t").join(root("s", "_r"), "s", "left").withColumn("_r", F.coalesce("_r", "s"))
-    other = told.select("a", F.col("b").alias("o"), "small", F.explode("shown").alias("t")).withColumnRenamed("small", "lost")
-    other = other.join(root("o", "_q"), "o", "left").withColumn("_q", F.coalesce("_q", "o"))
-    more = mine.join(other, ["a", "lost", "t"]).filter("s != o and _r != _q").select(F.least("s", "o").alias("a"), F.greatest("s", "o").alias("b")).distinct()
-    found = compare(more.withColumn("multi", F.lit(False)), texts, width, percent).filter("linked")
-    return materialize(edges.unionByName(found.select(F.col("a").alias("u"), F.col("b").alias("v"))), "links")
+    leads = _with_roots(tokens.select("s", "c").distinct().filter("s != c"), roots).join(roots.select(F.col("node").alias("c"), F.col("root").alias("_q")), "c", "left")
+    leads = leads.filter(F.col("root") != F.coalesce("_q", "c")).select(F.least("s", "c").alias("a"), F.greatest("s", "c").alias("b")).distinct().withColumn("multi", F.lit(False))
+    second = materialize(compare(leads, texts, width, percent), "compared")
+    edges = edges.unionByName(edge(second))
+
+    mine = _with_roots(tokens.drop("c"), materialize(components(edges), "roots"))
+    mixed = mine.groupBy("a", "lost", "t").agg(F.min("root").alias("_r"), F.max("root").alias("_q")).filter("_r < _q").select("a", "lost", "t")
+    parity = told.filter("parity is not null").select(F.col("b").alias("s"), *[F.get("parity", F.lit(k)).alias(f"p{k}") for k in range(PARITY // 64)]).dropDuplicates(["s"])
+    mine = materialize(mine.join(mixed, ["a", "lost", "t"]).join(parity, "s"), "mixed")
+    x, y, f = mine.filter("apart and (not lost or by_lost)").alias("x"), mine.alias("y"), (100 - percent) / (100 + percent)
+    of = lambda c: (F.col(f"x.{c}"), F.col(f"y.{c}"))
+    could = 2 * (F.least(*of("more")) + F.least(*of("less"))) >= F.col("x.more") + F.col("x.less") + F.col("y.more") + F.col("y.less") - f * (F.col("x.n") + F.col("y.n")) - 1e-6
+    size = F.col("x.n") - F.col("x.more") + F.col("x.less")  # of the centre
+    small = ~F.col("x.lost") | (F.col("x.more") + F.col("x.less") - f * (F.col("x.n") + size) <= (1 - f) * (size - F.col("y.n")) + 1e-6)
+    same = (F.col("x.a") == F.col("y.a")) & (F.col("x.lost") == F.col("y.lost")) & (F.col("x.t") == F.col("y.t"))
+    bits = sum((F.bit_count(F.col(f"x.p{k}").bitwiseXOR(F.col(f"y.p{k}"))) for k in range(PARITY // 64)), F.lit(0))
+    near = bits <= f * (F.col("x.n") + F.col("y.n")) + 1e-6
+    more = x.join(y, same & (F.col("x.root") != F.col("y.root")) & could & small & near).select(F.least(*of("s")).alias("a"), F.greatest(*of("s")).alias("b")).distinct()
+    more = more.join(second.select("a", "b"), ["a", "b"], "left_anti").withColumn("multi", F.lit(False))
+    return materialize(edges.unionByName(edge(compare(more, texts, width, percent))), "links")
+
+
+def _with_roots(df: DataFrame, roots: DataFrame) -> DataFrame:
+    """df (s, ..) with root, the set itself where it has no link."""
+    return df.join(roots.select(F.col("node").alias("s"), "root"), "s", "left").withColumn("root", F.coalesce("root", "s"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:

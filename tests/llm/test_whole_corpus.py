@@ -48,3 +48,31 @@ def test_mixed_rows_meet_the_budget(spark):
     for r in mixing.mixed_rows(docs).collect():
         got[r["source"]] += len(r["text"].split())
     assert got == target
+
+
+def test_sets_apart_from_their_centre_are_linked(spark):
+    """Groups whose members are all far from the bucket's centre, some of them near each other: no link is lost."""
+    import random
+
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for g in range(6):
+        lead = list(base)
+        for k in rng.sample(range(120), 5 + 2 * g):
+            lead[k] = f"g{g}x{k}"
+        for m in range(5):
+            own = list(lead)
+            for k in rng.sample(range(120), rng.randint(0, 3)):
+                own[k : k + 1] = rng.choice(([], [f"m{g}{m}{k}"], [own[k], "more"]))
+            rows.append((len(rows), " ".join(own)))
+    rows += [(100 + k, " ".join(base[: 120 - 3 * k])) for k in range(8)] + [(200 + k, " ".join(base[5 * k :] + ["tail"] * k)) for k in range(4)]
+    sets = {i: {tuple(w[k : k + 3]) for k in range(len(w) - 2)} for i, t in rows for w in [t.split()]}
+    low = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    for _ in rows:
+        for a, b in links:
+            low[a] = low[b] = min(low[a], low[b])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs, width=3, percent=85).collect()}
+    assert got == low and len(set(low.values())) > 3
