@@ -8,7 +8,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +20,7 @@ MAGIC = b"\x1f\x8b\x08"
 REVISIT_BYTES = 100
 SPLIT_BYTES = 4 << 20
 READ_BYTES = 1 << 18
-HEADER_BYTES = 1 << 16
+PARTS = 32
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -41,34 +41,37 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, si
 
 
 def plan_records(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, digest, size, first (the smallest page_id with an equal payload, null if it is short)."""
+    """page_id, url, payload, digest, size, first (the smallest page_id with an equal payload, null if it is short). Equal
+    payloads are found and met in PARTS parts, so one page that is stored very often is spread."""
     rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("payload"))
     rows = rows.withColumn("size", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256))
-    firsts = rows.filter(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    return rows.join(firsts.filter("n > 1").drop("n"), "digest", "left")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.lit(PARTS)).cast("int"))
+    parts = rows.filter(F.col("size") >= REVISIT_BYTES).groupBy("digest", "part").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    firsts = parts.groupBy("digest").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.collect_set("part").alias("part")).filter("n > 1")
+    return rows.join(firsts.select("digest", "first", F.explode("part").alias("part")), ["digest", "part"], "left")
 
 
 def write_archives(plan: DataFrame, folder: str) -> DataFrame:
-    """Writes one archive a task and returns (path, size) of each. The list is stored, so archives of attempts that did
+    """Writes one archive a task and returns (path, size, records) of each. The list is stored, so archives of attempts that did
     not count are never read."""
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, base = file_system(folder)
         where.create_dir(base)
-        path, size, out = f"{base}/{uuid.uuid4().hex}.warc.gz", 0, None
-        for pdf in batches:
-            for page_id, url, payload, digest, n, first in zip(*(pdf[c] for c in ("page_id", "url", "payload", "digest", "size", "first")), strict=True):
-                own, first = (None if pd.isna(x) else int(x) for x in (page_id, first))
-                revisit = first is not None and first != own
-                member = record(own, url, b"" if revisit else payload.encode(), digest, int(n), first, revisit)
+        path, size, n, out = f"{base}/{uuid.uuid4().hex}.warc.gz", 0, 0, None
+        for batch in batches:
+            for page_id, url, payload, digest, length, first in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "size", "first")), strict=True):
+                revisit = first is not None and first != page_id
+                member = record(page_id, url, b"" if revisit else payload.encode(), digest, length, first, revisit)
                 out = out or where.open_output_stream(path, compression=None)
                 out.write(member)
-                size += len(member)
+                size, n = size + len(member), n + 1
         if out:
             out.close()
-            yield pd.DataFrame({"path": [path], "size": [size]})
+            yield pa.RecordBatch.from_pydict({"path": pa.array([path]), "size": pa.array([size], pa.int64()), "records": pa.array([n], pa.int64())})
 
-    return materialize(plan.mapInPandas(write, "path string, size long"), "archives")
+    columns = plan.select("page_id", "url", "payload", "digest", "size", "first")
+    return materialize(columns.mapInArrow(write, "path string, size long, records long"), "archives")
 
 
 class _Window:
@@ -88,41 +91,58 @@ class _Window:
         self.data, self.start = self.data[upto - self.start :], upto
 
 
+def _unpacked(window: _Window, at: int, forget: bool) -> Iterator[tuple[bytes, int]]:
+    """Parts of at most READ_BYTES of the gzip member at this position, and the position after what they took; the last
+    part has the member's end. What is read is kept unless forget. Raises zlib.error where no member is."""
+    unpack, rest = zlib.decompressobj(31), b""
+    while not unpack.eof:
+        if not rest:
+            window.fetch(at + READ_BYTES)
+            rest = window.data[at - window.start :][: READ_BYTES if forget else 4096]
+            if not rest:
+                raise zlib.error("an archive ends within a record")
+            at += len(rest)
+        text = unpack.decompress(rest, READ_BYTES)
+        rest = unpack.unconsumed_tail
+        if unpack.eof:
+            at -= len(unpack.unused_data)
+        if forget and not rest:
+            window.forget(at)
+        yield text, at
+
+
+def _fields(head: bytes) -> dict[str, str]:
+    return dict(x.split(": ", 1) for x in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)
+
+
 def _header(window: _Window, at: int) -> dict[str, str] | None:
-    """The WARC header of the gzip member at this position; None if no such member starts here."""
-    unpack, text = zlib.decompressobj(31), b""
-    for step in range(at, at + HEADER_BYTES, 512):
-        window.fetch(step + 512)
-        try:
-            text += unpack.decompress(window.data[step - window.start : step - window.start + 512], HEADER_BYTES)
-        except zlib.error:
-            return None
-        if text[:5] != b"WARC/"[: len(text[:5])]:
-            return None
-        if b"\r\n\r\n" in text or unpack.eof or window.start + len(window.data) <= step + 512:
-            break
-    if not text.startswith(b"WARC/1.") or b"\r\n\r\n" not in text:
-        return None
-    return dict(x.split(": ", 1) for x in text.split(b"\r\n\r\n", 1)[0].decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)
+    """The WARC header of the gzip member at this position, however long; None if no such member starts here, which the
+    first bytes mostly tell."""
+    head = b""
+    try:
+        for text, _ in _unpacked(window, at, False):
+            seen = max(0, len(head) - 3)
+            head += text
+            if head[:7] != b"WARC/1."[: len(head[:7])]:
+                return None
+            if (end := head.find(b"\r\n\r\n", seen)) >= 0:
+                return _fields(head[:end])
+    except zlib.error:
+        pass
+    return None
 
 
 def _member(window: _Window, at: int) -> tuple[hashlib._hashlib.HASH, int, int]:
-    """Digest and length of the member's payload and the position after the member, in bounded memory."""
-    unpack, digest, size, head, tail = zlib.decompressobj(31), hashlib.sha256(), 0, b"", b""
-    passed = False
-    while not unpack.eof:
-        window.fetch(at + READ_BYTES)
-        raw = window.data[at - window.start :][:READ_BYTES]
-        if not raw:
-            raise ValueError("an archive ends within a record")
-        text = unpack.decompress(raw)
-        at += len(raw) - len(unpack.unused_data)
-        window.forget(at)
+    """Digest and length of the member's payload and the position after the member, in memory bounded but for the header."""
+    digest, size, head, tail, passed = hashlib.sha256(), 0, b"", b"", False
+    for text, after in _unpacked(window, at, True):
+        at = after
         if not passed:
+            seen = max(0, len(head) - 3)
             head += text
-            if b"\r\n\r\n" not in head:
+            if (end := head.find(b"\r\n\r\n", seen)) < 0:
                 continue
-            text, passed = head.split(b"\r\n\r\n", 1)[1], True
+            text, passed = head[end + 4 :], True
         text = tail + text
         tail = text[-4:]  # the record's closing line ends are not payload
         digest.update(text[:-4])
@@ -167,14 +187,14 @@ def read_archives(archives: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFr
     tasks = max(1, archives.agg(F.sum(F.ceil(F.col("size") / split_bytes))).first()[0] or 1)
     ranges = ranges.repartition(int(min(tasks, 10_000)), "path", "start")
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, start in zip(pdf["path"], pdf["start"], strict=True):
-                rows = list(read_range(path, int(start), int(start) + split_bytes))
-                out = pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-                yield out.astype({"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64"})
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()}
+        for batch in batches:
+            for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist(), strict=True):
+                rows = list(read_range(path, start, start + split_bytes))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds.values())], list(kinds))
 
-    return ranges.mapInPandas(read, RECORD)
+    return ranges.mapInArrow(read, RECORD)
 
 
 def warc_round_trip(pages: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
@@ -182,6 +202,11 @@ def warc_round_trip(pages: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFra
 
     Null html is an empty payload, a null url an empty one. Of equal payloads of REVISIT_BYTES or more the smallest
     page_id is the response; rows that repeat it are responses too; a row with a null page_id revisits it. No pages give
-    no archives and no rows."""
+    no archives and no rows. That as many records are read as were written is checked."""
     spark: SparkSession = pages.sparkSession
-    return read_archives(write_archives(plan_records(pages), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"), split_bytes)
+    archives = write_archives(plan_records(pages), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
+    back = materialize(read_archives(archives, split_bytes), "records")
+    written, read = archives.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0], back.count()
+    if written != read:
+        raise ValueError(f"{written} records were written and {read} read")
+    return back
