@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,7 @@ SWITCH, FOREIGN = 6.0, 60.0
 #: Bytes of text scored at once, with up to 64 languages; with more, fewer, as each word has a score for each language.
 CHUNK = 4 << 20
 UNKNOWN = "und"
+SPAN = ("lang", "first", "stop")
 # First code point of ranges of scripts, in order; number of the script that a range belongs to.
 SCRIPTS = ("latin", "greek", "cyrillic", "armenian", "hebrew", "arabic", "devanagari", "other indic", "thai", "georgian", "hangul", "kana", "han", "other")
 RANGE_STARTS = np.array([0, 0x370, 0x400, 0x530, 0x590, 0x600, 0x700, 0x900, 0x980, 0xE00, 0xE80, 0x10A0, 0x1100, 0x1200, 0x1E00, 0x1F00, 0x2000, 0x2C60, 0x2C80, 0x3040, 0x3100, 0x3400, 0xA000, 0xAC00, 0xD7B0, 0xF900, 0xFB00, 0xFB1D, 0xFB50, 0xFE00, 0x20000, 0x32000])
@@ -145,9 +147,9 @@ def identify(docs: DataFrame, model: Model | None, key: str = "doc_id", with_spa
     its share. Null texts and texts without a letter are `und` with score 0, all texts if nothing was learned; rows with
     an equal key each give a row; no rows give no rows."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = [t or "" for t in pdf["text"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, texts = batch.column(key), [t or "" for t in batch.column("text").to_pylist()]
             for a, b, raws in chunks([t.lower() for t in texts], CHUNK * 64 // max(64, len(model.languages) if model else 0)):
                 n = b - a
                 names, score, spans, lists = np.full(n, UNKNOWN, object), np.zeros(n), np.zeros(n, np.int64), [[] for _ in range(n)]
@@ -170,13 +172,13 @@ def identify(docs: DataFrame, model: Model | None, key: str = "doc_id", with_spa
                         for s, e in zip(at, np.append(at[1:], len(label)), strict=True):
                             if has[doc[s]]:
                                 lists[doc[s]].append((model.languages[label[s]], int(s - offsets[doc[s]]), int(e - offsets[doc[s]])))
-                out = pd.DataFrame({key: pdf[key].iloc[a:b].to_numpy(), "lang_pred": names, "score": score, "n_spans": spans})
+                out = {key: keys.slice(a, n), "lang_pred": pa.array(names.tolist(), pa.string()), "score": pa.array(score, pa.float64()), "n_spans": pa.array(spans, pa.int64())}
                 if with_spans:
-                    out["spans"] = lists
-                yield out
+                    out["spans"] = pa.array([[dict(zip(SPAN, x, strict=True)) for x in xs] for xs in lists], pa.list_(pa.struct(list(zip(SPAN, (pa.string(), pa.int64(), pa.int64()), strict=True)))))
+                yield pa.RecordBatch.from_pydict(out)
 
     spans = ", spans array<struct<lang: string, first: long, stop: long>>" if with_spans else ""
-    return docs.select(key, "text").mapInPandas(run, f"{key} {docs.schema[key].dataType.simpleString()}, lang_pred string, score double, n_spans long{spans}")
+    return docs.select(key, "text").mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, lang_pred string, score double, n_spans long{spans}")
 
 
 def held_out(key: Column) -> Column:
@@ -184,6 +186,9 @@ def held_out(key: Column) -> Column:
 
 
 def language_id(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, held_out, lang_pred, score, n_spans: learned from the documents that are not held out, applied to all."""
+    """key, held_out, lang_pred, score, n_spans: learned from the documents that are not held out, applied to all.
+
+    Rows with a null text or language teach nothing; a null key counts as the empty text in the hashes, so such rows are
+    all held out or none; rows with an equal key each give a row; no documents give no rows. See identify()."""
     model = train(docs.filter(~held_out(F.col(key))), key=key)
     return identify(docs, model, key).select(key, held_out(F.col(key)).alias("held_out"), "lang_pred", "score", "n_spans")
