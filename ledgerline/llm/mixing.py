@@ -9,7 +9,9 @@ from pyspark.sql import Window as W
 from .common import materialize, text_of, words
 
 #: About so many documents of a source share one range of keys.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
+#: Rows of a source meet its target in so many parts.
+PARTS = 32
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
@@ -53,7 +55,8 @@ def mix(sizes: DataFrame, key: str = "doc_id", seed: str = "mix:", weights: tupl
     share = share.withColumn("_epochs", F.coalesce(F.expr("try_divide(_budget, source_size)").cast("long"), F.lit(0).cast("long")))
     share = share.withColumn("_rest", F.col("_budget") - F.col("_epochs") * F.col("source_size"))
     rows = rows.withColumn("_s", F.coalesce("source", F.lit(""))).withColumn("_z", F.col("source").isNull()).drop("source")
-    ranged = rows.join(share, ["_s", "_z"]).withColumn("_r", F.floor(F.col("_h") / F.lit(float(1 << 60)) * F.col("_n")))
+    share = share.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    ranged = rows.withColumn("_p", F.pmod(F.col("_h"), F.lit(PARTS)).cast("int")).join(share, ["_s", "_z", "_p"]).withColumn("_r", F.floor(F.col("_h") / F.lit(float(1 << 60)) * F.col("_n")))
     place = ["_s", "_z", "_r"]
     sums = ranged.groupBy(*place).agg(F.sum("size").alias("_in"))
     starts = sums.withColumn("_start", F.coalesce(F.sum("_in").over(W.partitionBy("_s", "_z").orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_in")
