@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding as a max-plus scan.
 
 The vocabulary file gives pieces in merge order; a piece of rank k weighs -log(k), in whole steps so that sums are exact
-in any order. A text's ids are the segmentation of greatest weight; characters without a piece become their bytes.
+in any order; ties go by the places where pieces start. A text's ids are the segmentation of greatest weight; characters without a piece become their bytes.
 
 No piece of a text part crosses the start of a unit (a run of spaces with the word that follows), so units are cut
 independently: all distinct units of a batch together, an array operation for each piece length. A giant text is split
@@ -26,9 +26,14 @@ from .common import materialize, text_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
+#: Stands for a U+2581 of the text itself, which goes as bytes; no valid text has this code point.
+OWN_MARK = "\ud800"
 STEP = 1024
+#: A piece's weight counts TIE for each step, and below that a number for the place in its unit where it starts. So of
+#: segmentations that weigh the same one is best, and it is the same one however a text is cut into chunks.
+TIE, TIE_BITS = 1 << 20, 12
 NONE = np.int64(-(1 << 60))
-FORBIDDEN = np.int32(-(1 << 30))
+FORBIDDEN = np.int64(-(1 << 58))
 #: Texts of more code points go through chunks of so many.
 CHUNK_CHARS = 50_000
 #: A task works on about so many characters at a time.
@@ -125,9 +130,18 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
 
 
+def spaced(text: str) -> str:
+    return text.replace(SPACE, OWN_MARK).replace(" ", SPACE)
+
+
 def normal(text: str) -> str:
     """The text as pieces spell it: a space in front, spaces visible."""
-    return (SPACE + text.replace(" ", SPACE)) if text else ""
+    return SPACE + spaced(text) if text else ""
+
+
+def place_number(place: np.ndarray) -> np.ndarray:
+    """A number below 2^TIE_BITS for each place in a unit."""
+    return (((place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TIE_BITS)).astype(np.int64)
 
 
 def unit_starts(points: np.ndarray) -> np.ndarray:
@@ -150,9 +164,10 @@ def cut_units(v: Vocabulary, points: np.ndarray, offsets: np.ndarray) -> tuple[n
     stop = np.repeat(offsets[1:], sizes)
     code = v.code[points]
     lengths = min(v.longest, longest)
-    score, ids = np.full((lengths + 1, n), FORBIDDEN, np.int32), np.full((lengths + 1, n), -1, np.int32)
+    score, ids = np.full((lengths + 1, n), FORBIDDEN), np.full((lengths + 1, n), -1, np.int32)
+    number = place_number(np.arange(n) - np.repeat(offsets[:-1], sizes))
     for length, (at, piece, weight) in enumerate(v.matches(code, stop)[:lengths], 1):
-        score[length, at], ids[length, at] = weight, piece
+        score[length, at], ids[length, at] = weight * TIE + number[at], piece
     order = np.argsort(-sizes, kind="stable")
     begin, ordered = offsets[:-1][order], sizes[order]
     live = np.searchsorted(-ordered, -np.arange(1, longest + 1), side="right")
@@ -192,7 +207,7 @@ def _spell(v: Vocabulary, at: np.ndarray, ids: np.ndarray, points: np.ndarray) -
     unknown = np.flatnonzero(ids < 0)
     if not len(unknown):
         return at, ids
-    spelled = [[v.byte_id[b] for b in chr(p).encode()] for p in points[at[unknown]].tolist()]
+    spelled = [[v.byte_id[b] for b in (SPACE if chr(p) == OWN_MARK else chr(p)).encode()] for p in points[at[unknown]].tolist()]
     repeat = np.ones(len(ids), np.int64)
     repeat[unknown] = [len(s) for s in spelled]
     out = np.repeat(ids, repeat)
@@ -268,13 +283,14 @@ def encode_small(docs: DataFrame, keys: list[str], model: str) -> DataFrame:
 # --- giant texts -----------------------------------------------------------------------------------------------------
 
 
-def _lanes(v: Vocabulary, points: np.ndarray, entries: int, exits: int, inner: int) -> tuple[np.ndarray, list]:
+def _lanes(v: Vocabulary, points: np.ndarray, entries: int, exits: int, inner: int, lead: int = 0) -> tuple[np.ndarray, list]:
     """Greatest weights from entry i to inner + j, for a stretch without a unit start: (entries, exits) matrix, and per
-    end the lists of (start, id, weight) for backtracing."""
+    end the lists of (start, id, weight) for backtracing. lead: characters of its unit before the stretch."""
     n = len(points)
+    number = place_number(np.arange(lead, lead + n))
     ends: list[list[tuple[int, int, int]]] = [[] for _ in range(n + 1)]
     for length, (at, ids, weight) in enumerate(v.matches(v.code[points], np.full(n, n)), 1):
-        for a, i, w in zip(at.tolist(), ids.tolist(), weight.tolist(), strict=True):
+        for a, i, w in zip(at.tolist(), ids.tolist(), (weight * TIE + number[at]).tolist(), strict=True):
             ends[a + length].append((a, i, w))
     best = np.full((n + 1, entries), NONE)
     for i in range(min(entries, n + 1)):
@@ -304,9 +320,10 @@ def _trace(ends: list, entry: int, to: int) -> list[tuple[int, int]]:
 
 
 class Chunk:
-    """A chunk of a normal text with the characters after it that its last piece may take (fewer at the text's end)."""
+    """A chunk of a normal text with the characters after it that its last piece may take (fewer at the text's end); lead:
+    how many characters of its first unit lie before it."""
 
-    def __init__(self, v: Vocabulary, text: str, size: int) -> None:
+    def __init__(self, v: Vocabulary, text: str, size: int, lead: int = 0) -> None:
         self.v, self.points, self.size = v, _points(text), size
         starts = np.flatnonzero(unit_starts(self.points))
         starts = starts[starts < size]
@@ -314,10 +331,10 @@ class Chunk:
         self.states = v.longest
         if self.first is not None:
             self.middle = cut_units(v, self.points[self.first : self.last], np.append(starts, starts[-1:])[: len(starts)] - self.first) if self.last > self.first else (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64))
-            self.head, self.head_ends = _lanes(v, self.points[: self.first], self.states, 1, self.first)
+            self.head, self.head_ends = _lanes(v, self.points[: self.first], self.states, 1, self.first, lead)
             self.tail, self.tail_ends = _lanes(v, self.points[self.last :][: size - self.last + self._reach()], 1, self.states, size - self.last)
         else:
-            self.all, self.all_ends = _lanes(v, self.points[: size + self._reach()], self.states, self.states, size)
+            self.all, self.all_ends = _lanes(v, self.points[: size + self._reach()], self.states, self.states, size, lead)
 
     def _reach(self) -> int:
         """How far beyond the chunk a piece may go: not over the start of a unit."""
@@ -376,17 +393,22 @@ def encode_giant(docs: DataFrame, keys: list[str], model: str, chunk_chars: int)
         reach = vocabulary(model).longest - 1
         for batch in batches:
             for row in range(batch.num_rows):
-                text = normal(batch.column("text")[row].as_py())
+                text = batch.column("text")[row].as_py()
+                text = " " + text if text else ""
+                units = np.flatnonzero(unit_starts(_points(spaced(text))))
                 own = [batch.column(k).slice(row, 1) for k in keys]
                 for nth, a in enumerate(range(0, len(text), chunk_chars)):
-                    yield pa.RecordBatch.from_arrays([*own, pa.array([nth], pa.int64()), pa.array([min(chunk_chars, len(text) - a)], pa.int64()), pa.array([text[a : a + chunk_chars + reach]])], [*keys, "nth", "size", "part"])
+                    before = np.searchsorted(units, a, side="right")
+                    lead = a - int(units[before - 1]) if before else a
+                    numbers = [pa.array([x], pa.int64()) for x in (nth, min(chunk_chars, len(text) - a), lead)]
+                    yield pa.RecordBatch.from_arrays([*own, *numbers, pa.array([text[a : a + chunk_chars + reach]])], [*keys, "nth", "size", "lead", "part"])
 
-    parts = materialize(docs.select(*keys, "text").mapInArrow(split, f"{kinds}, nth long, size long, part string").repartition(*keys, "nth"), "parts")
+    parts = materialize(docs.select(*keys, "text").mapInArrow(split, f"{kinds}, nth long, size long, lead long, part string").repartition(*keys, "nth"), "parts")
 
     def matrix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = vocabulary(model)
         for pdf in batches:
-            out = [Chunk(v, p, int(n)).transfer().tobytes() for p, n in zip(pdf["part"], pdf["size"], strict=True)]
+            out = [Chunk(v, spaced(p), int(n), int(lead)).transfer().tobytes() for p, n, lead in zip(pdf["part"], pdf["size"], pdf["lead"], strict=True)]
             yield pdf[[*keys, "nth"]].assign(matrix=out)
 
     matrices = parts.mapInPandas(matrix, f"{kinds}, nth long, matrix binary")
@@ -402,7 +424,7 @@ def encode_giant(docs: DataFrame, keys: list[str], model: str, chunk_chars: int)
     def trace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = vocabulary(model)
         for pdf in batches:
-            out = [Chunk(v, p, int(n)).ids(int(i), int(j)) for p, n, i, j in zip(pdf["part"], pdf["size"], pdf["entry"], pdf["leave"], strict=True)]
+            out = [Chunk(v, spaced(p), int(n), int(lead)).ids(int(i), int(j)) for p, n, lead, i, j in zip(*(pdf[c] for c in ("part", "size", "lead", "entry", "leave")), strict=True)]
             yield pdf[[*keys, "nth"]].assign(ids=out)
 
     pieces = parts.join(spans, [*keys, "nth"]).mapInPandas(trace, f"{kinds}, nth long, ids array<int>")
