@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ from .textnum import U, chunks, hash_words, mix, powers, sums, times, windows
 ROUNDS, Q = 2, 4
 MARGIN = sum(2 ** (r + 1) - 1 for r in range(1, ROUNDS + 1))
 SPAN = 2**ROUNDS
+#: Occurrences of a window are dealt out to so many parts by their document.
+PARTS = 32
 
 
 def rename(ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -85,10 +88,10 @@ def window_symbols(h: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.n
 def _describe(docs: DataFrame, key: str, width: int) -> DataFrame:
     """key, n_words, words_a, words_b (names of the word sequence), kept_sha256 (of all words), symbols."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            keys = pdf[key]
-            for a, b, raws in chunks(pdf["text"].tolist()):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(key)
+            for a, b, raws in chunks(batch.column("text").to_pylist()):
                 h, offsets = hash_words(raws)
                 place = powers(len(h))
                 first = np.repeat(offsets[:-1], np.diff(offsets))
@@ -97,35 +100,39 @@ def _describe(docs: DataFrame, key: str, width: int) -> DataFrame:
                 doc = np.searchsorted(offsets, at, side="right") - 1
                 new = np.ones(len(at), bool)
                 new[1:] = (symbol[1:] != symbol[:-1]) | (doc[1:] != doc[:-1])  # neighbours mostly take the same
-                cuts = np.searchsorted(doc[new], np.arange(1, b - a))
-                yield pd.DataFrame({
-                    key: keys.iloc[a:b].to_numpy(), "n_words": np.diff(offsets), "words_a": mix(one).view(np.int64), "words_b": mix(two).view(np.int64),
-                    "kept_sha256": [hashlib.sha256(b" ".join(r.split())).digest() for r in raws], "symbols": [np.unique(x).view(np.int64) for x in np.split(symbol[new], cuts)],
-                })
+                own = [np.unique(x).view(np.int64) for x in np.split(symbol[new], np.searchsorted(doc[new], np.arange(1, b - a)))]
+                yield pa.RecordBatch.from_arrays(
+                    [keys.slice(a, b - a), pa.array(np.diff(offsets), pa.int64()), pa.array(mix(one).view(np.int64)), pa.array(mix(two).view(np.int64)), pa.array([hashlib.sha256(b" ".join(r.split())).digest() for r in raws], pa.binary()), pa.array(own, pa.list_(pa.int64()))],
+                    [key, "n_words", "words_a", "words_b", "kept_sha256", "symbols"],
+                )
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, "text").mapInPandas(run, f"{key} {kind}, n_words long, words_a long, words_b long, kept_sha256 binary, symbols array<long>")
+    return docs.select(key, "text").mapInArrow(run, f"`{key}` {kind}, n_words long, words_a long, words_b long, kept_sha256 binary, symbols array<long>")
 
 
 def _windows(found: DataFrame, key: str, width: int) -> DataFrame:
-    """(w, key, at): hash and start of the windows of found (key, text, symbols) whose symbol is one of symbols."""
+    """(w, v, symbol, key, at): two hashes, symbol and start of the windows of found (key, text, symbols) whose symbol is
+    one of symbols. The hashes are polynomials of different bases over differently mixed words."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            keys, symbols = pdf[key].to_numpy(), pdf["symbols"].tolist()
-            for a, b, raws in chunks(pdf["text"].tolist()):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, symbols = batch.column(key), batch.column("symbols").to_pylist()
+            for a, b, raws in chunks(batch.column("text").to_pylist()):
                 h, offsets = hash_words(raws)
                 symbol, at = window_symbols(h, offsets, width)
                 w, _ = windows(h, offsets, width)
+                v, _ = windows(mix(h ^ U(0x5851F42D4C957F2D)), offsets, width)
                 cuts = np.searchsorted(at, offsets)
                 hit = np.zeros(len(at), bool)
                 for k in range(b - a):
                     part = slice(cuts[k], cuts[k + 1])
                     hit[part] = np.isin(symbol[part].view(np.int64), np.asarray(symbols[a + k], np.int64))
                 doc = np.searchsorted(offsets, at[hit], side="right") - 1
-                yield pd.DataFrame({"w": w[hit].view(np.int64), key: keys[a + doc], "at": (at[hit] - offsets[doc]).astype(np.int32)})
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(w[hit].view(np.int64)), pa.array(v[hit].view(np.int64)), pa.array(symbol[hit].view(np.int64)), keys.take(pa.array(a + doc)), pa.array((at[hit] - offsets[doc]).astype(np.int32))], ["w", "v", "symbol", key, "at"]
+                )
 
-    return found.mapInPandas(run, f"w long, {key} {found.schema[key].dataType.simpleString()}, at int")
+    return found.select(key, "text", "symbols").mapInArrow(run, f"w long, v long, symbol long, `{key}` {found.schema[key].dataType.simpleString()}, at int")
 
 
 def _cut(found: DataFrame, key: str, width: int) -> DataFrame:
@@ -160,7 +167,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", width: int = 50, with_t
 
     Null texts have no words; rows with an equal key are no smaller than each other, and with different texts each is
     judged for itself; rows with a null key keep all, as no key is smaller, and no other row is held against them; no
-    rows give no rows. Windows are equal if their 64-bit hashes and their symbols are."""
+    rows give no rows. Windows are equal if two 64-bit hashes of their words and their high-level symbols are: 192 bits.
+
+    The least key of a window is found over parts of its occurrences and met by all in as many parts, so a passage that
+    very many documents share is spread."""
     told = materialize(_describe(docs, key, width), "told")
     first = told.filter(F.col(key).isNotNull()).groupBy("words_a", "words_b").agg(F.min(key).alias("_first"))
     told = told.join(first, ["words_a", "words_b"], "left").withColumn("copy", F.coalesce(F.col("_first") < F.col(key), F.lit(False)) & (F.col("n_words") >= width))
@@ -169,8 +179,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", width: int = 50, with_t
     wanted = own.join(shared, "symbol", "left_semi").groupBy(key).agg(F.collect_set("symbol").alias("symbols"))
     found = materialize(docs.select(key, "text").join(wanted, key), "found")
     at = _windows(found, key, width)
-    least = at.groupBy("w").agg(F.min(key).alias("_a"), F.max(key).alias("_b")).filter("_a < _b").select("w", "_a")
-    starts = at.join(least, "w").filter(F.col("_a") < F.col(key)).groupBy(key).agg(F.collect_set("at").alias("starts"))
+    at = at.withColumn("_z", F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int"))
+    same = ["w", "v", "symbol"]
+    parts = at.groupBy(*same, "_z").agg(F.min(key).alias("_a"), F.max(key).alias("_b"))
+    least = parts.groupBy(*same).agg(F.min("_a").alias("_a"), F.max("_b").alias("_b"), F.collect_set("_z").alias("_z")).filter("_a < _b").select(*same, "_a", F.explode("_z").alias("_z"))
+    starts = at.join(least, [*same, "_z"]).filter(F.col("_a") < F.col(key)).groupBy(key).agg(F.collect_set("at").alias("starts"))
     cut = _cut(found.select(key, "text").join(starts, key), key, width)
     cut = cut if with_text else cut.drop("kept_text")
     out = told.select(key, "n_words", "words_a", "copy", F.col("kept_sha256").alias("_all")).join(cut.dropDuplicates([key, "words_a"]), [key, "words_a"], "left")
