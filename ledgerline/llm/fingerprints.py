@@ -16,20 +16,23 @@ from pyspark.sql import Window as W
 from .common import materialize, text_of, words
 
 SAMPLES = 64
-#: A draw takes DRAW_BITS bits of a hash and looks its quantile up, which spares logarithms for each term and sample.
+#: A draw takes DRAW_BITS bits of a hash, looks two quantiles up and goes between them by as many bits more, which spares
+#: logarithms for each term and sample; beyond the first and the last quantile it is worked out from a hash of its own.
 DRAW_BITS = 10
 BLOCK = 2
 #: Documents are sorted within ranges of about so many ids; ranks are interpolated between KNOTS quantiles.
-RANGE_ROWS = 2_000
+RANGE_ROWS = 256
 KNOTS = 64
+#: Ranges are put in order within blocks of so many.
+BLOCK_RANGES = 1_024
 
 
 def gamma_quantiles(n: int) -> list[float]:
-    """Quantiles of Gamma(2, 1), whose distribution is 1 - (1 + x) exp(-x), at the middle of n equal shares."""
+    """Quantiles of Gamma(2, 1), whose distribution is 1 - (1 + x) exp(-x), at 1 / n to (n - 1) / n."""
     out = []
     x = 0.0
-    for k in range(n):
-        p = (k + 0.5) / n
+    for k in range(1, n):
+        p = k / n
         low, high = x, x + 1.0
         while 1 - (1 + high) * math.exp(-high) < p:
             high *= 2
@@ -41,6 +44,18 @@ def gamma_quantiles(n: int) -> list[float]:
     return out
 
 
+def tails(u: Column, n: int) -> tuple[Column, Column]:
+    """Draws of Gamma(2, 1) given that they lie below its first or above its last quantile of n, for a uniform u. Below,
+    by the series of the inverse in the root of 2 p; above, x = ln(1 + x) - ln p, which closes in tenfold each time."""
+    root = F.sqrt(u * (2.0 / n))
+    low = root + root * root / 3 + root * root * root * (11 / 72)
+    log_p = F.ln(u / float(n))
+    high = -log_p
+    for _ in range(6):
+        high = F.ln(high + 1) - log_p
+    return low, high
+
+
 def counted(df: DataFrame, keys: list[str], one: str, two: str) -> DataFrame:
     """keys, _h, own, edit: each distinct word's hash with the logarithms of how often it occurs in the texts one and two,
     null for never; a row with a null hash for a row without words. df must be partitioned by a part of keys, so that
@@ -64,16 +79,29 @@ def samples(terms: DataFrame, keys: list[str]) -> DataFrame:
     n = 1 << DRAW_BITS
     values = gamma_quantiles(n)
     # spelled as text: folded to one constant array instead of an expression for each value
-    constants = lambda xs: F.expr("from_json('[" + ",".join(f"{x:.6g}" for x in xs) + "]', 'array<double>')")
-    gammas, log_gammas = constants(values), constants([math.log(x) for x in values])
+    constants = lambda xs: F.expr("from_json('[" + ",".join(f"{x:.9g}" for x in xs) + "]', 'array<double>')")
+    tables = {False: constants(values), True: constants([math.log(x) for x in values])}
     rows = terms.withColumn("_b", F.explode(F.array(*[F.lit(i) for i in range(0, SAMPLES, BLOCK)])))
-    aggregates = []
+    rows = rows.select("*", *[F.xxhash64("_h", F.col("_b") + k).alias(f"_u{k}") for k in range(BLOCK)])
+    draws = []
     for k in range(BLOCK):
-        bits = F.xxhash64("_h", F.col("_b") + k)
+        bits = F.col(f"_u{k}")
         part = lambda at, size, bits=bits: F.shiftrightunsigned(bits, at).bitwiseAND(F.lit((1 << size) - 1))
-        r, ln_c, b = F.get(gammas, part(0, DRAW_BITS).cast("int")), F.get(log_gammas, part(DRAW_BITS, DRAW_BITS).cast("int")), part(2 * DRAW_BITS, 24).cast("double") / float(1 << 24)
 
-        def packed(weight: str, r: Column = r, ln_c: Column = ln_c, b: Column = b) -> Column:
+        def draw(at: int, log: bool, bits: Column = bits, part=part) -> Column:
+            place, within = part(at, DRAW_BITS).cast("int"), (part(at + DRAW_BITS, DRAW_BITS) + 0.5) / float(n)
+            more = F.shiftrightunsigned(F.xxhash64(bits, F.lit(at)), 12)
+            low, high = tails((more + 0.5) / float(1 << 52), n)
+            low, high = (F.ln(low), F.ln(high)) if log else (low, high)
+            a, b = F.get(tables[log], place - 1), F.get(tables[log], place)
+            return F.when(place == 0, low).when(place == n - 1, high).otherwise(a + (b - a) * within)
+
+        draws += [draw(0, False).alias(f"_r{k}"), draw(2 * DRAW_BITS, True).alias(f"_c{k}"), ((part(4 * DRAW_BITS, 24).cast("double") + 0.5) / float(1 << 24)).alias(f"_d{k}")]
+    rows = rows.select(*keys, "_b", "_h", "own", "edit", *draws)
+    aggregates = []
+    for k in range(BLOCK):
+
+        def packed(weight: str, r: Column = F.col(f"_r{k}"), ln_c: Column = F.col(f"_c{k}"), b: Column = F.col(f"_d{k}")) -> Column:
             t = F.floor(F.col(weight) / r + b)
             grid = F.floor((ln_c - r - r * (t - b)) * float(1 << 22)).cast("long")
             return F.shiftleft(grid, 32).bitwiseOR(F.col("_h").bitwiseXOR(t * 0x9E3779B1).bitwiseAND(F.lit(0xFFFFFFFF)))
@@ -113,11 +141,17 @@ def in_ranges(docs: DataFrame, key: str) -> DataFrame:
     return docs.withColumn("_range", F.when(F.col(key).isNull(), F.lit(parts * len(knots))).otherwise(place).cast("long"))
 
 
-def _following(rows: DataFrame, value: str) -> DataFrame:
-    """(_range, _head): for each range the value of the first row (_n = 1) of the next range, of the first range for the
-    last. One row a range."""
-    turn = W.partitionBy(F.lit(0)).orderBy("_range")
-    return rows.select("_range", F.coalesce(F.lead(value).over(turn), F.first(value).over(turn.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("_head"))
+def _with_following(rows: DataFrame, heads: DataFrame, value: str) -> DataFrame:
+    """rows (_range, ..) with _head: value of heads (_range, value: one row a range) of the next range that there is, of
+    the first one for the last. Only numbers of ranges are put in order, within blocks, and then one row a block."""
+    ranges = heads.select("_range", F.floor(F.col("_range") / BLOCK_RANGES).alias("_block"))
+    turn = W.partitionBy(F.lit(0)).orderBy("_block")
+    every = turn.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    blocks = ranges.groupBy("_block").agg(F.min("_range").alias("_m")).select("_block", F.coalesce(F.lead("_m").over(turn), F.first("_m").over(every)).alias("_then"))
+    after = ranges.withColumn("_next", F.lead("_range").over(W.partitionBy("_block").orderBy("_range"))).join(blocks, "_block")
+    after = after.select("_range", F.coalesce("_next", "_then").alias("_after"))
+    found = after.join(heads.select(F.col("_range").alias("_after"), F.col(value).alias("_head")), "_after").select("_range", "_head")
+    return rows.join(found, "_range")
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -134,7 +168,8 @@ def fingerprints(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     ranged = in_ranges(docs.select(F.col(key).alias("_k"), text_of().alias("_t")), "_k").withColumn("_tie", F.xxhash64("_t"))
     first = ranged.groupBy("_range").agg(F.max(F.struct(F.col("_k").alias("k"), F.col("_tie").alias("h"), F.col("_t").alias("t")))["t"].alias("_t"))
     by = W.partitionBy("_range").orderBy(F.col("_k").desc_nulls_last(), F.col("_tie").desc())
-    rows = ranged.withColumn("_n", F.row_number().over(by)).withColumn("_next", F.lead("_t").over(by)).join(_following(first, "_t"), "_range")
+    rows = ranged.withColumn("_n", F.row_number().over(by)).withColumn("_next", F.lead("_t").over(by))
+    rows = _with_following(rows, first, "_t")
     size = F.length("_t")
     rows = rows.withColumn("_next", F.coalesce("_next", "_head")).drop("_head", "_tie")
     edited = F.concat(F.substr("_t", F.lit(1), size - F.floor(size / 3).cast("int")), F.substr("_next", F.lit(1), F.floor(size / 3).cast("int")))
@@ -144,7 +179,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     signed = materialize(samples(counted(rows, place, "_t", "_e"), place).join(told, place), "signed")
     heads = signed.filter("_n = 1").select("_range", "own")
     after = F.lead(F.struct("own")).over(W.partitionBy("_range").orderBy("_n"))
-    out = signed.withColumn("_next", after).join(_following(heads.select("_range", F.struct("own").alias("own")), "own"), "_range")
+    out = _with_following(signed.withColumn("_next", after), heads.select("_range", F.struct("own").alias("own")), "own")
     out = out.withColumn("_next", F.coalesce("_next", "_head")["own"])
     return out.select(
         F.col("_k").alias(key), "n_chars", "edited_sha256", spelled(F.col("own")).alias("fingerprint"), spelled(F.col("edit")).alias("edited_fingerprint"),
