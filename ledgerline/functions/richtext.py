@@ -4,97 +4,146 @@ column type. Rows that are a JSON string, or no tree at all, never leave the JVM
 from __future__ import annotations
 
 import json
-from typing import Any
+from collections.abc import Generator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def plain(node: Any) -> str:
-    if not isinstance(node, dict):
-        return ""
+def _run(walk: Generator) -> str:
+    """The result of a walk over a tree. A walk yields the walks of a node's children and gets their texts, so a deep tree
+    needs a long list here and no deep stack."""
+    stack, text = [walk], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(text))
+            text = None
+        except StopIteration as end:
+            stack.pop()
+            text = end.value
+    return text
+
+
+def _children(node: dict) -> list[dict]:
+    return [c for c in node.get("content") or [] if isinstance(c, dict)]
+
+
+def plain(node: dict) -> Generator:
     kind = node.get("type", "")
     if kind == "text":
-        return node.get("text", "")
+        return str(node.get("text", ""))
     if kind in ("hardBreak", "rule"):
         return "\n"
-    inner = [plain(c) for c in node.get("content") or []]
+    inner = []
+    for c in _children(node):
+        inner.append((yield plain(c)))
     if kind in ("doc", "bulletList", "orderedList"):
         return "\n".join(inner)
     return "".join(inner) + ("\n" if kind in ("paragraph", "heading", "listItem") else "")
 
 
-MARKS = {"strong": "**{}**", "em": "*{}*", "code": "`{}`", "strike": "~~{}~~"}
+def bare(node: dict) -> Generator:
+    """All text below a node, without any marks."""
+    if node.get("type") == "text":
+        return str(node.get("text", ""))
+    inner = []
+    for c in _children(node):
+        inner.append((yield bare(c)))
+    return "".join(inner)
 
 
-def marked(node: dict) -> str:
-    text = node.get("text", "")
-    for m in node.get("marks") or []:
-        if m.get("type") == "link":
-            text = f"[{text}]({(m.get('attrs') or {}).get('href', '')})"
-        else:
-            text = MARKS.get(m.get("type"), "{}").format(text)
-    return text
-
-
-def inline(node: dict) -> str:
-    return "".join(markdown(c) for c in node.get("content") or [])
+#: Marks from the innermost to the outermost; code keeps others off.
+MARKS = (("strong", "**{}**"), ("em", "*{}*"), ("strike", "~~{}~~"))
 
 
-def listed(node: dict, depth: int, ordered: bool) -> str:
+def marked(node: dict) -> str:
+    text, marks = str(node.get("text", "")), {m.get("type"): m.get("attrs") or {} for m in node.get("marks") or [] if isinstance(m, dict)}
+    if "code" in marks:
+        return f"`{text}`"
+    for mark, form in MARKS:
+        if mark in marks:
+            text = form.format(text)
+    link = marks.get("link", {}).get("href")
+    return f"[{text}]({link})" if link else text
+
+
+def listed(node: dict, depth: int) -> Generator:
+    """The items of a list: a lead for the first block of each, as many spaces for its others, nested lists deeper."""
     out = []
-    for k, item in enumerate(node.get("content") or [], 1):
-        lead = "  " * depth + (f"{k}. " if ordered else "- ")
-        parts = []
-        for c in item.get("content") or []:
-            nested = c.get("type") in ("bulletList", "orderedList")
-            parts.append("\n" + listed(c, depth + 1, c["type"] == "orderedList") if nested else inline(c))
-        out.append(lead + "".join(parts))
-    return "\n".join(out)
-
-
-def table(node: dict) -> str:
-    rows = [[" ".join(markdown(c).strip() for c in cell.get("content") or []) for cell in row.get("content") or []] for row in node.get("content") or []]
-    lines = ["| " + " | ".join(r) + " |" for r in rows]
-    return "\n".join([*lines[:1], "|" + " --- |" * len(rows[0]), *lines[1:]]) if rows else ""
-
-
-def markdown(node: Any) -> str:
-    if not isinstance(node, dict):
-        return ""
+    for k, item in enumerate(_children(node), 1):
+        lead = "- " if node["type"] == "bulletList" else f"{k}. "
+        for c in _children(item):
+            text = yield markdown(c, depth + 1 if c.get("type") in LISTS else depth)
+            if c.get("type") not in LISTS:
+                text = "  " * depth + lead + text.rstrip("\n") + "\n"
+                lead = " " * len(lead)
+            out.append(text)
+    return "".join(out) + ("\n" if depth == 0 else "")
+
+
+def table(node: dict) -> Generator:
+    rows = []
+    for row in _children(node):
+        if row.get("type") == "tableRow":
+            cells = []
+            for cell in _children(row):
+                cells.append((yield bare(cell)).strip())
+            rows.append(cells)
+    wide = max(map(len, rows), default=0)
+    lines = ["|" + "".join(f" {c} |" for c in r + [""] * (wide - len(r))) + "\n" for r in rows]
+    return "".join([*lines[:1], "|" + " --- |" * wide + "\n", *lines[1:]] if rows else []) + "\n"
+
+
+LISTS = ("bulletList", "orderedList")
+
+
+def markdown(node: dict, depth: int = 0) -> Generator:
     kind, attrs = node.get("type", ""), node.get("attrs") or {}
-    leaf = {"hardBreak": "\n", "rule": "---", "mention": str(attrs.get("text", "")), "emoji": str(attrs.get("text") or attrs.get("shortName", "")), "inlineCard": str(attrs.get("url", "")), "blockCard": str(attrs.get("url", "")), "media": f"![{attrs.get('alt', '')}]({attrs.get('id', '')})"}
     if kind == "text":
         return marked(node)
-    if kind in leaf:
-        return leaf[kind]
-    if kind == "heading":
-        return "#" * int(attrs.get("level", 1)) + " " + inline(node)
-    if kind in ("bulletList", "orderedList"):
-        return listed(node, 0, kind == "orderedList")
-    if kind == "codeBlock":
-        return f"```{attrs.get('language') or ''}\n{inline(node)}\n```"
-    if kind in ("blockquote", "panel"):
-        body = "\n\n".join(markdown(c) for c in node.get("content") or [])
-        return "\n".join("> " + x for x in body.split("\n"))
+    if kind in ("hardBreak", "rule", "media", "mediaSingle"):
+        return {"hardBreak": "\n", "rule": "---\n\n"}.get(kind, "[attachment]\n\n")
+    if kind in ("emoji", "inlineCard", "embedCard"):
+        return str(attrs.get("text" if kind == "emoji" else "url", ""))
     if kind == "table":
-        return table(node)
-    if kind == "doc":
-        return "\n\n".join(markdown(c) for c in node.get("content") or [])
-    return inline(node)
+        return (yield table(node))
+    if kind in LISTS:
+        return (yield listed(node, depth))
+    if kind in ("mention", "heading", "codeBlock"):
+        text = yield bare(node)
+        return "@" + text if kind == "mention" else "#" * int(attrs.get("level", 1)) + f" {text}\n\n" if kind == "heading" else f"```{attrs.get('language') or ''}\n{text}\n```\n\n"
+    inner = []
+    for c in _children(node):
+        inner.append((yield markdown(c, depth)))
+    if kind == "blockquote":
+        return "".join(f"> {line}\n" for x in inner for line in x.rstrip("\n").split("\n")) + "\n"
+    return "".join(inner).rstrip("\n") + "\n\n" if kind == "paragraph" else "".join(inner)
+
+
+def _spelled(text: str | None, spell) -> str | None:
+    """The text of a tree in JSON, null if it is none; a tree deeper than the parser goes counts as none."""
+    try:
+        tree = json.loads(text) if text else None
+    except (ValueError, RecursionError):
+        return None
+    return _run(spell(tree)).strip() if isinstance(tree, dict) else None
+
+
+def plain_text(value: Column) -> Column:
+    """A field as from_json or get_json_object give it: a tree becomes its text, any other text stays."""
+
+    @F.pandas_udf("string")
+    def of_tree(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if (told := _spelled(t, plain)) is None else told)
+
+    return F.when(value.rlike(r'^\s*\{(?s:.*)"type"'), of_tree(value)).otherwise(value)
 
 
 def _job(df: DataFrame, column: str, out: str, spell) -> DataFrame:
     @F.pandas_udf("string")
     def of_tree(texts: pd.Series) -> pd.Series:
-        def one(t: str | None) -> str:
-            try:
-                return spell(json.loads(t)).strip() if t else ""
-            except ValueError:
-                return ""
-
-        return texts.map(one)
+        return texts.map(lambda t: _spelled(t, spell) or "")
 
     c = F.trim(column)
     string = F.from_json(F.concat(F.lit('{"x":'), c, F.lit("}")), "x string")["x"]
@@ -125,7 +174,7 @@ def replaced_in_text(value: Column, replacements: list[tuple[str, str]]) -> Colu
                 return None
             try:
                 tree = json.loads(t)
-            except ValueError:
+            except (ValueError, RecursionError):
                 tree = None
             if not isinstance(tree, dict):
                 return json.dumps(changed(t))

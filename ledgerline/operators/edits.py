@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import richtext
-from .flatten import denormalize_issues, normalize_timestamp, rollup_comments_text
+from .flatten import denormalize_issues, extract_custom_fields, normalize_timestamp, rollup_comments_text
 from .merge import upsert_by_key
 
 MAX_RETRIES = 5
@@ -47,7 +47,7 @@ def bulk_set(issues: DataFrame, keys: DataFrame, column: str, value: str, now: C
 def enqueue_changes(keys: DataFrame, field: str, op: str, value: str, now: Column) -> DataFrame:
     """(issue_key, operation, payload, created_at) of a set, add or remove of a field on each key."""
     v = F.struct(F.lit(value).alias("name")) if field in NAMED else F.struct(F.lit(value).alias("accountId")) if field in ACCOUNT else F.lit(value)
-    shape = [F.lit(field).alias("field")] + ([F.lit(op).alias("action")] if op != "set" else []) + [v.alias("value")]
+    shape = [F.lit(field).alias("field")] + ([F.lit(op).alias("op")] if op != "set" else []) + [v.alias("value")]
     return keys.select(F.col("key").alias("issue_key"), F.lit("set_field" if op == "set" else "update_field").alias("operation"), F.to_json(F.struct(*shape)).alias("payload"), now.alias("created_at"))
 
 
@@ -65,17 +65,19 @@ def _typed(text: Column, kind: str) -> Column:
     return text if kind == "string" else normalize_timestamp(text).cast(kind) if kind.startswith("timestamp") else text.try_cast(kind)
 
 
-def apply_pending(issues: DataFrame, changes: DataFrame, catalog: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def apply_pending(issues: DataFrame, changes: DataFrame, catalog: DataFrame | None = None, transitions: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Issues after the queue's changes in order, (id, ok, error) of each change, and the queue's comments, for
     append_comments. Any column but FIXED can be set, by its name or the tracker's id (catalog has those of custom
-    fields); what cannot be applied is an error. Changes of one issue and field are folded in order; a queue entry holds
+    fields); what cannot be applied is an error. transitions: the status that each id of a transition leads to; the
+    queue names ids only, and an id that is not known is an error. Changes of one issue and field are folded in order; a queue entry holds
     one value, so a fold holds what one field was ever given."""
     kinds = {c: k for c, k in issues.dtypes if c not in FIXED and (k == "array<string>" or not k.startswith(("array", "struct", "map", "variant")))}
     arrays = [c for c, k in kinds.items() if k == "array<string>"]
     ids = TRACKER | ({r["jira_id"]: r["name"] for r in catalog.select("jira_id", "name").collect()} if catalog is not None else {})
     names = {i: c for i, c in ids.items() if c in kinds} | {c: c for c in kinds}
     op, at = F.col("operation"), lambda p: F.try_variant_get("p", p, "string")
-    value = F.when(op == "transition", F.try_variant_get("p", "$.status", "variant")).otherwise(F.try_variant_get("p", "$.value", "variant"))
+    led = F.try_element_at(F.create_map(*[F.lit(x) for pair in transitions.items() for x in pair]), at("$.transition_id")) if transitions else F.lit(None).cast("string")
+    value = F.when(op == "transition", F.coalesce(led.cast("variant"), F.try_variant_get("p", "$.status", "variant"))).otherwise(F.try_variant_get("p", "$.value", "variant"))
     todo = changes.filter("synced_at is null").withColumn("p", F.try_parse_json("payload")).withColumns({"value": value, "field": F.when(op == "transition", "status").otherwise(at("$.field")), "action": F.when(op == "update_field", F.coalesce(at("$.op"), at("$.action"))).otherwise("set"), "body": at("$.body")})
     column = F.try_element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), F.col("field"))
     values = F.coalesce(F.transform(F.try_variant_get("value", "$", "array<variant>"), _text), F.array(_text(F.col("value"))))
@@ -114,9 +116,10 @@ def apply_pending(issues: DataFrame, changes: DataFrame, catalog: DataFrame | No
 
 
 def record_outcomes(changes: DataFrame, results: DataFrame, now: Column) -> DataFrame:
-    """Success stamps a change, failure counts and keeps the error."""
+    """Success stamps a change, failure counts and keeps the error. Changes past the retry limit are reported by
+    apply_pending() and stay as they are."""
     df = changes.join(results.select("id", F.col("ok").alias("_ok"), F.col("error").alias("_error")), "id", "left")
-    bad = F.col("_ok") == F.lit(False)
+    bad = (F.col("_ok") == F.lit(False)) & (F.col("retry_count") < MAX_RETRIES)
     return df.withColumns({"synced_at": F.when(F.col("_ok"), now).otherwise(F.col("synced_at")), "retry_count": F.when(bad, F.col("retry_count") + 1).otherwise(F.col("retry_count")), "last_error": F.when(bad, F.col("_error")).otherwise(F.col("last_error"))}).drop("_ok", "_error")
 
 
@@ -178,7 +181,13 @@ def append_comments(comments: DataFrame, issues: DataFrame, new_rows: DataFrame,
     return all_, df.withColumns({"comments_text": F.when(hit, F.col("_text")).otherwise(old("comments_text")), "synced_at": F.when(hit, now).otherwise(old("synced_at"))}).drop("_text")
 
 
-def refresh_issues(issues: DataFrame, raw: DataFrame) -> DataFrame:
-    """issues with the rows that raw has anew, flattened."""
+def refresh_issues(issues: DataFrame, raw: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
+    """issues with the rows that raw has anew, flattened, with the catalog's custom fields. What raw issues do not hold, as
+    comments_text, or custom fields without a catalog, stays as it was; a new issue has null there."""
     fresh = denormalize_issues(raw)
-    return upsert_by_key(issues, fresh.select([c for c in fresh.columns if c in issues.columns]), "key", [F.col("updated").desc()])
+    if catalog is not None:
+        custom = extract_custom_fields(fresh, catalog, "raw_json")
+        fresh = fresh.drop(*[c for c in custom.columns if c != "key"]).join(custom, "key", "left")
+    fresh = fresh.select([c for c in fresh.columns if c in issues.columns])
+    kept = [c for c in issues.columns if c not in fresh.columns]
+    return upsert_by_key(issues, fresh.join(issues.select("key", *kept), "key", "left"), "key", [F.col("updated").desc()])

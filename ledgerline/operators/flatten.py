@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.richtext import plain_text
+
 NAME = "struct<name: string>"
 FIELDS = (
     f"summary string, description string, issuetype {NAME}, project struct<key: string>, status struct<name: string, statusCategory: {NAME}>, priority {NAME}, "
@@ -25,38 +27,46 @@ def normalize_timestamp(c: Column) -> Column:
 
 
 def denormalize_issues(raw: DataFrame, column: str = "raw") -> DataFrame:
-    """The fixed columns of raw issues; rows that are no JSON object with a key are left out."""
-    df = raw.withColumn("_i", F.from_json(column, ISSUE)).filter(F.col("_i.key").isNotNull())
+    """The fixed columns of raw issues; rows that are no JSON object with a key are left out. A description that is a tree
+    becomes its text. epic_key is no field of the tracker's own: it is null until a catalog's field fills it."""
+    one = F.filter(F.array(F.from_json(column, ISSUE)), lambda i: i["key"].isNotNull())  # a filter of rows would parse them twice
+    df = raw.select(F.col(column), F.explode(one).alias("_i"))
     f = lambda p: F.col(f"_i.fields.{p}")
     names = lambda p, k="name": F.transform(f(p), lambda x: x[k])
     return df.select(
-        "_i.id", "_i.key", f("project.key").alias("project"), f("issuetype.name").alias("type"), f("summary").alias("summary"), f("status.name").alias("status"), f("status.statusCategory.name").alias("status_category"),
+        "_i.id", "_i.key", f("project.key").alias("project"), f("issuetype.name").alias("type"), f("summary").alias("summary"), plain_text(f("description")).alias("description"), f("status.name").alias("status"), f("status.statusCategory.name").alias("status_category"),
         f("priority.name").alias("priority"), f("assignee.displayName").alias("assignee"), f("assignee.emailAddress").alias("assignee_email"), f("reporter.displayName").alias("reporter"), f("resolution.name").alias("resolution"),
         normalize_timestamp(f("created")).alias("created"), normalize_timestamp(f("updated")).alias("updated"), normalize_timestamp(f("resolutiondate")).alias("resolved"), normalize_timestamp(f("duedate")).alias("due_date"),
-        f("labels").alias("labels"), names("components").alias("components"), names("fixVersions").alias("fix_version"), names("subtasks", "key").alias("subtask_keys"), f("parent.key").alias("parent_key"),
+        f("labels").alias("labels"), names("components").alias("components"), names("fixVersions").alias("fix_version"), names("subtasks", "key").alias("subtask_keys"), f("parent.key").alias("parent_key"), F.lit(None).cast("string").alias("epic_key"),
         f("timeoriginalestimate").alias("original_estimate"), f("timespent").alias("time_spent"), f("timeestimate").alias("remaining_estimate"), F.col(column).alias("raw_json"),
     )
 
 
 def extract_custom_fields(raw: DataFrame, catalog: DataFrame, column: str = "raw") -> DataFrame:
     """key and one typed column for each catalog row that is custom and a column. The catalog is small metadata; it only
-    shapes the select list. Objects fall back to the first non-empty of name, value, displayName, title."""
+    shapes the select list. A row is parsed once. Trees in text fields become their text, other objects the first non-empty
+    of name, value, displayName, title."""
     wanted = catalog.filter("is_custom and is_column").select("jira_id", "name", "type").orderBy("name").collect()
+    if not wanted:
+        return raw.select("key")
+    fields = ", ".join(f"`{r['jira_id']}`: string" for r in wanted)
+    known = ", ".join(f"{k}: string" for k in FALLBACK)
 
-    def one(jira_id: str, kind: str) -> Column:
-        at = f"$.fields.{jira_id}"
-        whole = F.get_json_object(column, at)
+    def one(v: Column, kind: str) -> Column:
         if kind == "number":
-            return F.expr(f"try_cast(get_json_object({column}, '{at}') as double)")
+            return v.try_cast("double")
         if kind == "array":
-            of = lambda x: F.coalesce(F.get_json_object(x, "$.value"), F.get_json_object(x, "$.name"), x)
-            return F.transform(F.from_json(whole, "array<string>"), of)
+            item = lambda x: F.when(x.startswith("{"), F.coalesce(F.from_json(x, f"struct<{known}>")["value"], F.from_json(x, f"struct<{known}>")["name"], x)).otherwise(x)
+            return F.transform(F.from_json(v, "array<string>"), item)
+        own = F.from_json(v, f"struct<{known}>")
         first = {"option": "value", "user": "displayName"}.get(kind)
         keys = ([first] if first else []) + [k for k in FALLBACK if k != first]
-        inner = F.coalesce(*[F.nullif(F.get_json_object(column, f"{at}.{k}"), F.lit("")) for k in keys])
-        return F.when(whole.startswith("{"), inner).otherwise(whole)
+        inner = F.coalesce(*[F.nullif(own[k], F.lit("")) for k in keys])
+        tree = v.rlike(r'"type"\s*:\s*"doc"') if kind in ("text", "string") else F.lit(False)
+        return F.when(v.startswith("{"), F.when(tree, F.nullif(plain_text(v), F.lit(""))).otherwise(inner)).otherwise(v)
 
-    return raw.select("key", *[one(r["jira_id"], r["type"]).alias(r["name"]) for r in wanted])
+    parsed = raw.select("key", F.from_json(column, f"struct<fields: struct<{fields}>>")["fields"].alias("_f"))
+    return parsed.select("key", *[one(F.col("_f")[r["jira_id"]], r["type"]).alias(r["name"]) for r in wanted])
 
 
 def evolve_schema(table: DataFrame, batch: DataFrame) -> DataFrame:
@@ -65,10 +75,10 @@ def evolve_schema(table: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def extract_comments(raw: DataFrame, column: str = "raw") -> DataFrame:
-    """(id, issue_key, author, author_email, body, created) of the comments within issues."""
+    """(id, issue_key, author, author_email, body, created, updated) of the comments within issues; bodies are plain text."""
     schema = "struct<key: string, fields: struct<comment: struct<comments: array<struct<id: string, author: struct<displayName: string, emailAddress: string>, body: string, created: string, updated: string>>>>>"
     df = raw.select(F.from_json(column, schema).alias("i")).select("i.key", F.explode("i.fields.comment.comments").alias("c"))
-    return df.select("c.id", F.col("key").alias("issue_key"), F.col("c.author.displayName").alias("author"), F.col("c.author.emailAddress").alias("author_email"), "c.body", normalize_timestamp(F.col("c.created")).alias("created"))
+    return df.select("c.id", F.col("key").alias("issue_key"), F.col("c.author.displayName").alias("author"), F.col("c.author.emailAddress").alias("author_email"), plain_text(F.col("c.body")).alias("body"), normalize_timestamp(F.col("c.created")).alias("created"), normalize_timestamp(F.col("c.updated")).alias("updated"))
 
 
 def rollup_comments_text(comments: DataFrame, order: tuple[str, ...] = ("created", "id")) -> DataFrame:

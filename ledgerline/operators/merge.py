@@ -58,13 +58,34 @@ def sync_stats(classified: DataFrame, by: str = "project") -> DataFrame:
     return classified.groupBy(by).agg(F.count("*").alias("total"), F.count_if(F.col("change") == "new").alias("new"), F.count_if(F.col("change") == "updated").alias("updated_rows"), F.max("updated").alias("last_issue_updated"))
 
 
-def merge_sync_meta(meta: DataFrame, stats: DataFrame) -> DataFrame:
-    """Control rows with this run's counts; a watermark never goes back and stays where a run has none."""
-    m, s = meta.alias("m"), stats.alias("s")
-    return m.join(s, F.col("m.project") == F.col("s.project"), "full_outer").select(
-        F.coalesce("s.project", "m.project").alias("project"), F.coalesce("s.total", "m.issues_total").alias("issues_total"),
-        F.greatest("m.last_issue_updated", "s.last_issue_updated").alias("last_issue_updated"), F.col("m.last_sync_time").alias("last_sync_time"),
-    )
+#: Columns of a control row and their types.
+META = {"last_sync_time": "timestamp_ntz", "issues_total": "bigint", "issues_synced": "bigint", "last_sync_duration": "double", "last_sync_error": "string", "last_issue_updated": "timestamp_ntz", "last_full_sync": "timestamp_ntz", "resume_cursor": "string"}
+
+
+def _control(meta: DataFrame) -> DataFrame:
+    """meta with all columns of control rows; those that it lacks are null."""
+    return meta.select("project", *[(F.col(c) if c in meta.columns else F.lit(None)).cast(k).alias(c) for c, k in META.items()])
+
+
+def merge_sync_meta(meta: DataFrame, stats: DataFrame, now: Column, duration: float | None = None, error: str | None = None, full: bool = False) -> DataFrame:
+    """Control rows after a run over the sources of stats (see sync_stats): its time, counts, duration and error, and for a
+    full run the time of the last one. A watermark never goes back and stays where a run has none; rows of other
+    sources stay as they are. A run that came to its end has no resume cursor."""
+    run = stats.select("project", F.lit(True).alias("_run"), "total", (F.col("new") + F.col("updated_rows")).alias("_synced"), F.col("last_issue_updated").alias("_last"))
+    df = _control(meta).join(run, "project", "full_outer")
+    told = {
+        "last_sync_time": now, "issues_total": F.col("total"), "issues_synced": F.col("_synced"), "last_sync_duration": F.lit(duration), "last_sync_error": F.nullif(F.lit(error), F.lit("")),
+        "last_issue_updated": F.greatest("last_issue_updated", "_last"), "last_full_sync": now if full else F.col("last_full_sync"), "resume_cursor": F.col("resume_cursor") if error else F.lit(None),
+    }
+    return df.select("project", *[F.when(F.col("_run"), v).otherwise(F.col(c)).cast(META[c]).alias(c) for c, v in told.items()])
+
+
+def set_resume_cursor(meta: DataFrame, source: str, cursor: str | None) -> DataFrame:
+    """Control rows with a source's place to go on from; a new row if it has none."""
+    rows = _control(meta)
+    new = meta.sparkSession.createDataFrame([(source,)], "project string").join(rows.select("project"), "project", "left_anti")
+    rows = rows.unionByName(new, allowMissingColumns=True)
+    return rows.withColumn("resume_cursor", F.when(F.col("project") == source, F.lit(cursor)).otherwise(F.col("resume_cursor")))
 
 
 def changelog_candidates(issues: DataFrame, projects: list[str] | None = None) -> DataFrame:
@@ -92,9 +113,13 @@ def stale_sources(sources: DataFrame, meta: DataFrame, minutes: int, now: Column
 
 
 def sync_status_report(issues: DataFrame, meta: DataFrame, pending: DataFrame, changelog: DataFrame) -> DataFrame:
-    """(metric, name, value) of all the status figures."""
+    """(metric, name, value) of all the status figures; those of a source are null where it has none."""
+    meta = _control(meta)
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
     fact = lambda df, metric, name=None: df.select(F.lit(metric).alias("metric"), (F.col(name) if name else F.lit("")).alias("name"), F.col("n").cast("string").alias("value"))
     out = fact(issues.agg(F.count("*").alias("n")), "issues").unionByName(fact(issues.groupBy("project").agg(F.count("*").alias("n")), "project_issues", "project"))
-    out = out.unionByName(fact(meta.withColumn("n", F.date_format("last_issue_updated", "yyyy-MM-dd")), "data_through", "project"))
+    of_source = {"data_through": F.date_format("last_issue_updated", "yyyy-MM-dd"), "last_sync": stamp("last_sync_time"), "last_full_sync": stamp("last_full_sync"), "sync_duration": F.round("last_sync_duration", 1), "sync_error": F.col("last_sync_error")}
+    for metric, value in of_source.items():
+        out = out.unionByName(fact(meta.withColumn("n", value), metric, "project"))
     out = out.unionByName(fact(pending.filter("synced_at is null").agg(F.count("*").alias("n")), "pending"))
     return out.unionByName(fact(changelog.agg(F.count("*").alias("n")), "changelog"))

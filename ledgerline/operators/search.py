@@ -2,27 +2,30 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stem import stem, stem_udf
+from ..sources.sinks import read_table, write_table
 
-# Letters with marks and the plain letters that the tokenizer makes of them.
-MARKED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+#: Every lower-case letter that is a letter with marks by its decomposition, and that letter. Marks that stand alone go.
+_PARTS = {chr(c): unicodedata.normalize("NFD", chr(c)) for c in range(0xC0, 0x2000)}
+_PLAIN = {c: d[0] for c, d in _PARTS.items() if len(d) > 1 and c == c.lower() and d[0].isalpha() and all(unicodedata.combining(m) for m in d[1:])}
+MARKED, PLAIN = "".join(_PLAIN), "".join(_PLAIN.values())
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.lower(text), MARKED, PLAIN), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.regexp_extract_all(F.regexp_replace(F.translate(F.lower(text), MARKED, PLAIN), r"\p{Mn}+", ""), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def terms_of(text: str, stemmed: bool) -> list[str]:
-    import re
-
-    plain = text.lower().translate(str.maketrans(MARKED, PLAIN))
+    plain = "".join(c for c in text.lower().translate(str.maketrans(MARKED, PLAIN)) if unicodedata.category(c) != "Mn")
     found = re.findall(r"[^\W_]+", plain)
     return list(dict.fromkeys(stem(t) if stemmed else t for t in found))
 
@@ -67,10 +70,37 @@ def search_ranked(postings: DataFrame, lengths: DataFrame, text: str, limit: int
     return scored.select("key", "score").orderBy(F.desc("score"), "key").limit(limit)
 
 
-def highlight(df: DataFrame, column: str, terms: list[str]) -> DataFrame:
-    """df with the words of column that are terms in brackets, in any case."""
-    pattern = r"(?i)(?<![\p{L}\p{N}])(" + "|".join(terms) + r")(?![\p{L}\p{N}])"
-    return df.withColumn("highlighted", F.regexp_replace(column, pattern, "[$1]"))
+def write_text_index(postings: DataFrame, lengths: DataFrame, path: str) -> None:
+    """Stores an index. Postings are sorted by term, so a query's terms are found in few row groups of few files."""
+    write_table(postings.repartitionByRange("term").sortWithinPartitions("term"), f"{path}/postings")
+    write_table(lengths, f"{path}/doc_stats")
+
+
+def read_text_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return read_table(spark, f"{path}/postings"), read_table(spark, f"{path}/doc_stats")
+
+
+def search_issues(postings: DataFrame, lengths: DataFrame, issues: DataFrame, text: str, limit: int = 20, mode: str = "all", columns: list[str] | None = None, stemmed: bool = False) -> DataFrame:
+    """(key, summary, status, assignee, match, score) of the best issues, best first; match is the summary with the found
+    words in brackets. Only the found keys meet the issues, so that side is as short as the limit."""
+    best = search_ranked(postings, lengths, text, limit, mode, columns, stemmed)
+    found = F.broadcast(best).join(issues.select("key", "summary", "status", "assignee"), "key")
+    return highlight(found, "summary", terms_of(text, False), stemmed).withColumnRenamed("highlighted", "match").select("key", "summary", "status", "assignee", "match", "score").orderBy(F.desc("score"), "key")
+
+
+def inflections(df: DataFrame, column: str, terms: list[str]) -> list[str]:
+    """The words of column with the stem of one of terms: as many as those few stems have forms."""
+    words = df.select(F.explode(tokens(F.coalesce(column, F.lit("")))).alias("w")).distinct()
+    return [r["w"] for r in words.filter(stem_udf("w").isin([stem(t) for t in terms])).collect()]
+
+
+def highlight(df: DataFrame, column: str, terms: list[str], stemmed: bool = False) -> DataFrame:
+    """df with the words of column that are terms in brackets, in any case; if stemmed, words with the stem of a term too."""
+    listed = sorted({*terms, *(inflections(df, column, terms) if stemmed else ())}, key=lambda t: (-len(t), t))
+    if not listed:
+        return df.withColumn("highlighted", F.col(column))
+    pattern = r"(?iu)(?<![\p{L}\p{N}])(" + "|".join(map(re.escape, listed)) + r")(?![\p{L}\p{N}])"
+    return df.withColumn("highlighted", F.regexp_replace(column, pattern, r"[$1]"))
 
 
 def refresh_text_index(postings: DataFrame, lengths: DataFrame, changed: DataFrame, deleted: DataFrame, columns: list[str], stemmed: bool = True) -> tuple[DataFrame, DataFrame]:

@@ -24,14 +24,22 @@ class QueryConfig:
     views: dict[str, dict[str, Any]] = field(default_factory=dict)
 
 
+# The views that a new setup has, by name: what they choose, filter, sort by, show and are grouped by.
+VIEWS = {
+    "my-work": ("key, summary, status, priority, updated", "assignee_email = '{{me}}' AND status_category != 'Done'", "priority DESC, updated DESC", None, ["key", "summary", "status", "priority"], None),
+    "recent-updates": ("key, summary, status, assignee, updated", None, "updated DESC", 100, ["key", "summary", "status", "assignee", "updated"], None),
+    "team-board": ("key, summary, status, assignee, priority", "status_category != 'Done'", "status, priority DESC", None, ["key", "summary", "status", "assignee"], "status"),
+    "stale-issues": ("key, summary, status, assignee, updated", "status_category = 'In Progress' AND updated < '{{days_ago:28}}'", "updated ASC", None, ["key", "summary", "status", "assignee", "updated"], None),
+}
+
+
 def starter_views() -> dict[str, dict[str, Any]]:
-    """The four views that a new setup has."""
-    return {
-        "my-work": {"query": "SELECT * FROM issues WHERE assignee = '{{me}}' AND status != 'Done' ORDER BY updated DESC, key", "columns": ["key", "summary", "status", "priority"]},
-        "recent-updates": {"query": "SELECT * FROM issues WHERE updated >= '{{week_ago}}' ORDER BY updated DESC, key LIMIT 50", "columns": ["key", "summary", "status", "updated"]},
-        "team-board": {"query": "SELECT * FROM issues WHERE team = '{{team}}' AND status != 'Done' ORDER BY status, priority, key", "columns": ["key", "summary", "status", "assignee"]},
-        "stale-issues": {"query": "SELECT * FROM issues WHERE status = 'In Progress' AND updated < '{{days_ago:14}}' ORDER BY updated, key", "columns": ["key", "summary", "assignee", "updated"]},
-    }
+    """The four views that a new setup has; ties go by key."""
+
+    def text(chosen: str, where: str | None, order: str, limit: int | None) -> str:
+        return f"SELECT {chosen} FROM issues" + (f" WHERE {where}" if where else "") + f" ORDER BY {order}, key" + (f" LIMIT {limit}" if limit else "")
+
+    return {name: {"query": text(*parts), "columns": shown, **({"group_by": group} if group else {})} for name, (*parts, shown, group) in VIEWS.items()}
 
 
 def calendar(now: dt.datetime) -> dict[str, str]:

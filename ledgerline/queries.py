@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,8 +66,25 @@ def spelled(df: DataFrame) -> DataFrame:
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    base = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/ledgerline").rstrip("/")
-    return f"{base}/{tag}-{uuid.uuid4().hex}"
+    """A folder of its own in spark.checkpoint.dir; only where it is unset and all tasks run within the driver, a local one."""
+    conf = spark.sparkContext.getConf()
+    base, master = conf.get("spark.checkpoint.dir"), conf.get("spark.master", "")
+    if not base and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(base or tempfile.gettempdir() + '/checkpoints/ledgerline').rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+_STORED: dict[tuple, str] = {}
+
+
+def stored(spark: SparkSession, d: str, tag: str, make) -> DataFrame:
+    """A table that queries read and that is made from the test tables; the first one of a session that reads it writes it."""
+    name = (spark.sparkContext.applicationId, d, tag)
+    if name not in _STORED:
+        path = scratch(spark, tag)
+        make().write.parquet(path)
+        _STORED[name] = path
+    return spark.read.parquet(_STORED[name])
 
 
 def now(at: dt.datetime = NOW) -> Column:
@@ -83,7 +101,7 @@ CORE = "SELECT key, project, status, strftime(updated, '%Y-%m-%d %H:%M:%S') AS u
 
 
 def raws(spark: SparkSession, d: str) -> DataFrame:
-    return src.raw_issues(issues_of(spark, d))
+    return stored(spark, d, "raw", lambda: src.raw_issues(issues_of(spark, d)))
 
 
 # --- scans, sources, sinks ----------------------------------------------------------------------------------------------
@@ -137,19 +155,19 @@ def write_json_rows(spark, d):
     return spark.read.schema("key string, story_points double, status string").json(path)
 
 
-DOC_SQL = r"""SELECT key, '---' || chr(10) || 'key: ' || key || chr(10) || 'id: ' || id || chr(10) || 'project: ' || project || chr(10) || 'type: ' || type || chr(10)
- || 'status: ' || CASE WHEN regexp_full_match(status, '[A-Za-z0-9\-_.]*') THEN status ELSE '"' || status || '"' END || chr(10)
- || 'status_category: ' || CASE WHEN regexp_full_match(status, '[A-Za-z0-9\-_.]*') THEN status ELSE '"' || status || '"' END || chr(10)
- || 'priority: ' || CASE WHEN regexp_full_match(priority, '[A-Za-z0-9\-_.]*') THEN priority ELSE '"' || priority || '"' END || chr(10)
- || 'assignee: "' || assignee || '"' || chr(10) || 'team: ' || team || chr(10) || 'created: ' || strftime(created, '%Y-%m-%d') || chr(10) || 'updated: ' || strftime(updated, '%Y-%m-%d') || chr(10)
- || CASE WHEN resolved IS NULL THEN '' ELSE 'resolved: ' || strftime(resolved, '%Y-%m-%d') || chr(10) END
- || CASE WHEN len(labels) = 0 THEN '' ELSE 'labels: [' || array_to_string(labels, ', ') || ']' || chr(10) END
- || CASE WHEN parent_key IS NULL THEN '' ELSE 'parent_key: ' || parent_key || chr(10) END || '---' || chr(10) || chr(10) || '# ' || summary AS doc FROM issues"""
+DOC_SQL = r"""SELECT key, '---' || chr(10) || 'key: ' || key || chr(10) || 'summary: "' || summary || '"' || chr(10)
+ || 'status: ' || CASE WHEN regexp_full_match(status, '[A-Za-z0-9\-_.]*') THEN status ELSE '"' || status || '"' END || chr(10) || 'type: ' || type || chr(10)
+ || 'priority: ' || CASE WHEN regexp_full_match(priority, '[A-Za-z0-9\-_.]*') THEN priority ELSE '"' || priority || '"' END || chr(10) || 'assignee: "' || assignee || '"' || chr(10)
+ || CASE WHEN len(labels) = 0 THEN '' ELSE 'labels: [' || array_to_string(labels, ', ') || ']' || chr(10) END || CASE WHEN parent_key IS NULL THEN '' ELSE 'parent: ' || parent_key || chr(10) END
+ || 'team: ' || team || chr(10) || 'created: ' || strftime(created, '%Y-%m-%d') || chr(10) || 'updated: ' || strftime(updated, '%Y-%m-%d') || chr(10)
+ || CASE WHEN resolved IS NULL THEN '' ELSE 'resolved: ' || strftime(resolved, '%Y-%m-%d') || chr(10) END || '---' || chr(10) || chr(10) || '# ' || summary || chr(10) || chr(10) || 'About ' || key
+ || CASE WHEN n % 3 = 0 THEN chr(10) || chr(10) || '## Status Summary' || chr(10) || chr(10) || 'on track' ELSE '' END || chr(10) AS doc FROM issues"""
 
 
 @put(DOC_SQL, issues=True)
 def export_markdown_docs(spark, d):
-    return sinks.export_markdown_docs(issues_of(spark, d).drop("story_points"))
+    told = {"description": F.concat(F.lit("About "), "key", F.lit("\n")), "status_summary": F.when(F.col("id").cast("long") % 3 == 0, ": on track\n").otherwise(" :\n")}
+    return sinks.export_markdown_docs(issues_of(spark, d).withColumns(told))
 
 
 @put("SELECT key, type AS issuetype, array_to_string(labels, ', ') AS labels, NULL::VARCHAR AS nothing, priority FROM issues", issues=True)
@@ -160,11 +178,11 @@ def project_issue_columns(spark, d):
 # --- flattening ------------------------------------------------------------------------------------------------------------
 
 
-@put("""SELECT id, key, project, type, summary, status, status_category, priority, assignee, lower(assignee) || '@x.org' AS assignee_email, team AS reporter, strftime(created, '%Y-%m-%d %H:%M:%S') AS created,
+@put("""SELECT id, key, project, type, summary, CASE WHEN n % 2 = 0 THEN 'first of ' || n || chr(10) || chr(10) || summary WHEN n % 3 = 0 THEN 'plain ' || n END AS description, NULL::VARCHAR AS epic_key, status, status_category, priority, assignee, lower(assignee) || '@x.org' AS assignee_email, team AS reporter, strftime(created, '%Y-%m-%d %H:%M:%S') AS created,
  strftime(updated, '%Y-%m-%d %H:%M:%S') AS updated, strftime(resolved, '%Y-%m-%d %H:%M:%S') AS resolved, array_to_string(labels, ',') AS labels, array_to_string(labels, ',') AS components, 'v' || (n % 3) AS fix_version, parent_key FROM issues""", issues=True)
 def denormalize_issues(spark, d):
     out = flatten.denormalize_issues(raws(spark, d))
-    return spelled(out.select("id", "key", "project", "type", "summary", "status", "status_category", "priority", "assignee", "assignee_email", "reporter", "created", "updated", "resolved", "labels", "components", "fix_version", "parent_key"))
+    return spelled(out.select("id", "key", "project", "type", "summary", "description", "epic_key", "status", "status_category", "priority", "assignee", "assignee_email", "reporter", "created", "updated", "resolved", "labels", "components", "fix_version", "parent_key"))
 
 
 @put("SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS a, strftime(date_trunc('second', ts - INTERVAL 330 MINUTE), '%Y-%m-%d %H:%M:%S') AS b, strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS c, NULL::VARCHAR AS e FROM events")
@@ -173,7 +191,7 @@ def normalize_timestamp(spark, d):
     return spelled(t(spark, d, "events").select("event_id", f("yyyy-MM-dd'T'HH:mm:ss'.000+0000'").alias("a"), f("yyyy-MM-dd'T'HH:mm:ss'.000+0530'").alias("b"), f("yyyy-MM-dd").alias("c"), f("'next' EEEE").alias("e")))
 
 
-@put("SELECT key, team, story_points, CASE WHEN n % 2 = 0 THEN priority END AS severity, array_to_string(labels, ',') AS tags FROM issues", issues=True)
+@put("SELECT key, team, story_points, CASE WHEN n % 2 = 0 THEN priority WHEN n % 3 = 0 THEN 'rich ' || n END AS severity, array_to_string(labels, ',') AS tags FROM issues", issues=True)
 def extract_custom_fields(spark, d):
     return spelled(flatten.extract_custom_fields(raws(spark, d), src.catalog(spark)))
 
@@ -184,9 +202,10 @@ def evolve_schema(spark, d):
     return flatten.evolve_schema(i.filter("id % 2 = 0").select("key", "status"), i.filter("id % 2 = 1").select("key", "status", "team"))
 
 
-@put("SELECT id, issue_key, author, author_email, body FROM comments", comments=True)
+@put("SELECT id, issue_key, author, author_email, trim(body, ' ' || chr(10) || chr(9) || chr(13)) AS body, CASE WHEN created % 3 <> 0 THEN '2024-02-01 00:00:00' END AS updated FROM comments", comments=True)
 def extract_comments(spark, d):
-    return flatten.extract_comments(src.raw_conversations(comments_of(spark, d))).drop("created")
+    raw = stored(spark, d, "conversations", lambda: src.raw_conversations(comments_of(spark, d)))
+    return spelled(flatten.extract_comments(raw).drop("created"))
 
 
 @put("SELECT issue_key, string_agg(body, ' ' ORDER BY created, id) AS comments_text FROM comments GROUP BY issue_key", comments=True)
@@ -253,12 +272,12 @@ def _trees(spark, d) -> DataFrame:
     return t(spark, d, "documents").select("doc_id", F.to_json(tree).alias("body"))
 
 
-@put("SELECT doc_id, trim(string_split(text, chr(10))[1] || chr(10) || chr(10) || string_split(text, chr(10))[-1], ' ' || chr(10) || chr(9) || chr(13)) AS plain FROM documents")
+@put("SELECT doc_id, trim(replace(text, chr(10), chr(10) || chr(10)), ' ' || chr(10) || chr(9) || chr(13)) AS plain FROM documents")
 def rich_text_to_plaintext(spark, d):
     return richtext.rich_text_to_plaintext(_trees(spark, d), "body").select("doc_id", "plain")
 
 
-@put("SELECT doc_id, trim(string_split(text, chr(10))[1] || chr(10) || chr(10) || string_split(text, chr(10))[-1], ' ' || chr(10) || chr(9) || chr(13)) AS markdown FROM documents")
+@put("SELECT doc_id, trim(replace(text, chr(10), chr(10) || chr(10)), ' ' || chr(10) || chr(9) || chr(13)) AS markdown FROM documents")
 def rich_text_to_markdown(spark, d):
     return richtext.rich_text_to_markdown(_trees(spark, d), "body").select("doc_id", "markdown")
 
@@ -352,10 +371,12 @@ def sync_stats(spark, d):
     return spelled(merge.sync_stats(merge.classify_changes(_stored(spark, d), _incoming(spark, d))))
 
 
-@put(f"WITH {META}, s AS (SELECT project, count(*) AS total, max(updated) AS last FROM issues WHERE n % 2 = 0 AND project <> 'P4' GROUP BY project) SELECT coalesce(s.project, m.project) AS project, coalesce(total, issues_total) AS issues_total, strftime(greatest(last, last_issue_updated), '%Y-%m-%d %H:%M:%S') AS last_issue_updated, strftime(last_sync_time, '%Y-%m-%d %H:%M:%S') AS last_sync_time FROM meta m FULL JOIN s ON s.project = m.project", issues=True)
+@put(f"""WITH {META}, s AS (SELECT project, count(*) AS total, max(updated) AS last FROM issues WHERE n % 2 = 0 AND project <> 'P4' GROUP BY project) SELECT coalesce(s.project, m.project) AS project, coalesce(total, issues_total) AS issues_total, strftime(greatest(last, last_issue_updated), '%Y-%m-%d %H:%M:%S') AS last_issue_updated, CASE WHEN total IS NULL THEN strftime(last_sync_time, '%Y-%m-%d %H:%M:%S') ELSE '2001-08-01 00:00:00' END AS last_sync_time,
+ total AS issues_synced, CASE WHEN total IS NULL THEN NULL ELSE 12.5::DOUBLE END AS last_sync_duration, CASE WHEN total IS NULL THEN NULL ELSE '2001-08-01 00:00:00' END AS last_full_sync, NULL::VARCHAR AS last_sync_error, CASE WHEN m.project = 'P4' THEN 'page 7' END AS resume_cursor FROM meta m FULL JOIN s ON s.project = m.project""", issues=True)
 def merge_sync_meta(spark, d):
     stats = merge.sync_stats(_incoming(spark, d).filter("project != 'P4'").withColumn("change", F.lit("new")))
-    return spelled(merge.merge_sync_meta(_meta(spark, d), stats))
+    meta = merge.set_resume_cursor(merge.set_resume_cursor(_meta(spark, d), "P4", "page 7"), "P2", "page 3")
+    return spelled(merge.merge_sync_meta(meta, stats, now(), 12.5, full=True))
 
 
 def _tracked(spark, d) -> DataFrame:
@@ -374,10 +395,10 @@ def stamp_processed(spark, d):
     return spelled(merge.stamp_processed(i, i.filter("project in ('P1', 'P2')").select("key"), now()).select("key", "changelog_synced_at"))
 
 
-@put("SELECT key, n % 4 <> 0 AS known FROM issues WHERE project = 'P1'", issues=True)
+@put("SELECT key, n % 4 <> 0 AS known FROM issues", issues=True)
 def split_by_id_presence(spark, d):
     i = issues_of(spark, d)
-    known, rest = merge.split_by_id_presence(i.filter("project = 'P1'").select("key"), i.withColumn("id", F.when(F.col("id").cast("long") % 4 != 0, F.col("id")).otherwise("")))
+    known, rest = merge.split_by_id_presence(i.select("key"), i.withColumn("id", F.when(F.col("id").cast("long") % 4 != 0, F.col("id")).otherwise("")))
     return known.withColumn("known", F.lit(True)).unionByName(rest.withColumn("known", F.lit(False)))
 
 
@@ -387,9 +408,11 @@ def stale_sources(spark, d):
 
 
 @put(f"""WITH {META} SELECT 'issues' AS metric, '' AS name, count(*)::VARCHAR AS value FROM issues UNION ALL SELECT 'project_issues', project, count(*)::VARCHAR FROM issues GROUP BY project
- UNION ALL SELECT 'data_through', project, strftime(last_issue_updated, '%Y-%m-%d') FROM meta UNION ALL SELECT 'pending', '', count(*)::VARCHAR FROM events WHERE event_id % 2 = 0 UNION ALL SELECT 'changelog', '', count(*)::VARCHAR FROM events""", issues=True)
+ UNION ALL SELECT 'data_through', project, strftime(last_issue_updated, '%Y-%m-%d') FROM meta UNION ALL SELECT 'last_sync', project, strftime(last_sync_time, '%Y-%m-%d %H:%M:%S') FROM meta UNION ALL SELECT 'last_full_sync', project, NULL FROM meta
+ UNION ALL SELECT 'sync_duration', project, '12.5' FROM meta UNION ALL SELECT 'sync_error', project, CASE WHEN project = 'P3' THEN 'no network' END FROM meta UNION ALL SELECT 'pending', '', count(*)::VARCHAR FROM events WHERE event_id % 2 = 0 UNION ALL SELECT 'changelog', '', count(*)::VARCHAR FROM events""", issues=True)
 def sync_status_report(spark, d):
-    return merge.sync_status_report(issues_of(spark, d), _meta(spark, d), _queue(spark, d), changes_of(spark, d))
+    meta = _meta(spark, d).withColumns({"last_sync_duration": F.lit(12.46), "last_sync_error": F.when(F.col("project") == "P3", "no network")})
+    return merge.sync_status_report(issues_of(spark, d), meta, _queue(spark, d), changes_of(spark, d))
 
 
 # --- query surface ---------------------------------------------------------------------------------------------------------
@@ -410,7 +433,7 @@ def run_query(spark, d):
     return _sql(spark, d, "SELECT status, count(*) AS n FROM issues WHERE {{mine}} GROUP BY status")
 
 
-@put("SELECT key, summary, status, assignee FROM issues WHERE team = 'BUILDING' AND status <> 'Done'", issues=True)
+@put("SELECT key, summary, status, assignee FROM issues WHERE status_category <> 'Done'", issues=True)
 def run_view(spark, d):
     issues_of(spark, d).createOrReplaceTempView("issues")
     return query.run_view(spark, "team-board", CONFIG, NOW)
@@ -552,12 +575,19 @@ TOKENS = r"tok AS (SELECT doc_id AS key, unnest(regexp_extract_all(translate(low
 
 
 def _index(spark, d, stemmed: bool = False) -> tuple[DataFrame, DataFrame]:
-    return search.build_text_index(t(spark, d, "documents"), "doc_id", ["text"], stemmed)
+    """The stored index of the documents; the first query of a session that asks for it builds it."""
+    name = (spark.sparkContext.applicationId, d, f"index {stemmed}")
+    if name not in _STORED:
+        path = scratch(spark, "index")
+        search.write_text_index(*search.build_text_index(t(spark, d, "documents"), "doc_id", ["text"], stemmed), path)
+        _STORED[name] = path
+    return search.read_text_index(spark, _STORED[name])
 
 
 @put(f"WITH {TOKENS} SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf FROM (SELECT term, key, count(*) AS tf FROM tok GROUP BY 1, 2) GROUP BY term")
 def build_text_index(spark, d):
-    return _index(spark, d)[0].groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    postings, _ = search.build_text_index(t(spark, d, "documents"), "doc_id", ["text"], False)
+    return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
 def _rank(where: str, having: str) -> str:
@@ -596,12 +626,22 @@ def search_phrase(spark, d):
     return _ranked(search.search_ranked(*_index(spark, d), "of the", mode="phrase"))
 
 
+@put("SELECT key, summary, status, assignee, replace(replace(summary, 'Order', '[Order]'), ' ' || n || ' ', ' [' || n || '] ') AS match FROM issues WHERE n IN (1, 7, 32, 100, 1000)", issues=True)
+def search_issues(spark, d):
+    i = issues_of(spark, d)
+    return search.search_issues(*search.build_text_index(i, "key", ["summary"]), i, "Order 1 7 32 100 1000", 5, mode="any", columns=["summary"], stemmed=True).drop("score")
+
+
 @put()
 def search_stemmed(spark, d):
     return _ranked(search.search_ranked(*_index(spark, d, True), "nations licensed", mode="any", stemmed=True))
 
 
-@put(r"SELECT doc_id, regexp_replace(text, '(^|[^\p{L}\p{N}])(?i:(the|and))([^\p{L}\p{N}]|$)', '\1[\2]\3', 'g') AS highlighted FROM (SELECT doc_id, string_split(text, ' ')[1] AS text FROM documents)")
+#: Neighbours share the character between them, so a second pass marks those that the first had to leave.
+MARK = r"regexp_replace({}, '([^\p{{L}}\p{{N}}\x01]|^)(?i:(the|and))([^\p{{L}}\p{{N}}\x02]|$)', '\1' || chr(1) || '\2' || chr(2) || '\3', 'g')"
+
+
+@put(f"SELECT doc_id, translate({MARK.format(MARK.format('text'))}, chr(1) || chr(2), '[]') AS highlighted FROM documents")
 def highlight(spark, d):
     return search.highlight(t(spark, d, "documents").select("doc_id", "text"), "text", ["the", "and"]).select("doc_id", "highlighted")
 
@@ -674,7 +714,7 @@ def default_status_class(spark, d):
     return issues_of(spark, d).select("key", profile.default_status_class().alias("class"))
 
 
-@put("SELECT key, id FROM issues ORDER BY id DESC, key LIMIT 100", issues=True)
+@put("SELECT key, id FROM issues ORDER BY id DESC, key", issues=True)
 def sort_as_text(spark, d):
     return profile.sort_as_text(issues_of(spark, d), "id", True).select("key", "id")
 
@@ -711,8 +751,8 @@ def _queue(spark, d) -> DataFrame:
     """Events as queued edits of issues: sets of the priority, adds and removes of labels, transitions, unknown ones."""
     e, k = t(spark, d, "events"), F.col("event_id") % 5
     key = F.concat(F.lit("ORD-"), F.col("user_id"))
-    add = F.to_json(F.struct(F.lit("labels").alias("field"), F.when(k == 1, "add").otherwise("remove").alias("action"), F.when(F.col("event_id") % 3 == 0, "R").otherwise(F.col("event_type")).alias("value")))
-    payload = F.when(k == 0, F.to_json(F.struct(F.lit("priority").alias("field"), F.struct(F.col("event_type").alias("name")).alias("value")))).when(k == 3, F.to_json(F.struct(F.col("event_type").alias("status")))).otherwise(add)
+    add = F.to_json(F.struct(F.lit("labels").alias("field"), F.when(k == 1, "add").otherwise("remove").alias("op"), F.when(F.col("event_id") % 3 == 0, "R").otherwise(F.col("event_type")).alias("value")))
+    payload = F.when(k == 0, F.to_json(F.struct(F.lit("priority").alias("field"), F.struct(F.col("event_type").alias("name")).alias("value")))).when(k == 3, F.to_json(F.struct(F.concat(F.lit("to "), "event_type").alias("transition_id")))).otherwise(add)
     op = F.when(k == 0, "set_field").when(k == 3, "transition").when(k == 4, "fly").otherwise("update_field")
     return e.select(
         F.col("event_id").alias("id"), key.alias("issue_key"), op.alias("operation"), payload.alias("payload"), F.col("ts").alias("created_at"), F.when(F.col("event_id") % 2 == 1, F.col("ts")).alias("synced_at"),
@@ -720,6 +760,11 @@ def _queue(spark, d) -> DataFrame:
     )
 
 
+def _transitions(spark, d) -> dict[str, str]:
+    """What each transition's id leads to: as many as there are kinds of events."""
+    return {f"to {r['event_type']}": r["event_type"] for r in t(spark, d, "events").select("event_type").distinct().collect()}
+
+
 QUEUE = """queue AS (SELECT event_id AS id, 'ORD-' || user_id AS issue_key, event_id % 5 AS k, CASE event_id % 5 WHEN 0 THEN 'set_field' WHEN 3 THEN 'transition' WHEN 4 THEN 'fly' ELSE 'update_field' END AS operation, event_type, event_id, ts AS created_at,
  CASE WHEN event_id % 2 = 1 THEN ts END AS synced_at, CASE WHEN event_id % 8 = 0 THEN 5 ELSE 1 END AS retry_count, CASE WHEN event_id % 8 = 0 THEN 'no network' END AS last_error, CASE WHEN event_id % 3 = 0 THEN 'R' ELSE event_type END AS label FROM events)"""
 
@@ -736,7 +781,7 @@ def bulk_set(spark, d):
     return spelled(out.select("key", "team", "synced_at"))
 
 
-@put("""SELECT key AS issue_key, 'set_field' AS operation, '{"field":"priority","value":{"name":"High"}}' AS payload FROM issues UNION ALL SELECT key, 'update_field', '{"field":"labels","action":"add","value":"x"}' FROM issues""", issues=True)
+@put("""SELECT key AS issue_key, 'set_field' AS operation, '{"field":"priority","value":{"name":"High"}}' AS payload FROM issues UNION ALL SELECT key, 'update_field', '{"field":"labels","op":"add","value":"x"}' FROM issues""", issues=True)
 def enqueue_changes(spark, d):
     k = issues_of(spark, d).select("key")
     return edits.enqueue_changes(k, "priority", "set", "High", now()).unionByName(edits.enqueue_changes(k, "labels", "add", "x", now())).drop("created_at")
@@ -753,16 +798,16 @@ def pending_queue(spark, d):
  l AS (SELECT coalesce(key, issue_key) AS key, coalesce(x.label, v.label) AS label FROM x FULL JOIN v ON key = issue_key AND x.label = v.label WHERE last IS NULL OR last = 1)
  SELECT i.key, coalesce(s.status, i.status) AS status, coalesce(s.priority, i.priority) AS priority, coalesce((SELECT string_agg(label, ',' ORDER BY label) FROM l WHERE l.key = i.key), '') AS labels FROM issues i LEFT JOIN s ON s.issue_key = i.key""", issues=True)
 def apply_pending(spark, d):
-    out, _, _ = edits.apply_pending(issues_of(spark, d), _queue(spark, d))
+    out, _, _ = edits.apply_pending(issues_of(spark, d), _queue(spark, d), transitions=_transitions(spark, d))
     return spelled(out.select("key", "status", "priority", F.array_sort("labels").alias("labels")))
 
 
 @put(f"""WITH {QUEUE} SELECT id, strftime(CASE WHEN synced_at IS NULL AND retry_count < 5 AND k <> 4 THEN TIMESTAMP '2024-01-31' ELSE synced_at END, '%Y-%m-%d %H:%M:%S') AS synced_at,
- (retry_count + CASE WHEN synced_at IS NULL AND (retry_count >= 5 OR k = 4) THEN 1 ELSE 0 END)::INT AS retry_count,
- CASE WHEN synced_at IS NULL AND retry_count >= 5 THEN 'too many retries: no network' WHEN synced_at IS NULL AND k = 4 THEN 'unknown operation: fly' ELSE last_error END AS last_error FROM queue""")
+ (retry_count + CASE WHEN synced_at IS NULL AND retry_count < 5 AND k = 4 THEN 1 ELSE 0 END)::INT AS retry_count,
+ CASE WHEN synced_at IS NULL AND retry_count < 5 AND k = 4 THEN 'unknown operation: fly' ELSE last_error END AS last_error FROM queue""")
 def record_outcomes(spark, d):
     q = _queue(spark, d)
-    _, results, _ = edits.apply_pending(issues_of(spark, d), q)
+    _, results, _ = edits.apply_pending(issues_of(spark, d), q, transitions=_transitions(spark, d))
     return spelled(edits.record_outcomes(q, results, now(EVENTS_NOW)).select("id", "synced_at", "retry_count", "last_error"))
 
 
@@ -794,7 +839,7 @@ def append_comments(spark, d):
 @put(f"WITH {STORED} SELECT key, project, status, strftime(updated, '%Y-%m-%d %H:%M:%S') AS updated FROM incoming UNION ALL SELECT key, project, status, strftime(updated, '%Y-%m-%d %H:%M:%S') FROM stored WHERE key NOT IN (SELECT key FROM incoming)", issues=True)
 def refresh_issues(spark, d):
     old = _stored(spark, d).select("id", "key", "project", "type", "summary", "status", "priority", "assignee", "created", "updated", "labels", "parent_key")
-    return spelled(edits.refresh_issues(old, src.raw_issues(_incoming(spark, d))).select(SHORT))
+    return spelled(edits.refresh_issues(old, raws(spark, d).filter("id % 2 = 0")).select(SHORT))
 
 
 # --- streams --------------------------------------------------------------------------------------------------------------------

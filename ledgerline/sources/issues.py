@@ -57,17 +57,17 @@ def register_tables(spark: SparkSession, folder: str, names: tuple[str, ...] = T
 def project_issue_columns(raw: DataFrame, columns: list[str], column: str = "raw") -> DataFrame:
     """The chosen columns straight from raw issues; unknown ones are null, labels are joined, issuetype is type."""
     paths = {
-        "key": "$.key", "id": "$.id", "summary": "$.fields.summary", "type": "$.fields.issuetype.name", "issuetype": "$.fields.issuetype.name", "project": "$.fields.project.key",
-        "status": "$.fields.status.name", "status_category": "$.fields.status.statusCategory.name", "priority": "$.fields.priority.name", "assignee": "$.fields.assignee.displayName",
-        "reporter": "$.fields.reporter.displayName", "created": "$.fields.created", "updated": "$.fields.updated", "parent_key": "$.fields.parent.key",
+        "key": "key", "id": "id", "summary": "fields.summary", "type": "fields.issuetype.name", "issuetype": "fields.issuetype.name", "project": "fields.project.key",
+        "status": "fields.status.name", "status_category": "fields.status.statusCategory.name", "priority": "fields.priority.name", "assignee": "fields.assignee.displayName",
+        "reporter": "fields.reporter.displayName", "created": "fields.created", "updated": "fields.updated", "parent_key": "fields.parent.key", "labels": "fields.labels",
     }
-
-    def one(c: str) -> Column:
-        if c == "labels":
-            return F.array_join(F.from_json(F.get_json_object(column, "$.fields.labels"), "array<string>"), ", ")
-        return F.get_json_object(column, paths[c]) if c in paths else F.lit(None).cast("string")
-
-    return raw.select(*[one(c).alias(c) for c in columns])
+    named = "struct<name: string>"
+    schema = (
+        f"struct<id: string, key: string, fields: struct<summary: string, issuetype: {named}, project: struct<key: string>, status: struct<name: string, statusCategory: {named}>, priority: {named}, "
+        "assignee: struct<displayName: string>, reporter: struct<displayName: string>, created: string, updated: string, parent: struct<key: string>, labels: array<string>>>"
+    )
+    one = lambda c: F.array_join(f"_i.{paths[c]}", ", ") if c == "labels" else F.col(f"_i.{paths[c]}") if c in paths else F.lit(None).cast("string")
+    return raw.select(F.from_json(column, schema).alias("_i")).select(*[one(c).alias(c) for c in columns])
 
 
 # --- views over the test tables ---------------------------------------------------------------------------------------
@@ -120,13 +120,17 @@ def raw_issues(issues: DataFrame) -> DataFrame:
         (n * 10).cast("string").alias("id"), F.struct(F.lit("Blocks").alias("name"), F.lit("is blocked by").alias("inward"), F.lit("blocks").alias("outward")).alias("type"),
         F.when(n % 5 == 0, other(1)).alias("outwardIssue"), F.when(n % 7 == 0, other(2)).alias("inwardIssue"),
     )
+    para = lambda *texts: F.struct(F.lit("paragraph").alias("type"), F.array(*[F.struct(F.lit("text").alias("type"), x.alias("text")) for x in texts]).alias("content"))
+    doc = lambda *paras: F.parse_json(F.to_json(F.struct(F.lit("doc").alias("type"), F.array(*paras).alias("content"))))
+    body = F.when(n % 2 == 0, doc(para(F.lit("first of "), n.cast("string")), para(F.col("summary")))).when(n % 3 == 0, F.concat(F.lit("plain "), n).cast("variant"))
+    severity = F.when(n % 2 == 0, F.to_variant_object(F.struct(F.lit("").alias("name"), F.col("priority").alias("title")))).when(n % 3 == 0, doc(para(F.concat(F.lit("rich "), n))))
     fields = F.struct(
-        "summary", named("type").alias("issuetype"), F.struct(F.col("project").alias("key")).alias("project"),
+        "summary", body.alias("description"), named("type").alias("issuetype"), F.struct(F.col("project").alias("key")).alias("project"),
         F.struct(F.col("status").alias("name"), F.struct(F.col("status_category").alias("name")).alias("statusCategory")).alias("status"), named("priority").alias("priority"), person.alias("assignee"),
         F.struct(F.col("team").alias("displayName")).alias("reporter"), F.date_format("created", STAMP).alias("created"), F.date_format("updated", STAMP).alias("updated"), F.date_format("resolved", STAMP).alias("resolutiondate"),
         "labels", F.transform("labels", lambda x: F.struct(x.alias("name"))).alias("components"), F.array(F.struct(F.concat(F.lit("v"), n % 3).alias("name"))).alias("fixVersions"),
         F.when(F.col("parent_key").isNotNull(), F.struct(F.col("parent_key").alias("key"))).alias("parent"), F.when((n % 5 == 0) | (n % 7 == 0), F.array(link)).alias("issuelinks"),
-        F.struct(F.col("team").alias("value")).alias("customfield_1"), F.col("story_points").alias("customfield_2"), F.when(n % 2 == 0, F.struct(F.lit("").alias("name"), F.col("priority").alias("title"))).alias("customfield_3"),
+        F.struct(F.col("team").alias("value")).alias("customfield_1"), F.col("story_points").alias("customfield_2"), severity.alias("customfield_3"),
         F.col("labels").alias("customfield_4"),
     )
     return issues.select("id", "key", F.to_json(F.struct("id", "key", fields.alias("fields"))).alias("raw"))
@@ -134,7 +138,10 @@ def raw_issues(issues: DataFrame) -> DataFrame:
 
 def raw_conversations(comments: DataFrame) -> DataFrame:
     """(key, raw): issues that hold comments."""
-    one = F.struct("created", F.struct(F.col("id"), F.struct(F.col("author").alias("displayName"), F.col("author_email").alias("emailAddress")).alias("author"), F.col("body"), F.concat(F.lit("2024-01-01T00:00:"), F.lpad((F.col("created") % 60).cast("string"), 2, "0"), F.lit(".000+0000")).alias("created")).alias("c"))
+    day = lambda m, s: F.concat(F.lit(f"2024-{m}-01T00:00:"), s, F.lit(".000+0000"))
+    text = F.struct(F.lit("text").alias("type"), F.col("body").alias("text"))
+    tree = F.struct(F.lit("doc").alias("type"), F.array(F.struct(F.lit("paragraph").alias("type"), F.array(text).alias("content"))).alias("content"))
+    one = F.struct("created", F.struct(F.col("id"), F.struct(F.col("author").alias("displayName"), F.col("author_email").alias("emailAddress")).alias("author"), tree.alias("body"), day("01", F.lpad((F.col("created") % 60).cast("string"), 2, "0")).alias("created"), F.when(F.col("created") % 3 != 0, day("02", F.lit("00"))).alias("updated")).alias("c"))
     by = comments.groupBy(F.col("issue_key").alias("key")).agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["c"]).alias("comments"))
     return by.select("key", F.to_json(F.struct("key", F.struct(F.struct("comments").alias("comment")).alias("fields"))).alias("raw"))
 

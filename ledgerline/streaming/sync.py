@@ -10,17 +10,12 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.flatten import denormalize_issues, explode_changelog, extract_comments, extract_custom_fields, extract_links, rollup_comments_text
 from ..operators.merge import insert_ignore, latest_of, replace_children, upsert_by_key
 from ..sources.issues import histories_of
-from ..sources.sinks import read_table, write_table
+from ..sources.sinks import has_table, read_table, write_table
 
 
-def _stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    """The table at path; the first batch finds none."""
-    try:
-        return read_table(spark, path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return like.limit(0)
+def _stored(spark: SparkSession, path: str, like: DataFrame, first: bool) -> DataFrame:
+    """The table at path; only the first batch of a checkpoint may find none."""
+    return like.limit(0) if first and not has_table(spark, path) else read_table(spark, path)
 
 
 def stream_sync(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, every: str | None = None, catalog: DataFrame | None = None) -> StreamingQuery:
@@ -33,22 +28,24 @@ def stream_sync(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
         seen = denormalize_issues(pages).persist()
         new = latest_of(seen, "key", [F.col("updated").desc_nulls_last(), F.col("raw_json").desc()]).persist()
         keys = new.select("key")
+        stored = lambda path, like: _stored(spark, path, like, batch_id == 0)
 
         said, order = extract_comments(seen, "raw_json"), [F.col("created").desc_nulls_last(), F.col("body").desc_nulls_last()]
-        comments = upsert_by_key(_stored(spark, f"{out_dir}/comments", said), said, "id", order)
+        comments = upsert_by_key(stored(f"{out_dir}/comments", said), said, "id", order)
         write_table(upsert_by_key(comments, extract_comments(new, "raw_json"), "id", order), f"{out_dir}/comments")
         text = rollup_comments_text(read_table(spark, f"{out_dir}/comments").join(keys.withColumnRenamed("key", "issue_key"), "issue_key", "left_semi")).withColumnRenamed("issue_key", "key")
 
         links = extract_links(new, "raw_json")
-        write_table(replace_children(_stored(spark, f"{out_dir}/issue_links", links), links, keys.withColumnRenamed("key", "issue_key"), "issue_key"), f"{out_dir}/issue_links")
+        write_table(replace_children(stored(f"{out_dir}/issue_links", links), links, keys.withColumnRenamed("key", "issue_key"), "issue_key"), f"{out_dir}/issue_links")
 
         changes = explode_changelog(histories_of(seen, "raw_json")).withColumnRenamed("ref", "issue_key")
-        write_table(insert_ignore(_stored(spark, f"{out_dir}/changelog", changes), changes, "id"), f"{out_dir}/changelog")
+        write_table(insert_ignore(stored(f"{out_dir}/changelog", changes), changes, "id"), f"{out_dir}/changelog")
 
         rows = new.join(text, "key", "left")
         if catalog is not None:
-            rows = rows.join(extract_custom_fields(new, catalog, "raw_json"), "key", "left")
-        write_table(upsert_by_key(_stored(spark, out_dir, rows), rows, "key", [F.col("updated").desc_nulls_last()]), out_dir)
+            custom = extract_custom_fields(new, catalog, "raw_json")
+            rows = rows.drop(*[c for c in custom.columns if c != "key"]).join(custom, "key", "left")
+        write_table(upsert_by_key(stored(out_dir, rows), rows, "key", [F.col("updated").desc_nulls_last()]), out_dir)
         seen.unpersist()
         new.unpersist()
 

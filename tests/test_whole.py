@@ -82,7 +82,7 @@ def test_clone_payloads_are_complete(spark):
     want = {}
     for r in raw.collect():
         f = json.loads(r["raw"])["fields"]
-        own = {"summary": f["summary"], **{n: {k: f[n][k]} for n, k in (("project", "key"), ("issuetype", "name"), ("priority", "name"), ("parent", "key")) if n in f}}
+        own = {n: f[n] for n in ("summary", "description") if n in f} | {**{n: {k: f[n][k]} for n, k in (("project", "key"), ("issuetype", "name"), ("priority", "name"), ("parent", "key")) if n in f}}
         want[r["key"]] = own | {n: f[n] for n in ("labels", "components", "fixVersions")} | {n: v for n, v in f.items() if n.startswith("customfield_")}
     assert {r["key"]: json.loads(r["payload"])["fields"] for r in edits.clone_payloads(raw, src.catalog(spark)).collect()} == want
 
@@ -118,3 +118,84 @@ def test_stream_durations_over_batches(spark, tmp_path):
         sync.stream_status_durations(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out/stays")).select("issue_key", "status", "seconds").collect()
     assert sorted(map(tuple, got)) == [("A", "x", 4.0), ("A", "y", 4.0), ("A", "z", 1.0), ("B", "x", 28.0)]
+
+
+def test_a_write_that_breaks_off_loses_nothing(spark, tmp_path):
+    path = str(tmp_path / "table")
+    frame = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id long")
+    assert not sinks.has_table(spark, path)
+    first = sinks.write_table(frame(1, 2), path)
+    (tmp_path / "table" / "v-00000002").mkdir()  # as if the writer had died in it
+    (tmp_path / "table" / "v-00000002" / "part-0.parquet").write_bytes(b"half")
+    assert sorted(r["id"] for r in sinks.read_table(spark, path).collect()) == [1, 2]
+    old = sinks.read_table(spark, path)
+    assert (first, sinks.write_table(frame(3).unionByName(old), path)) == ("v-00000001", "v-00000003")
+    assert sorted(r["id"] for r in sinks.read_table(spark, path).collect()) == [1, 2, 3] and old.count() == 2
+
+
+def test_a_stream_never_starts_over_an_incomplete_table(spark, tmp_path):
+    import pytest
+
+    page = lambda key: json.dumps({"issues": [{"id": key, "key": key, "fields": {"summary": key, "updated": "2024-01-01"}}]})
+    (tmp_path / "in").mkdir()
+    run = lambda: sync.stream_sync(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
+    (tmp_path / "in" / "0.json").write_text(page("A-1"))
+    run()
+    (tmp_path / "out" / "v-00000001" / "_SUCCESS").unlink()
+    (tmp_path / "in" / "1.json").write_text(page("A-2"))
+    with pytest.raises(Exception, match="no complete version"):
+        run()
+
+
+def test_deep_trees_and_markdown(spark):
+    text = lambda t, *marks: {"type": "text", "text": t, "marks": [{"type": m} for m in marks]}
+    node = lambda kind, *content, **attrs: {"type": kind, "content": list(content), "attrs": attrs}
+    deep = text("core")
+    for _ in range(3_000):
+        deep = node("blockquote" if _ % 50 == 0 else "x", deep)
+    para = lambda *c: node("paragraph", *c)
+    doc = node(
+        "doc", node("heading", text("Top"), level=3), para(text("a", "strong", "em"), text("b", "code", "strong"), {"type": "mention", "content": [text("@bo")]}, {"type": "embedCard", "attrs": {"url": "http://u"}}, {"type": "emoji", "attrs": {"text": "!"}}),
+        node("orderedList", node("listItem", para(text("x")), node("bulletList", node("listItem", para(text("y")))), para(text("z"))), node("listItem", para(text("w")))), node("codeBlock", text("c"), language="go"),
+        node("blockquote", para(text("q"))), node("table", node("tableRow", node("tableHeader", para(text("h"))), node("tableHeader", para(text("i")))), node("tableRow", node("tableCell", para(text("1"))))), node("mediaSingle", {"type": "media"}),
+    )
+    rows = [(0, json.dumps(doc)), (1, '"just text"'), (2, "{broken"), (3, None)]
+    df = spark.createDataFrame(rows, "id long, body string")
+    from ledgerline.functions import richtext
+
+    want = "### Top\n\n***a***`b`@@bohttp://u!\n\n1. x\n  - y\n   z\n2. w\n\n```go\nc\n```\n\n> q\n\n| h | i |\n| --- | --- |\n| 1 |  |\n\n[attachment]"
+    assert [r["markdown"] for r in richtext.rich_text_to_markdown(df, "body").orderBy("id").collect()] == [want, "just text", "", ""]
+    tree = json.dumps(deep)
+    told = spark.createDataFrame([(tree,)], "body string")
+    assert richtext.rich_text_to_plaintext(told, "body").first()["plain"] == "core" and richtext.rich_text_to_markdown(told, "body").first()["markdown"].endswith("core")
+    kept = spark.createDataFrame([(rows[0][1],), ("plain {",), ('{"a": 1} and "type"',), (None,)], "b string").select(richtext.plain_text(F.col("b")).alias("b")).collect()
+    assert kept[0]["b"].startswith("Top\n\nab@bo!"[:6]) and [r["b"] for r in kept[1:]] == ["plain {", '{"a": 1} and "type"', None]
+
+
+def test_queue_outcomes_and_transitions(spark):
+    at = dt.datetime(2024, 1, 1)
+    issues = spark.createDataFrame([("A-1", "To Do")], "key string, status string")
+    rows = [(1, "A-1", "transition", '{"transition_id":"31"}', 0, None), (2, "A-1", "transition", '{"transition_id":"99"}', 0, None), (3, "A-1", "transition", '{"transition_id":"31"}', 5, "no network")]
+    queue = spark.createDataFrame([(i, k, o, p, at, None, n, e) for i, k, o, p, n, e in rows], "id long, issue_key string, operation string, payload string, created_at timestamp_ntz, synced_at timestamp_ntz, retry_count int, last_error string")
+    out, results, _ = edits.apply_pending(issues, queue, transitions={"31": "Done"})
+    assert out.first()["status"] == "Done"
+    assert [(r["ok"], r["error"]) for r in results.orderBy("id").collect()] == [(True, None), (False, "transition without a status"), (False, "too many retries: no network")]
+    for _ in range(2):
+        queue = edits.record_outcomes(queue, results, F.lit(at))
+    assert [(r["retry_count"], r["last_error"]) for r in queue.orderBy("id").collect()] == [(0, None), (2, "transition without a status"), (5, "no network")]
+
+
+def test_refresh_keeps_what_raw_issues_lack(spark):
+    issues = spark.createDataFrame([("A-1", "old", "team x", "said"), ("A-2", "two", "team y", None)], "key string, summary string, team string, comments_text string").withColumn("updated", F.lit(None).cast("timestamp_ntz"))
+    raw = spark.createDataFrame([("A-1", json.dumps({"key": "A-1", "fields": {"summary": "new", "customfield_1": {"value": "team z"}}}))], "key string, raw string")
+    rows = lambda df: sorted(tuple(r) for r in df.select("key", "summary", "team", "comments_text").collect())
+    assert rows(edits.refresh_issues(issues, raw)) == [("A-1", "new", "team x", "said"), ("A-2", "two", "team y", None)]
+    assert rows(edits.refresh_issues(issues, raw, src.catalog(spark))) == [("A-1", "new", "team z", "said"), ("A-2", "two", "team y", None)]
+
+
+def test_highlight_takes_terms_as_they_are(spark):
+    from ledgerline.operators import search
+
+    df = spark.createDataFrame([("C++ and cat, licensing a.b",)], "t string")
+    assert search.highlight(df, "t", ["c++", "a.b"]).first()["highlighted"] == "[C++] and cat, licensing [a.b]"
+    assert search.highlight(df, "t", ["licensed"], stemmed=True).first()["highlighted"] == "C++ and cat, [licensing] a.b"
