@@ -16,8 +16,8 @@ from pyspark.sql import Window as W
 from .common import materialize, text_of, words
 
 SAMPLES = 64
-#: A draw takes DRAW_BITS bits of a hash, looks two quantiles up and goes between them by as many bits more, which spares
-#: logarithms for each term and sample; beyond the first and the last quantile it is worked out from a hash of its own.
+#: A draw takes DRAW_BITS bits of a hash and goes between two quantiles by as many bits more. Below the first and above the
+#: last quantile, those more bits take a quantile of a table as fine again, so the tails are not cut off.
 DRAW_BITS = 10
 BLOCK = 2
 #: Documents are sorted within ranges of about so many ids; ranks are interpolated between KNOTS quantiles.
@@ -27,33 +27,26 @@ KNOTS = 64
 BLOCK_RANGES = 1_024
 
 
-def gamma_quantiles(n: int) -> list[float]:
-    """Quantiles of Gamma(2, 1), whose distribution is 1 - (1 + x) exp(-x), at 1 / n to (n - 1) / n."""
-    out = []
-    x = 0.0
-    for k in range(1, n):
-        p = k / n
-        low, high = x, x + 1.0
-        while 1 - (1 + high) * math.exp(-high) < p:
-            high *= 2
-        for _ in range(60):
-            mid = (low + high) / 2
-            low, high = (mid, high) if 1 - (1 + mid) * math.exp(-mid) < p else (low, mid)
-        x = high
-        out.append(x)
-    return out
-
-
-def tails(u: Column, n: int) -> tuple[Column, Column]:
-    """Draws of Gamma(2, 1) given that they lie below its first or above its last quantile of n, for a uniform u. Below,
-    by the series of the inverse in the root of 2 p; above, x = ln(1 + x) - ln p, which closes in tenfold each time."""
-    root = F.sqrt(u * (2.0 / n))
-    low = root + root * root / 3 + root * root * root * (11 / 72)
-    log_p = F.ln(u / float(n))
-    high = -log_p
-    for _ in range(6):
-        high = F.ln(high + 1) - log_p
-    return low, high
+def gamma_quantile(p: float, above: float) -> float:
+    """Where Gamma(2, 1), whose distribution is 1 - (1 + x) exp(-x), has p below and above = 1 - p above; the smaller one
+    counts."""
+    low, high = 0.0, 80.0
+    for _ in range(80):
+        x = (low + high) / 2
+        # below a half by the series, in which nothing cancels
+        less = x * x / 2 - x**3 / 3 + x**4 / 8 - x**5 / 30 < p if x < 0.1 else 1 - (1 + x) * math.exp(-x) < p if p < 0.5 else (1 + x) * math.exp(-x) > above
+        low, high = (x, high) if less else (low, x)
+    return high
+
+
+def gamma_table(n: int, log: bool) -> list[float]:
+    """Three times n + 1 knots: quantiles of k / n; of k / n / n, below the first of those; of 1 - 1 / n + k / n / n, above the
+    last. At the open ends a knot is such that the middle of its share is right."""
+    value = lambda p, above: math.log(gamma_quantile(p, above)) if log else gamma_quantile(p, above)
+    inner = [0.0, *(value(k / n, 1 - k / n) for k in range(1, n)), 0.0]
+    low = [value(k / n / n, 1.0) for k in range(1, n + 1)]
+    high = [value(0.99, (n - k) / n / n) for k in range(n)]
+    return [*inner, 2 * value(0.5 / n / n, 1.0) - low[0], *low, *high, 2 * value(0.99, 0.5 / n / n) - high[-1]]
 
 
 def counted(df: DataFrame, keys: list[str], one: str, two: str) -> DataFrame:
@@ -77,26 +70,27 @@ def samples(terms: DataFrame, keys: list[str]) -> DataFrame:
     A term is read for BLOCK samples at a time, which keeps the generated code small enough to be compiled to machine
     code; the rows stay in their partition."""
     n = 1 << DRAW_BITS
-    values = gamma_quantiles(n)
     # spelled as text: folded to one constant array instead of an expression for each value
-    constants = lambda xs: F.expr("from_json('[" + ",".join(f"{x:.9g}" for x in xs) + "]', 'array<double>')")
-    tables = {False: constants(values), True: constants([math.log(x) for x in values])}
+    constants = lambda xs: F.expr("from_json('[" + ",".join(f"{x:.8g}" for x in xs) + "]', 'array<double>')")
+    tables = {log: constants(gamma_table(n, log)) for log in (False, True)}
     rows = terms.withColumn("_b", F.explode(F.array(*[F.lit(i) for i in range(0, SAMPLES, BLOCK)])))
-    rows = rows.select("*", *[F.xxhash64("_h", F.col("_b") + k).alias(f"_u{k}") for k in range(BLOCK)])
+    bits = lambda k, at, size: F.shiftrightunsigned(f"_u{k}", at).bitwiseAND(F.lit((1 << size) - 1)).cast("int")
+    share = lambda x, size: (x + 0.5) / float(1 << size)
+    rows = rows.select(*keys, "_b", "_h", "own", "edit", *[F.xxhash64("_h", F.col("_b") + k).alias(f"_u{k}") for k in range(BLOCK)])
+
+    def draw(k: int, at: int, rest: Column) -> tuple[Column, Column]:
+        """Knot and the part of the way to the next one, for the bits from at on and rest as that part in the tails."""
+        place, more = bits(k, at, DRAW_BITS), bits(k, at + DRAW_BITS, DRAW_BITS)
+        tail = (place == 0) | (place == n - 1)
+        return F.when(place == 0, more + (n + 1)).when(place == n - 1, more + (2 * n + 2)).otherwise(place), F.when(tail, rest).otherwise(share(more, DRAW_BITS))
+
     draws = []
     for k in range(BLOCK):
-        bits = F.col(f"_u{k}")
-        part = lambda at, size, bits=bits: F.shiftrightunsigned(bits, at).bitwiseAND(F.lit((1 << size) - 1))
-
-        def draw(at: int, log: bool, bits: Column = bits, part=part) -> Column:
-            place, within = part(at, DRAW_BITS).cast("int"), (part(at + DRAW_BITS, DRAW_BITS) + 0.5) / float(n)
-            more = F.shiftrightunsigned(F.xxhash64(bits, F.lit(at)), 12)
-            low, high = tails((more + 0.5) / float(1 << 52), n)
-            low, high = (F.ln(low), F.ln(high)) if log else (low, high)
-            a, b = F.get(tables[log], place - 1), F.get(tables[log], place)
-            return F.when(place == 0, low).when(place == n - 1, high).otherwise(a + (b - a) * within)
-
-        draws += [draw(0, False).alias(f"_r{k}"), draw(2 * DRAW_BITS, True).alias(f"_c{k}"), ((part(4 * DRAW_BITS, 24).cast("double") + 0.5) / float(1 << 24)).alias(f"_d{k}")]
+        (i, x), (j, y) = draw(k, 0, F.lit(0.5)), draw(k, 2 * DRAW_BITS, share(bits(k, 4 * DRAW_BITS, 8), 8))
+        draws += [i.alias(f"_i{k}"), x.alias(f"_x{k}"), j.alias(f"_j{k}"), y.alias(f"_y{k}"), share(bits(k, 4 * DRAW_BITS + 8, 16), 16).alias(f"_d{k}")]
+    rows = rows.select(*keys, "_b", "_h", "own", "edit", *draws)
+    between = lambda table, at, part: F.get(table, F.col(at)) + (F.get(table, F.col(at) + 1) - F.get(table, F.col(at))) * F.col(part)
+    draws = [c for k in range(BLOCK) for c in (between(tables[False], f"_i{k}", f"_x{k}").alias(f"_r{k}"), between(tables[True], f"_j{k}", f"_y{k}").alias(f"_c{k}"), F.col(f"_d{k}"))]
     rows = rows.select(*keys, "_b", "_h", "own", "edit", *draws)
     aggregates = []
     for k in range(BLOCK):
