@@ -111,8 +111,8 @@ def _describe(docs: DataFrame, key: str, width: int) -> DataFrame:
 
 
 def _windows(found: DataFrame, key: str, width: int) -> DataFrame:
-    """(w, v, symbol, key, at): two hashes, symbol and start of the windows of found (key, text, symbols) whose symbol is
-    one of symbols. The hashes are polynomials of different bases over differently mixed words."""
+    """(w, v, key, at): two hashes, of 64 and of 26 bits, and the start of the windows of found (key, text, symbols) whose symbol
+    is one of symbols. They are sums over differently mixed words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,10 +129,10 @@ def _windows(found: DataFrame, key: str, width: int) -> DataFrame:
                     hit[part] = np.isin(symbol[part].view(np.int64), np.asarray(symbols[a + k], np.int64))
                 doc = np.searchsorted(offsets, at[hit], side="right") - 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(w[hit].view(np.int64)), pa.array(v[hit].view(np.int64)), pa.array(symbol[hit].view(np.int64)), keys.take(pa.array(a + doc)), pa.array((at[hit] - offsets[doc]).astype(np.int32))], ["w", "v", "symbol", key, "at"]
+                    [pa.array(w[hit].view(np.int64)), pa.array((v[hit] >> U(38)).astype(np.int32)), keys.take(pa.array(a + doc)), pa.array((at[hit] - offsets[doc]).astype(np.int32))], ["w", "v", key, "at"]
                 )
 
-    return found.select(key, "text", "symbols").mapInArrow(run, f"w long, v long, symbol long, `{key}` {found.schema[key].dataType.simpleString()}, at int")
+    return found.select(key, "text", "symbols").mapInArrow(run, f"w long, v int, `{key}` {found.schema[key].dataType.simpleString()}, at int")
 
 
 def _cut(found: DataFrame, key: str, width: int) -> DataFrame:
@@ -167,9 +167,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", width: int = 50, with_t
 
     Null texts have no words; rows with an equal key are no smaller than each other, and with different texts each is
     judged for itself; rows with a null key keep all, as no key is smaller, and no other row is held against them; no
-    rows give no rows. Windows are equal if two 64-bit hashes of their words and their high-level symbols are: 192 bits.
+    rows give no rows. Windows are candidates by their high-level symbol and equal if two hashes of their words are: 90 bits.
 
-    The least key of a window is found over parts of its occurrences and met by all in as many parts, so a passage that
+    The least key of a window is aggregated before the shuffle, and its occurrences meet it in PARTS parts, so a passage that
     very many documents share is spread."""
     told = materialize(_describe(docs, key, width), "told")
     first = told.filter(F.col(key).isNotNull()).groupBy("words_a", "words_b").agg(F.min(key).alias("_first"))
@@ -179,11 +179,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", width: int = 50, with_t
     wanted = own.join(shared, "symbol", "left_semi").groupBy(key).agg(F.collect_set("symbol").alias("symbols"))
     found = materialize(docs.select(key, "text").join(wanted, key), "found")
     at = _windows(found, key, width)
-    at = at.withColumn("_z", F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int"))
-    same = ["w", "v", "symbol"]
-    parts = at.groupBy(*same, "_z").agg(F.min(key).alias("_a"), F.max(key).alias("_b"))
-    least = parts.groupBy(*same).agg(F.min("_a").alias("_a"), F.max("_b").alias("_b"), F.collect_set("_z").alias("_z")).filter("_a < _b").select(*same, "_a", F.explode("_z").alias("_z"))
-    starts = at.join(least, [*same, "_z"]).filter(F.col("_a") < F.col(key)).groupBy(key).agg(F.collect_set("at").alias("starts"))
+    at = at.select("w", (F.col("v") * PARTS + F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int")).alias("vz"), key, "at")
+    least = at.groupBy("w", F.expr(f"vz div {PARTS}").alias("v")).agg(F.min(key).alias("_a"), F.max(key).alias("_b"), F.expr(f"bit_or(shiftleft(1L, vz % {PARTS}))").alias("_m")).filter("_a < _b")
+    parts = F.expr(f"filter(sequence(0, {PARTS - 1}), z -> getbit(_m, z) = 1)")
+    least = least.select("w", "_a", "v", F.explode(parts).alias("_z")).select("w", "_a", (F.col("v") * PARTS + F.col("_z")).cast("int").alias("vz"))
+    starts = at.join(least, ["w", "vz"]).filter(F.col("_a") < F.col(key)).groupBy(key).agg(F.collect_set("at").alias("starts"))
     cut = _cut(found.select(key, "text").join(starts, key), key, width)
     cut = cut if with_text else cut.drop("kept_text")
     out = told.select(key, "n_words", "words_a", "copy", F.col("kept_sha256").alias("_all")).join(cut.dropDuplicates([key, "words_a"]), [key, "words_a"], "left")
