@@ -17,8 +17,10 @@ from .common import materialize, remainder, text_of
 
 # A short list of English insults.
 SEED = ("bastard", "clown", "coward", "disgusting", "fool", "garbage", "idiot", "imbecile", "liar", "loser", "moron", "pathetic", "scum", "stupid", "trash", "vermin", "worthless")
-#: Bounds of the training: about so many labelled documents, so many features.
-MAX_LABELLED, MAX_FEATURES = 8_000, 2_048
+#: Bound of the training: about so many labelled documents.
+MAX_LABELLED = 8_000
+#: A feature is telling so many standard deviations above what chance gives; the sample bounds how many are.
+TELLING = 5
 LEXICONS = 24
 PREFIXES = (4, 5, 6, 7, 8)
 WORD = re.compile(r"[^\W\d_]+")
@@ -68,15 +70,16 @@ def votes(scorer: Scorer, features: list[str], found: set[int], dense: list[floa
     return [*out, dense[-1] > 0, *[bool(p.search(text)) for p in PATTERNS]]
 
 
-def label_model(v: np.ndarray, gold: np.ndarray, rounds: int = 40) -> np.ndarray:
+def label_model(v: np.ndarray, gold: np.ndarray, rounds: int = 60) -> np.ndarray:
     """Posterior chance of the hidden label for rows of votes. Each voter fires with its own chance under either label;
-    the given labels are one more voter whose accuracy is estimated too. Voters that agree beyond what the label
+    the given labels are one more voter whose accuracy is estimated like the others', and their share of ones is the
+    label's. The start is the rows with most votes, as many as that share. Voters that agree beyond what the label
     explains share their evidence: each counts by 1 / (1 + sum of its positive correlations given the label)."""
-    x = np.column_stack([v, gold]).astype(float)
-    q = np.clip(gold.astype(float) * 0.9 + 0.05, 0.05, 0.95)
+    x, prior = np.column_stack([v, gold]).astype(float), np.clip(gold.mean(), 1e-3, 1 - 1e-3)
+    n = v.sum(axis=1)
+    q = np.where(n >= max(1, np.quantile(n, 1 - prior)), 0.9, 0.1)
     weight = np.ones(x.shape[1])
     for k in range(rounds):
-        prior = np.clip(q.mean(), 1e-3, 1 - 1e-3)
         p1 = (q @ x + 0.5) / (q.sum() + 1)
         p0 = ((1 - q) @ x + 0.5) / ((1 - q).sum() + 1)
         if k % 10 == 5:
@@ -90,15 +93,19 @@ def label_model(v: np.ndarray, gold: np.ndarray, rounds: int = 40) -> np.ndarray
     return q
 
 
-def logistic(x: np.ndarray, q: np.ndarray, penalty: float = 2e-4, steps: int = 400, missed: float = 2.0) -> np.ndarray:
-    """Weights of a logistic regression on soft labels, by Adam over the whole sample. missed: what a toxic document
-    counts against a clean one, of which there are many more."""
-    share = np.where(q > 0.5, missed, 1.0).astype(np.float32)
-    w, m, s = np.zeros(x.shape[1], np.float32), 0.0, 0.0
-    for k in range(1, steps + 1):
-        g = x.T @ ((1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) - q).astype(np.float32) * share) / len(x) + penalty * w
+def logistic(row: np.ndarray, column: np.ndarray, k: int, dense: np.ndarray, q: np.ndarray, penalty: float = 2e-4, steps: int = 400, missed: float = 2.0) -> np.ndarray:
+    """Weights of a logistic regression on soft labels, by Adam over the whole sample; (row, column) tell which of
+    k features are present, dense are the others. missed: what a toxic document counts against a clean one, of which there are many
+    more."""
+    share = np.where(q > 0.5, missed, 1.0)
+    n = len(q)
+    w, m, s = np.zeros(k + dense.shape[1]), 0.0, 0.0
+    for step in range(1, steps + 1):
+        z = np.bincount(row, w[column], n) + dense @ w[k:]
+        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - q) * share / n
+        g = np.concatenate([np.bincount(column, error[row], k), dense.T @ error]) + penalty * w
         m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
-        w = w - 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(s / (1 - 0.999**k)) + 1e-8)
+        w = w - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
     return w
 
 
@@ -131,8 +138,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> tuple[list
     p = toxic / size
     sums = sample.mapInPandas(count, "f string, n long, t long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
     z = (F.col("t") - F.col("n") * p) / F.sqrt(F.col("n") * (p * (1 - p)))
-    telling = sums.filter((F.col("t") >= 2) & (F.col("t") >= 0.5 * F.col("n")) & (z > 3)).orderBy(z.desc(), "f").limit(MAX_FEATURES)
-    features = [r["f"] for r in telling.select("f").collect()]
+    telling = sums.filter((F.col("t") >= 2) & (F.col("t") >= 0.5 * F.col("n")) & (z > TELLING))
+    features = sorted(r["f"] for r in telling.select("f").collect())
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(features)
@@ -144,13 +151,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> tuple[list
             yield pd.DataFrame(rows, columns=["found", "dense", "votes", "toxic"])
 
     told = sample.mapInPandas(read, "found array<int>, dense array<double>, votes array<boolean>, toxic int").toPandas()
-    dense = np.array(told["dense"].tolist(), np.float32)
-    x = np.zeros((len(told), len(features) + dense.shape[1]), np.float32)
-    for k, f in enumerate(told["found"]):
-        x[k, np.asarray(f, np.int64)] = 1
-    x[:, len(features) :] = dense
+    row = np.repeat(np.arange(len(told)), [len(f) for f in told["found"]])
+    column = np.array([k for f in told["found"] for k in f], np.int64)
     q = label_model(np.array(told["votes"].tolist(), bool), told["toxic"].to_numpy())
-    return features, logistic(x, q)
+    return features, logistic(row, column, len(features), np.array(told["dense"].tolist()), q)
 
 
 def score(docs: DataFrame, model: tuple[list[str], np.ndarray] | None, keep: list[str], name: str = "score") -> DataFrame:
