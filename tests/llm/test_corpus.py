@@ -311,6 +311,23 @@ def test_label_model_finds_good_voters():
     assert ((q > 0.5) == y).mean() > 0.98
 
 
+def test_logistic_is_at_a_minimum():
+    """By the plain loss over a full matrix: no small step from the weights found makes it less by much."""
+    rng = np.random.default_rng(5)
+    found, dense, q = rng.random((400, 6)) < 0.3, np.column_stack([np.ones(400), rng.random(400)]), rng.random(400)
+    q = np.where(found[:, 0], 0.9, 0.1) * 0.8 + q * 0.2
+    row, column = np.nonzero(found)
+    w = toxicity.logistic(row, column, 6, dense, q, steps=3000)
+    x, share = np.column_stack([found, dense]), np.where(q > 0.5, 2.0, 1.0)
+
+    def loss(w):
+        p = 1 / (1 + np.exp(-(x @ w)))
+        return -np.mean(share * (q * np.log(p) + (1 - q) * np.log(1 - p))) + 1e-4 * (w**2).sum()
+
+    assert w.shape == (8,) and w[0] > 1
+    assert all(loss(w + d * step) > loss(w) - 1e-5 for d in np.eye(8) for step in (0.05, -0.05))
+
+
 def weight(v, ids):
     plain = [k for k in range(len(v.pieces)) if v.pieces[k] not in ("<unk>", "<s>", "</s>") and k not in set(v.byte_id.values())]
     w = {k: -round(pieces.STEP * math.log(2 + r)) for r, k in enumerate(plain)}
