@@ -7,7 +7,6 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 SAFE = re.compile(r"[a-zA-Z_][a-zA-Z0-9_]*")
 HIDDEN = ("raw_json", "comments_text", "synced_at")
@@ -114,10 +113,12 @@ def sort_as_text(df: DataFrame, column: str, desc: bool = False, tie: str = "key
 
 
 def group_with_headers(df: DataFrame, group: str, columns: list[str], order: str = "key") -> DataFrame:
-    """columns, label, is_header, group_size: rows of a group stand together, its first one is marked."""
+    """columns, label, is_header, group_size: the row of a group with the least order, which tells rows apart, is marked.
+    Groups are summed up before they meet their rows, so that the rows without a parent need not fit into one task."""
     label = F.when(F.coalesce(F.col(group), F.lit("")) == "", "(no parent)").otherwise(F.col(group))
-    by = W.partitionBy("label")
-    return df.withColumn("label", label).select(*columns, "label", (F.row_number().over(by.orderBy(order)) == 1).alias("is_header"), F.count("*").over(by).alias("group_size"))
+    rows = df.withColumn("label", label)
+    groups = rows.groupBy("label").agg(F.min(order).alias("_first"), F.count("*").alias("group_size"))
+    return rows.join(groups, "label").select(*columns, "label", F.col(order).eqNullSafe(F.col("_first")).alias("is_header"), "group_size")
 
 
 def parent_chain(issues: DataFrame, max_depth: int = 5) -> DataFrame:

@@ -48,9 +48,21 @@ def stale_items(issues: DataFrame, now: Column, days: int) -> DataFrame:
     return issues.filter(late).orderBy("updated", "key")
 
 
+def numbered(df: DataFrame, by: str, at: str, tie: str, name: str, desc: bool = False) -> DataFrame:
+    """df with row_number() over (partition by by, order by at, tie) for few groups that hold many rows each. at is a time;
+    nulls stand first, last if desc. Rows are numbered within a day of their group and go on after the days before: no task
+    sorts more than one day of a group, and what is summed up over a whole group is one count for each of its days."""
+    way = lambda c: F.desc(c) if desc else F.asc(c)
+    rows = df.withColumn("_k", F.struct(F.col(by), F.col(at).cast("date").alias("_day")))  # a struct is never null, so null groups and days meet
+    before = W.partitionBy(F.col("_k")[by]).orderBy(way("_k._day")).rowsBetween(W.unboundedPreceding, -1)
+    days = rows.groupBy("_k").agg(F.count("*").alias("_n")).select("_k", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = F.row_number().over(W.partitionBy("_k").orderBy(way(at), tie))
+    return rows.join(days, "_k").withColumn(name, within + F.col("_before")).drop("_k", "_before")
+
+
 def staleness_rank(issues: DataFrame, by: str = "team") -> DataFrame:
     """issues with rank: 1 is the one of its group that was updated longest ago."""
-    return issues.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(F.col("updated").asc_nulls_first(), "key")))
+    return numbered(issues, by, "updated", "key", "rank")
 
 
 def monthly_completion(changelog: DataFrame, issues: DataFrame, status: str, column: str, pattern: str) -> DataFrame:

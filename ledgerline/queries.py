@@ -9,7 +9,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from .functions import richtext
 from .operators import edits, flatten, merge, profile, reports, search
@@ -503,7 +502,7 @@ def distinct_sorted(spark, d):
 
 @put("SELECT key, row_number() OVER (PARTITION BY team ORDER BY created DESC, key) AS rn FROM issues", issues=True)
 def window_row_number(spark, d):
-    return issues_of(spark, d).select("key", F.row_number().over(W.partitionBy("team").orderBy(F.desc("created"), "key")).alias("rn"))
+    return reports.numbered(issues_of(spark, d), "team", "created", "key", "rn", desc=True).select("key", "rn")
 
 
 @put("SELECT key, strftime(created, '%Y-%W') AS week, strftime(created, '%Y-%m') AS month, round(date_diff('second', updated, TIMESTAMP '2001-08-01') / 86400.0, 4) AS age FROM issues", issues=True)

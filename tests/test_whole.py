@@ -62,6 +62,28 @@ def test_sort_of_all_rows(spark):
     assert [(r["id"], r["key"]) for r in q.sort_as_text(spark, SF).collect()] == want
 
 
+def test_numbers_within_groups_by_days(spark):
+    from pyspark.sql import Window as W
+
+    from ledgerline.operators import reports
+
+    hour = lambda n: None if n % 11 == 0 else dt.datetime(2024, 1, 1) + dt.timedelta(hours=n * 7 % 60)
+    df = spark.createDataFrame([(f"A-{n:03}", None if n % 13 == 0 else ["x", "x", "y"][n % 3], hour(n)) for n in range(200)], "key string, team string, updated timestamp_ntz")
+    for desc in (False, True):
+        by = W.partitionBy("team").orderBy(F.desc("updated") if desc else F.asc("updated"), "key")
+        want = sorted(tuple(r) for r in df.withColumn("n", F.row_number().over(by)).select("key", "n").collect())
+        assert sorted(tuple(r) for r in reports.numbered(df, "team", "updated", "key", "n", desc).select("key", "n").collect()) == want
+    assert reports.numbered(df.limit(0), "team", "updated", "key", "n").collect() == []
+
+
+def test_headers_of_groups(spark):
+    from ledgerline.operators import profile
+
+    df = spark.createDataFrame([("A-3", "P-1"), ("A-2", "P-1"), ("A-5", None), ("A-4", ""), ("A-1", "P-2")], "key string, parent_key string")
+    got = sorted(tuple(r) for r in profile.group_with_headers(df, "parent_key", ["key"]).collect())
+    assert got == [("A-1", "P-2", True, 1), ("A-2", "P-1", True, 2), ("A-3", "P-1", False, 2), ("A-4", "(no parent)", True, 2), ("A-5", "(no parent)", False, 2)]
+
+
 def test_clone_copies_every_field(spark):
     text = lambda t: {"type": "doc", "content": [{"type": "paragraph", "content": [{"type": "text", "text": t}]}]}
     fields = {
