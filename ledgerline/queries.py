@@ -685,7 +685,9 @@ def suggest_closest(spark, d):
     return profile.suggest_closest(inputs, ["signup", "status", "summary", "assignee", "priority", "view"])
 
 
-@put()
+@put("""WITH one AS (SELECT typeof(COLUMNS(* EXCLUDE n)) FROM issues LIMIT 1), u AS (UNPIVOT one ON COLUMNS(*) INTO NAME c VALUE k)
+ SELECT (row_number() OVER () - 1)::INT AS ordinal, c AS "column", CASE k WHEN 'VARCHAR' THEN 'string' WHEN 'VARCHAR[]' THEN 'array<string>' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(k) END AS type,
+ CASE c WHEN 'team' THEN 'Team' WHEN 'story_points' THEN 'Story Points' END AS display_name, c IN ('team', 'story_points') AS is_custom FROM u""", issues=True)
 def describe_table(spark, d):
     return profile.describe_table(issues_of(spark, d), src.catalog(spark))
 
