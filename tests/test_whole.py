@@ -32,6 +32,26 @@ def test_highlight_of_whole_documents(spark):
     assert dict(q.highlight(spark, SF).collect()) == want
 
 
+def test_stemmed_search_against_plain_python(spark):
+    import collections
+    import math
+
+    from ledgerline.functions.stem import stem
+    from ledgerline.operators import search
+
+    docs = {k: collections.Counter(stem(w) for w in re.findall(r"[^\W_]+", t.lower().translate(str.maketrans(search.MARKED, search.PLAIN)))) for k, t in texts(spark).items()}
+    average = sum(d.total() for d in docs.values()) / len(docs)
+    scores = collections.Counter()
+    for term in (stem("nations"), stem("licensed")):
+        having = [k for k, d in docs.items() if d[term]]
+        idf = max(math.log((len(docs) - len(having) + 0.5) / (len(having) + 0.5)), 1e-6)
+        for k in having:
+            scores[k] += idf * docs[k][term] * 2.2 / (docs[k][term] + 1.2 * (0.25 + 0.75 * docs[k].total() / average))
+    want = sorted(((-round(s, 6), k) for k, s in scores.items()))[:20]
+    got = [(-r["score"], r["key"]) for r in q.search_stemmed(spark, SF).collect()]
+    assert want and [k for _, k in got] == [k for _, k in want] and all(abs(a - b) < 2e-6 for (a, _), (b, _) in zip(got, want, strict=True))
+
+
 def test_queue_changes_every_column(spark):
     at = dt.datetime(2024, 1, 1)
     issue = "key string, summary string, type string, status string, team string, story_points double, due_date timestamp_ntz, labels array<string>, fix_version array<string>"
