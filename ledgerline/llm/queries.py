@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
 from .common import table
+from .conversations import repair_conversations
 from .fingerprints import fingerprints
 from .langid import language_id
 from .mixing import document_sizes, mix
@@ -58,7 +59,11 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_warc, op4_language_id, op5_mixing, op6_pii, op7_sentencepiece, op8_fingerprints, op9_substring_dedup, op10_minhash_near_dedup)}
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_warc, op4_language_id, op5_mixing, op6_pii, op7_sentencepiece, op8_fingerprints, op9_substring_dedup, op10_minhash_near_dedup, op12_conversation_repair)}
 
 ORACLES = {
     "op1_quality_rules": oracles.quality(),
