@@ -23,6 +23,17 @@ REPEATS = rf"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''),
  k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS kept, count(*) AS n FROM every ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
  SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)"""
 
+BYTES = """WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+ win AS (SELECT r, unnest(range(1, length(h) // 2 - 198)) AS p, h FROM d WHERE length(h) >= 400),
+ x AS (SELECT r, p, sha256(substr(h, 2 * p - 1, 400)) AS x FROM win),
+ twice AS (SELECT x FROM x GROUP BY x HAVING count(*) > 1),
+ hit AS (SELECT r, p, p - lag(p, 1, -1000) OVER (PARTITION BY r ORDER BY p) > 200 AS fresh FROM x JOIN twice USING (x)),
+ runs AS (SELECT r, min(p) AS a, max(p) + 200 AS b FROM (SELECT r, p, sum(fresh::INT) OVER (PARTITION BY r ORDER BY p) AS g FROM hit) GROUP BY r, g),
+ gaps AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 1) AS before FROM runs),
+ cut AS (SELECT r, sum(b - a) AS removed, count(*) AS n_spans, string_agg(substr(h, 2 * before - 1, 2 * (a - before)), '' ORDER BY a) AS front, max(b) AS rest FROM gaps JOIN d USING (r) GROUP BY r)
+ SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+   sha256(unhex(CASE WHEN removed IS NULL THEN h ELSE front || substr(h, 2 * rest - 1) END)) AS kept_sha256 FROM d LEFT JOIN cut USING (r)"""
+
 HARD = """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x
    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
  e AS (SELECT vec_id, label, unnest(x) AS c, generate_subscripts(x, 1) AS d FROM v),

@@ -16,6 +16,7 @@ from .pieces import encode_and_decode
 from .pii import replace_entities
 from .quality import quality_rules
 from .substrings import remove_repeats
+from .suffixes import remove_repeated_bytes
 from .toxicity import toxicity
 from .warc import warc_round_trip
 
@@ -68,13 +69,18 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_warc, op4_language_id, op5_mixing, op6_pii, op7_sentencepiece, op8_fingerprints, op9_substring_dedup, op10_minhash_near_dedup, op11_hard_negatives, op12_conversation_repair)}
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_bytes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_warc, op4_language_id, op5_mixing, op6_pii, op7_sentencepiece, op8_fingerprints, op9_substring_dedup, op10_minhash_near_dedup, op11_hard_negatives, op12_conversation_repair, op13_suffix_array_dedup)}
 
 ORACLES = {
     "op1_quality_rules": oracles.quality(),
     "op9_substring_dedup": oracles.REPEATS,
     "op10_minhash_near_dedup": oracles.NEAR,
     "op11_hard_negatives": oracles.HARD,
+    "op13_suffix_array_dedup": oracles.BYTES,
     "op3_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
         d AS (SELECT page_id, octet_length(encode(payload)) AS payload_bytes, sha256(payload) AS payload_digest FROM p),
