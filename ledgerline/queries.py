@@ -14,7 +14,7 @@ from .functions import richtext
 from .operators import edits, flatten, merge, profile, reports, search
 from .plans import query
 from .sources import issues as src
-from .sources import sinks
+from .sources import kept, sinks
 from .streaming import sync
 
 NOW, EVENTS_NOW = dt.datetime(2001, 8, 1), dt.datetime(2024, 1, 31)
@@ -855,7 +855,7 @@ def stream_sync(spark, d):
         page = part.groupBy((F.col("id").cast("long") % 8).alias("p")).agg(F.collect_list("raw").alias("r"))
         page.select(F.to_json(F.struct(F.col("r").alias("issues"))).alias("value")).write.mode("append").text(f"{path}/in")
         sync.stream_sync(spark, f"{path}/in", f"{path}/out", f"{path}/checkpoint", catalog=src.catalog(spark)).awaitTermination()
-    return spelled(sinks.read_table(spark, f"{path}/out").select(SHORT))
+    return spelled(kept.read_kept(spark, f"{path}/out").select(SHORT))
 
 
 def _event_stream(spark, d) -> DataFrame:

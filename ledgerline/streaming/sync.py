@@ -10,44 +10,54 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.flatten import denormalize_issues, explode_changelog, extract_comments, extract_custom_fields, extract_links, rollup_comments_text
 from ..operators.merge import insert_ignore, latest_of, replace_children, upsert_by_key
 from ..sources.issues import histories_of
-from ..sources.sinks import has_table, read_table, write_table
+from ..sources.kept import clean_up, merge_kept, read_kept, version_of
 
 
-def _stored(spark: SparkSession, path: str, like: DataFrame, first: bool) -> DataFrame:
-    """The table at path; only the first batch of a checkpoint may find none."""
-    return like.limit(0) if first and not has_table(spark, path) else read_table(spark, path)
+def _or_none(old: DataFrame | None, like: DataFrame) -> DataFrame:
+    return like.limit(0) if old is None else old
 
 
-def stream_sync(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, every: str | None = None, catalog: DataFrame | None = None) -> StreamingQuery:
+def stream_sync(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, every: str | None = None, catalog: DataFrame | None = None, keep: int | None = 2) -> StreamingQuery:
     """Reads new page files (a JSON page a line) and brings the tables up to date: issues at out_dir, with the catalog's
     custom fields and comments_text, and below it comments, issue_links and changelog. Without every it ends when all
-    present files are read; a restart goes on after the last batch that was written, and a batch may be put twice."""
+    present files are read; a restart goes on after the last batch that was written, and a batch may be put twice.
+
+    The tables are read with read_kept. Each is kept in ranges of the issue's key, so a batch reads and writes only the ranges of
+    the issues in it, in all four; comments and history rows belong to one issue for good. Versions before the last keep that no
+    reader holds are removed after each batch; None removes none."""
+
+    tables = (out_dir, *(f"{out_dir}/{n}" for n in ("comments", "issue_links", "changelog")))
 
     def put(batch: DataFrame, batch_id: int) -> None:
+        for path in tables:  # only the first batch of a checkpoint may find none
+            if batch_id and not version_of(spark, path):
+                raise FileNotFoundError(f"no complete version of a table in {path}")
         pages = batch.select(F.explode(F.from_json("value", "struct<issues: array<string>>")["issues"]).alias("raw"))
         seen = denormalize_issues(pages).persist()
         new = latest_of(seen, "key", [F.col("updated").desc_nulls_last(), F.col("raw_json").desc()]).persist()
-        keys = new.select("key")
-        stored = lambda path, like: _stored(spark, path, like, batch_id == 0)
+        parents = new.select(F.col("key").alias("issue_key"))
 
         said, order = extract_comments(seen, "raw_json"), [F.col("created").desc_nulls_last(), F.col("body").desc_nulls_last()]
-        comments = upsert_by_key(stored(f"{out_dir}/comments", said), said, "id", order)
-        write_table(upsert_by_key(comments, extract_comments(new, "raw_json"), "id", order), f"{out_dir}/comments")
-        text = rollup_comments_text(read_table(spark, f"{out_dir}/comments").join(keys.withColumnRenamed("key", "issue_key"), "issue_key", "left_semi")).withColumnRenamed("issue_key", "key")
+        last = extract_comments(new, "raw_json")
+        merge_kept(parents, f"{out_dir}/comments", "issue_key", lambda old: upsert_by_key(upsert_by_key(_or_none(old, said), said, "id", order), last, "id", order))
+        text = rollup_comments_text(read_kept(spark, f"{out_dir}/comments", parents, "issue_key")).withColumnRenamed("issue_key", "key")
 
         links = extract_links(new, "raw_json")
-        write_table(replace_children(stored(f"{out_dir}/issue_links", links), links, keys.withColumnRenamed("key", "issue_key"), "issue_key"), f"{out_dir}/issue_links")
+        merge_kept(parents, f"{out_dir}/issue_links", "issue_key", lambda old: replace_children(_or_none(old, links), links, parents, "issue_key"))
 
         changes = explode_changelog(histories_of(seen, "raw_json")).withColumnRenamed("ref", "issue_key")
-        write_table(insert_ignore(stored(f"{out_dir}/changelog", changes), changes, "id"), f"{out_dir}/changelog")
+        merge_kept(parents, f"{out_dir}/changelog", "issue_key", lambda old: insert_ignore(_or_none(old, changes), changes, "id"))
 
         rows = new.join(text, "key", "left")
         if catalog is not None:
             custom = extract_custom_fields(new, catalog, "raw_json")
             rows = rows.drop(*[c for c in custom.columns if c != "key"]).join(custom, "key", "left")
-        write_table(upsert_by_key(stored(out_dir, rows), rows, "key", [F.col("updated").desc_nulls_last()]), out_dir)
+        merge_kept(new, out_dir, "key", lambda old: upsert_by_key(_or_none(old, rows), rows, "key", [F.col("updated").desc_nulls_last()]))
         seen.unpersist()
         new.unpersist()
+        if keep:
+            for path in tables:
+                clean_up(spark, path, keep)
 
     writer = spark.readStream.text(in_dir).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

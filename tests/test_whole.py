@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ledgerline import queries as q
 from ledgerline.operators import edits
 from ledgerline.sources import issues as src
-from ledgerline.sources import sinks
+from ledgerline.sources import kept, sinks
 from ledgerline.streaming import sync
 
 SF = "/root/testdata/sf0.001"
@@ -145,7 +145,7 @@ def test_stream_keeps_children_and_custom_fields(spark, tmp_path):
     for k, batch in enumerate(batches):
         (tmp_path / "in" / f"{k}.json").write_text(json.dumps({"issues": batch}))
         sync.stream_sync(spark, str(tmp_path / "in"), out, str(tmp_path / "checkpoint"), catalog=src.catalog(spark)).awaitTermination()
-    rows = lambda name, *c: sorted(tuple(r) for r in sinks.read_table(spark, f"{out}/{name}").select(*c).collect())
+    rows = lambda name, *c: sorted(tuple(r) for r in kept.read_kept(spark, f"{out}/{name}").select(*c).collect())
     assert rows("", "key", "team", "comments_text") == [("A-1", "team 2", "one TWO four"), ("A-2", "team 1", "three")]
     assert rows("comments", "id", "issue_key", "body") == [("1", "A-1", "one"), ("2", "A-1", "TWO"), ("3", "A-2", "three"), ("4", "A-1", "four")]
     assert rows("issue_links", "id", "issue_key") == [("2_out", "A-1"), ("3_out", "A-2"), ("4_out", "A-1")]
@@ -183,7 +183,7 @@ def test_a_stream_never_starts_over_an_incomplete_table(spark, tmp_path):
     run = lambda: sync.stream_sync(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
     (tmp_path / "in" / "0.json").write_text(page("A-1"))
     run()
-    (tmp_path / "out" / "v-00000001" / "_SUCCESS").unlink()
+    (tmp_path / "out" / "manifest" / "v-00000001" / "_SUCCESS").unlink()
     (tmp_path / "in" / "1.json").write_text(page("A-2"))
     with pytest.raises(Exception, match="no complete version"):
         run()
