@@ -344,6 +344,27 @@ def upsert_by_key(spark, d):
     return spelled(merge.upsert_by_key(_stored(spark, d), twice, "key", [F.col("updated").desc()]).select(SHORT))
 
 
+def _kept_issues(spark, d) -> str:
+    """The stored issues as a table kept in ranges; the incoming ones are merged into it once."""
+    name = (spark.sparkContext.applicationId, d, "kept")
+    if name not in _STORED:
+        path, order = scratch(spark, "kept"), [F.col("updated").desc()]
+        kept.merge_kept(_stored(spark, d), path, "key", lambda _: _stored(spark, d))
+        kept.merge_kept(_incoming(spark, d), path, "key", lambda old: merge.upsert_by_key(old, _incoming(spark, d), "key", order))
+        _STORED[name] = path
+    return _STORED[name]
+
+
+@put(f"WITH {STORED} SELECT key, project, status, strftime(updated, '%Y-%m-%d %H:%M:%S') AS updated FROM incoming UNION ALL SELECT key, project, status, strftime(updated, '%Y-%m-%d %H:%M:%S') FROM stored WHERE key NOT IN (SELECT key FROM incoming)", issues=True)
+def merge_kept(spark, d):
+    return spelled(kept.read_kept(spark, _kept_issues(spark, d)).select(SHORT))
+
+
+@put(CORE + " WHERE key = 'ORD-7' AND n % 3 <> 0", issues=True)
+def lookup_kept(spark, d):
+    return spelled(kept.lookup_kept(spark, _kept_issues(spark, d), "key", "ORD-7").select(SHORT))
+
+
 @put(f"WITH l AS ({LINKS}) SELECT id, issue_key, linked_key FROM l WHERE substr(issue_key, 5)::BIGINT % 2 = 1 UNION ALL SELECT id || 'x', issue_key, 'NEW-' || issue_key FROM l WHERE substr(issue_key, 5)::BIGINT % 2 = 0", issues=True)
 def replace_children(spark, d):
     links = flatten.extract_links(raws(spark, d)).select("id", "issue_key", "linked_key")

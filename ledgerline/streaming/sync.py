@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators.flatten import denormalize_issues, explode_changelog, extract_comments, extract_custom_fields, extract_links, rollup_comments_text
 from ..operators.merge import insert_ignore, latest_of, replace_children, upsert_by_key
@@ -68,20 +68,82 @@ def stream_changelog_dedup(stream: DataFrame, delay: str = "1 day") -> DataFrame
     return stream.withWatermark("changed_at", delay).dropDuplicatesWithinWatermark(["id"])
 
 
-def stream_status_durations(stream: DataFrame, out_dir: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Appends (issue_key, status, seconds) of each completed stay to out_dir/stays as changes arrive, a folder a batch.
-    What a batch needs of those before is each issue's last status, in out_dir/last; a batch may be put twice."""
+STAY = "issue_key string, id string, status string, since timestamp, seconds double, correction boolean"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Stays(StatefulProcessor):
+    """Of one issue: the changes that a later row may still fall among, in order. A new change ends the stay before it and is ended by
+    the one after it; what was given out for a stay whose end has moved is put right by the difference."""
+
+    def __init__(self, late_ms: int | None) -> None:
+        self.late_ms = late_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.changes = handle.getListState("changes", "at long, id string, status string")
+
+    @staticmethod
+    def _ends(changes: list[tuple]) -> dict[tuple, int]:
+        return {c[:2]: after[0] for c, after in zip(changes, changes[1:], strict=False)}
+
+    def _kept(self, changes: list[tuple], watermark_ms: int) -> list[tuple]:
+        """Without the changes before the last one that no row can come before any more."""
+        closed = [k for k, c in enumerate(changes) if c[0] < watermark_ms * 1000]
+        return changes[closed[-1] :] if closed else changes
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        old = [tuple(r) for r in self.changes.get()]
+        known = {c[:2]: c for c in old}
+        for frame in rows:
+            for at, ident, status in zip(frame["at"], frame["id"], frame["status"], strict=True):
+                known.setdefault((int(at), ident), (int(at), ident, status))
+        new = sorted(known.values(), key=lambda c: (c[0], c[1] is not None, c[1] or ""))
+        before, after = self._ends(old), self._ends(new)
+        out = []
+        for at, ident, status in new:
+            end, was = after.get((at, ident)), before.get((at, ident))
+            if status is not None and end is not None and end != was:
+                out.append((key[0], ident, status, pd.Timestamp(at, unit="us"), (end - (at if was is None else was)) / 1e6, was is not None))
+        if self.late_ms is not None:
+            new = self._kept(new, timerValues.getCurrentWatermarkInMs())
+            self.handle.registerTimer(new[-1][0] // 1000 + self.late_ms)
+        self.changes.put(new)
+        if out:
+            yield pd.DataFrame(out, columns=["issue_key", "id", "status", "since", "seconds", "correction"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        """An issue that has been still for as long as rows may be late needs its last change alone."""
+        self.changes.put(self._kept([tuple(r) for r in self.changes.get()], timerValues.getCurrentWatermarkInMs()))
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def stream_status_durations(stream: DataFrame, out_dir: str, checkpoint: str, every: str | None = None, late: str | None = "30 days") -> StreamingQuery:
+    """Appends rows (see STAY) to out_dir/stays as changes (id, issue_key, to_string, changed_at) arrive, a folder a batch; a batch may be
+    put twice. The seconds of an issue's status sum up to what time_in_status gives for all changes read so far, in whatever
+    order they came: a change that falls into a stay already given out brings a correction, which may be negative.
+
+    Rows may be late by late (None: by any time); later ones are dropped. State is kept in RocksDB for each issue: a batch reads and
+    writes that of the issues it has, and changes that no row can come before any more go, for still issues by a timer. Repeated
+    rows (same id and time) count once, rows without a time not at all; a stay of a null status is not given out."""
+    spark = stream.sparkSession
+    rows = stream.select("issue_key", "id", F.col("to_string").alias("status"), "changed_at").filter("changed_at IS NOT NULL")
+    rows = rows.withWatermark("changed_at", late) if late else rows
+    late_ms = None if late is None else spark.sql(f"SELECT unix_millis(timestamp_seconds(0) + INTERVAL {late})").first()[0]
+    rows = rows.withColumn("at", F.unix_micros("changed_at"))
+    stays = rows.groupBy("issue_key").transformWithStateInPandas(Stays(late_ms), outputStructType=STAY, outputMode="Append", timeMode="EventTime" if late else "None")
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select("issue_key", F.lit(1).alias("turn"), "changed_at", "id", F.col("to_string").alias("status"))
-        if batch_id:
-            rows = rows.unionByName(batch.sparkSession.read.schema(rows.schema).parquet(f"{out_dir}/last/{batch_id - 1}").withColumn("turn", F.lit(0)))
-        by = W.partitionBy("issue_key").orderBy("turn", "changed_at", "id")
-        rows = rows.withColumns({"until": F.lead("changed_at").over(by), "is_last": F.lead("turn").over(by).isNull()}).persist()
-        rows.filter("is_last").drop("until", "is_last").write.mode("overwrite").parquet(f"{out_dir}/last/{batch_id}")
-        seconds = (F.unix_micros("until") - F.unix_micros("changed_at")) / 1e6
-        rows.filter("not is_last and status is not null").select("issue_key", "status", seconds.alias("seconds")).write.mode("overwrite").parquet(f"{out_dir}/stays/batch={batch_id}")
-        rows.unpersist()
-
-    writer = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
-    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+        batch.write.mode("overwrite").parquet(f"{out_dir}/stays/batch={batch_id}")
+
+    writer = stays.writeStream.foreachBatch(put).outputMode("append").option("checkpointLocation", checkpoint)
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKS)  # a query takes the session's settings as it starts
+    try:
+        return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
