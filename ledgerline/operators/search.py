@@ -24,10 +24,14 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.regexp_replace(F.translate(F.lower(text), MARKED, PLAIN), r"\p{Mn}+", ""), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def terms_of(text: str, stemmed: bool) -> list[str]:
+def words_of(text: str) -> list[str]:
+    """The words of a query's text, in order, repeated ones too."""
     plain = "".join(c for c in text.lower().translate(str.maketrans(MARKED, PLAIN)) if unicodedata.category(c) != "Mn")
-    found = re.findall(r"[^\W_]+", plain)
-    return list(dict.fromkeys(stem(t) if stemmed else t for t in found))
+    return re.findall(r"[^\W_]+", plain)
+
+
+def terms_of(text: str, stemmed: bool) -> list[str]:
+    return list(dict.fromkeys(stem(t) if stemmed else t for t in words_of(text)))
 
 
 def build_text_index(df: DataFrame, key: str, columns: list[str], stemmed: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -45,29 +49,14 @@ def build_text_index(df: DataFrame, key: str, columns: list[str], stemmed: bool
 
 
 def search_ranked(postings: DataFrame, lengths: DataFrame, text: str, limit: int = 20, mode: str = "all", columns: list[str] | None = None, stemmed: bool = False) -> DataFrame:
-    """(key, score) of the best documents. mode: all terms, any, not (the first term without the others), phrase,
-    prefix. Only postings of the query's terms are read from the index."""
-    terms = terms_of(text, stemmed)
-    hits = postings.filter(F.col("col").isin(columns)) if columns else postings
-    if mode == "prefix":
-        hits = hits.filter(reduce(or_, [F.col("term").startswith(t) for t in terms]))
-    else:
-        hits = hits.filter(F.col("term").isin(terms))
-    per = hits.groupBy("key", "term").agg(F.sum("tf").alias("tf"))
-    total, average = lengths.agg(F.count("*"), F.avg("len")).first()
-    df = per.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.log((F.lit(float(total)) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(average)))
-    scored = per.join(df, "term").join(lengths, "key").groupBy("key").agg(F.sum(idf * weight).alias("score"), F.count("*").alias("n"), F.collect_set("term").alias("found"))
-    if mode in ("all", "phrase"):
-        scored = scored.filter(F.col("n") == len(terms))
-    if mode == "not":
-        scored = scored.filter(F.array_contains("found", terms[0]) & (F.size("found") == 1))
-    if mode == "phrase":
-        wanted = F.create_map(*[F.lit(x) for k, t in enumerate(terms) for x in (t, k)])
-        at = hits.select("key", "col", F.explode(F.transform("pos", lambda p: p - F.element_at(wanted, F.col("term")))).alias("first"))
-        scored = scored.join(at.groupBy("key", "col", "first").count().filter(F.col("count") == len(terms)).select("key").distinct(), "key", "left_semi")
-    return scored.select("key", "score").orderBy(F.desc("score"), "key").limit(limit)
+    """(key, score) of the best documents. mode: all words, any, not (the first word without the others), phrase, prefix
+    (a word with each of these beginnings). Only postings of the query's words are read. A text without words finds nothing.
+    Other combinations: search in matching."""
+    from .matching import all_of, any_of, but_not, in_columns, phrase, prefix, search
+
+    words = list(dict.fromkeys(words_of(text)))
+    form = {"all": lambda: all_of(*words), "any": lambda: any_of(*words), "not": lambda: but_not(words[0], any_of(*words[1:])) if words else all_of(), "phrase": lambda: phrase(text), "prefix": lambda: all_of(*map(prefix, words))}[mode]()
+    return search(postings, lengths, in_columns(columns, form) if columns else form, limit, stemmed)
 
 
 def write_text_index(postings: DataFrame, lengths: DataFrame, path: str) -> None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 import tempfile
 import uuid
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions import richtext
-from .operators import edits, flatten, merge, profile, reports, search
+from .operators import edits, flatten, matching, merge, profile, reports, search, textindex
 from .plans import query
 from .sources import issues as src
 from .sources import kept, sinks
@@ -610,13 +611,24 @@ def build_text_index(spark, d):
     return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
-def _rank(where: str, having: str) -> str:
+def _rank(where: str, having: str, unit: str = "term") -> str:
     return f"""WITH {TOKENS}, n AS (SELECT key, count(*) AS len FROM tok GROUP BY key), a AS (SELECT (SELECT count(*) FROM documents)::DOUBLE AS total, (SELECT sum(len) FROM n)::DOUBLE / (SELECT count(*) FROM documents) AS average),
- p AS (SELECT term, key, count(*) AS tf FROM tok WHERE {where} GROUP BY 1, 2), f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+ p AS (SELECT {unit} AS term, key, count(*) AS tf FROM tok WHERE {where} GROUP BY 1, 2), f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
  s AS (SELECT p.key, sum(greatest(ln((total - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / average))) AS score, count(*) AS n, list(p.term) AS found FROM p JOIN f ON p.term = f.term JOIN n ON n.key = p.key, a GROUP BY p.key)
  SELECT key, round(score, 6) AS score FROM s WHERE {having} ORDER BY s.score DESC, key LIMIT 20"""
 
 
+def _units(*units: str, match: str, scored: int | None = None, extra: str = "") -> str:
+    """SQL of a search whose units are numbers of places in w, the words of a document; places(w, [...]) counts those of a phrase."""
+    listed = [re.sub(r"places\(w, \[(.*?)\]\)", lambda m: f"len(list_filter(range(1, len(w) + 1), lambda k: w[k : k + {m[1].count(',')}] = [{m[1]}]))", u) for u in units]
+    scored = scored or len(units)
+    each = " + ".join(f"CASE WHEN u{k} > 0 THEN greatest(ln((total - f{k} + 0.5) / (f{k} + 0.5)), 1e-6) * u{k} * 2.2 / (u{k} + 1.2 * (0.25 + 0.75 * len / average)) ELSE 0 END" for k in range(1, scored + 1))
+    words = r"regexp_extract_all(translate(lower(coalesce(text, '')), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\p{L}\p{N}]+')"
+    return f"""WITH v AS (SELECT doc_id AS key, {words} AS w FROM documents), c AS (SELECT key, len(w) AS len, {", ".join(f"{u} AS u{k}" for k, u in enumerate(listed, 1))}{extra} FROM v),
+ a AS (SELECT count(*)::DOUBLE AS total, sum(len)::DOUBLE / count(*) AS average, {", ".join(f"(count(*) FILTER (u{k} > 0))::DOUBLE AS f{k}" for k in range(1, scored + 1))} FROM c)
+ SELECT key, round({each}, 6) AS score FROM c, a WHERE {match} ORDER BY {each} DESC, key LIMIT 20"""
+
+
 def _ranked(out: DataFrame) -> DataFrame:
     return out.withColumn("score", F.round("score", 6))
 
@@ -631,9 +643,9 @@ def search_modes(spark, d):
     return _ranked(search.search_ranked(*_index(spark, d), "idiot clown", mode="any"))
 
 
-@put(_rank("starts_with(term, 'ablelo') OR starts_with(term, 'thnd')", "true"))
+@put(_rank("starts_with(term, 'lic') OR starts_with(term, 'wit')", "n = 2", "CASE WHEN starts_with(term, 'lic') THEN 'lic' ELSE 'wit' END"))
 def search_prefix(spark, d):
-    return _ranked(search.search_ranked(*_index(spark, d), "ablelo thnd", mode="prefix"))
+    return _ranked(search.search_ranked(*_index(spark, d), "lic WIT", mode="prefix"))
 
 
 @put(_rank("term IN ('idiot', 'clown')", "list_contains(found, 'idiot') AND n = 1"))
@@ -641,11 +653,37 @@ def search_not(spark, d):
     return _ranked(search.search_ranked(*_index(spark, d), "idiot clown", mode="not"))
 
 
-@put(_rank("term IN ('of', 'the')", r"n = 2 AND s.key IN (SELECT key FROM (SELECT doc_id AS key, list_reduce(list_prepend('', regexp_extract_all(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\p{L}\p{N}]+')), lambda x, y: x || ' ' || y) || ' ' AS w FROM documents) WHERE contains(w, ' of the '))"))
+@put(_units("places(w, ['of', 'the'])", match="u1 > 0"))
 def search_phrase(spark, d):
     return _ranked(search.search_ranked(*_index(spark, d), "of the", mode="phrase"))
 
 
+def _segments(spark, d) -> str:
+    """A stored index of segments over the documents."""
+    name = (spark.sparkContext.applicationId, d, "segments")
+    if name not in _STORED:
+        path = scratch(spark, "segments")
+        textindex.create_text_index(t(spark, d, "documents"), "doc_id", ["text"], path, False)
+        _STORED[name] = path
+    return _STORED[name]
+
+
+@put(_units("places(w, ['of', 'the'])", "places(w, ['in'])", "len(list_filter(w, lambda x: starts_with(x, 'lic')))", "places(w, ['software'])", match="(u1 > 0 OR (u2 > 0 AND u3 > 0)) AND u4 = 0", scored=3))
+def search_combined(spark, d):
+    c = matching.but_not(matching.any_of("of the", matching.all_of("in", matching.prefix("lic"))), "software")
+    return _ranked(textindex.search_index(spark, _segments(spark, d), c))
+
+
+@put(_units(*[f"len(list_filter(range(1, len(w) + 1), lambda k: w[k] = '{a}' AND len(list_filter(range(greatest(1, k - 4), least(len(w), k + 4) + 1), lambda j: w[j] = '{b}')) > 0))" for a, b in (("the", "with"), ("with", "the"))], match="u1 > 0 AND u2 > 0"))
+def search_near(spark, d):
+    return _ranked(textindex.search_index(spark, _segments(spark, d), matching.near("the", "with", within=3)))
+
+
+@put(_rank("term IN ('the', 'with', 'was')", "n = 3"))
+def search_best(spark, d):
+    return _ranked(textindex.search_best(spark, _segments(spark, d), "The with WAS")[0])
+
+
 @put("SELECT key, summary, status, assignee, replace(replace(summary, 'Order', '[Order]'), ' ' || n || ' ', ' [' || n || '] ') AS match FROM issues WHERE n IN (1, 7, 32, 100, 1000)", issues=True)
 def search_issues(spark, d):
     i = issues_of(spark, d)
@@ -668,16 +706,19 @@ def highlight(spark, d):
 
 @put(r"WITH x AS (SELECT doc_id AS key, CASE WHEN doc_id % 4 = 1 THEN 'changed text' ELSE text END AS text FROM documents WHERE doc_id % 4 <> 0), tok AS (SELECT key, unnest(regexp_extract_all(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\p{L}\p{N}]+')) AS term FROM x) SELECT term, count(DISTINCT key) AS df, count(*) AS tf FROM tok GROUP BY term")
 def refresh_text_index(spark, d):
-    docs = t(spark, d, "documents").select(F.col("doc_id").alias("key"), "text")
-    old = search.build_text_index(docs, "key", ["text"], False)
-    changed = docs.filter("key % 4 = 1").withColumn("text", F.lit("changed text"))
-    p, _ = search.refresh_text_index(*old, changed, docs.filter("key % 4 = 0"), ["text"], False)
-    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    """Changes and deletions over three refreshes of a stored index."""
+    docs, path = t(spark, d, "documents").select(F.col("doc_id").alias("key"), "text"), scratch(spark, "refreshed")
+    textindex.create_text_index(docs, "key", ["text"], path, False)
+    for k in range(3):
+        part = docs.filter(f"key % 3 = {k}")
+        textindex.refresh_index(spark, path, part.filter("key % 4 = 1").withColumn("text", F.lit("changed text")), part.filter("key % 4 = 0"), ["text"], False)
+    postings, _, _ = textindex.read_index(spark, path)
+    return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
-@put("SELECT p_partkey, p_name FROM part WHERE p_partkey::VARCHAR LIKE '%17%' OR lower(p_name) LIKE '%17%' OR lower(p_brand) LIKE '%17%' OR lower(p_type) LIKE '%17%' OR p_size::VARCHAR LIKE '%17%'")
+@put("SELECT p_partkey, p_name FROM part WHERE p_partkey::VARCHAR LIKE '%17%' OR lower(p_name) LIKE '%17%' OR lower(p_brand) LIKE '%17%' OR lower(p_type) LIKE '%17%' OR p_size::VARCHAR LIKE '%17%' OR p_retailprice::VARCHAR LIKE '%17%'")
 def any_cell_contains(spark, d):
-    return search.any_cell_contains(t(spark, d, "part").drop("p_retailprice"), "17").select("p_partkey", "p_name")
+    return search.any_cell_contains(t(spark, d, "part"), "17").select("p_partkey", "p_name")
 
 
 # --- profiling ---------------------------------------------------------------------------------------------------------------
