@@ -149,8 +149,8 @@ def search_index(spark: SparkSession, path: str, condition, limit: int = 20, ste
 def search_best(spark: SparkSession, path: str, text: str, limit: int = 20, every: bool = True, stemmed: bool = False) -> tuple[DataFrame, dict]:
     """(key, score) of the best documents with every word of text (or any), and what was read for it: zones and postings, of how many.
 
-    Zones are taken in the order of their bounds. The first few give the limit-th best score so far; zones whose bound is below it
-    are not read. Results equal those of search_index. While deletions concern a segment, frequencies need its dead rows, and
+    Zones are taken in the order of their bounds, twice as many each round, until the next bound is below the limit-th best score so
+    far; the rest are not read. Results equal those of search_index. While deletions concern a segment, frequencies need its dead rows, and
     the whole lists are read instead."""
     rows = read_table(spark, f"{path}/segments").collect()
     segments, dead = _split(rows)
@@ -185,8 +185,11 @@ def search_best(spark: SparkSession, path: str, text: str, limit: int = 20, ever
     report = {"zones": len(met), "postings": sum(z["n"] for z in met)}
     if not zones:
         return search_index(spark, path, "", limit), report | {"zones_read": 0, "postings_read": 0}
-    first = zones[: max(1, len(zones) // 32)]
-    scores = [r["score"] for r in best_of(first).collect()]  # limit rows
-    floor = scores[-1] * (1 - 1e-9) if len(scores) == limit else 0.0
-    read = first + [z for z in zones[len(first) :] if z["bound"] >= floor]
-    return best_of(read), report | {"zones_read": len(read), "postings_read": sum(z["n"] for z in read)}
+    top, done, step = [], 0, max(1, len(zones) // 32)
+    while done < len(zones) and not (len(top) == limit and zones[done]["bound"] < top[-1][1] * (1 - 1e-9)):
+        floor = top[-1][1] * (1 - 1e-9) if len(top) == limit else 0.0
+        some = [z for z in zones[done : done + step] if z["bound"] >= floor]
+        top = sorted([*top, *map(tuple, best_of(some).collect())], key=lambda r: (-r[1], r[0]))[:limit]  # limit rows a round
+        done, step = done + len(some), step * 2
+    out = spark.createDataFrame(top, best_of(zones[:1]).schema).orderBy(F.desc("score"), "key")
+    return out, report | {"zones_read": done, "postings_read": sum(z["n"] for z in zones[:done])}
