@@ -226,13 +226,19 @@ def cut_texts(v: Vocabulary, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     new[np.concatenate([[0], ends[:-1]])[sizes > 0]] = True
     first = np.flatnonzero(new)
     unit_sizes = np.diff(np.append(first, len(points)))
-    # name of a unit: two polynomial hashes of its characters and its length
+    # name of a unit: a polynomial hash of its characters and its length; units that share a name are compared
     place = np.arange(len(points)) - np.repeat(first, unit_sizes)
     base = np.full(int(unit_sizes.max()), np.uint64(0x9E3779B97F4A7C15))
     base[0] = 1
     power = np.multiply.accumulate(base)[place]
     name = np.add.reduceat((points.astype(np.uint64) + np.uint64(1)) * power, first) ^ (unit_sizes.astype(np.uint64) << np.uint64(48))
     _, where, inverse = np.unique(name, return_index=True, return_inverse=True)
+    # no unit may stand for another: those that differ from the first of their name are cut for themselves
+    other = points != points[np.minimum(np.repeat(first[where[inverse]], unit_sizes) + np.arange(len(points)) - np.repeat(first, unit_sizes), len(points) - 1)]
+    own = np.flatnonzero(np.logical_or.reduceat(other, first) | (unit_sizes != unit_sizes[where[inverse]]))
+    inverse = inverse.copy()
+    inverse[own] = len(where) + np.arange(len(own))
+    where = np.concatenate([where, own])
     unit_points, unit_offsets = ragged(points, np.append(first, len(points)), where)
     at, ids, _ = cut_units(v, unit_points, unit_offsets)
     at, ids = _spell(v, at, ids, unit_points)

@@ -95,7 +95,8 @@ def _describe(docs: DataFrame, key: str, width: int) -> DataFrame:
                 h, offsets = hash_words(raws)
                 place = powers(len(h))
                 first = np.repeat(offsets[:-1], np.diff(offsets))
-                one, two = sums(h * place[np.arange(len(h)) - first], offsets), sums(mix(h) * mix(place)[np.arange(len(h)) - first], offsets)
+                other, _ = hash_words(raws, seed=1)
+                one, two = sums(h * place[np.arange(len(h)) - first], offsets), sums(mix(other) * mix(place)[np.arange(len(h)) - first], offsets)
                 symbol, at = window_symbols(h, offsets, width)
                 doc = np.searchsorted(offsets, at, side="right") - 1
                 new = np.ones(len(at), bool)
@@ -112,7 +113,7 @@ def _describe(docs: DataFrame, key: str, width: int) -> DataFrame:
 
 def _windows(found: DataFrame, key: str, width: int) -> DataFrame:
     """(w, v, key, at): two hashes, of 64 and of 26 bits, and the start of the windows of found (key, text, symbols) whose symbol
-    is one of symbols. They are sums over differently mixed words."""
+    is one of symbols. They are built on independent hashes of the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,7 +122,7 @@ def _windows(found: DataFrame, key: str, width: int) -> DataFrame:
                 h, offsets = hash_words(raws)
                 symbol, at = window_symbols(h, offsets, width)
                 w, _ = windows(h, offsets, width)
-                v, _ = windows(mix(h ^ U(0x5851F42D4C957F2D)), offsets, width)
+                v, _ = windows(hash_words(raws, seed=1)[0], offsets, width)
                 cuts = np.searchsorted(at, offsets)
                 hit = np.zeros(len(at), bool)
                 for k in range(b - a):
