@@ -50,3 +50,11 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores behind it as keep it apart from df's columns in any case."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name

@@ -130,7 +130,7 @@ def in_ranges(docs: DataFrame, key: str) -> DataFrame:
     bounds = F.array(*[F.lit(x) for x in knots])
     at = F.least(F.greatest(F.size(F.filter(bounds, lambda x: x > F.col(key))), F.lit(1)), F.lit(len(knots) - 1))
     high, low = F.get(bounds, at - 1), F.get(bounds, at)
-    share = F.least(F.greatest((high - F.col(key)) / (high - low), F.lit(0.0)), F.lit(1.0))
+    share = F.least(F.greatest((high.cast("double") - F.col(key).cast("double")) / (high.cast("double") - low.cast("double")), F.lit(0.0)), F.lit(1.0))
     place = (at - 1) * parts + F.least(F.floor(share * parts), F.lit(parts - 1))
     return docs.withColumn("_range", F.when(F.col(key).isNull(), F.lit(parts * len(knots))).otherwise(place).cast("long"))
 

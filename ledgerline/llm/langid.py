@@ -3,7 +3,6 @@ Viterbi with a switching penalty labels spans."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +30,6 @@ RANGE_SCRIPTS = np.array([0, 1, 2, 3, 4, 5, 13, 6, 7, 8, 13, 9, 10, 13, 0, 1, 13
 LETTER = np.zeros(256, bool)
 LETTER[97:123] = True
 LETTER[128:] = True
-_HAS_LETTER = re.compile(r"[^\W\d_]")
 
 
 def letter_words(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -153,7 +151,7 @@ def identify(docs: DataFrame, model: Model | None, key: str = "doc_id", with_spa
             for a, b, raws in chunks([t.lower() for t in texts], CHUNK * 64 // max(64, len(model.languages) if model else 0)):
                 n = b - a
                 names, score, spans, lists = np.full(n, UNKNOWN, object), np.zeros(n), np.zeros(n, np.int64), [[] for _ in range(n)]
-                has = np.array([bool(_HAS_LETTER.search(t)) for t in texts[a:b]])
+                has = np.array([any(map(str.isalpha, t)) for t in texts[a:b]])
                 gram, heads, size, script, offsets = letter_words(raws)
                 if model and len(heads):
                     many = len(model.languages)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialize, text_of, words
+from .common import free_name, materialize, text_of, words
 
 #: About so many documents of a source share one range of keys.
 RANGE_ROWS = 2_000
@@ -71,19 +71,23 @@ def document_sizes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def mixed_texts(docs: DataFrame, taken: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of docs as often as taken (key, size, taken) says: whole copies, then one cut to its first words."""
+    """The rows of docs as often as taken (key, size, taken) says: whole copies, then one cut to its first words. Columns of docs may
+    have any names."""
     t = taken.groupBy(F.col(key).alias("_k")).agg(F.max("size").alias("_size"), F.max("taken").alias("_taken")).filter((F.col("_taken") > 0) & (F.col("_size") > 0))
     whole, rest = F.expr("_taken div _size").cast("int"), F.expr("_taken % _size").cast("int")
     lengths = F.array_compact(F.concat(F.array_repeat(F.lit(-1), whole), F.array(F.when(rest > 0, rest))))
-    some = docs.join(t, F.col(key).eqNullSafe(F.col("_k"))).withColumn("_cut", F.explode(lengths))
-    text = F.when(F.col("_cut") < 0, F.col("text")).otherwise(F.array_join(F.slice(words(text_of()), 1, F.greatest(F.col("_cut"), F.lit(1))), " "))
-    out = some.withColumn("text", text)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns) if "n_chars" in docs.columns else out.select(docs.columns)
+    packed = docs.select(F.col(key).alias("_d"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    some = packed.join(t, F.col("_d").eqNullSafe(F.col("_k"))).withColumn("_cut", F.explode(lengths))
+    text = F.when(F.col("_cut") < 0, F.col("_doc.text")).otherwise(F.array_join(F.slice(words(text_of("_doc.text")), 1, F.greatest(F.col("_cut"), F.lit(1))), " "))
+    some = some.withColumn("_new", text)
+    put = {"text": F.col("_new"), "n_chars": F.length("_new").cast("long")}
+    return some.select([put.get(c, F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 def mixed_rows(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """docs mixed to the sources' weights, row by row: rows that share a key, or have none, are each taken as often as
     their own part of the budget says."""
-    rows = materialize(docs.withColumns({"_row": F.monotonically_increasing_id(), "_text": F.xxhash64("text")}), "numbered")
-    sizes = rows.select(key, "source", F.size(words(text_of())).cast("long").alias("size"), "_text", "_row")
-    return mixed_texts(rows, mix(sizes, key, rows_by=("_text", "_row")), "_row").select(docs.columns)
+    row = free_name(docs, "_row")
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    sizes = rows.select(F.col(key).alias("_id"), "source", F.size(words(text_of())).cast("long").alias("size"), F.xxhash64("text").alias("_text"), F.col(row).alias("_row"))
+    return mixed_texts(rows, mix(sizes, "_id", rows_by=("_text", "_row")).withColumnRenamed("_row", row), row).select([f"`{c}`" for c in docs.columns])

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import free_name, materialize
 from .graph import components
 from .textnum import U, chunks, hash_words, mix, powers, shingles, sums, times
 
@@ -228,8 +228,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", width: int = 5, percen
 def one_of_each(docs: DataFrame, key: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs without near duplicates: of each component of rows the one with the least key, null last; see
     near_duplicates(). Rows count each for itself, whether keys repeat or are null; those without a set stay."""
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    found = near_duplicates(rows.select("_row", "text"), "_row", width, percent).select("_row", "component_id")
-    found = materialize(found.join(rows.select("_row", F.col(key).alias("_k")), "_row"), "found")
-    kept = found.groupBy("component_id").agg(F.min(F.struct(F.col("_k").isNull().alias("none"), "_k", "_row"))["_row"].alias("_row"))
-    return rows.join(kept.select("_row"), "_row", "left_semi").select(docs.columns)
+    row = free_name(docs, "_row")
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(rows.select(row, "text"), row, width, percent).select(F.col(row).alias("_row"), "component_id")
+    found = materialize(found.join(rows.select(F.col(row).alias("_row"), F.col(key).alias("_k")), "_row"), "found")
+    kept = found.groupBy("component_id").agg(F.min(F.struct(F.col("_k").isNull().alias("none"), "_k", "_row"))["_row"].alias(row))
+    return rows.join(kept.select(row), row, "left_semi").select([f"`{c}`" for c in docs.columns])

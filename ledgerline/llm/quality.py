@@ -71,23 +71,37 @@ def with_metrics(df: DataFrame) -> DataFrame:
 
 
 def log_binomial_tail(n: Column, k: Column, p: float) -> Column:
-    """Logarithm of the exact chance of k or fewer successes in n draws with chance p: the term of 0, then each from the
-    one before, summed relative to the largest so far so that nothing underflows."""
+    """Logarithm of the exact chance of k or fewer successes in n draws with chance p: the term of k, then each from the
+    one after it, down to 0 or to where 10 standard deviations and 100 terms leave nothing that a double could show. For k beyond
+    the mean, which no certificate needs, the greatest terms are those summed last."""
     import math
 
     odds = math.log(p) - math.log1p(-p)
-    first = n.cast("double") * math.log1p(-p)
+    size = n.cast("double")
+    choose = lambda j: _log_factorial(size) - _log_factorial(j) - _log_factorial(size - j) + j * math.log(p) + (size - j) * math.log1p(-p)
     state = lambda term, top, total: F.struct(term.alias("term"), top.alias("top"), total.alias("total"))
 
     def add(s: Column, j: Column) -> Column:
-        term = s["term"] + F.log((n - j + 1).cast("double")) - F.log(j.cast("double")) + odds
+        term = s["term"] + F.log((j + 1).cast("double")) - F.log((n - j).cast("double")) - odds
         top = F.greatest(s["top"], term)
         return state(term, top, s["total"] * F.exp(s["top"] - top) + F.exp(term - top))
 
-    steps = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>"))
+    first = choose(k.cast("double"))
+    spread = F.ceil(F.lit(100.0) + 10 * F.sqrt(size * p * (1 - p)) + F.greatest(F.lit(0.0), k - size * p)).cast("long")
+    steps = F.when(k > 0, F.sequence(k - 1, F.greatest(F.lit(0).cast("long"), k - spread), F.lit(-1).cast("long"))).otherwise(F.array().cast("array<bigint>"))
     return F.aggregate(steps, state(first, first, F.lit(1.0)), add, lambda s: s["top"] + F.log(s["total"]))
 
 
+def _log_factorial(x: Column) -> Column:
+    """Of whole numbers: the sum of logarithms up to 20, beyond it Stirling's series to a relative error below 1e-15."""
+    import math
+
+    small = F.element_at(F.array(*[F.lit(math.lgamma(i + 1)) for i in range(21)]), F.least(x, F.lit(20.0)).cast("int") + 1)
+    y = F.greatest(x, F.lit(20.0))
+    series = y * F.log(y) - y + F.log(2 * math.pi * y) / 2 + 1 / (12 * y) - 1 / (360 * F.pow(y, F.lit(3.0))) + 1 / (1260 * F.pow(y, F.lit(5.0))) - 1 / (1680 * F.pow(y, F.lit(7.0)))
+    return F.when(x <= 20, small).otherwise(series)
+
+
 def certify(labelled: DataFrame, limit: float, error: float) -> DataFrame:
     """(stratum, rule, cutoff): the certified cutoff of each rule and stratum that rejects the most bad documents, the
     most lenient of equals. labelled: stratum, quality and the metrics.

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, remainder, text_of
+from .common import free_name, materialize, remainder, text_of
 
 # A short list of English insults.
 SEED = ("bastard", "clown", "coward", "disgusting", "fool", "garbage", "idiot", "imbecile", "liar", "loser", "moron", "pathetic", "scum", "stupid", "trash", "vermin", "worthless")
@@ -167,14 +167,16 @@ def score(docs: DataFrame, model: tuple[list[str], np.ndarray] | None, keep: lis
         tail = own[len(features) :]
         for batch in batches:
             out = np.zeros(batch.num_rows)
-            for k, text in enumerate(batch.column("text").to_pylist()):
+            for k, text in enumerate(batch.column(columns.index("text")).to_pylist()):
                 found, dense = scorer.read(text or "")
                 out[k] = sum(own[f] for f in sorted(found)) + sum(a * b for a, b in zip(tail, dense, strict=True))
             chance = 1 / (1 + np.exp(-np.clip(out, -30, 30))) if model else out
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(chance)], [*keep, name])
+            yield pa.RecordBatch.from_arrays([*(batch.column(columns.index(c)) for c in keep), pa.array(chance)], [*(f"c{k}" for k in range(len(keep))), "score"])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*columns).mapInArrow(run, f"{kinds}, {name} double")
+    # numbered on the way: mapInArrow takes no names with dots
+    kinds = ", ".join(f"c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(keep))
+    numbered = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)])
+    return numbered.mapInArrow(run, f"{kinds}, score double").toDF(*keep, name)
 
 
 def held_out(key: Column) -> Column:
@@ -195,4 +197,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", threshold:
 def without_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", threshold: float = 0.7) -> DataFrame:
     """The rows of docs that are not predicted toxic, with all their columns; see toxicity()."""
     model = train(docs, labels.filter(~held_out(F.col(key))), key)
-    return score(docs, model, docs.columns, "_toxicity").filter(F.col("_toxicity") < threshold).drop("_toxicity")
+    name = free_name(docs, "_toxicity")
+    return score(docs, model, docs.columns, name).filter(F.col(name) < threshold).drop(name)
