@@ -42,10 +42,18 @@ def denormalize_issues(raw: DataFrame, column: str = "raw") -> DataFrame:
     )
 
 
+def undecodable_issues(raw: DataFrame, column: str = "raw") -> DataFrame:
+    """The rows of raw that denormalize_issues leaves out, with reason: with its rows they are all."""
+    found = F.from_json(column, ISSUE)
+    shape = F.from_json(column, "struct<key: string>")
+    reason = F.when(F.col(column).isNull(), "no text").when(F.try_parse_json(column).isNull(), "no JSON").when(~F.ltrim(column).startswith("{"), "no object").when(shape["key"].isNull(), "no key").otherwise("fields of other types")
+    return raw.withColumn("reason", F.when(found["key"].isNull() | found.isNull(), reason)).filter("reason IS NOT NULL")
+
+
 def extract_custom_fields(raw: DataFrame, catalog: DataFrame, column: str = "raw") -> DataFrame:
     """key and one typed column for each catalog row that is custom and a column. The catalog is small metadata; it only
     shapes the select list. A row is parsed once. Trees in text fields become their text, other objects the first non-empty
-    of name, value, displayName, title."""
+    of name, value, displayName, title. Of objects in arrays value or name counts, others count as nothing."""
     wanted = catalog.filter("is_custom and is_column").select("jira_id", "name", "type").orderBy("name").collect()
     if not wanted:
         return raw.select("key")
@@ -56,8 +64,8 @@ def extract_custom_fields(raw: DataFrame, catalog: DataFrame, column: str = "raw
         if kind == "number":
             return v.try_cast("double")
         if kind == "array":
-            item = lambda x: F.when(x.startswith("{"), F.coalesce(F.from_json(x, f"struct<{known}>")["value"], F.from_json(x, f"struct<{known}>")["name"], x)).otherwise(x)
-            return F.transform(F.from_json(v, "array<string>"), item)
+            item = lambda x: F.when(x.startswith("{"), F.coalesce(F.from_json(x, f"struct<{known}>")["value"], F.from_json(x, f"struct<{known}>")["name"])).otherwise(x)
+            return F.filter(F.transform(F.from_json(v, "array<string>"), item), lambda x: x.isNotNull())
         own = F.from_json(v, f"struct<{known}>")
         first = {"option": "value", "user": "displayName"}.get(kind)
         keys = ([first] if first else []) + [k for k in FALLBACK if k != first]

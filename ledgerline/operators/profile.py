@@ -41,6 +41,8 @@ def field_population(df: DataFrame, columns: list[str], project: str | None = No
 def suggest_closest(inputs: DataFrame, candidates: list[str], most: int = 3) -> DataFrame:
     """(input, suggestion): the first of the nearest candidates within a distance, else empty. candidates: names of
     columns or fields, a short list that travels with the expression."""
+    if not candidates:
+        return inputs.select("input", F.lit("").alias("suggestion"))
     each = F.array(*[F.struct(F.levenshtein(F.col("input"), F.lit(c), most).alias("d"), F.lit(k).alias("k"), F.lit(c).alias("c")) for k, c in enumerate(candidates)])
     best = F.array_min(F.filter(each, lambda x: x["d"] >= 0))
     return inputs.select("input", F.coalesce(best["c"], F.lit("")).alias("suggestion"))
@@ -147,3 +149,44 @@ def children_rollup(issues: DataFrame) -> DataFrame:
     c = issues.filter("parent_key is not null").join(issues.select(F.col("key").alias("parent_key")), "parent_key", "left_semi")
     n = lambda s: F.count_if(F.col("status_category") == s)
     return c.groupBy("parent_key").agg(F.count("*").alias("children"), n("Done").alias("done"), n("In Progress").alias("in_progress"), n("To Do").alias("to_do"), F.round(F.sum("story_points"), 2).alias("points"))
+
+
+def ancestors(issues: DataFrame, folder: str) -> DataFrame:
+    """(key, ancestor, distance) of every issue and every issue above it, however high the tree. Pointer doubling: a round joins the
+    pairs known so far with jumps twice as long as in the round before, so a tree of depth d takes about log2(d) rounds, each
+    stored below folder. A parent that is no issue ends a chain, and so does a key seen before: of a cycle each key has the
+    others as ancestors, not itself. Issues without a parent, and jumps that end at one, take part in no join.
+
+    A null key has no ancestors; of rows that share a key the least parent counts."""
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    one = issues.filter("key IS NOT NULL").groupBy("key").agg(F.min("parent_key").alias("to"))
+    edges = one.filter("to IS NOT NULL AND to <> key").join(one.select(F.col("key").alias("to")), "to", "left_semi").select("key", "to")
+    jumps = stored(edges, "jumps-0")
+    known, n, k = stored(jumps.select("key", F.col("to").alias("ancestor"), F.lit(1).cast("long").alias("distance")), "pairs-0"), -1, 0
+    while (now := known.count()) > n:
+        n = now
+        going_on = jumps.join(edges.select(F.col("key").alias("to")), "to", "left_semi")
+        further = going_on.join(known.select(F.col("key").alias("to"), "ancestor", "distance"), "to").select("key", "ancestor", (F.col("distance") + (1 << k)).alias("distance"))
+        both = known.unionByName(further.filter("key <> ancestor")).groupBy("key", "ancestor").agg(F.min("distance").alias("distance"))
+        known = stored(both, f"pairs-{k + 1}")
+        jumps = stored(going_on.join(jumps.select(F.col("key").alias("to"), F.col("to").alias("next")), "to").select("key", F.col("next").alias("to")), f"jumps-{k + 1}")
+        k += 1
+    return known
+
+
+def whole_chain(issues: DataFrame, folder: str) -> DataFrame:
+    """(key, depth, chain): all ancestors, the root first; see ancestors()."""
+    up = ancestors(issues, folder).groupBy("key").agg(F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), "ancestor"))).alias("_a"))
+    return issues.select("key").join(up, "key", "left").select("key", F.coalesce(F.size("_a"), F.lit(0)).alias("depth"), F.coalesce(F.transform("_a", lambda x: x["ancestor"]), F.array().cast("array<string>")).alias("chain"))
+
+
+def subtree_rollup(issues: DataFrame, folder: str) -> DataFrame:
+    """(key, height, issues, done, in_progress, to_do, points) over all issues below each issue that has any."""
+    below = ancestors(issues, folder).join(issues.select("key", "status_category", "story_points"), "key")
+    n = lambda s: F.count_if(F.col("status_category") == s)
+    out = below.groupBy("ancestor").agg(F.max("distance").alias("height"), F.count("*").alias("issues"), n("Done").alias("done"), n("In Progress").alias("in_progress"), n("To Do").alias("to_do"), F.round(F.sum("story_points"), 2).alias("points"))
+    return out.withColumnRenamed("ancestor", "key")

@@ -115,6 +115,21 @@ def scan_issue_pages(spark, d):
     return src.scan_issue_pages(spark, path).filter("error is null").select("id", "key", F.get_json_object("raw", "$.fields.summary").alias("summary"))
 
 
+@put("""SELECT CASE WHEN n % 11 = 3 THEN NULL ELSE key END AS key, CASE WHEN n % 11 = 3 THEN 'no key' WHEN n % 11 = 5 THEN 'no object' ELSE '' END AS reason FROM issues WHERE n % 11 <> 5 UNION ALL SELECT NULL, 'no object' FROM issues WHERE n % 11 = 5""", issues=True)
+def read_pages(spark, d):
+    """Pages of a hundred issues, every other one printed over many lines; some issues have no key, some are no objects."""
+    raw, n = raws(spark, d), F.col("id").cast("long")
+    text = F.when(n % 11 == 3, F.lit('{"fields": {}}')).when(n % 11 == 5, F.lit("17")).otherwise(F.col("raw"))
+    page = raw.withColumn("p", F.floor(n / 100)).groupBy("p").agg(F.collect_list(text).alias("r"))
+    path, wide = scratch(spark, "pages"), F.concat(F.lit('{\n  "issues": [\n'), F.array_join("r", ",\n"), F.lit("\n]}"))
+    flat = F.concat(F.lit('{"issues":['), F.array_join("r", ","), F.lit("]}"))
+    page.filter("p % 2 = 0").select(flat.alias("value")).write.text(path)
+    page.filter("p % 2 = 1").repartition(64, "p").select(wide.alias("value")).write.option("maxRecordsPerFile", 1).mode("append").text(path)
+    good, bad = src.read_pages(spark, path)
+    key = F.get_json_object("raw", "$.key")
+    return good.select(key.alias("key"), F.lit("").alias("reason")).unionByName(bad.select(key.alias("key"), "reason"))
+
+
 @put("SELECT user_id::VARCHAR AS ref, replace(id, '_0', '') AS id, author, to_string FROM changes", changes=True)
 def scan_changelog_pages(spark, d):
     h = src.raw_histories(changes_of(spark, d))
@@ -802,6 +817,21 @@ def breadcrumb(spark, d):
     return profile.breadcrumb(issues_of(spark, d), _projects(spark, d))
 
 
+CLOSURE = """up AS (SELECT key, parent_key AS ancestor, 1 AS distance, [key] AS seen FROM issues WHERE parent_key IN (SELECT key FROM issues)
+ UNION ALL SELECT u.key, i.parent_key, distance + 1, list_append(seen, u.ancestor) FROM up u JOIN issues i ON i.key = u.ancestor WHERE i.parent_key IN (SELECT key FROM issues) AND NOT list_contains(list_append(seen, u.ancestor), i.parent_key))"""
+
+
+@put(f"RECURSIVE WITH {CLOSURE} SELECT i.key, coalesce(depth, 0)::INT AS depth, coalesce(chain, '') AS chain FROM issues i LEFT JOIN (SELECT key, count(*) AS depth, string_agg(ancestor, ',' ORDER BY distance DESC) AS chain FROM up GROUP BY key) USING (key)", issues=True)
+def whole_chain(spark, d):
+    return spelled(profile.whole_chain(issues_of(spark, d), scratch(spark, "chain")))
+
+
+@put(f"""RECURSIVE WITH {CLOSURE} SELECT ancestor AS key, max(distance)::BIGINT AS height, count(*) AS issues, count(*) FILTER (status = 'Done') AS done, count(*) FILTER (status = 'In Progress') AS in_progress, count(*) FILTER (status = 'To Do') AS to_do,
+ round(sum(story_points), 2) AS points FROM up JOIN issues USING (key) GROUP BY ancestor""", issues=True)
+def subtree_rollup(spark, d):
+    return profile.subtree_rollup(issues_of(spark, d), scratch(spark, "subtree"))
+
+
 @put("SELECT parent_key, count(*) AS children, count(*) FILTER (status = 'Done') AS done, count(*) FILTER (status = 'In Progress') AS in_progress, count(*) FILTER (status = 'To Do') AS to_do, round(sum(story_points), 2) AS points FROM issues WHERE parent_key IN (SELECT key FROM issues) GROUP BY parent_key", issues=True)
 def children_rollup(spark, d):
     return profile.children_rollup(issues_of(spark, d))

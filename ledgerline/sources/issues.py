@@ -13,16 +13,42 @@ HISTORY = f"id string, author struct<displayName: string>, created string, items
 STAMP = "yyyy-MM-dd'T'HH:mm:ss'.000+0000'"
 
 
+PAGE = "struct<issues: array<string>, errorMessages: array<string>>"
+
+
+def _pages(spark: SparkSession, path: str) -> DataFrame:
+    """(path, value, p): the pages of all files. A file has a page a line, or one page over all its lines; only files with lines that
+    are no JSON, and none that is a page, are read as a whole to see."""
+    lines = spark.read.text(path).filter(F.trim("value") != "").select(F.col("_metadata.file_path").alias("path"), "value", F.from_json("value", PAGE).alias("p"), F.try_parse_json("value").isNull().alias("_torn"))
+    page = ~F.col("_torn") & (F.col("p.issues").isNotNull() | F.col("p.errorMessages").isNotNull())
+    torn = lines.groupBy("path").agg(F.bool_or("_torn").alias("torn"), F.bool_or(page).alias("page")).filter("torn AND NOT page").select("path")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value").join(torn, "path", "left_semi")
+    whole = files.filter(F.try_parse_json("value").isNotNull()).select("path", "value", F.from_json("value", PAGE).alias("p"))
+    return lines.drop("_torn").join(whole.select("path"), "path", "left_anti").unionByName(whole)
+
+
 def scan_issue_pages(spark: SparkSession, path: str) -> DataFrame:
-    """(id, key, raw, error) rows of pages {"issues": [...], "nextPageToken"}, a file or a line each. A page with
-    errorMessages, or one that is no JSON, gives one row with the error and no issue."""
-    page = F.from_json("value", "struct<issues: array<string>, errorMessages: array<string>>")
-    df = spark.read.text(path).filter(F.trim("value") != "").withColumn("p", page)
+    """(id, key, raw, error) rows of pages {"issues": [...], "nextPageToken"}, a line each or one over all lines of a file. A page
+    with errorMessages, or one that is no JSON, gives one row with the error and no issue."""
     error = F.when(F.col("p.errorMessages").isNotNull(), F.array_join("p.errorMessages", "; ")).when(F.col("p.issues").isNull(), "no issues in page")
-    df = df.withColumn("error", error).select("error", F.explode_outer(F.when(F.col("error").isNull(), F.col("p.issues"))).alias("raw")).filter(F.col("raw").isNotNull() | F.col("error").isNotNull())
+    df = _pages(spark, path).withColumn("error", error).select("error", F.explode_outer(F.when(F.col("error").isNull(), F.col("p.issues"))).alias("raw")).filter(F.col("raw").isNotNull() | F.col("error").isNotNull())
     return df.select(F.get_json_object("raw", "$.id").alias("id"), F.get_json_object("raw", "$.key").alias("key"), "raw", "error")
 
 
+def read_pages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Issues (path, position, raw) that decode, and what does not: (path, position, raw, reason), position being an issue's place in
+    its page, null for a page as a whole. Good and bad rows are all issues and all pages without issues."""
+    from ..operators.flatten import undecodable_issues
+
+    pages = _pages(spark, path)
+    reason = F.when(F.col("p.errorMessages").isNotNull(), F.array_join("p.errorMessages", "; ")).when(F.try_parse_json("value").isNull(), "no JSON").when(F.col("p.issues").isNull(), "no issues in page")
+    bad = pages.select("path", F.lit(None).cast("int").alias("position"), F.col("value").alias("raw"), reason.alias("reason")).filter("reason IS NOT NULL")
+    each = pages.filter(F.col("p.errorMessages").isNull()).select("path", F.posexplode("p.issues").alias("position", "raw"))
+    lost = undecodable_issues(each)
+    good = each.filter(F.from_json("raw", "struct<key: string>")["key"].isNotNull()).join(lost.select("path", "position", "raw"), ["path", "position", "raw"], "left_anti")
+    return good, bad.unionByName(lost.select("path", "position", "raw", "reason"))
+
+
 def scan_changelog_pages(spark: SparkSession, path: str, form: str = "issue") -> DataFrame:
     """(ref, id, author, created, items): histories by issue key (form "issue": {key, changelog: {histories}}) or by
     numeric issue id (form "bulk": {values: [{id, issueId, ..}]})."""
