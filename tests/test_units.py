@@ -166,7 +166,7 @@ def test_search_forms(spark):
     p, n = search.build_text_index(df, "id", ["t"], False)
     keys = lambda q, **k: [r["key"] for r in search.search_ranked(p, n, q, **k).orderBy("key").collect()]
     assert keys("red apple") == [1, 2] and keys("red apple", mode="phrase") == [1] and keys("apple red", mode="not") == [3]
-    assert keys("gre pi", mode="prefix") == [1, 3] and keys("pie green", mode="any") == [1, 3]
+    assert keys("gre pi", mode="prefix") == [] and keys("re pi", mode="prefix") == [1] and keys("gr", mode="prefix") == [3] and keys("pie green", mode="any") == [1, 3]
 
 
 def test_table_versions(spark, tmp_path):
