@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -19,8 +20,13 @@ from .common import free_name, materialize, remainder, text_of
 SEED = ("bastard", "clown", "coward", "disgusting", "fool", "garbage", "idiot", "imbecile", "liar", "loser", "moron", "pathetic", "scum", "stupid", "trash", "vermin", "worthless")
 #: Bound of the training: about so many labelled documents.
 MAX_LABELLED = 8_000
-#: A feature is telling so many standard deviations above what chance gives; the sample bounds how many are.
-TELLING = 5
+#: A feature is telling so many standard deviations above what chance gives; the sample bounds how many are. Which of these
+#: is taken is decided by the training rows alone, see choose().
+CUTOFFS = (3.0, 4.0, 5.0, 6.0, 8.0)
+#: One of so many training rows is set aside for that choice.
+ASIDE = 4
+#: What a toxic document counts against a clean one, of which there are many more.
+MISSED = 2.0
 LEXICONS = 24
 PREFIXES = (4, 5, 6, 7, 8)
 WORD = re.compile(r"[^\W\d_]+")
@@ -44,12 +50,11 @@ class Scorer:
         self.seed = frozenset(SEED)
         self.cache: dict[str, tuple[int, ...]] = {}
 
-    def read(self, text: str) -> tuple[set[int], list[float]]:
-        """The features present, and dense ones: a constant, words with any feature (one, two, more), those a word, the
-        length, patterns."""
+    def read(self, own: set[str]) -> tuple[set[int], list[float]]:
+        """Of a text's distinct words: the features present, and dense ones: a constant, words with any feature (one, two,
+        more), those a word, the length, the seed list."""
         found: set[int] = set()
         hits = 0
-        own = distinct_words(text)
         for w in own:
             f = self.cache.get(w)
             if f is None:
@@ -62,12 +67,12 @@ class Scorer:
         return found, [1.0, float(hits > 0), float(hits > 1), float(np.log1p(hits)), hits / (1.0 + len(own)) ** 0.5, float(np.log1p(len(own))) / 5, float(not self.seed.isdisjoint(own))]
 
 
-def votes(scorer: Scorer, features: list[str], found: set[int], dense: list[float], text: str) -> list[bool]:
+def votes(features: list[str], found: set[int], dense: list[float], patterns: list[bool]) -> list[bool]:
     """The voters: lexicons (features by a hash, each votes if it has an entry in the text), the seed list, patterns."""
     out = [False] * LEXICONS
     for k in found:
         out[zlib.crc32(features[k].encode()) % LEXICONS] = True
-    return [*out, dense[-1] > 0, *[bool(p.search(text)) for p in PATTERNS]]
+    return [*out, dense[-1] > 0, *patterns]
 
 
 def label_model(v: np.ndarray, gold: np.ndarray, rounds: int = 60) -> np.ndarray:
@@ -93,10 +98,9 @@ def label_model(v: np.ndarray, gold: np.ndarray, rounds: int = 60) -> np.ndarray
     return q
 
 
-def logistic(row: np.ndarray, column: np.ndarray, k: int, dense: np.ndarray, q: np.ndarray, penalty: float = 2e-4, steps: int = 400, missed: float = 2.0) -> np.ndarray:
+def logistic(row: np.ndarray, column: np.ndarray, k: int, dense: np.ndarray, q: np.ndarray, penalty: float = 2e-4, steps: int = 400, missed: float = MISSED) -> np.ndarray:
     """Weights of a logistic regression on soft labels, by Adam over the whole sample; (row, column) tell which of
-    k features are present, dense are the others. missed: what a toxic document counts against a clean one, of which there are many
-    more."""
+    k features are present, dense are the others."""
     share = np.where(q > 0.5, missed, 1.0)
     n = len(q)
     w, m, s = np.zeros(k + dense.shape[1]), 0.0, 0.0
@@ -109,66 +113,145 @@ def logistic(row: np.ndarray, column: np.ndarray, k: int, dense: np.ndarray, q:
     return w
 
 
+class Model(NamedTuple):
+    """features, weights: see Scorer; cutoff: of the telling features; tried: the loss of each cutoff on the rows set aside,
+    empty if these rows or the others lack a class; plain: the loss there of the chosen cutoff's classifier if it learns from
+    the given labels instead of the label model's."""
+
+    features: list[str]
+    weights: np.ndarray
+    cutoff: float
+    tried: dict[float, float]
+    plain: float | None
+
+
 def _sample(docs: DataFrame, labels: DataFrame, key: str) -> DataFrame:
-    """(text, toxic) of about MAX_LABELLED labelled documents, chosen by a hash of the key."""
+    """(text, toxic, aside) of about MAX_LABELLED labelled documents, chosen by a hash of the key. Equal texts are set aside
+    together."""
     own = labels.filter(F.col("toxic").isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     n = own.count()
     own = own.filter(F.pmod(F.xxhash64(F.lit("toxic"), "_k"), F.lit(1_000_000)) * F.lit(float(n)) < MAX_LABELLED * 1_000_000.0)
-    return docs.select(F.col(key).alias("_k"), text_of().alias("text")).join(own, "_k").select("text", "toxic")
+    aside = F.pmod(F.xxhash64(F.lit("aside"), "text"), F.lit(ASIDE)) == 0
+    return docs.select(F.col(key).alias("_k"), text_of().alias("text")).join(own, "_k").select("text", "toxic", aside.alias("aside"))
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> tuple[list[str], np.ndarray] | None:
-    """Features and weights from labelled documents; None if the labels do not have both classes."""
+def _telling(sample: DataFrame) -> list[tuple[str, float, float]] | None:
+    """(feature, z over all rows, z over the rows not set aside) of features above the least cutoff in either, in order; a z
+    that does not count is -1. None if the labels do not have both classes."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            n: Counter[str] = Counter()
-            t: Counter[str] = Counter()
-            for text, toxic in zip(pdf["text"], pdf["toxic"], strict=True):
+            sums = [Counter[str]() for _ in range(4)]  # rows and toxic rows, of all and of those not set aside
+            for text, toxic, aside in zip(pdf["text"], pdf["toxic"], pdf["aside"], strict=True):
                 own = {f for w in distinct_words(text) for f in word_features(w)}
-                n.update(own)
-                if toxic:
-                    t.update(own)
-            yield pd.DataFrame({"f": list(n), "n": list(n.values()), "t": [t[f] for f in n]})
+                for counter, counts in zip(sums, (True, toxic, not aside, toxic and not aside), strict=True):
+                    if counts:
+                        counter.update(own)
+            yield pd.DataFrame({"f": list(sums[0]), **{c: [s[f] for f in sums[0]] for c, s in zip(("n", "t", "fn", "ft"), sums, strict=True)}})
 
-    sample = materialize(_sample(docs, labels, key), "toxic")
-    size, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    fit = F.when(~F.col("aside"), F.col("toxic"))
+    size, toxic, fit_size, fit_toxic = (x or 0 for x in sample.agg(F.count("*"), F.sum("toxic"), F.count(fit), F.sum(fit)).first())
     if not 0 < toxic < size:
         return None
-    p = toxic / size
-    sums = sample.mapInPandas(count, "f string, n long, t long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    z = (F.col("t") - F.col("n") * p) / F.sqrt(F.col("n") * (p * (1 - p)))
-    telling = sums.filter((F.col("t") >= 2) & (F.col("t") >= 0.5 * F.col("n")) & (z > TELLING))
-    features = sorted(r["f"] for r in telling.select("f").collect())
+
+    def z(n: str, t: str, p: float) -> Column:
+        counts = (F.col(t) >= 2) & (F.col(t) >= 0.5 * F.col(n))
+        return F.when(counts, (F.col(t) - F.col(n) * p) / F.sqrt(F.col(n) * (p * (1 - p)))).otherwise(-1.0) if 0 < p < 1 else F.lit(-1.0)
+
+    sums = sample.mapInPandas(count, "f string, n long, t long, fn long, ft long").groupBy("f").agg(*[F.sum(c).alias(c) for c in ("n", "t", "fn", "ft")])
+    both = sums.select("f", z("n", "t", toxic / size).alias("z"), z("fn", "ft", fit_toxic / max(fit_size, 1)).alias("fz"))
+    return sorted((r["f"], r["z"], r["fz"]) for r in both.filter(F.greatest("z", "fz") > min(CUTOFFS)).collect())
+
+
+class Read(NamedTuple):
+    """What one list of features finds in the rows of the sample; (row, column) tell which features are present."""
+
+    row: np.ndarray
+    column: np.ndarray
+    k: int
+    dense: np.ndarray
+    votes: np.ndarray
+    toxic: np.ndarray
+
+    def take(self, rows: np.ndarray) -> Read:
+        """The rows of a mask."""
+        at, has = np.cumsum(rows) - 1, rows[self.row]
+        return Read(at[self.row[has]], self.column[has], self.k, self.dense[rows], self.votes[rows], self.toxic[rows])
+
+    def fit(self, q: np.ndarray) -> np.ndarray:
+        return logistic(self.row, self.column, self.k, self.dense, q)
+
+    def loss(self, w: np.ndarray) -> float:
+        """Mean of what logistic() minimises, against the given labels."""
+        z = np.bincount(self.row, w[self.column], len(self.toxic)) + self.dense @ w[self.k :]
+        p = np.clip(1 / (1 + np.exp(-np.clip(z, -30, 30))), 1e-9, 1 - 1e-9)
+        return float(-(np.where(self.toxic > 0, MISSED * np.log(p), np.log(1 - p))).mean())
+
+
+def _read(sample: DataFrame, lists: list[list[str]]) -> tuple[list[Read], np.ndarray]:
+    """What each of the lists of features finds in the sample, whose size is bounded, and which rows are set aside."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(features)
+        scorers = [Scorer(features) for features in lists]
         for pdf in batches:
             rows = []
-            for text, label in zip(pdf["text"], pdf["toxic"], strict=True):
-                found, dense = scorer.read(text)
-                rows.append((sorted(found), dense, votes(scorer, features, found, dense, text), label))
-            yield pd.DataFrame(rows, columns=["found", "dense", "votes", "toxic"])
-
-    told = sample.mapInPandas(read, "found array<int>, dense array<double>, votes array<boolean>, toxic int").toPandas()
-    row = np.repeat(np.arange(len(told)), [len(f) for f in told["found"]])
-    column = np.array([k for f in told["found"] for k in f], np.int64)
-    q = label_model(np.array(told["votes"].tolist(), bool), told["toxic"].to_numpy())
-    return features, logistic(row, column, len(features), np.array(told["dense"].tolist()), q)
+            for text, label, aside in zip(pdf["text"], pdf["toxic"], pdf["aside"], strict=True):
+                own, patterns = distinct_words(text), [bool(p.search(text)) for p in PATTERNS]
+                for which, (scorer, features) in enumerate(zip(scorers, lists, strict=True)):
+                    found, dense = scorer.read(own)
+                    rows.append((which, aside, sorted(found), dense, votes(features, found, dense, patterns), label))
+            yield pd.DataFrame(rows, columns=["which", "aside", "found", "dense", "votes", "toxic"])
+
+    told = sample.mapInPandas(read, "which int, aside boolean, found array<int>, dense array<double>, votes array<boolean>, toxic int").toPandas()
+    out = []
+    for which, features in enumerate(lists):
+        own = told[told["which"] == which]
+        row = np.repeat(np.arange(len(own)), [len(f) for f in own["found"]])
+        column = np.array([k for f in own["found"] for k in f], np.int64)
+        out.append(Read(row, column, len(features), np.array(own["dense"].tolist()), np.array(own["votes"].tolist(), bool), own["toxic"].to_numpy()))
+    return out, told["aside"].to_numpy(bool)[(told["which"] == 0).to_numpy()]
+
+
+def choose(sample: DataFrame, telling: list[tuple[str, float, float]]) -> tuple[float, dict[float, float], float | None]:
+    """The cutoff of the least loss on the rows set aside, the greatest of equals: for each cutoff features, label model and
+    classifier are learned from the other rows. See Model for the rest."""
+    reads, aside = _read(sample, [[f for f, _, z in telling if z > c] for c in CUTOFFS])
+    if any(len(set(reads[0].toxic[m])) < 2 for m in (aside, ~aside)):
+        return max(CUTOFFS), {}, None
+    tried = {}
+    for c, r in zip(CUTOFFS, reads, strict=True):
+        known = r.take(~aside)
+        tried[c] = r.take(aside).loss(known.fit(label_model(known.votes, known.toxic)))
+    best = min(CUTOFFS, key=lambda c: (tried[c], -c))
+    r = reads[CUTOFFS.index(best)]
+    known = r.take(~aside)
+    return best, tried, r.take(aside).loss(known.fit(known.toxic.astype(float)))
+
+
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> Model | None:
+    """A model of labelled documents, all choices included; None if the labels do not have both classes."""
+    sample = materialize(_sample(docs, labels, key), "toxic")
+    telling = _telling(sample)
+    if telling is None:
+        return None
+    cutoff, tried, plain = choose(sample, telling)
+    features = [f for f, z, _ in telling if z > cutoff]
+    (r,), _ = _read(sample, [features])
+    return Model(features, r.fit(label_model(r.votes, r.toxic)), cutoff, tried, plain)
 
 
-def score(docs: DataFrame, model: tuple[list[str], np.ndarray] | None, keep: list[str], name: str = "score") -> DataFrame:
+def score(docs: DataFrame, model: Model | None, keep: list[str], name: str = "score") -> DataFrame:
     """The columns keep of docs (.., text) and the score; a null text counts as empty. Without a model all scores are 0."""
     columns = list(dict.fromkeys([*keep, "text"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, weights = model or ([], np.zeros(7))
+        features, weights = (model.features, model.weights) if model else ([], np.zeros(7))
         scorer, own = Scorer(features), weights.astype(float).tolist()
         tail = own[len(features) :]
         for batch in batches:
             out = np.zeros(batch.num_rows)
             for k, text in enumerate(batch.column(columns.index("text")).to_pylist()):
-                found, dense = scorer.read(text or "")
+                found, dense = scorer.read(distinct_words(text or ""))
                 out[k] = sum(own[f] for f in sorted(found)) + sum(a * b for a, b in zip(tail, dense, strict=True))
             chance = 1 / (1 + np.exp(-np.clip(out, -30, 30))) if model else out
             yield pa.RecordBatch.from_arrays([*(batch.column(columns.index(c)) for c in keep), pa.array(chance)], [*(f"c{k}" for k in range(len(keep))), "score"])
@@ -184,7 +267,8 @@ def held_out(key: Column) -> Column:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", threshold: float = 0.7) -> DataFrame:
-    """key, held_out, score, predicted: learned from the labels that are not held out, applied to all documents.
+    """key, held_out, score, predicted: learned from the labels that are not held out, applied to all documents. Nothing is
+    chosen by the labels held out.
 
     Null and empty texts get the score of a text without words; conflicting labels of a key count as toxic; null keys
     have no label; rows with an equal key each give a row; without labels of both kinds all scores are 0; no documents

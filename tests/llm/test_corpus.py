@@ -5,8 +5,10 @@ import gzip
 import hashlib
 import math
 import random
+import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -274,6 +276,27 @@ def test_language_spans(spark):
     assert langid.language_id(docs.limit(0)).count() == 0 and langid.identify(docs, None).filter("lang_pred = 'und'").count() == len(train)
 
 
+def test_scripts_narrow_candidates():
+    """A word has scores for the languages of its script alone, each the plain sum over its own trigrams."""
+    counts = []
+    for lang, text in (("aa", "the house water"), ("bb", "das haus wasser"), ("cc", "дом вода улица")):
+        gram, _, size, script, _ = langid.letter_words([text.encode()])
+        counts += [(lang, g, 1) for g in gram] + [(lang, -1 - s, n) for s, n in zip(script, size)]
+    model = langid.Model(pd.DataFrame(counts, columns=["lang", "code", "n"]).groupby(["lang", "code"], as_index=False).sum())
+    gram, heads, _, script, offsets = langid.letter_words(["the вода haus".encode(), b"", "дом 水".encode()])
+    got = model.scores(gram, heads, script)
+    assert script.tolist() == [0, 2, 0, 2, 12] and offsets.tolist() == [0, 3, 3, 5]
+    assert np.isneginf(got).tolist() == [[False, False, True], [True, True, False], [False, False, True], [True, True, False], [False] * 3]
+    for k, (a, b) in enumerate(zip(heads, [*heads[1:], len(gram)])):
+        want = model.log_p[:, gram[a:b]].sum(axis=1)
+        assert np.allclose(got[k][np.isfinite(got[k])], want[np.isfinite(got[k])], rtol=1e-5)
+    assert langid.viterbi(got, offsets).tolist()[1] == 2 and langid.viterbi(got, offsets).tolist()[3] == 2
+
+
+def test_signs_are_no_letters():
+    assert langid.lowered("It’s – “A” … 50€ ½👍 é ª नमस्ते ไทยนี้").split() == ["it", "s", "a", "50", "é", "ª", "नमस्ते", "ไทยนี้"]
+
+
 def test_viterbi_is_best():
     rng = np.random.default_rng(1)
     scores, offsets = rng.normal(size=(12, 3)), np.array([0, 5, 5, 12])
@@ -302,6 +325,21 @@ def test_toxicity_edges(spark):
     assert toxicity.without_toxic(docs, none).columns == docs.columns
 
 
+def test_held_out_labels_choose_nothing(spark):
+    """Other labels for the rows held out: the same features, cutoff, weights and scores."""
+    rng = np.random.default_rng(11)
+    rows = [(k, " ".join(rng.choice(["idiot", "trashy", "moron"] if k % 5 == 0 else ["river", "table", "green"], 4)) + " " + prose(30)) for k in range(300)]
+    docs = frame(spark, rows)
+    marks = [(k, int(k % 5 == 0)) for k in range(300)]
+    out = [k for k in range(300) if zlib.crc32(str(k).encode()) % 3 == 1]
+    other = dict(marks) | dict(zip(out, rng.permutation([dict(marks)[k] for k in out]).tolist(), strict=True)) | {out[0]: 1 - dict(marks)[out[0]]}
+    one, two = (spark.createDataFrame(m, "doc_id long, toxic int") for m in (marks, list(other.items())))
+    a, b = (toxicity.train(docs, x.filter(~toxicity.held_out(F.col("doc_id")))) for x in (one, two))
+    assert marks != list(other.items()) and a.tried and a.cutoff == min(a.tried, key=lambda c: (a.tried[c], -c))
+    assert (a.features, a.cutoff, a.tried, a.plain) == (b.features, b.cutoff, b.tried, b.plain) and np.array_equal(a.weights, b.weights)
+    assert sorted(map(tuple, toxicity.toxicity(docs, one).collect())) == sorted(map(tuple, toxicity.toxicity(docs, two).collect()))
+
+
 def test_label_model_finds_good_voters():
     rng = np.random.default_rng(3)
     y = rng.random(3000) < 0.3
