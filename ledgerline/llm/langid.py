@@ -3,6 +3,7 @@ Viterbi with a switching penalty labels spans."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +18,8 @@ from .textnum import U, chunks
 BUCKETS = 1 << 15
 #: About so many training documents of each language.
 DOCS_PER_LANGUAGE = 600
-#: Cost of a change of language between two words, and of a script that a language does not use, in nats.
-SWITCH, FOREIGN = 6.0, 60.0
+#: Cost of a change of language between two words, in nats.
+SWITCH = 6.0
 #: Bytes of text scored at once, with up to 64 languages; with more, fewer, as each word has a score for each language.
 CHUNK = 4 << 20
 UNKNOWN = "und"
@@ -27,11 +28,18 @@ SPAN = ("lang", "first", "stop")
 SCRIPTS = ("latin", "greek", "cyrillic", "armenian", "hebrew", "arabic", "devanagari", "other indic", "thai", "georgian", "hangul", "kana", "han", "other")
 RANGE_STARTS = np.array([0, 0x370, 0x400, 0x530, 0x590, 0x600, 0x700, 0x900, 0x980, 0xE00, 0xE80, 0x10A0, 0x1100, 0x1200, 0x1E00, 0x1F00, 0x2000, 0x2C60, 0x2C80, 0x3040, 0x3100, 0x3400, 0xA000, 0xAC00, 0xD7B0, 0xF900, 0xFB00, 0xFB1D, 0xFB50, 0xFE00, 0x20000, 0x32000])
 RANGE_SCRIPTS = np.array([0, 1, 2, 3, 4, 5, 13, 6, 7, 8, 13, 9, 10, 13, 0, 1, 13, 0, 13, 11, 13, 12, 13, 10, 13, 12, 0, 4, 5, 13, 12, 13])
+# Latin-1 signs, general punctuation but the joiners within words, currencies, symbols, CJK and full-width punctuation, selectors, emoji.
+SIGNS = re.compile("[\u00a0-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u00d7\u00f7\u2000-\u200b\u200e-\u206f\u20a0-\u20cf\u2190-\u2bff\u3000-\u3004\u3008-\u3020\u3030\ufe00-\ufe0f\uff01-\uff20\U0001f000-\U0001faff]+")
 LETTER = np.zeros(256, bool)
 LETTER[97:123] = True
 LETTER[128:] = True
 
 
+def lowered(text: str) -> str:
+    """The text in lower case, a space for each run of signs beyond ASCII: they are no letters of a word."""
+    return text.lower() if text.isascii() else SIGNS.sub(" ", text.lower())
+
+
 def letter_words(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For lower-case texts: trigram bucket of each place, first place of each word, bytes and script of each word, and
     offsets of each text's words. Words are runs of letters (bytes of a to z and of non-ASCII characters)."""
@@ -80,10 +88,16 @@ class Model:
         self.uses[:, ~self.uses.any(axis=0)] = True  # a script that no language uses narrows nothing
 
     def scores(self, gram: np.ndarray, heads: np.ndarray, script: np.ndarray) -> np.ndarray:
-        out = np.empty((len(heads), len(self.languages)), np.float32)
-        for k in range(len(self.languages)):
-            out[:, k] = np.add.reduceat(self.log_p[k][gram], heads)
-            out[~self.uses[k][script], k] -= FOREIGN
+        """Log probability of each word under each language that uses its script; the others are no candidates: -inf."""
+        out = np.full((len(heads), len(self.languages)), -np.inf, np.float32)
+        sizes = np.diff(heads, append=len(gram))
+        for s in np.unique(script):
+            words = np.flatnonzero(script == s)
+            ends = np.cumsum(sizes[words])
+            first = ends - sizes[words]
+            own = gram if len(words) == len(heads) else gram[np.repeat(heads[words] - first, sizes[words]) + np.arange(ends[-1])]
+            for k in np.flatnonzero(self.uses[:, s]):
+                out[words, k] = np.add.reduceat(self.log_p[k][own], first)
         return out
 
 
@@ -121,13 +135,14 @@ def train(docs: DataFrame, lang: str = "lang", key: str = "doc_id") -> Model | N
     key and counted on the executors; the counts of a language have a bounded size."""
     named = docs.filter(F.col(lang).isNotNull())
     sizes = named.groupBy(F.col(lang).alias("_lang")).count()
+    # broadcast: a row a language, each of which takes 128 KB of the model on the driver and in each task anyway
     chosen = named.join(F.broadcast(sizes), F.col(lang) == F.col("_lang"))
     chosen = chosen.filter(F.pmod(F.xxhash64(F.lit("langid"), key), F.lit(1_000_000)) * F.col("count") < DOCS_PER_LANGUAGE * 1_000_000.0)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for language, part in pdf.groupby("_lang"):
-                for _, _, raws in chunks(part["text"].str.lower().tolist(), CHUNK):
+                for _, _, raws in chunks([lowered(t) for t in part["text"]], CHUNK):
                     gram, _, size, script, _ = letter_words(raws)
                     n, s = np.bincount(gram, minlength=BUCKETS), np.bincount(script, weights=size, minlength=len(SCRIPTS)).astype(np.int64)
                     code = np.concatenate([np.flatnonzero(n), -1 - np.flatnonzero(s)])
@@ -148,7 +163,7 @@ def identify(docs: DataFrame, model: Model | None, key: str = "doc_id", with_spa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, texts = batch.column(key), [t or "" for t in batch.column("text").to_pylist()]
-            for a, b, raws in chunks([t.lower() for t in texts], CHUNK * 64 // max(64, len(model.languages) if model else 0)):
+            for a, b, raws in chunks([lowered(t) for t in texts], CHUNK * 64 // max(64, len(model.languages) if model else 0)):
                 n = b - a
                 names, score, spans, lists = np.full(n, UNKNOWN, object), np.zeros(n), np.zeros(n, np.int64), [[] for _ in range(n)]
                 has = np.array([any(map(str.isalpha, t)) for t in texts[a:b]])
