@@ -20,6 +20,8 @@ RULES = {
 }
 #: What a stratum without labels is called in the result; nothing is certified for it.
 OTHER = "(other)"
+#: What a null stratum is called in the result. Within, other strata have a sign before their name, so none meets it.
+NONE = "(null)"
 
 
 def _covered(positions: Column, width: int) -> Column:
@@ -135,9 +137,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", strat
     labels: (key, quality 0 or 1). limit: share of a stratum's good documents that may be rejected, at confidence
     1 - error over all strata and rules together. Without enough labels nothing is certified and nothing rejected.
 
-    Null text counts as empty; a null stratum is one of its own; rows with an equal or null key each give a row, a null
+    Null text counts as empty; a null stratum is one of its own, also beside one named like it; rows with an equal or null key each give a row, a null
     key has no label; conflicting labels count as bad; no documents give no rows, no labels reject by base_failed only."""
-    counted = materialize(with_metrics(measure(docs.select(F.col(key).alias("_k"), F.coalesce(F.col(stratum), F.lit("(null)")).alias("_g"), "text"), "_k", "_g")), "quality")
+    counted = materialize(with_metrics(measure(docs.select(F.col(key).alias("_k"), F.coalesce(F.concat(F.lit("="), F.col(stratum)), F.lit(NONE)).alias("_g"), "text"), "_k", "_g")), "quality")
     quality = labels.filter(F.col("quality").isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.min("quality").alias("quality"))
     counted = counted.withColumnRenamed("_g", "stratum")
     marked = counted.filter(~F.col("base_failed")).join(quality, "_k")
@@ -145,7 +147,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", strat
     wide = cutoffs.groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cutoff")).select("stratum", *[F.col(r).alias(f"_c_{r}") for r in RULES])
     wide = marked.select("stratum").distinct().withColumn("_labelled", F.lit(True)).join(wide, "stratum", "left")  # one row a stratum
     wide = materialize(wide, "cutoffs")
-    one = counted.join(wide, "stratum", "left").withColumn("stratum", F.when(F.col("_labelled"), F.col("stratum")).otherwise(OTHER))
+    one = counted.join(wide, "stratum", "left").withColumn("stratum", F.when(F.col("_labelled"), F.regexp_replace("stratum", "^=", "")).otherwise(OTHER))
     broken = F.array_compact(F.array(*[F.when(F.col(r) >= F.col(f"_c_{r}"), F.lit(r)) for r in RULES]))
     return one.select(
         F.col("_k").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",

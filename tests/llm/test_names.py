@@ -66,6 +66,18 @@ def test_ids_at_both_ends(spark):
     assert set(got) == set(ids)
 
 
+def test_null_stratum_is_its_own(spark):
+    """Good documents without a language have many symbols, those of a language called `(null)` none: only there is a cutoff."""
+    text = lambda k, bad: " ".join(f"w{k}x{j}" + "#|" * 12 * bad for j in range(60))
+    rows = [(k, text(k, k % 2 == 0), "(null)" if k % 4 < 2 else None) for k in range(1600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, int(k % 2 or lang is None)) for k, _, lang in rows], "doc_id long, quality int")
+    got = quality.quality_rules(docs, labels).join(docs.select("doc_id", "lang"), "doc_id")
+    told = {(r["lang"], r["doc_id"] % 2): r["kept"] for r in got.collect()}
+    assert told == {("(null)", 0): False, ("(null)", 1): True, (None, 0): True, (None, 1): True}
+    assert {r["stratum"] for r in got.select("stratum").distinct().collect()} == {"(null)"}
+
+
 def test_tail_of_many_draws(spark):
     def plain(n, k, p):
         terms = [math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(p) + (n - j) * math.log1p(-p) for j in range(k + 1)]
