@@ -48,6 +48,55 @@ def suggest_closest(inputs: DataFrame, candidates: list[str], most: int = 3) ->
     return inputs.select("input", F.coalesce(best["c"], F.lit("")).alias("suggestion"))
 
 
+def _left_out(text: Column, most: int) -> Column:
+    """All strings that text becomes with up to so many characters left out, the empty one excepted."""
+    out = step = F.array(text)
+    for _ in range(most):
+        # a position for each character; sequence(1, 0) would count down
+        one = lambda s: F.transform(F.when(F.length(s) > 1, F.sequence(F.lit(1), F.length(s))).otherwise(F.array().cast("array<int>")), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
+        step = F.array_distinct(F.flatten(F.transform(step, one)))
+        out = F.concat(out, step)
+    return F.filter(out, lambda s: s != "")
+
+
+def suggest_from(inputs: DataFrame, candidates: DataFrame, folder: str, most: int = 3) -> DataFrame:
+    """(input, suggestion): as suggest_closest(), for candidates (name, place) in any number; of equally near ones the one of
+    the least place, then name, counts.
+
+    Strings within d edits of each other share a string that both become with at most d characters left out. Distances
+    are tried in turn, 0 first, and only inputs without a suggestion go on, so that a pair far apart is looked at only
+    where there is none nearer; a step is an equi-join and what it found is stored below folder. Strings without a common
+    character differ by the longer one's length: for these the first candidate of each length up to most suffices. The
+    strings left out of a name of n characters are about n ** d / d! at distance d.
+
+    Inputs are distinct in the result; null and what has no near candidate get the empty suggestion, null inputs as null;
+    null names are no candidates; the empty input is near to names of up to most characters; no candidates, no suggestions."""
+    spark = inputs.sparkSession
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    asked = stored(inputs.select(F.col("input").cast("string")).distinct(), "asked")
+    names = stored(candidates.filter("name IS NOT NULL").groupBy("name").agg(F.min("place").alias("place")), "names")
+    left, found = asked.filter("input IS NOT NULL"), []
+    short = names.filter(F.length("name") <= most).groupBy(F.length("name").alias("_l")).agg(F.min(F.struct("place", "name")).alias("_c"))
+    for d in range(most + 1):
+        if d == 0:
+            pairs = left.join(names.withColumnRenamed("name", "input"), "input").select("input", "place", F.col("input").alias("name"))
+        else:
+            few = left.filter(F.length("input") <= d).select("input", F.explode(F.sequence(F.lit(0), F.lit(d))).alias("_l")).join(short, "_l").select("input", "_c.place", "_c.name")
+            own = left.select("input", F.explode(_left_out(F.col("input"), d)).alias("_s"))
+            pairs = own.join(names.select("name", "place", F.explode(_left_out(F.col("name"), d)).alias("_s")), "_s").select("input", "place", "name").unionByName(few)
+        near = pairs.filter(F.levenshtein("input", "name", d) >= 0)
+        found.append(stored(near.groupBy("input").agg(F.min(F.struct("place", "name")).alias("_c")).select("input", F.col("_c.name").alias("suggestion")), f"found-{d}"))
+        left = left.join(found[-1], "input", "left_anti")
+    told = found[0]
+    for f in found[1:]:
+        told = told.unionByName(f)
+    return asked.join(told, "input", "left").select("input", F.coalesce("suggestion", F.lit("")).alias("suggestion"))
+
+
 def describe_table(df: DataFrame, catalog: DataFrame) -> DataFrame:
     """(ordinal, column, type, display_name, is_custom) of a table's columns."""
     rows = [(k, f.name, f.dataType.simpleString()) for k, f in enumerate(df.schema) if f.name not in HIDDEN]

@@ -48,21 +48,34 @@ def stale_items(issues: DataFrame, now: Column, days: int) -> DataFrame:
     return issues.filter(late).orderBy("updated", "key")
 
 
-def numbered(df: DataFrame, by: str, at: str, tie: str, name: str, desc: bool = False) -> DataFrame:
-    """df with row_number() over (partition by by, order by at, tie) for few groups that hold many rows each. at is a time;
-    nulls stand first, last if desc. Rows are numbered within a day of their group and go on after the days before: no task
-    sorts more than one day of a group, and what is summed up over a whole group is one count for each of its days."""
+def numbered(df: DataFrame, by: str, at: str, tie: str, name: str, desc: bool = False, folder: str | None = None) -> DataFrame:
+    """df with row_number() over (partition by by, order by at, tie) for few groups that hold many rows each; nulls stand
+    first, last if desc. Rows with all three equal are numbered in any order.
+
+    With a folder, any distribution is split: rows are range-sorted over group, at and tie by splits that Spark samples,
+    stored there with the number of their range, so that both steps below see the same ranges, and numbered within their
+    range; rows of a group in the ranges before are counts, one for each range. Also a group whose rows have one time,
+    or none, is spread over tasks.
+    Without a folder, at is a time and rows are numbered within a day of their group: a task sorts one day of a group."""
     way = lambda c: F.desc(c) if desc else F.asc(c)
-    rows = df.withColumn("_k", F.struct(F.col(by), F.col(at).cast("date").alias("_day")))  # a struct is never null, so null groups and days meet
-    before = W.partitionBy(F.col("_k")[by]).orderBy(way("_k._day")).rowsBetween(W.unboundedPreceding, -1)
-    days = rows.groupBy("_k").agg(F.count("*").alias("_n")).select("_k", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    part, place = "_day", F.col(at).cast("date")
+    if folder:
+        part, place = "_range", F.col("_range")
+        path = f"{folder}/ranges"
+        ranged = df.repartitionByRange(F.asc(by), way(at), F.asc(tie)).withColumn(part, F.spark_partition_id())
+        ranged.write.parquet(path)
+        df = df.sparkSession.read.schema(ranged.schema).parquet(path)
+    rows = df.withColumn("_k", F.struct(F.col(by), place.alias(part)))  # a struct is never null, so null groups and days meet
+    order = F.asc(f"_k.{part}") if folder else way(f"_k.{part}")
+    before = W.partitionBy(F.col("_k")[by]).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    parts = rows.groupBy("_k").agg(F.count("*").alias("_n")).select("_k", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     within = F.row_number().over(W.partitionBy("_k").orderBy(way(at), tie))
-    return rows.join(days, "_k").withColumn(name, within + F.col("_before")).drop("_k", "_before")
+    return rows.join(parts, "_k").withColumn(name, within + F.col("_before")).drop("_k", "_before", "_range")
 
 
-def staleness_rank(issues: DataFrame, by: str = "team") -> DataFrame:
-    """issues with rank: 1 is the one of its group that was updated longest ago."""
-    return numbered(issues, by, "updated", "key", "rank")
+def staleness_rank(issues: DataFrame, by: str = "team", folder: str | None = None) -> DataFrame:
+    """issues with rank: 1 is the one of its group that was updated longest ago. See numbered()."""
+    return numbered(issues, by, "updated", "key", "rank", folder=folder)
 
 
 def monthly_completion(changelog: DataFrame, issues: DataFrame, status: str, column: str, pattern: str) -> DataFrame:

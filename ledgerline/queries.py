@@ -539,7 +539,7 @@ def distinct_sorted(spark, d):
 
 @put("SELECT key, row_number() OVER (PARTITION BY team ORDER BY created DESC, key) AS rn FROM issues", issues=True)
 def window_row_number(spark, d):
-    return reports.numbered(issues_of(spark, d), "team", "created", "key", "rn", desc=True).select("key", "rn")
+    return reports.numbered(issues_of(spark, d), "team", "created", "key", "rn", desc=True, folder=scratch(spark, "numbers")).select("key", "rn")
 
 
 @put("SELECT key, strftime(created, '%Y-%W') AS week, strftime(created, '%Y-%m') AS month, round(date_diff('second', updated, TIMESTAMP '2001-08-01') / 86400.0, 4) AS age FROM issues", issues=True)
@@ -571,7 +571,7 @@ def stale_items(spark, d):
 
 @put("SELECT key, team, row_number() OVER (PARTITION BY team ORDER BY updated NULLS FIRST, key) AS rank FROM issues", issues=True)
 def staleness_rank(spark, d):
-    return reports.staleness_rank(issues_of(spark, d)).select("key", "team", "rank")
+    return reports.staleness_rank(issues_of(spark, d), folder=scratch(spark, "ranks")).select("key", "team", "rank")
 
 
 @put("SELECT strftime(changed_at, '%Y-%m') AS month, count(*) AS n FROM changes WHERE to_string = 'purchase' AND user_id::VARCHAR IN (SELECT id FROM issues WHERE priority ILIKE '%u%') GROUP BY 1", issues=True, changes=True)
@@ -762,6 +762,16 @@ def suggest_closest(spark, d):
     return profile.suggest_closest(inputs, ["signup", "status", "summary", "assignee", "priority", "view"])
 
 
+WRONG = "CASE c_custkey % 4 WHEN 0 THEN replace(c_name, 'u', '') WHEN 1 THEN concat(replace(replace(c_name, 'C', 'K'), 'm', 'n'), 'x') WHEN 2 THEN c_name ELSE upper(c_name) END"
+
+
+@put(f"""WITH i AS (SELECT DISTINCT {WRONG} AS input FROM customer), j AS (SELECT i.input, arg_min(c_name, (levenshtein(i.input, c_name), c_custkey)) AS suggestion FROM i JOIN customer ON levenshtein(i.input, c_name) <= 3 GROUP BY i.input)
+ SELECT input, coalesce(suggestion, '') AS suggestion FROM i LEFT JOIN j USING (input)""")
+def suggest_from(spark, d):
+    c = t(spark, d, "customer")
+    return profile.suggest_from(c.select(F.expr(WRONG).alias("input")), c.select(F.col("c_name").alias("name"), F.col("c_custkey").alias("place")), scratch(spark, "suggest"))
+
+
 @put("""WITH one AS (SELECT typeof(COLUMNS(* EXCLUDE n)) FROM issues LIMIT 1), u AS (UNPIVOT one ON COLUMNS(*) INTO NAME c VALUE k)
  SELECT (row_number() OVER () - 1)::INT AS ordinal, c AS "column", CASE k WHEN 'VARCHAR' THEN 'string' WHEN 'VARCHAR[]' THEN 'array<string>' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(k) END AS type,
  CASE c WHEN 'team' THEN 'Team' WHEN 'story_points' THEN 'Story Points' END AS display_name, c IN ('team', 'story_points') AS is_custom FROM u""", issues=True)

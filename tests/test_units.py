@@ -66,6 +66,34 @@ def test_suggest(spark):
     assert got == {"statuss": "status", "teem": "team", "pririty": "priority", "xyz_totally_wrong": ""}
 
 
+def test_suggest_from_many(spark, tmp_path):
+    """Against all pairs, with short, empty, null, repeated and equally near names."""
+    import random
+
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abc") for _ in range(n))
+    names = ["", "q", "zz", *[word(rng.randrange(1, 12)) for _ in range(60)], "status", "summary", "story_points", "étage"]
+    asked = ["", "w", "xyz", "x" * 4, "stats", "sumary", "storypoint", "etage", "far away", *[word(rng.randrange(0, 14)) for _ in range(80)]]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            new = [i + 1]
+            for j, y in enumerate(b):
+                new.append(min(new[-1] + 1, row[j + 1] + 1, row[j] + (x != y)))
+            row = new
+        return row[-1]
+
+    def plain(a, some):
+        best = min(((distance(a, c), k, c) for k, c in some), default=(9, 0, ""))
+        return best[2] if best[0] <= 3 else ""
+
+    for k, some in enumerate(([*enumerate(names), (99, "q")], list(enumerate(names))[3:], [])):
+        df = spark.createDataFrame([*[(c, p) for p, c in some], (None, 0)], "name string, place int")
+        got = profile.suggest_from(spark.createDataFrame([(x,) for x in [*asked, "stats", None]], "input string"), df, f"{tmp_path}/{k}").collect()
+        assert len(got) == len({*asked, None}) and {r["input"]: r["suggestion"] for r in got} == {None: "", **{a: plain(a, some) for a in asked}}
+
+
 @pytest.mark.parametrize("current,adds,removes,want", [(["a", "b"], ["c"], [], ["a", "b", "c"]), (["a", "b", "a"], [], ["a"], ["b"]), (["a", "a"], ["a"], [], ["a", "a"]), (None, ["x", "x"], [], ["x"]), (["a"], [], ["a"], []), (["a"], ["a"], ["a"], ["a"])])
 def test_array_edits(spark, current, adds, removes, want):
     df = spark.createDataFrame([("k", current)], "key string, labels array<string>")

@@ -82,7 +82,7 @@ def test_sort_of_all_rows(spark):
     assert [(r["id"], r["key"]) for r in q.sort_as_text(spark, SF).collect()] == want
 
 
-def test_numbers_within_groups_by_days(spark):
+def test_numbers_within_groups(spark, tmp_path):
     from pyspark.sql import Window as W
 
     from ledgerline.operators import reports
@@ -93,7 +93,26 @@ def test_numbers_within_groups_by_days(spark):
         by = W.partitionBy("team").orderBy(F.desc("updated") if desc else F.asc("updated"), "key")
         want = sorted(tuple(r) for r in df.withColumn("n", F.row_number().over(by)).select("key", "n").collect())
         assert sorted(tuple(r) for r in reports.numbered(df, "team", "updated", "key", "n", desc).select("key", "n").collect()) == want
+        assert sorted(tuple(r) for r in reports.numbered(df, "team", "updated", "key", "n", desc, f"{tmp_path}/{desc}").select("key", "n").collect()) == want
     assert reports.numbered(df.limit(0), "team", "updated", "key", "n").collect() == []
+    assert reports.numbered(df.limit(0), "team", "updated", "key", "n", folder=f"{tmp_path}/none").collect() == []
+
+
+def test_numbers_of_one_group_at_one_time(spark, tmp_path):
+    """All rows of one day, and all without a time, are spread over ranges of about equal size."""
+    from ledgerline.operators import reports
+
+    df = spark.range(20_000).select(F.format_string("A-%05d", "id").alias("key"), F.when(F.col("id") < 9_000, "x").alias("team"), F.when(F.col("id") % 2 == 0, F.lit(dt.datetime(2024, 1, 1))).cast("timestamp_ntz").alias("updated"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)  # so few rows would make one partition
+    got = reports.staleness_rank(df, folder=f"{tmp_path}/r")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got.columns == [*df.columns, "rank"]
+    sizes = [r["count"] for r in spark.read.parquet(f"{tmp_path}/r/ranges").groupBy("_range").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 2 * 20_000 / 4
+    want = {}
+    for n in sorted(range(20_000), key=lambda n: (n < 9_000, n % 2 == 0, n)):
+        want[n] = len(want) + 1 - 11_000 * (n < 9_000)
+    assert {int(r["key"][2:]): r["rank"] for r in got.collect()} == want
 
 
 def test_headers_of_groups(spark):
