@@ -65,20 +65,27 @@ def _typed(text: Column, kind: str) -> Column:
     return text if kind == "string" else normalize_timestamp(text).cast(kind) if kind.startswith("timestamp") else text.try_cast(kind)
 
 
-def apply_pending(issues: DataFrame, changes: DataFrame, catalog: DataFrame | None = None, transitions: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def apply_pending(issues: DataFrame, changes: DataFrame, catalog: DataFrame | None = None, transitions: dict[str, str] | DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Issues after the queue's changes in order, (id, ok, error) of each change, and the queue's comments, for
     append_comments. Any column but FIXED can be set, by its name or the tracker's id (catalog has those of custom
-    fields); what cannot be applied is an error. transitions: the status that each id of a transition leads to; the
-    queue names ids only, and an id that is not known is an error. Changes of one issue and field are folded in order; a queue entry holds
+    fields); what cannot be applied is an error. transitions: the status that each id of a transition leads to, as
+    a short map or a table (id, status), the least status of an id given twice; the queue names ids only, and an id that is not
+    known is an error. Changes of one issue and field are folded in order; a queue entry holds
     one value, so a fold holds what one field was ever given."""
     kinds = {c: k for c, k in issues.dtypes if c not in FIXED and (k == "array<string>" or not k.startswith(("array", "struct", "map", "variant")))}
     arrays = [c for c, k in kinds.items() if k == "array<string>"]
     ids = TRACKER | ({r["jira_id"]: r["name"] for r in catalog.select("jira_id", "name").collect()} if catalog is not None else {})
     names = {i: c for i, c in ids.items() if c in kinds} | {c: c for c in kinds}
     op, at = F.col("operation"), lambda p: F.try_variant_get("p", p, "string")
-    led = F.try_element_at(F.create_map(*[F.lit(x) for pair in transitions.items() for x in pair]), at("$.transition_id")) if transitions else F.lit(None).cast("string")
+    pending = changes.filter("synced_at is null").withColumn("p", F.try_parse_json("payload"))
+    if isinstance(transitions, DataFrame):
+        to = transitions.groupBy(F.col("id").alias("_transition")).agg(F.min("status").alias("_leads"))
+        pending = pending.join(to, (op == "transition") & (at("$.transition_id") == F.col("_transition")), "left")
+        led = F.col("_leads")
+    else:
+        led = F.try_element_at(F.create_map(*[F.lit(x) for pair in transitions.items() for x in pair]), at("$.transition_id")) if transitions else F.lit(None).cast("string")
     value = F.when(op == "transition", F.coalesce(led.cast("variant"), F.try_variant_get("p", "$.status", "variant"))).otherwise(F.try_variant_get("p", "$.value", "variant"))
-    todo = changes.filter("synced_at is null").withColumn("p", F.try_parse_json("payload")).withColumns({"value": value, "field": F.when(op == "transition", "status").otherwise(at("$.field")), "action": F.when(op == "update_field", F.coalesce(at("$.op"), at("$.action"))).otherwise("set"), "body": at("$.body")})
+    todo = pending.withColumns({"value": value, "field": F.when(op == "transition", "status").otherwise(at("$.field")), "action": F.when(op == "update_field", F.coalesce(at("$.op"), at("$.action"))).otherwise("set"), "body": at("$.body")})
     column = F.try_element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), F.col("field"))
     values = F.coalesce(F.transform(F.try_variant_get("value", "$", "array<variant>"), _text), F.array(_text(F.col("value"))))
     todo = todo.withColumns({"column": column, "values": values}).join(issues.select(F.col("key").alias("_key")).distinct(), F.col("issue_key") == F.col("_key"), "left")

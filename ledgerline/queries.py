@@ -863,9 +863,9 @@ def _queue(spark, d) -> DataFrame:
     )
 
 
-def _transitions(spark, d) -> dict[str, str]:
-    """What each transition's id leads to: as many as there are kinds of events."""
-    return {f"to {r['event_type']}": r["event_type"] for r in t(spark, d, "events").select("event_type").distinct().collect()}
+def _transitions(spark, d) -> DataFrame:
+    """What each transition's id leads to: one for each kind of events."""
+    return t(spark, d, "events").select(F.concat(F.lit("to "), "event_type").alias("id"), F.col("event_type").alias("status")).distinct()
 
 
 QUEUE = """queue AS (SELECT event_id AS id, 'ORD-' || user_id AS issue_key, event_id % 5 AS k, CASE event_id % 5 WHEN 0 THEN 'set_field' WHEN 3 THEN 'transition' WHEN 4 THEN 'fly' ELSE 'update_field' END AS operation, event_type, event_id, ts AS created_at,

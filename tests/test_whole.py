@@ -238,6 +238,9 @@ def test_queue_outcomes_and_transitions(spark):
     issues = spark.createDataFrame([("A-1", "To Do")], "key string, status string")
     rows = [(1, "A-1", "transition", '{"transition_id":"31"}', 0, None), (2, "A-1", "transition", '{"transition_id":"99"}', 0, None), (3, "A-1", "transition", '{"transition_id":"31"}', 5, "no network")]
     queue = spark.createDataFrame([(i, k, o, p, at, None, n, e) for i, k, o, p, n, e in rows], "id long, issue_key string, operation string, payload string, created_at timestamp_ntz, synced_at timestamp_ntz, retry_count int, last_error string")
+    table = spark.createDataFrame([("31", "Done"), ("31", "Open"), (None, "None"), ("32", "Closed")], "id string, status string")
+    one, other = (edits.apply_pending(issues, queue, transitions=x) for x in ({"31": "Done"}, table))
+    assert all(sorted(map(str, a.collect())) == sorted(map(str, b.collect())) and a.columns == b.columns for a, b in zip(one, other, strict=True))
     out, results, _ = edits.apply_pending(issues, queue, transitions={"31": "Done"})
     assert out.first()["status"] == "Done"
     assert [(r["ok"], r["error"]) for r in results.orderBy("id").collect()] == [(True, None), (False, "transition without a status"), (False, "too many retries: no network")]
