@@ -4,7 +4,8 @@ wherever it occurs and however it is spelled, and a different one from all other
 An entity as it stands in a text is a spelling. A spelling names one or more units: a phone number its digits, a secret its
 value without the keyword, a person's name each of its words. Units get their surrogates once each, by rounds that check
 for collisions over the whole corpus; a spelling is then laid out anew from the surrogates of its units, in its own case,
-separators and title. So two spellings of one entity stay one, and "Mr X" and "Mr Y X" keep their common word."""
+separators and title. So two spellings of one entity stay one, and "Mr X" and "Mr Y X" keep their common word. Where a
+word of such a name stands alone in the same text, capitalised, it is a mention and gets that word's surrogate."""
 
 from __future__ import annotations
 
@@ -58,11 +59,17 @@ KINDS = (
     ("secret", rf"(?<![\p{{L}}\p{{N}}])(?:(?i:{KEYWORDS})) ?[=:] ?[\"']?[^\s\"']{{6,}}(?<![.,;:!?)])"),
     ("key", r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{16,}|xox[abp]-[A-Za-z0-9-]{10,})(?![A-Za-z0-9])"),
     ("hex", r"(?<![A-Za-z0-9])[0-9a-fA-F]{32,}+(?![A-Za-z0-9])"),
+    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:(?=[A-Z0-9]{0,4}\d{7})[A-Z0-9]{11,30}| [A-Z0-9]{4}(?: (?=[A-Z]{0,3}\d)[A-Z0-9]{4}){2,6}(?: (?=[A-Z]{0,2}\d)[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"),
+    ("ipv6", r"(?<![\p{L}\p{N}:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[A-Fa-f]{0,3}\d)[0-9A-Fa-f]{3,4}(?::[0-9A-Fa-f]{1,4}){0,5}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,4})?)(?![\p{L}\p{N}:])"),
     ("ip", rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)"),
     ("phone", r"(?<![\d\p{L}])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\d\p{L}])(?:\(\d{3}\) ?|\d{3}-)\d{3}-\d{4}(?!\d)"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     ("card", r"(?<!\d)(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4})(?!\d)"),
 )
+#: What may be a mention: a word in capitals or with a capital in front, hyphens and apostrophes apart.
+WORD = r"(?<![\p{L}\p{N}])(?:\p{Lu}\p{Ll}++|\p{Lu}{2,}+)(?![\p{L}\p{N}])"
+#: Parts into which the rows of one entity or word are dealt out where they meet its surrogate.
+PARTS = 32
 #: Every entity fits this too; most texts do not.
 FAST = r"[0-9@]|(?i:" + KEYWORDS + rf")|(?:{TITLES})\.? \p{{Lu}}|AKIA|gh[pousr]_|sk-|xox[abp]-|[A-Fa-f]{{32}}"
 PATTERN = "|".join("(?:" + p.replace(r"\1", "[ -]").replace("([ -])", "[ -]") + ")" for _, p in KINDS)
@@ -93,6 +100,14 @@ def _script(text: Column, names: tuple[str, ...] = tuple(SCRIPTS)) -> Column:
     return _cases([(text.rlike(SCRIPTS[s][0]), F.lit(s)) for s in names[1:]], F.lit(names[0]))
 
 
+def _met(rows: DataFrame, values: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """The rows with what values has for their keys. A key's rows are dealt out to PARTS parts by a hash of another column, so
+    a key that most rows have is no task's alone; a value goes only to the parts that have its key."""
+    rows = rows.withColumn("_pii_part", F.pmod(F.xxhash64(by), F.lit(PARTS)).cast("int"))
+    wanted = rows.select(*keys, "_pii_part").distinct().join(values, keys)
+    return rows.join(wanted, [*keys, "_pii_part"]).drop("_pii_part")
+
+
 def spellings(found: DataFrame) -> DataFrame:
     """entity, kind, front (what stays: a keyword or a title), core (the rest), units: (kind, norm) of each unit in order.
     found: (entity), repeated as it may be.
@@ -113,7 +128,7 @@ def spellings(found: DataFrame) -> DataFrame:
     plain = F.when((F.col("kind") == "secret") & core.rlike(f"^(?:{KINDS[3][1]})$"), "key").when((F.col("kind") == "secret") & core.rlike(f"^(?:{KINDS[4][1]})$"), "hex").otherwise(F.col("kind"))
     each = each.withColumn("plain", plain)
     low = F.when(F.length(F.lower(core)) == F.length(core), F.lower(core)).otherwise(core)
-    norm = F.when(F.col("plain").isin("email", "hex"), low).when((F.col("plain") == "phone") & ~core.startswith("+"), F.concat(F.lit("1"), digits)).when(F.col("plain").isin("phone", "ssn", "card"), digits).otherwise(core)
+    norm = F.when(F.col("plain").isin("email", "hex", "ipv6"), low).when(F.col("plain") == "iban", F.replace("core", F.lit(" "), F.lit(""))).when((F.col("plain") == "phone") & ~core.startswith("+"), F.concat(F.lit("1"), digits)).when(F.col("plain").isin("phone", "ssn", "card"), digits).otherwise(core)
     first = F.when(F.col("given").isNotNull(), F.size(F.split(F.substring_index("core", " ", 1), "-"))).otherwise(0)
     word = lambda p, i: F.struct(F.concat_ws(":", F.when(i < first, F.concat(F.lit("given:"), F.col("gender"))).otherwise("surname"), _script(p)).alias("kind"), F.lower(F.regexp_replace(p, r"^\p{Lu}['’]", "")).alias("norm"))
     units = F.when(F.col("kind") == "name", F.transform(F.split(core, "[ -]"), word)).otherwise(F.array(F.struct(F.col("plain").alias("kind"), norm.alias("norm"))))
@@ -159,7 +174,12 @@ def surrogate(kind: Column, norm: Column, digest: Column, attempt: int) -> Colum
     tail = F.regexp_extract(norm, r"\.[A-Za-z]+$", 0)
     email = F.concat(more, changed(F.substr(norm, F.lit(1), F.length(norm) - F.length(tail))), tail)
     ip = F.concat_ws(".", *[(at(k) % 254 + 1).cast("string") for k in range(4)])
-    cases = [(kind == "email", email), (kind == "secret", F.concat(changed(norm), more)), (kind == "key", kept(KEY_FRONT)), (kind == "ip", ip), (kind == "phone", phone), (kind == "card", card)]
+    # account numbers: the bank's letters and the number drawn anew, check digits by the remainder of 97, letters as 10 to 35
+    account, land = changed(F.substr(norm, F.lit(5))), F.substr(norm, F.lit(1), F.lit(2))
+    rest = F.aggregate(_letters(F.concat(account, land, F.lit("00"))), F.lit(0), lambda a, c: F.when(c.rlike(r"\d"), (a * 10 + F.ascii(c) - 48) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97))
+    iban = F.concat(land, F.lpad((98 - rest).cast("string"), 2, "0"), account)
+    ipv6 = F.concat(F.lit("fd"), F.substr(digest, F.lit(1), F.lit(2)), *[F.concat(F.lit(":"), F.substr(digest, F.lit(4 * k + 3), F.lit(4))) for k in range(7)])
+    cases = [(kind == "email", email), (kind == "secret", F.concat(changed(norm), more)), (kind == "key", kept(KEY_FRONT)), (kind == "ip", ip), (kind == "ipv6", ipv6), (kind == "iban", iban), (kind == "phone", phone), (kind == "card", card)]
     for script in SYLLABLES:
         cases.append((kind == f"surname:{script}", invented(script, 3 + attempt, ())))
         for sex in "mf":
@@ -189,27 +209,46 @@ def assign(units: DataFrame, secret: str) -> DataFrame:
 
 
 def laid_out(spelled: DataFrame, values: DataFrame) -> DataFrame:
-    """(entity, kind, put): each spelling with the surrogates of its units in its own case and separators."""
+    """(entity, kind, put, known): each spelling with the surrogates of its units in its own case and separators; known has
+    (norm, value) of each word of a name, and is null for other kinds."""
     each = spelled.select("entity", F.posexplode("units").alias("_at", "_u")).select("entity", "_at", F.col("_u.kind").alias("kind"), F.col("_u.norm").alias("norm"))
-    found = each.join(values, ["kind", "norm"]).groupBy("entity").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "value"))), lambda x: x["value"]).alias("v"))
+    found = _met(each, values, ["kind", "norm"], "entity").groupBy("entity").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "value"))), lambda x: x["value"]).alias("v"))
     core, value = F.col("core"), F.get("v", F.lit(0))
     own = F.col("chars")
     cased = F.array_join(F.transform(_letters(value), lambda c, i: F.when(F.coalesce(F.get(own, i), F.lit("")).rlike(r"\p{Lu}"), F.upper(c)).otherwise(c)), "")
     nth = lambda i: F.length(F.regexp_replace(F.substr(core, F.lit(1), i), r"\D", "")) + F.when((F.col("plain") == "phone") & ~core.startswith("+"), 1).otherwise(0)
     figures = F.array_join(F.transform(own, lambda c, i: F.when(c.rlike(r"\d"), F.substr(value, nth(i) + 1, F.lit(1))).otherwise(c)), "")
+    filled = F.array_join(F.transform(own, lambda c, i: F.when(c == " ", c).otherwise(F.substr(value, F.length(F.replace(F.substr(core, F.lit(1), i), F.lit(" "), F.lit(""))) + 1, F.lit(1)))), "")
     capital = lambda v, p: F.concat(F.regexp_extract(p, r"^\p{Lu}['’](?=\p{Lu})", 0), F.when(p.rlike(r"^\p{Ll}"), v).otherwise(F.concat(F.upper(F.substr(v, F.lit(1), F.lit(1))), F.substr(v, F.lit(2)))))
     words = F.zip_with("v", F.split(core, "[ -]"), capital)
     gaps = F.concat(F.regexp_extract_all(core, F.lit("[ -]"), F.lit(0)), F.array(F.lit("")))
     name = F.array_join(F.zip_with(words, gaps, lambda w, g: F.concat(w, g)), "")
-    body = F.when(F.col("plain") == "name", name).when(F.col("plain").isin("email", "hex"), cased).when(F.col("plain").isin("phone", "ssn", "card"), figures).otherwise(value)
-    return spelled.join(found, "entity").withColumn("chars", _letters(core)).select("entity", "kind", F.concat("front", body).alias("put"))
+    body = F.when(F.col("plain") == "name", name).when(F.col("plain").isin("email", "hex"), cased).when(F.col("plain").isin("phone", "ssn", "card"), figures).when(F.col("plain") == "iban", filled).otherwise(value)
+    known = F.when(F.col("plain") == "name", F.zip_with("units", "v", lambda u, v: F.struct(u["norm"].alias("norm"), v.alias("value"))))
+    return spelled.join(found, "entity").withColumn("chars", _letters(core)).select("entity", "kind", F.concat("front", body).alias("put"), known.alias("known"))
+
+
+def with_mentions(gap: Column, known: Column) -> Column:
+    """What stands between a text's entities, with the surrogates of words of its names: known is (norm, value), of which the
+    first with a norm counts. Capitals stay capitals."""
+    norms, values = F.transform(known, lambda x: x["norm"]), F.transform(known, lambda x: x["value"])
+
+    def put(word: Column) -> Column:
+        value = F.get(values, F.array_position(norms, F.lower(word)).cast("int") - 1)
+        cased = F.when(word.rlike(r"^\p{Lu}{2}"), F.upper(value)).otherwise(F.concat(F.upper(F.substr(value, F.lit(1), F.lit(1))), F.substr(value, F.lit(2))))
+        return F.coalesce(cased, word)
+
+    words = F.concat(F.transform(F.regexp_extract_all(gap, F.lit(WORD), F.lit(0)), put), F.array(F.lit("")))
+    return F.array_join(F.zip_with(F.split(gap, WORD), words, lambda g, w: F.concat(g, w)), "")
 
 
 def replace_entities(docs: DataFrame, secret: str = "corpus", text: str = "text") -> DataFrame:
     """docs with the text's entities replaced, and n_entities and entity_kinds (distinct kinds, joined) after its columns.
 
     Equal entities get equal surrogates in all documents, different ones different surrogates, none of which is an entity
-    of the corpus; see spellings() for what counts as equal. Texts without an entity are not shuffled; those with
+    of the corpus; see spellings() for what counts as equal. Words of a text's names are replaced wherever they stand
+    capitalised in that text, titles or not, as the name's words are; a word that two names use in two ways goes by the first.
+    Such mentions do not count in n_entities. Texts without an entity are not shuffled; those with
     one are written out once, and meet their surrogates as lists of one text each.
 
     A null text stays null with no entities; repeated rows are each replaced alike; an empty table gives no rows; columns
@@ -223,8 +262,10 @@ def replace_entities(docs: DataFrame, secret: str = "corpus", text: str = "text"
     spelled = spellings(each.select("entity"))
     units = materialize(spelled.select(F.explode("units").alias("u")).select("u.kind", "u.norm").distinct(), "units")
     put = materialize(laid_out(spelled, assign(units, secret)), "put")
-    found = each.join(put, "entity").groupBy("_pii_row").agg(F.array_sort(F.collect_list(F.struct("_pii_at", "put", "kind"))).alias("_pii_put"))
+    found = _met(each, put, ["entity"], "_pii_row").groupBy("_pii_row").agg(F.array_sort(F.collect_list(F.struct("_pii_at", "put", "kind", "known"))).alias("_pii_put"))
+    found = found.withColumn("_pii_known", F.array_distinct(F.flatten(F.filter(F.transform("_pii_put", lambda x: x["known"]), F.isnotnull))))
     gaps = F.split(F.col(text), PATTERN)
+    gaps = F.when(F.size("_pii_known") > 0, F.transform(gaps, lambda g: with_mentions(g, F.col("_pii_known")))).otherwise(gaps)
     woven = F.array_join(F.zip_with(gaps, F.concat(F.transform("_pii_put", lambda x: x["put"]), F.array(F.lit(""))), lambda g, s: F.concat(g, s)), "")
     changed = hit.join(found, "_pii_row").select(
         *[woven.alias(text) if c == text else F.col(f"`{c}`") for c in names],

@@ -96,3 +96,49 @@ def test_awkward_rows(spark):
     assert len({r["text"] for r in got.filter("doc_id is null").collect()}) == 1
     assert pii.without_personal_data(docs.withColumn("n_chars", F.length("text").cast("long"))).columns == [*docs.columns, "n_chars"]
     assert pii.replace_entities(docs.limit(0)).count() == 0
+
+
+def test_mentions_of_detected_names(spark):
+    """Words of a text's names stand for the name wherever they are capitalised in that text, and nowhere else."""
+    rows = [
+        (1, "Mr John Smith called. Smith said John is home; SMITH's smith, Smithson and Johnny stay. O'Smith-Jones came."),
+        (2, "Smith and John are not named here, but Ms Clara Jones is: Jones, Clara! a.b@c.orgClara"),
+        (3, "Smith, Jones"),
+        (4, "Frau Σοφία Ωμέγας kam. Σοφία ging, ΩΜΈΓΑΣ nicht."),
+    ]
+    got = {r["doc_id"]: r["text"] for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    john, smith = regex.match(r"Mr (\p{Lu}\p{Ll}+) (\p{Lu}\p{Ll}+) called", got[1]).groups()
+    assert got[1] == f"Mr {john} {smith} called. {smith} said {john} is home; {smith.upper()}'s smith, Smithson and Johnny stay. O'{smith}-Jones came." and smith != "Smith" and john != "John"
+    clara, jones = regex.search(r"Ms (\w+) (\w+) is", got[2]).groups()
+    assert got[2].startswith(f"Smith and John are not named here, but Ms {clara} {jones} is: {jones}, {clara}! ") and got[3] == rows[2][1]
+    sofia, omega = regex.match(r"Frau (\w+) (\w+) kam", got[4]).groups()
+    assert got[4] == f"Frau {sofia} {omega} kam. {sofia} ging, {omega.upper()} nicht."
+
+
+def test_recall_of_planted_mentions(spark):
+    """A name planted with its title once and without it in many places of a test table's texts: no word of it is left."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("length(text) > 200").select("doc_id", "text")
+    planted = [(r["doc_id"], r["text"], f"Q{chr(97 + k % 26)}x{chr(97 + k // 26 % 26)}vor", f"Z{chr(97 + k % 26)}qu{chr(97 + k // 26 % 26)}lin") for k, r in enumerate(docs.orderBy("doc_id").collect())]
+    rows = []
+    for k, (i, text, a, b) in enumerate(planted):
+        parts = text.split(" ")
+        for j in range(3, len(parts), max(3, len(parts) // 10)):
+            parts[j] += f" {(a, b, f'{a} {b}', b.upper())[j % 4]}"
+        rows.append((i, f"Dr {a} {b} " + " ".join(parts)))
+    out = {r["doc_id"]: r["text"] for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    left = sum(len(regex.findall(rf"(?i)\b(?:{a}|{b})\b", out[i])) for i, _, a, b in planted)
+    total = sum(len(regex.findall(rf"(?i)\b(?:{a}|{b})\b", text)) for (_, text), (_, _, a, b) in zip(rows, planted, strict=True))
+    assert total > 1000 and left == 0
+
+
+def test_account_numbers_and_long_addresses(spark):
+    accounts = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19", "FR1420041010050500013M02606"]
+    addresses = ["2001:db8:0:1:1:1:1:1", "2001:DB8::42", "fe80::1ff:fe23:4567:890a"]
+    plain = "at 12:30:45 std::vector Add::Bad AB12 CDEF GHIJ KLMN"
+    got = dict(pairs(spark, [(1, "; ".join(accounts) + " PLEASE"), (2, ", ".join(addresses)), (3, plain)]))
+    assert set(got) == {*accounts, *addresses}
+    for s in accounts:
+        value = got[s].replace(" ", "")
+        assert len(got[s]) == len(s) and value[:2] == s[:2] and got[s] != s and int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1
+        assert all(a.isdigit() == b.isdigit() and (a == " ") == (b == " ") for a, b in zip(s, got[s], strict=True))
+    assert got[accounts[0]] == got[accounts[1]].replace(" ", "") and all(regex.fullmatch("fd[0-9a-f]{2}(?::[0-9a-f]{4}){7}", got[a]) for a in addresses) and len({got[a] for a in addresses}) == 3
