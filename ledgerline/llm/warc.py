@@ -21,6 +21,8 @@ REVISIT_BYTES = 100
 SPLIT_BYTES = 4 << 20
 READ_BYTES = 1 << 18
 PARTS = 32
+#: Repeated digests, about 100 bytes each, that are sent to all tasks.
+FEW = 200_000
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -41,14 +43,20 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, si
 
 
 def plan_records(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, digest, size, first (the smallest page_id with an equal payload, null if it is short). Equal
-    payloads are found and met in PARTS parts, so one page that is stored very often is spread."""
+    """page_id, url, payload, digest, size, first (the smallest page_id with an equal payload, null if it is short or the only
+    one). Equal payloads are found from ids and digests alone, pre-aggregated. Up to FEW repeated digests, counted, go to
+    all tasks and no payload moves; more meet the rows in PARTS parts, so one page that is stored very often is spread, and
+    short ones, which have no first, by a key of their own."""
     rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("payload"))
     rows = rows.withColumn("size", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.lit(PARTS)).cast("int"))
     parts = rows.filter(F.col("size") >= REVISIT_BYTES).groupBy("digest", "part").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
     firsts = parts.groupBy("digest").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.collect_set("part").alias("part")).filter("n > 1")
-    return rows.join(firsts.select("digest", "first", F.explode("part").alias("part")), ["digest", "part"], "left")
+    firsts = materialize(firsts.select(F.col("digest").alias("key"), "first", F.col("part").alias("parts")), "firsts")
+    if firsts.count() <= FEW:
+        return rows.withColumn("key", F.when(F.col("size") >= REVISIT_BYTES, F.col("digest"))).join(F.broadcast(firsts.select("key", "first")), "key", "left")
+    own = F.when(F.col("size") >= REVISIT_BYTES, F.col("digest")).otherwise(F.concat(F.lit("short:"), F.xxhash64("page_id", "url").cast("string")))
+    return rows.withColumn("key", own).join(firsts.select("key", "first", F.explode("parts").alias("part")), ["key", "part"], "left")
 
 
 def write_archives(plan: DataFrame, folder: str) -> DataFrame:

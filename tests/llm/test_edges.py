@@ -66,3 +66,16 @@ def test_ids_do_not_depend_on_chunks(spark):
     for size in (5, 33):
         assert {r["doc_id"]: (r["ids"], r["decoded"]) for r in pieces.encode(docs, chunk_chars=size).collect()} == whole
     assert v.pieces
+
+
+def test_repeated_digests_too_many_to_send(spark, monkeypatch):
+    """Both ways to find a page's first copy give the same records; short and null pages have none in either."""
+    html = ["a" * 200, "b" * 200, "a" * 200, "short", "short", None, "a" * 200, "c" * 99, "c" * 99, "d" * 100, "d" * 100]
+    pages = spark.createDataFrame([*((k + 5, f"u{k}", h) for k, h in enumerate(html)), *((k, "hot", "h" * 300) for k in range(1000, 1300)), (None, None, "h" * 300)], "page_id long, url string, html string")
+    got = []
+    for few in (warc.FEW, 0):
+        monkeypatch.setattr(warc, "FEW", few)
+        got.append(collections.Counter(tuple(r) for r in warc.warc_round_trip(pages).collect()))
+        assert ("BroadcastHashJoin" in warc.plan_records(pages)._jdf.queryExecution().executedPlan().toString() or few == 0)
+    refers = {r[0]: r[4] for r in got[0] if r[4] is not None}
+    assert got[0] == got[1] and refers == {7: 5, 11: 5, 15: 14, None: 1000} | dict.fromkeys(range(1001, 1300), 1000)
