@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -88,6 +90,45 @@ def set_resume_cursor(meta: DataFrame, source: str, cursor: str | None) -> DataF
     return rows.withColumn("resume_cursor", F.when(F.col("project") == source, F.lit(cursor)).otherwise(F.col("resume_cursor")))
 
 
+def advance_cursors(meta: DataFrame, batch: DataFrame) -> DataFrame:
+    """Control rows after a batch of a full run (project, updated): the cursors of its sources go to the latest update seen, never back.
+    Rows without a source or a time move nothing."""
+    seen = batch.filter("project IS NOT NULL AND updated IS NOT NULL").groupBy("project").agg(F.max("updated").cast("timestamp_ntz").alias("_seen"))
+    old = F.col("resume_cursor").try_cast("timestamp_ntz")
+    later = F.col("_seen").isNotNull() & (old.isNull() | (F.col("_seen") > old))
+    rows = _control(meta).join(seen, "project", "full_outer")
+    return rows.withColumn("resume_cursor", F.when(later, F.date_format("_seen", "yyyy-MM-dd HH:mm:ss")).otherwise(F.col("resume_cursor"))).drop("_seen")
+
+
+def resume_filter(df: DataFrame, meta: DataFrame) -> DataFrame:
+    """What is left of a full run that was cut off: of a source with a cursor the rows updated since, cut to the minute, so rows of that
+    minute come again; all rows of other sources, of a cursor that is no time, and without a time of update."""
+    known = _control(meta).select("project", F.substring("resume_cursor", 1, 16).try_cast("timestamp_ntz").alias("_from")).filter("_from IS NOT NULL")
+    left = F.col("_from").isNull() | F.col("updated").isNull() | (F.col("updated") >= F.col("_from"))
+    return df.join(known, "project", "left").filter(left).select(df.columns)
+
+
+def full_run(df: DataFrame, meta: DataFrame, take: Callable[[DataFrame], None], save: Callable[[DataFrame], DataFrame], steps: int = 16, resume: bool = False) -> DataFrame:
+    """Takes df (project, updated, ...) in steps by time of update and saves the cursors after each, so that a run cut off goes on with
+    resume where it stopped. take stores a batch and bears rows that come again; save stores control rows and gives them back as read.
+    Without resume, old cursors of these sources go first; a run that came to its end leaves none. The driver holds
+    the bounds of the steps, which are quantiles, and no rows."""
+    sources = df.select("project").distinct()
+    cleared = lambda m: _control(m).join(sources.withColumn("_s", F.lit(True)), "project", "left").withColumn("resume_cursor", F.when(F.col("_s").isNull(), F.col("resume_cursor"))).drop("_s")
+    if resume:
+        df = resume_filter(df, meta)
+    else:
+        meta = save(cleared(meta))
+    second = F.unix_seconds(F.col("updated").cast("timestamp"))
+    bounds = sorted(set(df.select(second.cast("double").alias("s")).approxQuantile("s", [k / steps for k in range(1, steps)], 0.01)))
+    for low, high in zip([None, *bounds], [*bounds, None], strict=True):
+        under = F.lit(True) if high is None else second < high
+        batch = df.filter((F.coalesce(under, F.lit(True)) if low is None else F.coalesce(under & (second >= low), F.lit(False))))
+        take(batch)
+        meta = save(advance_cursors(meta, batch))
+    return save(cleared(meta))
+
+
 def changelog_candidates(issues: DataFrame, projects: list[str] | None = None) -> DataFrame:
     """(key) of issues whose history was never read or that changed since, of these projects, by key."""
     stale = F.col("changelog_synced_at").isNull() | (F.col("updated") > F.col("changelog_synced_at"))

@@ -17,6 +17,8 @@ from ..sources.sinks import read_table, write_table
 _PARTS = {chr(c): unicodedata.normalize("NFD", chr(c)) for c in range(0xC0, 0x2000)}
 _PLAIN = {c: d[0] for c, d in _PARTS.items() if len(d) > 1 and c == c.lower() and d[0].isalpha() and all(unicodedata.combining(m) for m in d[1:])}
 MARKED, PLAIN = "".join(_PLAIN), "".join(_PLAIN.values())
+#: Columns of issues that are searched together.
+ISSUE_COLUMNS = ["summary", "description", "comments_text", "labels"]
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
@@ -48,6 +50,13 @@ def build_text_index(df: DataFrame, key: str, columns: list[str], stemmed: bool
     return postings, lengths
 
 
+def issue_texts(issues: DataFrame) -> DataFrame:
+    """(key, ISSUE_COLUMNS): what an index of issues holds. Lists are joined by a space; a column that issues lacks is empty."""
+    kinds = dict(issues.dtypes)
+    text = lambda c: F.lit("") if c not in kinds else F.array_join(c, " ") if kinds[c].startswith("array") else F.col(c).cast("string")
+    return issues.select("key", *[F.coalesce(text(c), F.lit("")).alias(c) for c in ISSUE_COLUMNS])
+
+
 def search_ranked(postings: DataFrame, lengths: DataFrame, text: str, limit: int = 20, mode: str = "all", columns: list[str] | None = None, stemmed: bool = False) -> DataFrame:
     """(key, score) of the best documents. mode: all words, any, not (the first word without the others), phrase, prefix
     (a word with each of these beginnings). Only postings of the query's words are read. A text without words finds nothing.

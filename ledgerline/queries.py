@@ -415,6 +415,13 @@ def merge_sync_meta(spark, d):
     return spelled(merge.merge_sync_meta(meta, stats, now(), 12.5, full=True))
 
 
+@put("WITH c AS (SELECT project, max(updated) AS last FROM issues WHERE updated < TIMESTAMP '2000-01-01' AND project <> 'P5' GROUP BY project) SELECT key, i.project FROM issues i LEFT JOIN c ON c.project = i.project WHERE last IS NULL OR updated >= date_trunc('minute', last)", issues=True)
+def resume_filter(spark, d):
+    i = issues_of(spark, d)
+    done = i.filter((F.col("updated") < F.lit("2000-01-01").cast("timestamp_ntz")) & (F.col("project") != "P5"))
+    return merge.resume_filter(i, merge.advance_cursors(merge.set_resume_cursor(_meta(spark, d), "P5", "page 7"), done)).select("key", "project")
+
+
 def _tracked(spark, d) -> DataFrame:
     n = F.col("id").cast("long")
     return issues_of(spark, d).withColumn("changelog_synced_at", F.when(n % 3 == 0, F.expr("updated - INTERVAL 1 DAY")).when(n % 3 == 1, F.expr("updated + INTERVAL 1 DAY")))
@@ -705,6 +712,25 @@ def search_issues(spark, d):
     return search.search_issues(*search.build_text_index(i, "key", ["summary"]), i, "Order 1 7 32 100 1000", 5, mode="any", columns=["summary"], stemmed=True).drop("score")
 
 
+TEXTS = "texts AS (SELECT key, n, summary, 'Team ' || lower(team) || ' ' || lower(type) AS description, 'seen by ' || assignee AS comments_text, labels FROM issues)"
+
+
+@put(rf"""WITH {TEXTS}, tok AS (SELECT key, 'summary' AS col, unnest(regexp_extract_all(lower(summary), '[\p{{L}}\p{{N}}]+')) AS term FROM texts UNION ALL SELECT key, 'description', unnest(string_split(description, ' ')) FROM texts
+ UNION ALL SELECT key, 'comments_text', unnest(regexp_extract_all(lower(comments_text), '[\p{{L}}\p{{N}}]+')) FROM texts UNION ALL SELECT key, 'labels', lower(unnest(labels)) FROM texts),
+ n AS (SELECT key, count(*) AS len FROM tok GROUP BY key), a AS (SELECT count(*)::DOUBLE AS total, avg(len) AS average FROM n),
+ p AS (SELECT col, term, key, count(*) AS tf FROM tok WHERE (col = 'summary' AND term IN ('1', '7', '32', '100', '1000')) OR (col = 'description' AND term IN ('bug', 'story', 'task', 'epic')) OR (col = 'labels' AND term IN ('a', 'n', 'r')) GROUP BY ALL),
+ f AS (SELECT col, term, count(*) AS df FROM p GROUP BY ALL)
+ SELECT p.key, round(sum(greatest(ln((total - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / average))), 6) AS score FROM p JOIN f USING (col, term) JOIN n ON n.key = p.key, a GROUP BY p.key
+ HAVING count(DISTINCT col) = 3""", issues=True)
+def search_columns(spark, d):
+    """Issues by words of their own columns: a number in the summary, a type in the description, a label."""
+    i = issues_of(spark, d)
+    i = i.withColumn("description", F.concat(F.lit("Team "), F.lower("team"), F.lit(" "), F.lower("type"))).withColumn("comments_text", F.concat(F.lit("seen by "), "assignee"))
+    within = lambda c, *w: matching.in_columns([c], matching.any_of(*w))
+    c = matching.all_of(within("summary", "1", "7", "32", "100", "1000"), within("description", "bug", "story", "task", "epic"), within("labels", "a", "n", "r"))
+    return _ranked(matching.search(*search.build_text_index(search.issue_texts(i), "key", search.ISSUE_COLUMNS, False), c, 20, False))
+
+
 @put()
 def search_stemmed(spark, d):
     return _ranked(search.search_ranked(*_index(spark, d, True), "nations licensed", mode="any", stemmed=True))
