@@ -42,12 +42,17 @@ def denormalize_issues(raw: DataFrame, column: str = "raw") -> DataFrame:
     )
 
 
-def undecodable_issues(raw: DataFrame, column: str = "raw") -> DataFrame:
-    """The rows of raw that denormalize_issues leaves out, with reason: with its rows they are all."""
+def undecodable_reason(column: str = "raw") -> Column:
+    """Why denormalize_issues leaves a row out, null where it does not."""
     found = F.from_json(column, ISSUE)
     shape = F.from_json(column, "struct<key: string>")
     reason = F.when(F.col(column).isNull(), "no text").when(F.try_parse_json(column).isNull(), "no JSON").when(~F.ltrim(column).startswith("{"), "no object").when(shape["key"].isNull(), "no key").otherwise("fields of other types")
-    return raw.withColumn("reason", F.when(found["key"].isNull() | found.isNull(), reason)).filter("reason IS NOT NULL")
+    return F.when(found["key"].isNull() | found.isNull(), reason)
+
+
+def undecodable_issues(raw: DataFrame, column: str = "raw") -> DataFrame:
+    """The rows of raw that denormalize_issues leaves out, with reason: with its rows they are all."""
+    return raw.withColumn("reason", undecodable_reason(column)).filter("reason IS NOT NULL")
 
 
 def extract_custom_fields(raw: DataFrame, catalog: DataFrame, column: str = "raw") -> DataFrame:

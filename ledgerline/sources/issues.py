@@ -17,14 +17,24 @@ PAGE = "struct<issues: array<string>, errorMessages: array<string>>"
 
 
 def _pages(spark: SparkSession, path: str) -> DataFrame:
-    """(path, value, p): the pages of all files. A file has a page a line, or one page over all its lines; only files with lines that
-    are no JSON, and none that is a page, are read as a whole to see."""
-    lines = spark.read.text(path).filter(F.trim("value") != "").select(F.col("_metadata.file_path").alias("path"), "value", F.from_json("value", PAGE).alias("p"), F.try_parse_json("value").isNull().alias("_torn"))
-    page = ~F.col("_torn") & (F.col("p.issues").isNotNull() | F.col("p.errorMessages").isNotNull())
-    torn = lines.groupBy("path").agg(F.bool_or("_torn").alias("torn"), F.bool_or(page).alias("page")).filter("torn AND NOT page").select("path")
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value").join(torn, "path", "left_semi")
-    whole = files.filter(F.try_parse_json("value").isNotNull()).select("path", "value", F.from_json("value", PAGE).alias("p"))
-    return lines.drop("_torn").join(whole.select("path"), "path", "left_anti").unionByName(whole)
+    """(path, value, p): the pages of all files. A file has a page a line, or pages printed over many lines. Only lines that are no page
+    are looked at together: those of a file without a page, with lines that are no JSON and with a bracket at either end, are put
+    together again, and where that gives no JSON they stay lines. No file is read in one piece, so files of pages may be of any size."""
+    read = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"), "value")
+    lines = read.filter(F.trim("value") != "").withColumn("p", F.from_json("value", PAGE)).withColumn("_torn", F.try_parse_json("value").isNull())
+    lines = lines.withColumn("_page", ~F.col("_torn") & (F.col("p.issues").isNotNull() | F.col("p.errorMessages").isNotNull()))
+    place = F.struct("_start", "_at")
+    ends = F.min_by("value", place).rlike(r"^\s*[\[{]") & F.max_by("value", place).rlike(r"[\]}]\s*$")
+    cut = lines.select("path", "_start", "_at", "_torn", "_page", F.when(~F.col("_page"), F.col("value")).alias("value"))
+    torn = cut.groupBy("path").agg(F.bool_or("_torn").alias("torn"), F.bool_or("_page").alias("page"), ends.alias("ends")).filter("torn AND NOT page AND ends").select("path")
+    if torn.isEmpty():
+        return lines.select("path", "value", "p")
+    loose = lines.filter(~F.col("_page"))
+    own = loose.join(torn, "path", "left_semi").groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("_start", "_at", "value"))), lambda x: x["value"]).alias("all"))
+    each = F.split(F.array_join("all", "\n"), r"(?<=\})\s*\n\s*(?=\{)")  # within JSON a comma would stand there, so pages are told apart
+    joined = own.select("path", F.explode(F.flatten(F.transform(each, lambda x: F.when(F.try_parse_json(x).isNotNull(), F.array(x)).otherwise(F.split(x, "\n"))))).alias("value"))
+    rest = loose.join(torn, "path", "left_anti").select("path", "value", "p")
+    return lines.filter("_page").select("path", "value", "p").unionByName(rest).unionByName(joined.withColumn("p", F.from_json("value", PAGE)))
 
 
 def scan_issue_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -38,15 +48,15 @@ def scan_issue_pages(spark: SparkSession, path: str) -> DataFrame:
 def read_pages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Issues (path, position, raw) that decode, and what does not: (path, position, raw, reason), position being an issue's place in
     its page, null for a page as a whole. Good and bad rows are all issues and all pages without issues."""
-    from ..operators.flatten import undecodable_issues
+    from ..operators.flatten import undecodable_reason
 
     pages = _pages(spark, path)
     reason = F.when(F.col("p.errorMessages").isNotNull(), F.array_join("p.errorMessages", "; ")).when(F.try_parse_json("value").isNull(), "no JSON").when(F.col("p.issues").isNull(), "no issues in page")
     bad = pages.select("path", F.lit(None).cast("int").alias("position"), F.col("value").alias("raw"), reason.alias("reason")).filter("reason IS NOT NULL")
     each = pages.filter(F.col("p.errorMessages").isNull()).select("path", F.posexplode("p.issues").alias("position", "raw"))
-    lost = undecodable_issues(each)
-    good = each.filter(F.from_json("raw", "struct<key: string>")["key"].isNotNull()).join(lost.select("path", "position", "raw"), ["path", "position", "raw"], "left_anti")
-    return good, bad.unionByName(lost.select("path", "position", "raw", "reason"))
+    # a row is judged by itself: good and lost rows need not meet
+    each = each.withColumn("reason", undecodable_reason("raw"))
+    return each.filter("reason IS NULL").drop("reason"), bad.unionByName(each.filter("reason IS NOT NULL"))
 
 
 def scan_changelog_pages(spark: SparkSession, path: str, form: str = "issue") -> DataFrame:

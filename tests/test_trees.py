@@ -3,6 +3,8 @@
 import json
 import random
 
+from pyspark.sql import functions as F
+
 from ledgerline.operators import flatten, profile
 from ledgerline.sources import issues as src
 
@@ -71,6 +73,26 @@ def test_pages_in_any_layout(spark, tmp_path):
     assert flatten.denormalize_issues(raw).count() + flatten.undecodable_issues(raw).count() == 5
 
 
+def test_large_files_of_pages_are_read_by_lines(spark, tmp_path):
+    """No plan reads a file in one piece, whatever the files' form; a page over many lines, cut by splits, comes out whole."""
+    issue = lambda k: {"id": str(k), "key": f"A-{k}", "fields": {"summary": "x" * 50}}
+    (tmp_path / "lines.json").write_text("\n".join(json.dumps({"issues": [issue(k)]}) for k in range(300)))
+    (tmp_path / "wide.json").write_text(json.dumps({"issues": [issue(k) for k in range(300, 600)]}, indent=1))
+    (tmp_path / "two.json").write_text("\n".join(json.dumps({"issues": [issue(k)]}, indent=1) for k in (700, 701)))
+    (tmp_path / "log.json").write_text("started\nended\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        good, bad = src.read_pages(spark, str(tmp_path))
+        assert sorted(json.loads(r["raw"])["id"] for r in good.collect()) == sorted(map(str, [*range(600), 700, 701]))
+        lost = [(r["path"].rsplit("/", 1)[1], r["reason"]) for r in bad.collect()]
+        assert lost == [("log.json", "no JSON")] * 2
+        assert "wholetext" not in good._jdf.queryExecution().toString() and max(len(r["value"]) for r in src._pages(spark, str(tmp_path)).filter("path LIKE '%lines.json'").collect()) < 200
+        assert max(p["n"] for p in src._pages(spark, str(tmp_path)).filter("path LIKE '%lines.json'").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()) < 100
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_objects_in_arrays(spark):
     catalog = spark.createDataFrame([("customfield_1", "watchers", "array", True, True)], "jira_id string, name string, type string, is_custom boolean, is_column boolean")
     fields = {"customfield_1": ["a", {"value": "b"}, {"name": "c"}, {"displayName": "Ann"}, {"value": "d", "name": "e"}]}
