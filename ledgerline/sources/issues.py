@@ -21,19 +21,22 @@ def _pages(spark: SparkSession, path: str) -> DataFrame:
     are looked at together: those of a file without a page, with lines that are no JSON and with a bracket at either end, are put
     together again, and where that gives no JSON they stay lines. No file is read in one piece, so files of pages may be of any size."""
     read = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"), "value")
-    lines = read.filter(F.trim("value") != "").withColumn("p", F.from_json("value", PAGE)).withColumn("_torn", F.try_parse_json("value").isNull())
-    lines = lines.withColumn("_page", ~F.col("_torn") & (F.col("p.issues").isNotNull() | F.col("p.errorMessages").isNotNull()))
+    named = F.col("value").contains("issues") | F.col("value").contains("errorMessages") | F.col("value").contains("\\u")  # most printed lines need no parser
+    lines = read.filter(F.trim("value") != "").withColumn("p", F.when(named, F.from_json("value", PAGE)))
+    lines = lines.withColumn("_page", F.coalesce((F.col("p.issues").isNotNull() | F.col("p.errorMessages").isNotNull()) & F.try_parse_json(F.when(named, F.col("value"))).isNotNull(), F.lit(False)))
     place = F.struct("_start", "_at")
     ends = F.min_by("value", place).rlike(r"^\s*[\[{]") & F.max_by("value", place).rlike(r"[\]}]\s*$")
-    cut = lines.select("path", "_start", "_at", "_torn", "_page", F.when(~F.col("_page"), F.col("value")).alias("value"))
-    torn = cut.groupBy("path").agg(F.bool_or("_torn").alias("torn"), F.bool_or("_page").alias("page"), ends.alias("ends")).filter("torn AND NOT page AND ends").select("path")
-    if torn.isEmpty():
+    cut = lines.select("path", "_start", "_at", "_page", F.when(~F.col("_page"), F.col("value")).alias("value"))
+    bare = cut.groupBy("path").agg(F.bool_or("_page").alias("page"), ends.alias("ends")).filter("NOT page AND ends").select("path")
+    if bare.isEmpty():
         return lines.select("path", "value", "p")
     loose = lines.filter(~F.col("_page"))
-    own = loose.join(torn, "path", "left_semi").groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("_start", "_at", "value"))), lambda x: x["value"]).alias("all"))
+    own = loose.join(bare, "path", "left_semi").groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("_start", "_at", "value"))), lambda x: x["value"]).alias("all"))
     each = F.split(F.array_join("all", "\n"), r"(?<=\})\s*\n\s*(?=\{)")  # within JSON a comma would stand there, so pages are told apart
-    joined = own.select("path", F.explode(F.flatten(F.transform(each, lambda x: F.when(F.try_parse_json(x).isNotNull(), F.array(x)).otherwise(F.split(x, "\n"))))).alias("value"))
-    rest = loose.join(torn, "path", "left_anti").select("path", "value", "p")
+    whole = F.flatten(F.transform(each, lambda x: F.when(F.try_parse_json(x).isNotNull(), F.array(x)).otherwise(F.split(x, "\n"))))
+    torn = F.exists("all", lambda x: F.try_parse_json(x).isNull())
+    joined = own.select("path", F.explode(F.when(torn, whole).otherwise(F.col("all"))).alias("value"))
+    rest = loose.join(bare, "path", "left_anti").select("path", "value", "p")
     return lines.filter("_page").select("path", "value", "p").unionByName(rest).unionByName(joined.withColumn("p", F.from_json("value", PAGE)))
 
 
