@@ -59,13 +59,17 @@ def _left_out(text: Column, most: int) -> Column:
     return F.filter(out, lambda s: s != "")
 
 
+def _left_out_hashes(text: Column, most: int) -> Column:
+    return F.array_distinct(F.transform(_left_out(text, most), lambda s: F.xxhash64(s)))
+
+
 def suggest_from(inputs: DataFrame, candidates: DataFrame, folder: str, most: int = 3) -> DataFrame:
     """(input, suggestion): as suggest_closest(), for candidates (name, place) in any number; of equally near ones the one of
     the least place, then name, counts.
 
     Strings within d edits of each other share a string that both become with at most d characters left out. Distances
     are tried in turn, 0 first, and only inputs without a suggestion go on, so that a pair far apart is looked at only
-    where there is none nearer; a step is an equi-join and what it found is stored below folder. Strings without a common
+    where there is none nearer; a step is an equi-join of hashes and what it found is stored below folder; distances are computed of the names. Strings without a common
     character differ by the longer one's length: for these the first candidate of each length up to most suffices. The
     strings left out of a name of n characters are about n ** d / d! at distance d.
 
@@ -86,8 +90,11 @@ def suggest_from(inputs: DataFrame, candidates: DataFrame, folder: str, most: in
             pairs = left.join(names.withColumnRenamed("name", "input"), "input").select("input", "place", F.col("input").alias("name"))
         else:
             few = left.filter(F.length("input") <= d).select("input", F.explode(F.sequence(F.lit(0), F.lit(d))).alias("_l")).join(short, "_l").select("input", "_c.place", "_c.name")
-            own = left.select("input", F.explode(_left_out(F.col("input"), d)).alias("_s"))
-            pairs = own.join(names.select("name", "place", F.explode(_left_out(F.col("name"), d)).alias("_s")), "_s").select("input", "place", "name").unionByName(few)
+            # only hashes meet, in a shuffle: the planner's sizes know nothing of the many strings a name becomes, so it would broadcast them
+            own = left.select(F.xxhash64("input").alias("_i"), F.explode(_left_out_hashes(F.col("input"), d)).alias("_s"))
+            theirs = names.select(F.xxhash64("name").alias("_n"), F.explode(_left_out_hashes(F.col("name"), d)).alias("_s"))
+            met = stored(own.join(theirs.hint("merge"), "_s").select("_i", "_n").distinct(), f"met-{d}")
+            pairs = met.join(left.select(F.xxhash64("input").alias("_i"), "input").hint("merge"), "_i").join(names.withColumn("_n", F.xxhash64("name")).hint("merge"), "_n").select("input", "place", "name").unionByName(few)
         near = pairs.filter(F.levenshtein("input", "name", d) >= 0)
         found.append(stored(near.groupBy("input").agg(F.min(F.struct("place", "name")).alias("_c")).select("input", F.col("_c.name").alias("suggestion")), f"found-{d}"))
         left = left.join(found[-1], "input", "left_anti")

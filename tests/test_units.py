@@ -94,6 +94,22 @@ def test_suggest_from_many(spark, tmp_path):
         assert len(got) == len({*asked, None}) and {r["input"]: r["suggestion"] for r in got} == {None: "", **{a: plain(a, some) for a in asked}}
 
 
+def test_suggest_from_broadcasts_no_strings_left_out(spark, tmp_path):
+    """The strings left out of names are a thousand times the names; no plan may send them to all tasks by the names' size."""
+    names = spark.range(300).select(F.concat(F.lit("Name number "), "id").alias("name"), F.col("id").alias("place"))
+    plans = []
+    kind = type(names)
+    write = kind.write.fget
+    try:
+        kind.write = property(lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df))[1])
+        got = profile.suggest_from(names.select(F.concat("name", F.lit("xy")).alias("input")), names, str(tmp_path / "s"))
+    finally:
+        kind.write = property(write)
+    assert {r["suggestion"] for r in got.filter("input = 'Name number 7xy'").collect()} == {"Name number 7"}
+    strings = [p for p in plans if "Join [_s#" in p]
+    assert len(strings) == 3 and all("SortMergeJoin [_s#" in p for p in strings)
+
+
 @pytest.mark.parametrize("current,adds,removes,want", [(["a", "b"], ["c"], [], ["a", "b", "c"]), (["a", "b", "a"], [], ["a"], ["b"]), (["a", "a"], ["a"], [], ["a", "a"]), (None, ["x", "x"], [], ["x"]), (["a"], [], ["a"], []), (["a"], ["a"], ["a"], ["a"])])
 def test_array_edits(spark, current, adds, removes, want):
     df = spark.createDataFrame([("k", current)], "key string, labels array<string>")
