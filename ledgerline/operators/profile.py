@@ -234,15 +234,73 @@ def ancestors(issues: DataFrame, folder: str) -> DataFrame:
     return known
 
 
+def _kept_in(folder: str, df: DataFrame, name: str) -> DataFrame:
+    df.write.parquet(f"{folder}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
+def _jumps(issues: DataFrame) -> DataFrame:
+    """(key, to): each key and its parent, null if that is no issue or the key itself; of rows that share a key the least parent counts."""
+    one = issues.filter("key IS NOT NULL").groupBy("key").agg(F.min("parent_key").alias("to"))
+    edges = one.filter("to IS NOT NULL AND to <> key").join(one.select(F.col("key").alias("to")), "to", "left_semi").select("key", "to")
+    return one.select("key").join(edges, "key", "left")
+
+
+def _doubled(state: DataFrame, folder: str, step) -> tuple[DataFrame, DataFrame | None]:
+    """Applies step(state, k) until no jump (column to) is left: (state, None). Jumps of 2 ** k keys that are left when no chain can be so
+    long lead into a cycle: (state, keys of these jumps). No key above or below such a one is without."""
+    state, k = _kept_in(folder, state, "up-0"), 0
+    total = state.count()
+    while state.filter("to IS NOT NULL").count():
+        if 1 << k > total:
+            return state, state.filter("to IS NOT NULL").select("key")
+        state = _kept_in(folder, step(state, k), f"up-{k + 1}")
+        k += 1
+    return state, None
+
+
 def whole_chain(issues: DataFrame, folder: str) -> DataFrame:
-    """(key, depth, chain): all ancestors, the root first; see ancestors()."""
-    up = ancestors(issues, folder).groupBy("key").agg(F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), "ancestor"))).alias("_a"))
-    return issues.select("key").join(up, "key", "left").select("key", F.coalesce(F.size("_a"), F.lit(0)).alias("depth"), F.coalesce(F.transform("_a", lambda x: x["ancestor"]), F.array().cast("array<string>")).alias("chain"))
+    """(key, depth, chain): all ancestors, the root first; what counts as one: ancestors(). A round puts behind each key's chain that of the
+    key at its end, so a row a key is shuffled, and a chain is written once for each doubling of its length."""
+
+    def step(state: DataFrame, k: int) -> DataFrame:
+        above = state.select(F.col("key").alias("to"), F.col("to").alias("_next"), F.col("chain").alias("_more"))
+        longer = state.filter("to IS NOT NULL").join(above, "to").select("key", F.col("_next").alias("to"), F.concat("chain", "_more").alias("chain"))
+        return state.filter("to IS NULL").unionByName(longer)
+
+    none = F.array().cast("array<string>")
+    up, cyclic = _doubled(_jumps(issues).withColumn("chain", F.when(F.col("to").isNotNull(), F.array("to")).otherwise(none)), folder, step)
+    up = up.select("key", F.reverse("chain").alias("chain"))
+    if cyclic is not None:
+        far = ancestors(issues.join(cyclic, "key", "left_semi"), f"{folder}/cyclic").groupBy("key").agg(F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), "ancestor"))).alias("_a"))
+        up = up.join(cyclic, "key", "left_anti").unionByName(far.select("key", F.transform("_a", lambda x: x["ancestor"]).alias("chain")))
+    return issues.select("key").join(up, "key", "left").select("key", F.coalesce(F.size("chain"), F.lit(0)).alias("depth"), F.coalesce("chain", none).alias("chain"))
 
 
 def subtree_rollup(issues: DataFrame, folder: str) -> DataFrame:
-    """(key, height, issues, done, in_progress, to_do, points) over all issues below each issue that has any."""
-    below = ancestors(issues, folder).join(issues.select("key", "status_category", "story_points"), "key")
+    """(key, height, issues, done, in_progress, to_do, points) over all issues below each issue that has any. A round adds to each key's
+    sums over the keys less than 2 ** k below it those of the keys that are 2 ** k below, so a row a key is shuffled, however high the tree.
+    Keys that lead into a cycle are summed up over ancestors()."""
     n = lambda s: F.count_if(F.col("status_category") == s)
-    out = below.groupBy("ancestor").agg(F.max("distance").alias("height"), F.count("*").alias("issues"), n("Done").alias("done"), n("In Progress").alias("in_progress"), n("To Do").alias("to_do"), F.round(F.sum("story_points"), 2).alias("points"))
-    return out.withColumnRenamed("ancestor", "key")
+    sums = [F.count("*").alias("issues"), n("Done").alias("done"), n("In Progress").alias("in_progress"), n("To Do").alias("to_do"), F.sum("story_points").alias("points")]
+    own = issues.filter("key IS NOT NULL").groupBy("key").agg(*sums)
+    names, kinds = [c for c in own.columns if c != "key"], dict(own.dtypes)
+    plus = lambda a, b, c: F.coalesce(F.col(a) + F.col(b), F.col(a), F.col(b)).cast(kinds[c])
+
+    def step(state: DataFrame, k: int) -> DataFrame:
+        going = state.filter("to IS NOT NULL")
+        gains = [F.sum(plus(c, f"below_{c}", c)).cast(kinds[c]).alias(f"more_{c}") for c in names]
+        more = going.groupBy(F.col("to").alias("key")).agg(*gains, (F.max("height") + (1 << k)).alias("_height"))
+        far = going.select("key", "to").join(going.select(F.col("key").alias("to"), F.col("to").alias("_next")), "to").select("key", "_next")
+        out = state.join(more, "key", "left").join(far, "key", "left")
+        return out.select("key", F.col("_next").alias("to"), F.greatest("height", "_height").alias("height"), *names, *[plus(f"below_{c}", f"more_{c}", c).alias(f"below_{c}") for c in names])
+
+    start = own.join(_jumps(issues), "key").select("key", "to", F.lit(0).cast("long").alias("height"), *names, *[(F.lit(None) if c == "points" else F.lit(0)).cast(kinds[c]).alias(f"below_{c}") for c in names])
+    state, cyclic = _doubled(start, folder, step)
+    out = state.filter("below_issues > 0").select("key", "height", *[F.col(f"below_{c}").alias(c) for c in names])
+    if cyclic is not None:
+        some = issues.join(cyclic, "key", "left_semi")
+        below = ancestors(some, f"{folder}/cyclic").join(some.select("key", "status_category", "story_points"), "key")
+        far = below.groupBy(F.col("ancestor").alias("key")).agg(F.max("distance").alias("height"), *sums)
+        out = out.join(cyclic, "key", "left_anti").unionByName(far)
+    return out.withColumn("points", F.round("points", 2))

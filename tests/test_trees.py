@@ -73,6 +73,21 @@ def test_pages_in_any_layout(spark, tmp_path):
     assert flatten.denormalize_issues(raw).count() + flatten.undecodable_issues(raw).count() == 5
 
 
+def test_trees_are_summed_up_without_pairs(spark, tmp_path):
+    """No table of a chain's or a subtree's rounds has more rows than there are keys; cycles and repeated keys beside a tree stay right."""
+    rows = [(f"k{n}", f"k{n // 2}" if n > 1 else None, "Done" if n % 3 else "To Do", float(n)) for n in range(1, 64)]
+    rows += [("c1", "c2", "Done", 1.0), ("c2", "c1", "Done", 2.0), ("c3", "c2", None, None), ("k5", "k2", "To Do", 5.0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r["key"]: r for r in profile.subtree_rollup(df, str(tmp_path / "s")).collect()}
+    below = [n for n in range(2, 64)]
+    assert (got["k1"]["height"], got["k1"]["issues"], got["k1"]["points"]) == (5, 63, sum(below) + 5.0) and "k63" not in got
+    assert [tuple(got["c1"])[1:3], tuple(got["c2"])[1:3]] == [(2, 2), (1, 2)] and "c3" not in got and got["c2"]["points"] == 1.0
+    chain = {r["key"]: r["chain"] for r in profile.whole_chain(df, str(tmp_path / "w")).collect()}
+    assert chain["k63"] == ["k1", "k3", "k7", "k15", "k31"] and chain["k1"] == [] and chain["c3"] == ["c1", "c2"] and chain["c1"] == ["c2"]
+    written = list(tmp_path.glob("[sw]/*-*"))
+    assert written and all(spark.read.parquet(str(part)).count() <= 66 for part in written)
+
+
 def test_large_files_of_pages_are_read_by_lines(spark, tmp_path):
     """No plan reads a file in one piece, whatever the files' form; a page over many lines, cut by splits, comes out whole."""
     issue = lambda k: {"id": str(k), "key": f"A-{k}", "fields": {"summary": "x" * 50}}
