@@ -46,9 +46,9 @@ def _slot(key: str | Column, depth: int | Column) -> Column:
 def _ranges(found: DataFrame, batch: DataFrame, key: str) -> DataFrame:
     """(depth, slot, folder, rows, schema, more): the ranges of the manifest that rows of batch fall into, and how many do."""
     depths = [r["depth"] for r in found.select("depth").distinct().collect()]
-    hashes = batch.groupBy(F.xxhash64(key).alias("h")).agg(F.count("*").alias("n"))
+    hashes = batch.select(F.xxhash64(key).alias("h"))  # counted by range at once: hashes need not meet
     places = F.array(*[F.struct(F.lit(d).alias("depth"), F.col("h").bitwiseAND((1 << d) - 1).alias("slot")) for d in depths])
-    more = hashes.select("n", F.explode(places).alias("at")).groupBy("at.depth", "at.slot").agg(F.sum("n").alias("more"))
+    more = hashes.select(F.explode(places).alias("at")).groupBy("at.depth", "at.slot").agg(F.count("*").alias("more"))
     return found.join(more, ["depth", "slot"])
 
 
@@ -93,7 +93,8 @@ def merge_kept(batch: DataFrame, path: str, key: str, merge: Callable[[DataFrame
     finest = spark.createDataFrame(split, "depth int, slot long, _depth int").select(
         "_depth", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.expr(f"shiftleft(1L, {deepest} - depth) - 1")), lambda k: F.col("slot") + F.call_function("shiftleft", k, F.col("depth")))).alias("_at")
     )
-    rows = new.withColumn("_at", _slot(key, deepest)).join(finest, "_at").withColumn("_slot", _slot(key, F.col("_depth"))).drop("_at")
+    # a row for each finest range: rows find theirs where they are, and are shuffled once, to be written
+    rows = new.withColumn("_at", _slot(key, deepest)).join(F.broadcast(finest), "_at").withColumn("_slot", _slot(key, F.col("_depth"))).drop("_at")
     folder = f"data/after-{base:08}-{uuid.uuid4().hex}"
     rows.repartition("_depth", "_slot").write.partitionBy("_depth", "_slot").parquet(f"{path}/{folder}")
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new.schema)
