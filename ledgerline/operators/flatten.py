@@ -55,13 +55,14 @@ def undecodable_issues(raw: DataFrame, column: str = "raw") -> DataFrame:
     return raw.withColumn("reason", undecodable_reason(column)).filter("reason IS NOT NULL")
 
 
-def extract_custom_fields(raw: DataFrame, catalog: DataFrame, column: str = "raw") -> DataFrame:
-    """key and one typed column for each catalog row that is custom and a column. The catalog is small metadata; it only
+def extract_custom_fields(raw: DataFrame, catalog: DataFrame, column: str = "raw", keep: list[str] | None = None) -> DataFrame:
+    """key, or the columns to keep but those of the catalog's names, and one typed column for each catalog row that is custom and a column. The catalog is small metadata; it only
     shapes the select list. A row is parsed once. Trees in text fields become their text, other objects the first non-empty
     of name, value, displayName, title. Of objects in arrays value or name counts, others count as nothing."""
     wanted = catalog.filter("is_custom and is_column").select("jira_id", "name", "type").orderBy("name").collect()
+    keep = [c for c in keep or ["key"] if c not in {r["name"] for r in wanted}]
     if not wanted:
-        return raw.select("key")
+        return raw.select(keep)
     fields = ", ".join(f"`{r['jira_id']}`: string" for r in wanted)
     known = ", ".join(f"{k}: string" for k in FALLBACK)
 
@@ -78,8 +79,8 @@ def extract_custom_fields(raw: DataFrame, catalog: DataFrame, column: str = "raw
         tree = v.rlike(r'"type"\s*:\s*"doc"') if kind in ("text", "string") else F.lit(False)
         return F.when(v.startswith("{"), F.when(tree, F.nullif(plain_text(v), F.lit(""))).otherwise(inner)).otherwise(v)
 
-    parsed = raw.select("key", F.from_json(column, f"struct<fields: struct<{fields}>>")["fields"].alias("_f"))
-    return parsed.select("key", *[one(F.col("_f")[r["jira_id"]], r["type"]).alias(r["name"]) for r in wanted])
+    parsed = raw.select(*keep, F.from_json(column, f"struct<fields: struct<{fields}>>")["fields"].alias("_f"))
+    return parsed.select(*keep, *[one(F.col("_f")[r["jira_id"]], r["type"]).alias(r["name"]) for r in wanted])
 
 
 def evolve_schema(table: DataFrame, batch: DataFrame) -> DataFrame:

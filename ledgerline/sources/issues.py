@@ -149,8 +149,8 @@ def comments_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("conv_id").cast("string").alias("issue_key"), F.col("role").alias("author"), F.concat(F.col("role"), F.lit("@x")).alias("author_email"), F.col("text").alias("body"), F.col("turn").alias("created"))
 
 
-def raw_issues(issues: DataFrame) -> DataFrame:
-    """(id, key, raw): issues as a tracker writes them."""
+def raw_issues(issues: DataFrame, *more: str) -> DataFrame:
+    """(id, key, raw): issues as a tracker writes them, and more of their columns as they are."""
     n = F.col("id").cast("long")
     named = lambda c: F.struct(F.col(c).alias("name"))
     person = F.struct(F.col("assignee").alias("displayName"), F.concat(F.lower("assignee"), F.lit("@x.org")).alias("emailAddress"))
@@ -172,7 +172,7 @@ def raw_issues(issues: DataFrame) -> DataFrame:
         F.struct(F.col("team").alias("value")).alias("customfield_1"), F.col("story_points").alias("customfield_2"), severity.alias("customfield_3"),
         F.col("labels").alias("customfield_4"),
     )
-    return issues.select("id", "key", F.to_json(F.struct("id", "key", fields.alias("fields"))).alias("raw"))
+    return issues.select("id", "key", F.to_json(F.struct("id", "key", fields.alias("fields"))).alias("raw"), *more)
 
 
 def raw_conversations(comments: DataFrame) -> DataFrame:

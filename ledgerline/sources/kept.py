@@ -13,6 +13,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from .sinks import _versions, write_table
 
@@ -76,10 +77,11 @@ def lookup_kept(spark: SparkSession, path: str, key: str, value) -> DataFrame:
     return some.filter(F.col(key) == F.lit(value)) if some.columns else some
 
 
-def merge_kept(batch: DataFrame, path: str, key: str, merge: Callable[[DataFrame | None], DataFrame]) -> int:
+def merge_kept(batch: DataFrame, path: str, key: str, merge: Callable[[DataFrame | None], DataFrame], over: bool = False) -> int:
     """Commits merge(rows of the ranges that keys of batch fall into) in place of these rows, and returns the new version. merge gets None
     for a table that was never written, and what it returns must have keys of these ranges only. Rows that merge adds may have new columns. One writer at a time: a commit that
-    finds another version than it began with is refused. Nothing that stands is changed, so a merge that breaks off at any step
+    finds another version than it began with is refused. With over, merge returns new rows alone, one a key: they take the place of the rows of
+    their keys, and the others stay; rows of both are then told apart where they are written, without a shuffle of their own. Nothing that stands is changed, so a merge that breaks off at any step
     leaves the version before it current, and may be put again."""
     spark, base = batch.sparkSession, version_of(batch.sparkSession, path)
     found = manifest(spark, path, base)
@@ -88,6 +90,9 @@ def merge_kept(batch: DataFrame, path: str, key: str, merge: Callable[[DataFrame
         return base
     old = _rows_of(spark, path, touched)
     new = merge(old if old.columns else None)
+    over = over and bool(old.columns)
+    if over:
+        new = old.withColumn("_new", F.lit(False)).unionByName(new.withColumn("_new", F.lit(True)), allowMissingColumns=True)
     split = [(r["depth"], r["slot"], r["depth"] + max(0, math.ceil(math.log2(max(1, (r["rows"] + r["more"]) / RANGE_ROWS))))) for r in touched]
     deepest = max((d for d, _, _ in split), default=0)
     finest = spark.createDataFrame(split, "depth int, slot long, _depth int").select(
@@ -96,7 +101,11 @@ def merge_kept(batch: DataFrame, path: str, key: str, merge: Callable[[DataFrame
     # a row for each finest range: rows find theirs where they are, and are shuffled once, to be written
     rows = new.withColumn("_at", _slot(key, deepest)).join(F.broadcast(finest), "_at").withColumn("_slot", _slot(key, F.col("_depth"))).drop("_at")
     folder = f"data/after-{base:08}-{uuid.uuid4().hex}"
-    rows.repartition("_depth", "_slot").write.partitionBy("_depth", "_slot").parquet(f"{path}/{folder}")
+    rows = rows.repartition("_depth", "_slot")
+    if over:  # a key's rows have met with those of its range
+        first = F.row_number().over(W.partitionBy("_depth", "_slot", key).orderBy(F.desc("_new")))
+        rows, new = rows.withColumn("_first", first).filter("_first = 1").drop("_first", "_new"), new.drop("_new")
+    rows.write.option("compression", "zstd").partitionBy("_depth", "_slot").parquet(f"{path}/{folder}")
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new.schema)
     told = spark.read.schema(T.StructType([*new.schema.fields, T.StructField("_depth", T.IntegerType()), T.StructField("_slot", T.LongType())])).parquet(f"{path}/{folder}").groupBy("_depth", "_slot").agg(F.count("*").alias("rows"))
     where = F.concat(F.lit(f"{folder}/_depth="), F.col("_depth"), F.lit("/_slot="), F.col("_slot"))
@@ -122,6 +131,12 @@ def held(spark: SparkSession, path: str) -> Iterator[int]:
         fs.delete(mark, False)
 
 
+def clear(spark: SparkSession, path: str) -> None:
+    """Removes a folder of intermediate tables."""
+    folder, fs = _path(spark, path)
+    fs.delete(folder, True)
+
+
 def clean_up(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
     """Removes what no reader can need: manifests before the last keep complete ones that no mark holds, then folders of rows that no
     remaining manifest names and that no merge still under way can have written. Returns the folders removed."""

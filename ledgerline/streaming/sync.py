@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from ..operators.flatten import denormalize_issues, explode_changelog, extract_comments, extract_custom_fields, extract_links, rollup_comments_text
 from ..operators.merge import insert_ignore, latest_of, replace_children, upsert_by_key
 from ..sources.issues import histories_of
-from ..sources.kept import clean_up, merge_kept, read_kept, version_of
+from ..sources.kept import clean_up, clear, merge_kept, read_kept, version_of
 
 
 def _or_none(old: DataFrame | None, like: DataFrame) -> DataFrame:
@@ -24,7 +26,7 @@ def stream_sync(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
 
     The tables are read with read_kept. Each is kept in ranges of the issue's key, so a batch reads and writes only the ranges of
     the issues in it, in all four; comments and history rows belong to one issue for good. Versions before the last keep that no
-    reader holds are removed after each batch; None removes none."""
+    reader holds are removed after each batch; None removes none. A batch's issues are stored below out_dir/batch until its end."""
 
     tables = (out_dir, *(f"{out_dir}/{n}" for n in ("comments", "issue_links", "changelog")))
 
@@ -33,14 +35,24 @@ def stream_sync(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
             if batch_id and not version_of(spark, path):
                 raise FileNotFoundError(f"no complete version of a table in {path}")
         pages = batch.select(F.explode(F.from_json("value", "struct<issues: array<string>>")["issues"]).alias("raw"))
-        seen = denormalize_issues(pages).persist()
-        new = latest_of(seen, "key", [F.col("updated").desc_nulls_last(), F.col("raw_json").desc()]).persist()
+        folder = f"{out_dir}/batch/{batch_id:08}-{uuid.uuid4().hex}"
+
+        def stored(df: DataFrame, name: str) -> DataFrame:
+            """Columns in a compressed file, not rows in memory and on disk; its size tells the planner what is short enough to be sent around."""
+            df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
+            return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+        seen = stored(denormalize_issues(pages), "seen")
+        twice = stored(seen.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "twice")
+        # only issues that a batch has more than once are shuffled to find the latest
+        last_of = stored(latest_of(seen.join(twice, "key", "left_semi"), "key", [F.col("updated").desc_nulls_last(), F.col("raw_json").desc()]), "last")
+        new = seen.join(twice, "key", "left_anti").unionByName(last_of)
         parents = new.select(F.col("key").alias("issue_key"))
 
         said, order = extract_comments(seen, "raw_json"), [F.col("created").desc_nulls_last(), F.col("body").desc_nulls_last()]
         last = extract_comments(new, "raw_json")
         merge_kept(parents, f"{out_dir}/comments", "issue_key", lambda old: upsert_by_key(upsert_by_key(_or_none(old, said), said, "id", order), last, "id", order))
-        text = rollup_comments_text(read_kept(spark, f"{out_dir}/comments", parents, "issue_key")).withColumnRenamed("issue_key", "key")
+        text = stored(rollup_comments_text(read_kept(spark, f"{out_dir}/comments", parents, "issue_key")).withColumnRenamed("issue_key", "key"), "text")
 
         links = extract_links(new, "raw_json")
         merge_kept(parents, f"{out_dir}/issue_links", "issue_key", lambda old: replace_children(_or_none(old, links), links, parents, "issue_key"))
@@ -50,11 +62,9 @@ def stream_sync(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
 
         rows = new.join(text, "key", "left")
         if catalog is not None:
-            custom = extract_custom_fields(new, catalog, "raw_json")
-            rows = rows.drop(*[c for c in custom.columns if c != "key"]).join(custom, "key", "left")
-        merge_kept(new, out_dir, "key", lambda old: upsert_by_key(_or_none(old, rows), rows, "key", [F.col("updated").desc_nulls_last()]))
-        seen.unpersist()
-        new.unpersist()
+            rows = extract_custom_fields(rows, catalog, "raw_json", rows.columns)
+        merge_kept(new, out_dir, "key", lambda old: rows, True)
+        clear(spark, f"{out_dir}/batch")
         if keep:
             for path in tables:
                 clean_up(spark, path, keep)
