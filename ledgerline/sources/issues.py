@@ -16,26 +16,40 @@ STAMP = "yyyy-MM-dd'T'HH:mm:ss'.000+0000'"
 PAGE = "struct<issues: array<string>, errorMessages: array<string>>"
 
 
-def _pages(spark: SparkSession, path: str) -> DataFrame:
-    """(path, value, p): the pages of all files. A file has a page a line, or pages printed over many lines. Only lines that are no page
-    are looked at together: those of a file without a page, with lines that are no JSON and with a bracket at either end, are put
-    together again, and where that gives no JSON they stay lines. No file is read in one piece, so files of pages may be of any size."""
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, _start, _at, value, p, _page): the lines of all files with their places, and those that are pages."""
     read = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"), "value")
     named = F.col("value").contains("issues") | F.col("value").contains("errorMessages") | F.col("value").contains("\\u")  # most printed lines need no parser
     lines = read.filter(F.trim("value") != "").withColumn("p", F.when(named, F.from_json("value", PAGE)))
-    lines = lines.withColumn("_page", F.coalesce((F.col("p.issues").isNotNull() | F.col("p.errorMessages").isNotNull()) & F.try_parse_json(F.when(named, F.col("value"))).isNotNull(), F.lit(False)))
+    return lines.withColumn("_page", F.coalesce((F.col("p.issues").isNotNull() | F.col("p.errorMessages").isNotNull()) & F.try_parse_json(F.when(named, F.col("value"))).isNotNull(), F.lit(False)))
+
+
+def _ends() -> Column:
+    """Whether the lines of a file have a bracket at either end."""
     place = F.struct("_start", "_at")
-    ends = F.min_by("value", place).rlike(r"^\s*[\[{]") & F.max_by("value", place).rlike(r"[\]}]\s*$")
+    return F.min_by("value", place).rlike(r"^\s*[\[{]") & F.max_by("value", place).rlike(r"[\]}]\s*$")
+
+
+def _together(own: DataFrame) -> DataFrame:
+    """(path, value): the lines of each file put together again as pages; where that gives no JSON they stay lines."""
+    own = own.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("_start", "_at", "value"))), lambda x: x["value"]).alias("all"))
+    each = F.split(F.array_join("all", "\n"), r"(?<=\})\s*\n\s*(?=\{)")  # within JSON a comma would stand there, so pages are told apart
+    whole = F.flatten(F.transform(each, lambda x: F.when(F.try_parse_json(x).isNotNull(), F.array(x)).otherwise(F.split(x, "\n"))))
+    torn = F.exists("all", lambda x: F.try_parse_json(x).isNull())
+    return own.select("path", F.explode(F.when(torn, whole).otherwise(F.col("all"))).alias("value"))
+
+
+def _pages(spark: SparkSession, path: str) -> DataFrame:
+    """(path, value, p): the pages of all files. A file has a page a line, or pages printed over many lines. Only lines that are no page
+    are looked at together: those of a file without a page, with lines that are no JSON and with a bracket at either end, are put
+    together again, and where that gives no JSON they stay lines. No file is read in one piece, so files of pages may be of any size."""
+    lines = _lines(spark, path)
     cut = lines.select("path", "_start", "_at", "_page", F.when(~F.col("_page"), F.col("value")).alias("value"))
-    bare = cut.groupBy("path").agg(F.bool_or("_page").alias("page"), ends.alias("ends")).filter("NOT page AND ends").select("path")
+    bare = cut.groupBy("path").agg(F.bool_or("_page").alias("page"), _ends().alias("ends")).filter("NOT page AND ends").select("path")
     if bare.isEmpty():
         return lines.select("path", "value", "p")
     loose = lines.filter(~F.col("_page"))
-    own = loose.join(bare, "path", "left_semi").groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("_start", "_at", "value"))), lambda x: x["value"]).alias("all"))
-    each = F.split(F.array_join("all", "\n"), r"(?<=\})\s*\n\s*(?=\{)")  # within JSON a comma would stand there, so pages are told apart
-    whole = F.flatten(F.transform(each, lambda x: F.when(F.try_parse_json(x).isNotNull(), F.array(x)).otherwise(F.split(x, "\n"))))
-    torn = F.exists("all", lambda x: F.try_parse_json(x).isNull())
-    joined = own.select("path", F.explode(F.when(torn, whole).otherwise(F.col("all"))).alias("value"))
+    joined = _together(loose.join(bare, "path", "left_semi"))
     rest = loose.join(bare, "path", "left_anti").select("path", "value", "p")
     return lines.filter("_page").select("path", "value", "p").unionByName(rest).unionByName(joined.withColumn("p", F.from_json("value", PAGE)))
 
@@ -48,18 +62,50 @@ def scan_issue_pages(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.get_json_object("raw", "$.id").alias("id"), F.get_json_object("raw", "$.key").alias("key"), "raw", "error")
 
 
-def read_pages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Issues (path, position, raw) that decode, and what does not: (path, position, raw, reason), position being an issue's place in
-    its page, null for a page as a whole. Good and bad rows are all issues and all pages without issues."""
+ROW = "array<struct<position: int, raw: string, reason: string>>"
+
+
+def _rows(parsed: Column) -> Column:
+    """What a page (value, p) gives: a row with a reason for the page as a whole, and a row for each issue."""
+    reason = F.when(F.col("p.errorMessages").isNotNull(), F.array_join("p.errorMessages", "; ")).when(~parsed, "no JSON").when(F.col("p.issues").isNull(), "no issues in page")
+    row = lambda position, raw, reason: F.struct(position.cast("int").alias("position"), raw.alias("raw"), reason.cast("string").alias("reason"))
+    whole = F.when(reason.isNotNull(), F.array(row(F.lit(None), F.col("value"), reason)))
+    each = F.when(F.col("p.errorMessages").isNull(), F.transform("p.issues", lambda x, k: row(k, x, F.lit(None))))
+    return F.concat(*[F.coalesce(x.cast(ROW), F.array().cast(ROW)) for x in (whole, each)])
+
+
+def _judged(df: DataFrame) -> DataFrame:
+    """df (.., position, raw, reason) with the reasons of issues, too: each is judged by itself."""
     from ..operators.flatten import undecodable_reason
 
-    pages = _pages(spark, path)
-    reason = F.when(F.col("p.errorMessages").isNotNull(), F.array_join("p.errorMessages", "; ")).when(F.try_parse_json("value").isNull(), "no JSON").when(F.col("p.issues").isNull(), "no issues in page")
-    bad = pages.select("path", F.lit(None).cast("int").alias("position"), F.col("value").alias("raw"), reason.alias("reason")).filter("reason IS NOT NULL")
-    each = pages.filter(F.col("p.errorMessages").isNull()).select("path", F.posexplode("p.issues").alias("position", "raw"))
-    # a row is judged by itself: good and lost rows need not meet
-    each = each.withColumn("reason", undecodable_reason("raw"))
-    return each.filter("reason IS NULL").drop("reason"), bad.unionByName(each.filter("reason IS NOT NULL"))
+    return df.withColumn("reason", F.when(F.col("position").isNotNull(), undecodable_reason("raw")).otherwise(F.col("reason")))
+
+
+def read_pages(spark: SparkSession, path: str, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Issues (path, position, raw) that decode, and what does not: (path, position, raw, reason), position being an issue's place in
+    its page, null for a page as a whole. Good and bad rows are all issues and all pages without issues.
+
+    With a folder, what is read is stored below it: files are read and pages parsed once, for good and bad rows alike, and the lines of files
+    without a page are gathered from there. The paths of these files, fewer than the reader's list of files, are sent around."""
+    if folder is None:
+        rows = _pages(spark, path).select("path", F.explode(_rows(F.try_parse_json("value").isNotNull())).alias("x")).select("path", "x.*")
+        judged = _judged(rows)
+        return judged.filter("reason IS NULL").drop("reason"), judged.filter("reason IS NOT NULL")
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    line = F.array(F.struct(F.lit(None).cast("int").alias("position"), F.col("value").alias("raw"), F.lit(None).cast("string").alias("reason"))).cast(ROW)
+    lines = _lines(spark, path).select("path", "_start", "_at", "_page", F.explode_outer(F.when(F.col("_page"), _rows(F.lit(True))).otherwise(line)).alias("x"))
+    first = stored(_judged(lines.select("path", "_start", "_at", "_page", "x.*")), "lines")
+    loose = first.filter("NOT _page").select("path", "_start", "_at", F.col("raw").alias("value"))
+    bare = stored(loose.groupBy("path").agg(_ends().alias("ends")).filter("ends").select("path").join(first.filter("_page").select("path").distinct(), "path", "left_anti"), "bare")
+    rest = loose.join(F.broadcast(bare), "path", "left_anti").select("path", "value")
+    pages = _together(loose.join(F.broadcast(bare), "path", "left_semi")).unionByName(rest).withColumn("p", F.from_json("value", PAGE))
+    rows = pages.select("path", F.explode(_rows(F.try_parse_json("value").isNotNull())).alias("x")).select("path", "x.*")
+    put = first.filter("_page AND (position IS NOT NULL OR reason IS NOT NULL)").select("path", "position", "raw", "reason").unionByName(stored(_judged(rows), "together"))
+    return put.filter("reason IS NULL").drop("reason"), put.filter("reason IS NOT NULL")
 
 
 def scan_changelog_pages(spark: SparkSession, path: str, form: str = "issue") -> DataFrame:
