@@ -24,3 +24,15 @@ def test_stored_pages_equal_those_read_again(spark, tmp_path):
     assert [rows(df) for df in stored] == [rows(df) for df in again]
     assert len(rows(stored[0])) >= 26 and {r["reason"] for r in stored[1].collect()} >= {"no key", "no object", "no text", "no JSON", "no issues in page", "no; way"}
     assert not any("Scan text" in df._jdf.queryExecution().executedPlan().toString() for df in stored)
+
+
+def test_pages_are_written_without_a_shuffle_of_their_json(spark, monkeypatch):
+    from ledgerline import queries
+
+    monkeypatch.setattr(queries, "RAW_ROWS", 500)
+    issues = queries.issues_of(spark, "/root/testdata/sf0.001")
+    made = queries.pages_of(spark, issues)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("REPARTITION_BY_NUM")]
+    assert "collect_list" in above and above.count("Exchange") == 1  # the shuffle of the issues' few columns is the last one
+    assert made.selectExpr("sum(size(r))").first()[0] == issues.count()
