@@ -63,6 +63,45 @@ def _left_out_hashes(text: Column, most: int) -> Column:
     return F.array_distinct(F.transform(_left_out(text, most), lambda s: F.xxhash64(s)))
 
 
+#: Names are cut in two where there are so many to one first half on average, and so many first halves at most: each input meets those near to its own.
+SHARED, HEADS = 8, 100
+
+
+class _Halves:
+    """Names of more than SHORT characters, cut in the middle, for a search by halves. An input near to a name has a cut too, so that the edits
+    of both halves are those of the whole. First halves that many names share are compared once; the second halves then have what edits are left, and
+    become few strings. Where the ends of names are shared rather than their beginnings, all is read backwards."""
+
+    def __init__(self, names: DataFrame, most: int, stored) -> None:
+        self.short, self.stored = 4 * most, stored
+        long = names.filter(F.length("name") > self.short)
+        half = F.floor(F.length("name") / 2).cast("int")
+        first = lambda c: F.substring(c, F.lit(1), half)
+        n, ahead, back = long.agg(F.count("*"), F.approx_count_distinct(first(F.col("name"))), F.approx_count_distinct(first(F.reverse("name")))).first()
+        self.used = 0 < min(ahead, back) <= min(HEADS, n / SHARED)
+        self.way = F.reverse if back < ahead else lambda c: c
+        if self.used:
+            whole = self.way(F.col("name"))
+            self.names = long.select(F.xxhash64("name").alias("_n"), first(whole).alias("_first"), F.substring(whole, half + 1, F.length("name")).alias("_second"))
+            self.heads = stored(self.names.select("_first").distinct(), "heads")
+
+    def strings(self, left: DataFrame, d: int) -> tuple[DataFrame, DataFrame]:
+        """(_i, _s) of inputs and (_n, _s) of names: hashes that those have in common who are within d edits."""
+        size, least = F.length("input"), self.short + 1
+        low = F.floor(F.greatest(F.lit(least), size - d) / 2) - d
+        high = F.least(size, F.floor((size + d) / 2) + d)
+        cuts = left.filter(size >= least - d).select(F.xxhash64("input").alias("_i"), self.way(F.col("input")).alias("_x"), F.explode(F.sequence(low.cast("int"), high.cast("int"))).alias("_m"))
+        cuts = cuts.select("_i", F.substring("_x", F.lit(1), F.col("_m")).alias("_head"), F.substring("_x", F.col("_m") + 1, F.length("_x")).alias("_rest"))
+        own = cuts.select("_head").distinct().select("_head", F.explode(_left_out_hashes(F.col("_head"), d)).alias("_h"))
+        theirs = self.heads.select("_first", F.explode(_left_out_hashes(F.col("_first"), d)).alias("_h"))
+        pairs = own.join(theirs.hint("merge"), "_h").select("_head", "_first").distinct()
+        near = self.stored(pairs.withColumn("_a", F.levenshtein("_head", "_first", d)).filter("_a >= 0").select("_head", "_first", (d - F.col("_a")).alias("_b")), f"heads-{d}")
+        some = lambda c: F.coalesce(*[F.when(F.col("_b") == k, _left_out(F.col(c), k)) for k in range(d + 1)])
+        hashes = lambda c: F.explode(F.array_distinct(F.transform(some(c), lambda s: F.xxhash64(F.col("_first"), s)))).alias("_s")
+        most = near.groupBy("_first").agg(F.max("_b").alias("_b"))
+        return cuts.join(near, "_head").select("_i", hashes("_rest")), self.names.join(most, "_first").select("_n", hashes("_second"))
+
+
 def suggest_from(inputs: DataFrame, candidates: DataFrame, folder: str, most: int = 3) -> DataFrame:
     """(input, suggestion): as suggest_closest(), for candidates (name, place) in any number; of equally near ones the one of
     the least place, then name, counts.
@@ -71,7 +110,8 @@ def suggest_from(inputs: DataFrame, candidates: DataFrame, folder: str, most: in
     are tried in turn, 0 first, and only inputs without a suggestion go on, so that a pair far apart is looked at only
     where there is none nearer; a step is an equi-join of hashes and what it found is stored below folder; distances are computed of the names. Strings without a common
     character differ by the longer one's length: for these the first candidate of each length up to most suffices. The
-    strings left out of a name of n characters are about n ** d / d! at distance d.
+    strings left out of a name of n characters are about n ** d / d! at distance d; names of more than 4 * most characters that share halves
+    are searched by halves (_Halves), which leaves a name about (n / 2) ** e / e!, e being the edits that the nearest first half leaves.
 
     Inputs are distinct in the result; null and what has no near candidate get the empty suggestion, null inputs as null;
     null names are no candidates; the empty input is near to names of up to most characters; no candidates, no suggestions."""
@@ -85,14 +125,18 @@ def suggest_from(inputs: DataFrame, candidates: DataFrame, folder: str, most: in
     names = stored(candidates.filter("name IS NOT NULL").groupBy("name").agg(F.min("place").alias("place")), "names")
     left, found = asked.filter("input IS NOT NULL"), []
     short = names.filter(F.length("name") <= most).groupBy(F.length("name").alias("_l")).agg(F.min(F.struct("place", "name")).alias("_c"))
+    halves = _Halves(names, most, stored)
     for d in range(most + 1):
         if d == 0:
             pairs = left.join(names.withColumnRenamed("name", "input"), "input").select("input", "place", F.col("input").alias("name"))
         else:
             few = left.filter(F.length("input") <= d).select("input", F.explode(F.sequence(F.lit(0), F.lit(d))).alias("_l")).join(short, "_l").select("input", "_c.place", "_c.name")
+            own, theirs = (left, names) if not halves.used else (left.filter(F.length("input") <= halves.short + d), names.filter(F.length("name") <= halves.short))
             # only hashes meet, in a shuffle: the planner's sizes know nothing of the many strings a name becomes, so it would broadcast them
-            own = left.select(F.xxhash64("input").alias("_i"), F.explode(_left_out_hashes(F.col("input"), d)).alias("_s"))
-            theirs = names.select(F.xxhash64("name").alias("_n"), F.explode(_left_out_hashes(F.col("name"), d)).alias("_s"))
+            own = own.select(F.xxhash64("input").alias("_i"), F.explode(_left_out_hashes(F.col("input"), d)).alias("_s"))
+            theirs = theirs.select(F.xxhash64("name").alias("_n"), F.explode(_left_out_hashes(F.col("name"), d)).alias("_s"))
+            if halves.used:
+                own, theirs = (a.unionByName(b) for a, b in zip((own, theirs), halves.strings(left, d), strict=True))
             met = stored(own.join(theirs.hint("merge"), "_s").select("_i", "_n").distinct(), f"met-{d}")
             pairs = met.join(left.select(F.xxhash64("input").alias("_i"), "input").hint("merge"), "_i").join(names.withColumn("_n", F.xxhash64("name")).hint("merge"), "_n").select("input", "place", "name").unionByName(few)
         near = pairs.filter(F.levenshtein("input", "name", d) >= 0)
