@@ -47,7 +47,7 @@ def undecodable_reason(column: str = "raw") -> Column:
     found = F.from_json(column, ISSUE)
     shape = F.from_json(column, "struct<key: string>")
     reason = F.when(F.col(column).isNull(), "no text").when(F.try_parse_json(column).isNull(), "no JSON").when(~F.ltrim(column).startswith("{"), "no object").when(shape["key"].isNull(), "no key").otherwise("fields of other types")
-    return F.when(found["key"].isNull() | found.isNull(), reason)
+    return F.when(found["key"].isNull(), reason)  # so it is if nothing was found, and a second test would parse the row again
 
 
 def undecodable_issues(raw: DataFrame, column: str = "raw") -> DataFrame:

@@ -36,3 +36,12 @@ def test_pages_are_written_without_a_shuffle_of_their_json(spark, monkeypatch):
     above = plan[: plan.index("REPARTITION_BY_NUM")]
     assert "collect_list" in above and above.count("Exchange") == 1  # the shuffle of the issues' few columns is the last one
     assert made.selectExpr("sum(size(r))").first()[0] == issues.count()
+
+
+def test_an_issue_is_parsed_once_to_be_judged(spark):
+    from ledgerline.operators.flatten import undecodable_reason
+
+    df = spark.createDataFrame([('{"key": "A-1"}',), ("3",)], "raw string").select(undecodable_reason("raw").alias("r"))
+    # with its type once, and for its key alone where that gives none
+    assert df._jdf.queryExecution().analyzed().toString().split("LogicalRDD")[0].count("from_json(") == 2
+    assert [r["r"] for r in df.collect()] == [None, "no object"]
